@@ -149,8 +149,8 @@ for _name, _query, _limit in (("search_cli20", "gan gat der", 20), ("search_web5
     _add(_name, lambda s, d, q=_query, n=_limit: search.search(_cat(s, d), q, n).select("pos", F.col("score").cast("long").alias("score")), _search_sql(_query, _limit), _CATS)
 _add("provider_filter", lambda s, d: search.provider_filter(papers(s, d), "gan tion ment ia").select("pos"), "SELECT pos FROM papers WHERE CAST(contains(txt, 'gan') AS INT) + CAST(contains(txt, 'tion') AS INT) + CAST(contains(txt, 'ment') AS INT) >= 2")
 _add("provider_filter_zero_terms", lambda s, d: search.provider_filter(papers(s, d), "3D").select("pos"), "SELECT pos FROM papers")
-_BROWSE = "SELECT pos FROM papers WHERE source = 'src3' AND NOT coalesce(year < 2012 OR year > 2024, false) AND pos IN (SELECT pos FROM cats WHERE category = 'fx_suffix_en') ORDER BY date DESC, pos"
-_add("browse_filter_page", lambda s, d: search.page(search.browse(_cat(s, d), "src3", 2012, 2024, "fx_suffix_en"), 2, 10).select("pos"), _BROWSE + " LIMIT 10 OFFSET 10", _CATS)
+_BROWSE = "SELECT pos, row_number() OVER (ORDER BY date DESC, pos) AS rn, 10 * least(1, greatest(0, (count(*) OVER () - 1) // 10)) AS skip FROM papers WHERE source = 'src3' AND NOT coalesce(year < 2012 OR year > 2024, false) AND pos IN (SELECT pos FROM cats WHERE category = 'fx_suffix_en')"
+_add("browse_filter_page", lambda s, d: search.page(search.browse(_cat(s, d), "src3", 2012, 2024, "fx_suffix_en"), 2, 10).select("pos"), f"SELECT pos FROM ({_BROWSE}) WHERE rn > skip AND rn <= skip + 10", _CATS)
 _add("browse_date_asc", lambda s, d: search.page(search.browse(papers(s, d), order="date_asc"), 3).select("pos"), "SELECT pos FROM papers ORDER BY date, pos LIMIT 25 OFFSET 50")
 _add("browse_title_collated", lambda s, d: search.page(search.browse(papers(s, d), order="title"), 1).select("pos", "title"), None)
 _add("facets", lambda s, d: pp.facets(_cat(s, d)), "SELECT DISTINCT 'year' AS facet, CAST(year AS VARCHAR) AS value FROM papers WHERE year IS NOT NULL UNION ALL SELECT DISTINCT 'source', source FROM papers UNION ALL SELECT DISTINCT 'category', category FROM cats", _CATS)

@@ -17,7 +17,7 @@ WEB_COLUMNS = ["title", "authors", "journal", "year", "date", "doi", "url", "sou
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of papers; pos is the place in the array. A malformed file raises."""
-    body = spark.read.option("wholetext", True).text(path)
+    body = spark.read.text(path, wholetext=True)
     items = body.select(F.posexplode(F.from_json("value", F.lit(f"array<{_without_pos()}>"), {"mode": "FAILFAST"})).alias("pos", "p"))
     return items.select(F.col("pos").cast("long").alias("pos"), "p.*")
 
