@@ -121,27 +121,33 @@ def _first_round(limit: int):
     return run
 
 
-def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limit: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different groups whose sketches differ in at most `limit` bits; per member at most `most`, nearest first."""
-    left, right = [], []
+def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limit: int, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of members of different groups whose sketches differ in at most `limit` bits.
+
+    Per member at most `most`, nearest first; the last value tells whether any were left out.
+    """
+    left, right, more = [], [], False
     for at in range(0, len(node), 256):
         apart = _count_bits(sketch[at : at + 256, None, :], sketch[None, :, :])
         apart[group[at : at + 256, None] == group[None, :]] = limit + 1
-        if most is not None and apart.shape[1] > most:
+        if most is not None and apart.shape[1] > most and ((apart <= limit).sum(axis=1) > most).any():
+            more = True
             kth = np.partition(apart, most - 1, axis=1)[:, most - 1]
             apart[(apart > kth[:, None]) | ((apart == kth[:, None]) & (np.cumsum(apart == kth[:, None], axis=1) > most))] = limit + 1
         i, j = np.nonzero(apart <= limit)
         left.append(node[at + i])
         right.append(node[j])
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), more
 
 
 def _later_round(limit: int, most: int | None):
+    """Pairs (a, b) of a block of a bucket; `more` marks a block where some member has further admitted partners."""
+
     def run(pdf):
-        a, b = nearest_across(pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf[list(_SKETCH)].to_numpy(), limit, most)
-        out = pdf.iloc[:0][["node"]].assign(b=0).rename(columns={"node": "a"})
-        return out if not len(a) else type(pdf)({"a": a, "b": b}).drop_duplicates()
+        node, group, sketch = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf[list(_SKETCH)].to_numpy()
+        a, b, more = nearest_across(node, group, sketch, limit, most)
+        return type(pdf)({"a": a, "b": b, "more": np.full(len(a), more)}).drop_duplicates()
 
     return run
 
@@ -218,20 +224,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
         known = members.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
         # leaders are tested with all members: only two later members of different components are left to test
-        torn = known.groupBy("bucket").agg(F.count("*").alias("n"), F.max("cb").alias("most"), F.min("cb").alias("least")).where("most <> least")
+        members_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")  # buckets with the same members are searched once
+        torn = known.groupBy("bucket").agg(F.count("*").alias("n"), members_of, F.max("cb").alias("most"), F.min("cb").alias("least")).where("most <> least")
+        torn = torn.groupBy("n", "mark").agg(F.min("bucket").alias("bucket"))
         inside = known.join(torn.select("bucket", "n"), "bucket").select("bucket", "n", F.col("b").alias("node"), F.col("cb").alias("component"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         dealt = inside.join(nodes, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        pairs = cut(dealt.groupBy("bucket", "i", "j").applyInPandas(_later_round(limit, most), "a long, b long").distinct())
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if pairs.isEmpty():
-                break
-            continue
-        links = cut(links.unionByName(_links(texts, fresh, k, num, den)))
-        tested = tested.unionByName(fresh)
-        found = None
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
+        pairs = dealt.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_later_round(limit, most), "a long, b long, more boolean")
+        pairs = cut(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+        fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(_links(texts, fresh, k, num, den)))
+            tested = tested.unionByName(fresh)
+            found = None
+        if pairs.where("more").isEmpty():
+            break
     found = found or components(links)
     answer = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = prints.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
