@@ -98,7 +98,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     A document word inside any occurrence of a window of any item (item_id, text) is hit.
     items are the ids of items with occurring windows, as sorted strings; contaminated tells
     that n_hit > 0 and 20 * n_hit >= n_words. n_near counts items of which at least half the
-    words, and two if it has two, stand aligned at one place (proximity matches). Null and empty texts have
+    words, and two if it has two, stand aligned
+    at one place that a rare term of the item names (proximity matches). Null and empty texts have
     no words; items without words or with a null item_id (taken as the id `null`) are
     treated alike; rows that repeat an item_id count as one item with several texts. Rows of
     `docs` that repeat a doc_id get their own answers. Other columns are not read.

@@ -50,7 +50,7 @@ def test_decontamination_edges(spark, docs):
 def test_decontamination_windows(spark, docs):
     words = [f"w{i}" for i in range(20)]
     items = spark.createDataFrame([(7, " ".join(words)), (8, "Short item")], "item_id long, text string")
-    texts = [(1, "x " + " ".join(words[2:15]) + " y"), (2, " ".join(words[2:14])), (3, "a SHORT-item b short item"), (4, " ".join(words) + " pad" * 500)]
+    texts = [(1, "x " + " ".join(words[2:15]) + " y"), (2, " ".join(words[:12])), (3, "a SHORT-item b short item"), (4, " ".join(words) + " pad" * 500)]
     got = by_id(contamination(docs(texts), items))
     assert [(got[i]["n_hit"], got[i]["contaminated"], got[i]["items"]) for i in (1, 2, 3, 4)] == [(13, True, ["7"]), (0, False, []), (4, True, ["8"]), (20, False, ["7"])]
     assert got[2]["n_near"] == 1
