@@ -24,7 +24,7 @@ F32 = np.float32
 #: Bounds of the training sample: labelled rows of each class, the longest text fitted on, and the word vectors kept.
 TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 2500
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 8_000
 TRAIN_WORDS = 30_000
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, HIDDEN = 8, 8, 8, 8
@@ -205,9 +205,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Network | None:
     often = often[(n1 + n0)[often] >= 2]
     net = Network(types[often], np.clip(odds[often] / 4, -1, 1).astype(F32))
     begin, owner = window_starts(w.first)
-    places = window_places(begin, w.first[owner + 1])
-    rows = np.where(places < 0, -1, inverse[places])
-    rank = np.where(places < 0, -np.inf, odds[rows]).max(1)
+    kind_of = inverse.astype(np.int32)
+    rows, rank = np.empty((len(begin), WINDOW), np.int32), np.empty(len(begin))
+    for k in range(0, len(begin), 4096):  # in parts, for the driver's memory
+        places = window_places(begin[k : k + 4096], w.first[owner[k : k + 4096] + 1])
+        rows[k : k + 4096] = np.where(places < 0, -1, kind_of[places])
+        rank[k : k + 4096] = np.where(places < 0, -np.inf, odds[kind_of[places]]).max(1)
+    del document, pairs, has, kind, inverse
     first_window = np.searchsorted(owner, np.arange(len(texts) + 1))
     some = np.flatnonzero(np.diff(first_window) > 0)
     best = lambda score, docs: np.array([first_window[d] + score[first_window[d] : first_window[d + 1]].argmax() for d in docs], np.int64)
