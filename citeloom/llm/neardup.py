@@ -8,8 +8,10 @@ full sets, and links are closed to components.
 
 Links are searched in rounds, so that a bucket of n similar classes gives about n candidates
 rather than n*(n-1)/2: first every member against its bucket's smallest member; then only
-buckets whose members are still in different components, each member against its nearest
-members of other components, more per round, until no untested admitted pair is left.
+buckets whose members are still in different components, each member against its NEAREST
+nearest members of other components; at last, where a member has more admitted partners than
+that, blocks of the bucket are searched whole on full sets and give a spanning forest of their
+links, fewer rows than members.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from citeloom.llm.runtime import cut, spread
 SAMPLES = 120
 SKETCH_BITS = 256
 MISS = 1e-5
-BLOCK = 4096
-NEAREST = (4, 64, None)
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+NEAREST = 4
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -68,7 +70,7 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
 
 def _fingerprint(k: int, rows: int):
     bands = SAMPLES // rows
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in _SKETCH)])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +90,7 @@ def _fingerprint(k: int, rows: int):
                     buckets[some] = key.view(np.int64)
                     sketch[some] = odd_sketches(minima)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * bands, pa.int32()), pa.array(buckets.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(size), pa.array(digest, pa.binary()), lists, *(pa.array(sketch[:, c]) for c in range(4))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(size), pa.array(np.diff(at)), pa.array(digest, pa.binary()), lists, *(pa.array(sketch[:, c]) for c in range(4))], schema=schema)
 
     return run
 
@@ -121,7 +123,7 @@ def _first_round(limit: int):
     return run
 
 
-def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limit: int, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limit: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of members of different groups whose sketches differ in at most `limit` bits.
 
     Per member at most `most`, nearest first; the last value tells whether any were left out.
@@ -130,7 +132,7 @@ def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limi
     for at in range(0, len(node), 256):
         apart = _count_bits(sketch[at : at + 256, None, :], sketch[None, :, :])
         apart[group[at : at + 256, None] == group[None, :]] = limit + 1
-        if most is not None and apart.shape[1] > most and ((apart <= limit).sum(axis=1) > most).any():
+        if apart.shape[1] > most and ((apart <= limit).sum(axis=1) > most).any():
             more = True
             kth = np.partition(apart, most - 1, axis=1)[:, most - 1]
             apart[(apart > kth[:, None]) | ((apart == kth[:, None]) & (np.cumsum(apart == kth[:, None], axis=1) > most))] = limit + 1
@@ -141,7 +143,7 @@ def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limi
     return np.minimum(a, b), np.maximum(a, b), more
 
 
-def _later_round(limit: int, most: int | None):
+def _nearest_round(limit: int, most: int):
     """Pairs (a, b) of a block of a bucket; `more` marks a block where some member has further admitted partners."""
 
     def run(pdf):
@@ -152,6 +154,72 @@ def _later_round(limit: int, most: int | None):
     return run
 
 
+def forest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], limit: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the groups as all admitted and confirmed pairs of the block's members would, without cycles.
+
+    A pair of different groups has an end outside the largest group, so only those members
+    are compared, each with all others at once: counts of its shingles among theirs.
+    """
+    root = np.unique(group, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(codes.max() + 1, np.int32)
+    largest = np.bincount(root).argmax()
+    links = []
+    for i in np.flatnonzero(root != largest):
+        other = np.flatnonzero((root != root[i]) & (_count_bits(sketch[i], sketch) <= limit))
+        if not len(other):
+            continue
+        own = codes[first[i] : first[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes], first[:-1])[other]
+        mark[own] = 0
+        for j in other[den * both >= num * (size[i] + size[other] - both)]:
+            if root[j] != root[i]:
+                links.append((min(node[i], node[j]), max(node[i], node[j])))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _whole_round(k: int, num: int, den: int, limit: int):
+    """A block of a bucket, texts included -> the forest of its links across components."""
+
+    def run(pdf):
+        node, group, sketch = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf[list(_SKETCH)].to_numpy()
+        sets = []
+        for row, end, raw, at in tk.chunks(pa.array(pdf["text"], pa.large_string()), 1 << 18):
+            hashes, first = tk.shingles(tk.words(raw, at), k)
+            sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(end - row)]
+        some = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)  # a row that repeats a doc_id may be empty
+        links = forest_across(node[some], group[some], sketch[some], [sets[i] for i in some], limit, num, den) if len(some) else []
+        return type(pdf)({c: np.array([x[i] for x in links], np.int64) for i, c in enumerate("ab")})
+
+    return run
+
+
+def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, n, node, component) of the later members of buckets that hold several components.
+
+    A bucket's first member has been tested with all others, so only two later members can
+    be left to test. Of buckets with the same members one is taken.
+    """
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    known = members.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("cb", "b").alias("cb"))
+    members_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")
+    torn = known.groupBy("bucket").agg(F.count("*").alias("n"), members_of, F.max("cb").alias("most"), F.min("cb").alias("least")).where("most <> least")
+    torn = torn.groupBy("n", "mark").agg(F.min("bucket").alias("bucket"))
+    return known.join(torn.select("bucket", "n"), "bucket").select("bucket", "n", F.col("b").alias("node"), F.col("cb").alias("component"))
+
+
+def _dealt(inside: DataFrame, blocks) -> DataFrame:
+    """Rows in pairs of blocks (bucket, i, j), i <= j, so that any two rows of a bucket meet."""
+    dealt = inside.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).drop("mine", "other")
+    parts = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
+    return dealt.repartition(parts, "bucket", "i", "j")
+
+
 def _confirm(k: int, num: int, den: int):
     """Rows (a, id, text) sorted by a, the leader's first -> pairs (a, b) whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -205,10 +273,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """
     threshold = num / den
     rows, limit = band_rows(threshold), sketch_limit(threshold)
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+    schema = "doc_id long, n_shingles long, size long, digest binary, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(spread(given).mapInArrow(_fingerprint(k, rows), schema))
-    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SKETCH))
+    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SKETCH))
     classes = cut(classes)
     nodes = classes.select("node", *_SKETCH)
     placed = classes.select(F.explode("bands").alias("bucket"), "node", *_SKETCH)
@@ -218,30 +286,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     texts = given.where("doc_id is not null")
     tested = cut(members.where("near and a <> b").select("a", "b").distinct())
     links = cut(_links(texts, tested, k, num, den))
-    found = None
-    for most in NEAREST:
-        found = found or cut(components(links))
-        label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
-        known = members.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        # leaders are tested with all members: only two later members of different components are left to test
-        members_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")  # buckets with the same members are searched once
-        torn = known.groupBy("bucket").agg(F.count("*").alias("n"), members_of, F.max("cb").alias("most"), F.min("cb").alias("least")).where("most <> least")
-        torn = torn.groupBy("n", "mark").agg(F.min("bucket").alias("bucket"))
-        inside = known.join(torn.select("bucket", "n"), "bucket").select("bucket", "n", F.col("b").alias("node"), F.col("cb").alias("component"))
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        dealt = inside.join(nodes, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
-        pairs = dealt.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_later_round(limit, most), "a long, b long, more boolean")
-        pairs = cut(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = cut(links.unionByName(_links(texts, fresh, k, num, den)))
-            tested = tested.unionByName(fresh)
-            found = None
-        if pairs.where("more").isEmpty():
-            break
-    found = found or components(links)
+    found = cut(components(links))
+    near = _dealt(_torn(members, found).join(nodes, "node"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    pairs = near.select("bucket", "i", "j", "node", "component", *_SKETCH).groupBy("bucket", "i", "j").applyInPandas(_nearest_round(limit, NEAREST), "a long, b long, more boolean")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+    fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
+        links = cut(links.unionByName(_links(texts, fresh, k, num, den)))
+        found = cut(components(links))
+    if not pairs.where("more").isEmpty():
+        inside = cut(_torn(members, found).join(classes.select("node", "size", *_SKETCH), "node"))
+        sizes = inside.groupBy("bucket").agg(F.sum("size").alias("bytes"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
+        whole = _dealt(inside.join(sizes, "bucket").join(texts.select(F.col("doc_id").alias("node"), "text"), "node"), blocks)
+        rest = whole.select("bucket", "i", "j", "node", "component", *_SKETCH, "text").groupBy("bucket", "i", "j").applyInPandas(_whole_round(k, num, den, limit), "a long, b long")
+        found = cut(components(links.unionByName(rest)))
     answer = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = prints.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))

@@ -89,6 +89,39 @@ def test_near_duplicates_brute_force(docs):
     assert all(got[i]["n_shingles"] == len(sets[i]) for i in got)
 
 
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    sets = []
+    for family in range(3):
+        base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(100) < 0.93], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(40)]
+    n = len(sets)
+    sketch = neardup.odd_sketches(neardup.samples(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])))
+    node, group = np.arange(n) + 1000, np.where(np.arange(n) % 7 == 0, 1000, np.arange(n) + 1000)
+    links = neardup.forest_across(node, group, sketch, sets, neardup.sketch_limit(0.85), 85, 100)
+
+    def closed(pairs):
+        label = {int(x): int(g) for x, g in zip(node, group)}
+        for a, b in pairs:
+            old, new = sorted((label[a], label[b]), reverse=True)
+            label = {x: new if g == old else g for x, g in label.items()}
+        return label
+
+    alike = [(a + 1000, b + 1000) for b in range(n) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert closed(links) == closed(alike) and 0 < len(links) < n
+    assert all((a, b) in alike for a, b in links)
+
+
+def test_near_duplicates_in_whole_blocks(docs, monkeypatch):
+    """Chains of texts whose neighbours are alike, found when a member has one nearest partner and blocks are small."""
+    monkeypatch.setattr(neardup, "NEAREST", 1)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3000)
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 120]) for i in range(0, 150, 5)] + [" ".join(f"x{i % 7}{j}" for j in range(50)) for i in range(7)] + [None, ""]
+    got = by_id(neardup.near_duplicates(docs(list(enumerate(texts))), 3, 85, 100))
+    assert [got[i]["component_id"] for i in range(len(texts))] == [0] * 30 + list(range(30, 39))
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
