@@ -9,6 +9,7 @@ a logistic fit on documents turns that into a probability. All trained here in n
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,7 +274,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.05)), float(theta[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A bounded sample of labelled rows: at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean texts, by a hash of the id.
 
     Labels of a doc_id that disagree or are null are not learnt from.
@@ -286,7 +287,20 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= TRAIN_CHARS)
     joined = texts.join(F.broadcast(chosen), "doc_id")  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
-    return joined.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(TRAIN_TOXIC + TRAIN_CLEAN).collect()
+    return joined.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(TRAIN_TOXIC + TRAIN_CLEAN)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    rows.sort(key=lambda r: (r["h"], r["text"]))
+    net = fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The network fitted on training_rows() by one task, whose rows are bounded; the driver gets the parameters alone."""
+    made = training_rows(docs, labels).coalesce(1).mapInArrow(_train, "net binary").first()
+    return pickle.loads(made["net"]) if made else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -297,8 +311,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     everything if the sample lacks a class, score 0. Texts of any length are scored over all
     their windows. A null doc_id is not held out. Repeated rows get equal scores.
     """
-    rows = training_rows(docs, labels)
-    net = fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    net = trained(docs, labels)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
