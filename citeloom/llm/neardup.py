@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import textkit as tk
-from citeloom.llm.components import components
+from citeloom.llm.components import components, stars
 from citeloom.llm.runtime import cut, spread
 
 SAMPLES = 120
@@ -285,22 +285,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # a class is one set, but only its smallest doc_id's text is needed to confirm
     texts = given.where("doc_id is not null")
     tested = cut(members.where("near and a <> b").select("a", "b").distinct())
-    links = cut(_links(texts, tested, k, num, den))
-    found = cut(components(links))
+    found = cut(components(_links(texts, tested, k, num, den)))
     near = _dealt(_torn(members, found).join(nodes, "node"), F.ceil(F.col("n") / BLOCK).cast("long"))
     pairs = near.select("bucket", "i", "j", "node", "component", *_SKETCH).groupBy("bucket", "i", "j").applyInPandas(_nearest_round(limit, NEAREST), "a long, b long, more boolean")
     pairs = cut(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
     fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
-        links = cut(links.unionByName(_links(texts, fresh, k, num, den)))
-        found = cut(components(links))
+        found = cut(components(stars(found).unionByName(_links(texts, fresh, k, num, den))))
     if not pairs.where("more").isEmpty():
         inside = cut(_torn(members, found).join(classes.select("node", "size", *_SKETCH), "node"))
         sizes = inside.groupBy("bucket").agg(F.sum("size").alias("bytes"))
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
         whole = _dealt(inside.join(sizes, "bucket").join(texts.select(F.col("doc_id").alias("node"), "text"), "node"), blocks)
         rest = whole.select("bucket", "i", "j", "node", "component", *_SKETCH, "text").groupBy("bucket", "i", "j").applyInPandas(_whole_round(k, num, den, limit), "a long, b long")
-        found = cut(components(links.unionByName(rest)))
+        found = cut(components(stars(found).unionByName(rest)))
     answer = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = prints.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))

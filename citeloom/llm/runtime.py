@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of finished steps.
+
+    It does so once the driver's collector finds that nothing refers to them, which in a
+    driver with little to do may come long after the disk is full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back (columnar, compressed)."""
     spark = df.sparkSession
