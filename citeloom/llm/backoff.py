@@ -1,11 +1,10 @@
 """Stupid-backoff scores from n-gram counts over all documents.
 
-Words fall into 2**WORD_BITS buckets by hash, so that the table of word counts has a fixed
-size; a pair of buckets is a bigram. Documents are read in chunks. Every chunk sends its
-bigrams to the partitions of the count table, by hash, in packed rows: bigrams that a chunk
-has HOT times or more once, with their number, the others once per document and occurrence.
-A partition joins them with its counts and sums the gain of seen bigrams over backing off,
-per document of the chunk, or per frequent bigram. A last step adds these up by chunk.
+Words and bigrams are 64-bit hashes. Documents are read in chunks. Every chunk sends its
+distinct words and bigrams, with their number in it, to the partitions of the count tables,
+by hash, and itself in packed form. A partition adds up the numbers of all chunks and answers
+each chunk with the totals of what it sent, in the same order. A last step scores the
+documents of a chunk with these answers. No table of counts is ever in one place.
 """
 
 from __future__ import annotations
@@ -22,30 +21,12 @@ from pyspark.sql import functions as F
 from citeloom.llm import textkit as tk
 from citeloom.llm.runtime import spread
 
-WORD_BITS = 21
-SLICE_BITS = 15
 ALPHA = 0.4
-HOT = 32
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 60_000
-#: Bigrams a partition of the count table should hold.
+#: Words of the text for each partition of the count tables.
 PART_TOKENS = 2_000_000
-_KEY_BITS = 2 * WORD_BITS
-_MASK = np.uint64(2**_KEY_BITS - 1)
-_FACTOR = 0x2545F4914F6CDD1D | 1
-
-
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-
-
-def scattered(keys: np.ndarray) -> np.ndarray:
-    """A one-to-one mapping of keys of _KEY_BITS bits that spreads them."""
-    return (keys * np.uint64(_FACTOR)) & _MASK
-
-
-def gathered(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(pow(_FACTOR, -1, 2**_KEY_BITS))) & _MASK
+_FACTOR = np.uint64(0x2545F4914F6CDD1D | 1)
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, tk.Words]]:
@@ -57,171 +38,127 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): this task's word counts."""
-    total = np.zeros(2**WORD_BITS, np.int64)
+    """(n): the words of each batch."""
     for batch in batches:
-        for _, w in _chunks(batch, 0):
-            total += np.bincount(buckets(w.hashes), minlength=2**WORD_BITS)
-    some = np.flatnonzero(total)
-    for at in range(0, len(some), 100_000):
-        part = some[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
+        n = sum(len(w.hashes) for _, w in _chunks(batch, 0))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
 
+def bigrams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bigrams within documents, in order, and the places of their second words."""
+    opens = np.zeros(len(words) + 1, bool)
+    opens[first] = True
+    second = np.flatnonzero(~opens[:-1])
+    return tk.mix(words[second - 1] * _FACTOR + words[second]), second
 
-def _slice(frame: pd.DataFrame) -> pd.DataFrame:
-    """The counts of a range of buckets as one value."""
-    counts = np.zeros(2**SLICE_BITS, np.int64)
-    counts[frame["bucket"].to_numpy(np.int64) & (2**SLICE_BITS - 1)] = frame["n"]
-    return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "counts": [counts.tobytes()]})
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of one width, compressed by byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return np.int64(len(x)).tobytes() + (pa.Codec("zstd").compress(planes.tobytes(), asbytes=True) if len(x) else b"")
 
-def _pack(keys: np.ndarray, documents: np.ndarray) -> bytes:
-    return np.uint32(len(keys)).tobytes() + (keys & np.uint64(2**32 - 1)).astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint16).tobytes() + documents.astype(np.uint16).tobytes()
 
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    n, width = int(np.frombuffer(blob, np.int64, 1)[0]), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * width, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    low, high, documents = np.frombuffer(blob, np.uint32, n, 4), np.frombuffer(blob, np.uint16, n, 4 + 4 * n), np.frombuffer(blob, np.uint16, n, 4 + 6 * n)
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), documents
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
 
 
 _ROW = "part long, chunk long, kind int, a binary, b binary"
 _SCHEMA = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_META, _RARE, _FREQUENT, _SUMS, _GAINS = range(5)
+_META, _WORDS, _BIGRAMS = range(3)
 
 
-def _send(counts, parts: int):
-    """Documents -> packed rows: per chunk its documents (with the scores if all words backed off) and bigrams by partition."""
-    bits = parts.bit_length() - 1
+def _send(parts: int):
+    """Documents -> packed rows: every chunk's texts as numbers of its distinct words, and its words and bigrams by partition."""
+    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts.value
-        base = np.log(ALPHA * np.maximum(count, 1) / max(1, count.sum()))
         number = 0
         for batch in batches:
             for head, w in _chunks(batch, 1):
                 chunk = (TaskContext.get().partitionId() << 32) + number
                 number += 1
-                n = head.num_rows
-                word, document = buckets(w.hashes), w.documents()
-                sums = np.bincount(document, base[word], n) - np.log(ALPHA) * (np.diff(w.first) > 0)  # a first word doesn't back off
-                rows = []
-                keys = scattered((word[:-1].astype(np.uint64) << np.uint64(WORD_BITS)) | word[1:].astype(np.uint64)) if len(word) > 1 else np.zeros(0, np.uint64)
-                inside = document[:-1] == document[1:] if len(word) > 1 else np.zeros(0, bool)
-                keys, owner = keys[inside], document[1:][inside]
-                kinds, inverse, often = np.unique(keys, return_inverse=True, return_counts=True)
-                frequent = np.flatnonzero(often >= HOT)
-                rank = np.full(len(kinds), -1)
-                rank[frequent] = np.arange(len(frequent))
-                place = rank[inverse]
-                pairs, many = np.unique(owner[place >= 0] * np.int64(len(frequent) + 1) + place[place >= 0], return_counts=True)
-                ids = head.column(0).fill_null(0).to_numpy()
-                held = np.asarray(head.column(0).is_valid())
-                meta = b"".join([ids.astype(np.int64).tobytes(), np.diff(w.first).astype(np.int64).tobytes(), sums.tobytes(), held.astype(np.uint8).tobytes()])
-                matrix = b"".join([np.int64(len(pairs)).tobytes(), np.int64(len(frequent)).tobytes(), kinds[frequent].tobytes(), (pairs // (len(frequent) + 1)).astype(np.uint16).tobytes(), (pairs % (len(frequent) + 1)).astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes()])
-                rows.append((parts + chunk % parts, chunk, _META, meta, matrix))
-                rare = place < 0
-                order = np.argsort(keys[rare], kind="stable")
-                k, d = keys[rare][order], owner[rare][order]
-                edges = np.searchsorted(k, np.arange(parts + 1, dtype=np.uint64) << np.uint64(_KEY_BITS - bits)) if bits else np.array([0, len(k)])
-                rows += [(p, chunk, _RARE, _pack(k[a:b], d[a:b]), None) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-                hot = kinds[frequent]
-                # how many documents of the chunk have it: one document alone may not count as seen elsewhere
-                spread_over = np.bincount(pairs % (len(frequent) + 1), minlength=len(frequent))
-                edges = np.searchsorted(hot, np.arange(parts + 1, dtype=np.uint64) << np.uint64(_KEY_BITS - bits)) if bits else np.array([0, len(hot)])
-                rows += [(p, chunk, _FREQUENT, hot[a:b].tobytes(), np.concatenate([often[frequent][a:b], spread_over[a:b]]).astype(np.int64).tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                words, local, count = np.unique(w.hashes, return_inverse=True, return_counts=True)
+                ids = head.column(0).fill_null(0).to_numpy().astype(np.int64)
+                held = np.asarray(head.column(0).is_valid()).astype(np.int64)
+                rows = [(parts + chunk % parts, chunk, _META, _pack(np.concatenate([ids, held, np.diff(w.first)])), _pack(local.astype(np.uint32)))]
+                pairs = np.unique(bigrams(w.hashes, w.first)[0], return_counts=True)
+                for kind, (keys, n) in ((_WORDS, (words, count)), (_BIGRAMS, pairs)):
+                    at = [0, *np.searchsorted(keys, edges), len(keys)]
+                    n = n.astype(np.uint32)
+                    rows += [(p, chunk, kind, _pack_sorted(keys[a:b]), _pack(n[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64]), _SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
-def _join(counts):
-    """One partition of the count table: packed bigrams of all chunks -> sums per document and gains per frequent bigram."""
+def _totals(frame: pd.DataFrame) -> pd.DataFrame:
+    """One partition of the count tables: the words and bigrams of all chunks -> their totals (and the words), per chunk in the order sent."""
+    out = []
+    for kind in (_WORDS, _BIGRAMS):
+        sent = frame[frame["kind"] == kind]
+        if not len(sent):
+            continue
+        keys = [_unpack_sorted(b) for b in sent["a"]]
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpack(b, np.uint32) for b in sent["b"]])).astype(np.int64)
+        at = np.cumsum([0, *map(len, keys)])
+        out += [(p, c, kind, _pack(total[inverse[a:b]]), k if kind == _WORDS else None) for p, c, k, a, b in zip(sent["part"], sent["chunk"], sent["a"], at[:-1], at[1:])]
+    answers = pd.DataFrame(out, columns=["part", "chunk", "kind", "a", "b"])
+    meta = frame[frame["kind"] == _META]
+    return pd.concat([meta, answers], ignore_index=True) if len(meta) and out else answers if out else meta
+
+
+def _scores(total: int):
+    """All rows of a chunk -> its documents' scores."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        meta = frame[frame["kind"] == _META]
-        rare, frequent = frame[frame["kind"] == _RARE], frame[frame["kind"] == _FREQUENT]
-        if not len(rare) and not len(frequent):
-            return meta
-        count = counts.value
-        total = max(1, count.sum())
-        unpacked = [_unpack(b) for b in rare["a"]]
-        size = [len(k) for k, _ in unpacked]
-        hot = [np.frombuffer(b, np.uint64) for b in frequent["a"]]
-        hot_n = [np.frombuffer(b, np.int64).reshape(2, -1) for b in frequent["b"]]
-        keys = np.concatenate([*(k for k, _ in unpacked), *hot]) if unpacked or hot else np.zeros(0, np.uint64)
-        weight = np.concatenate([np.ones(sum(size), np.int64), *(x[0] for x in hot_n)])
-        kinds, inverse = np.unique(keys, return_inverse=True)
-        often = np.bincount(inverse, weight, len(kinds)).astype(np.int64)
-        pair = gathered(kinds)
-        gain = np.log(np.maximum(often, 1) / np.maximum(count[(pair >> np.uint64(WORD_BITS)).astype(np.int64)], 1)) - np.log(ALPHA * np.maximum(count[(pair & np.uint64(2**WORD_BITS - 1)).astype(np.int64)], 1) / total)
-        out = []
-        if unpacked:
-            where, document = inverse[: sum(size)], np.concatenate([d for _, d in unpacked]).astype(np.int64)
-            source = np.repeat(np.arange(len(unpacked)), size)
-            text = source * 65536 + document
-            order = np.lexsort((text, where))
-            opens = np.concatenate([[True], (where[order][1:] != where[order][:-1]) | (text[order][1:] != text[order][:-1])])
-            run_of = np.cumsum(opens) - 1
-            own = np.bincount(run_of)[run_of]
-            value = np.where(often[where[order]] > own, gain[where[order]], 0.0)
-            owner, at = np.unique(text[order], return_inverse=True)
-            sums = np.bincount(at, value, len(owner))
-            for i, chunk in enumerate(rare["chunk"]):
-                a, b = np.searchsorted(owner, [i * 65536, (i + 1) * 65536])
-                out.append((0, chunk, _SUMS, (owner[a:b] - i * 65536).astype(np.uint16).tobytes(), sums[a:b].tobytes()))
-        base = sum(size)
-        for chunk, k, n in zip(frequent["chunk"], hot, hot_n):
-            at = inverse[base : base + len(k)]
-            base += len(k)
-            seen = (n[1] > 1) | (often[at] > n[0])
-            out.append((0, chunk, _GAINS, k.tobytes(), np.where(seen, gain[at], 0.0).tobytes()))
-        return pd.concat([meta, pd.DataFrame(out, columns=["part", "chunk", "kind", "a", "b"])], ignore_index=True) if len(meta) else pd.DataFrame(out, columns=["part", "chunk", "kind", "a", "b"])
+        frame = frame.sort_values("part")  # the order of the hashes
+        meta, one, two = (frame[frame["kind"] == kind] for kind in (_META, _WORDS, _BIGRAMS))
+        ids, held, lengths = np.split(_unpack(meta["a"].iloc[0], np.int64), 3)
+        n, first, local = len(ids), np.concatenate([[0], np.cumsum(lengths)]), _unpack(meta["b"].iloc[0], np.uint32)
+        words = np.concatenate([np.zeros(0, np.uint64), *map(_unpack_sorted, one["b"])])
+        count, often = (np.concatenate([np.zeros(0, np.int64), *(_unpack(b, np.int64) for b in x["a"])]) for x in (one, two))
+        document = np.repeat(np.arange(n), lengths)
+        value = np.log(count / total)[local]  # of first words
+        keys, second = bigrams(words[local], first)
+        if len(keys):
+            kinds, inverse = np.unique(keys, return_inverse=True)
+            _, mine, own = np.unique(document[second] * np.int64(len(kinds)) + inverse, return_inverse=True, return_counts=True)
+            seen = often[inverse] > own[mine]
+            value[second] = np.where(seen, np.log(often[inverse] / count[local[second - 1]]), value[second] + np.log(ALPHA))
+        return pd.DataFrame({"doc_id": ids, "known": held > 0, "n_words": lengths, "log_score": np.bincount(document, value, n)})
 
     return run
 
 
-def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
-    """All rows of a chunk -> its documents' scores."""
-    meta = frame[frame["kind"] == _META].iloc[0]
-    n = len(meta["a"]) // 25
-    ids, words = np.frombuffer(meta["a"], np.int64, n), np.frombuffer(meta["a"], np.int64, n, 8 * n)
-    sums, held = np.frombuffer(meta["a"], np.float64, n, 16 * n).copy(), np.frombuffer(meta["a"], np.uint8, n, 24 * n)
-    for _, row in frame[frame["kind"] == _SUMS].sort_values("a").iterrows():
-        sums[np.frombuffer(row["a"], np.uint16)] += np.frombuffer(row["b"], np.float64)
-    n_pairs, n_hot = np.frombuffer(meta["b"], np.int64, 2)
-    keys = np.frombuffer(meta["b"], np.uint64, n_hot, 16)
-    gains = np.zeros(n_hot)
-    for _, row in frame[frame["kind"] == _GAINS].iterrows():
-        gains[np.searchsorted(keys, np.frombuffer(row["a"], np.uint64))] = np.frombuffer(row["b"], np.float64)
-    at = 16 + 8 * n_hot
-    document, which, many = np.frombuffer(meta["b"], np.uint16, n_pairs, at), np.frombuffer(meta["b"], np.uint32, n_pairs, at + 2 * n_pairs), np.frombuffer(meta["b"], np.uint32, n_pairs, at + 6 * n_pairs)
-    sums += np.bincount(document, gains[which] * many, n) if n_pairs else 0
-    return pd.DataFrame({"doc_id": ids, "known": held > 0, "n_words": words, "log_score": sums})
-
-
 def score(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, log_score, per_word), one per row of `docs` (doc_id, text).
 
     Words are runs without ASCII white space, A-Z lower-cased. log_score sums, over the
     words of a text, log(c(h w) / c(h)) where the bigram with the word before also occurs in
     another row (in more occurrences than the text's own), else log(ALPHA * c(w) / N); a
-    first word has log(c(w) / N). c counts all rows. per_word is its mean. Null, empty and
+    first word has log(c(w) / N). c counts all rows,
+    exactly but for words or bigrams with equal 64-bit hashes. per_word is its mean. Null, empty and
     blank texts have 0 words, a log_score of 0 and a null per_word. Rows that repeat a
     doc_id are separate, and copies of a text are seen in each other. A null doc_id stays.
     """
-    spark = docs.sparkSession
     given = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    unigrams = given.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    slices = unigrams.withColumn("slice", F.shiftright("bucket", SLICE_BITS)).groupBy("slice").applyInPandas(_slice, "slice long, counts binary")
-    table = np.zeros(2**WORD_BITS, np.int64)
-    for row in slices.toLocalIterator():  # 2 ** (WORD_BITS - SLICE_BITS) rows of fixed size
-        at = row["slice"] << SLICE_BITS
-        table[at : at + 2**SLICE_BITS] = np.frombuffer(row["counts"], np.int64)
-    counts = spark.sparkContext.broadcast(table)  # of fixed size
-    parts = 1 << max(2, int(np.ceil(np.log2(max(1, table.sum() / PART_TOKENS)))))
-    sent = given.mapInArrow(_send(counts, parts), _ROW)
-    answered = sent.repartition(2 * parts, "part").groupBy("part").applyInPandas(_join(counts), _ROW)
-    added = answered.groupBy("chunk").applyInPandas(_add_up, "doc_id long, known boolean, n_words long, log_score double")
+    total = given.select("text").mapInArrow(_count, "n long").agg(F.sum("n")).first()[0] or 0
+    parts = 1 << max(2, int(np.ceil(np.log2(max(1, total / PART_TOKENS)))))
+    sent = given.mapInArrow(_send(parts), _ROW)
+    answered = sent.repartition(2 * parts, "part").groupBy("part").applyInPandas(_totals, _ROW)
+    added = answered.groupBy("chunk").applyInPandas(_scores(max(1, total)), "doc_id long, known boolean, n_words long, log_score double")
     return added.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("per_word"))

@@ -144,6 +144,18 @@ def test_backoff_brute_force(docs):
         assert math.isclose(got[i]["log_score"], want, abs_tol=1e-9)
 
 
+def test_backoff_counts_each_word(docs):
+    """Words whose hashes begin alike have counts of their own."""
+    names = [f"word{i}" for i in range(8000)]
+    hashes = tk.words(*tk.utf8(pa.array([" ".join(names)]))).hashes >> np.uint64(43)
+    order = np.argsort(hashes, kind="stable")
+    at = int(np.flatnonzero(hashes[order][1:] == hashes[order][:-1])[0])
+    rare, often = names[order[at]], names[order[at + 1]]
+    got = by_id(backoff.score(docs([(0, rare), (1, f"{rare} x"), (2, f"{often} " * 10)])))
+    assert math.isclose(got[0]["log_score"], math.log(2 / 13), abs_tol=1e-9)
+    assert math.isclose(got[1]["log_score"], math.log(2 / 13) + math.log(backoff.ALPHA / 13), abs_tol=1e-9)
+
+
 def test_mix(docs):
     rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 4}" if i % 9 else None) for i in range(300)]
     got = mixing.mix(docs(rows)).collect()
