@@ -2,16 +2,18 @@
 
 One pass counts how often each benchmark term occurs in the training texts. Each window of
 a benchmark item (`size` consecutive words, or the whole of a shorter item) names its rarest
-term. A second pass stores the index: per document the positions of these rare terms, beside
+term, and each item its rarest terms, so many that any place with half of its words has two
+of them. A second pass stores the index: per document the positions of these terms, beside
 the words of the documents that have any. Postings, less the term's offset in an item, name
-the places where the item could stand; equal places are one, and there the item's words are
-compared with the document's, which gives the windows that occur (phrase matches) and the
-share of aligned words (proximity matches).
+the places where the item could stand. At the equal places of windows' terms the item's words
+are compared with the document's, which gives the windows that occur (phrase matches); the
+lists of items' terms are intersected with a slop, and where two meet the words are compared
+with the same slop (proximity matches).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.runtime import spread, stored
@@ -20,6 +22,8 @@ from citeloom.llm.runtime import spread, stored
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
+#: Places by which words of a proximity match may be shifted against each other.
+SLOP = 2
 #: Distinct benchmark terms up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -42,23 +46,45 @@ def rare_places(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     return best.where("best.n > 0").select(F.col("best.term").alias("term"), "item", (F.col("at") + F.col("best.i")).alias("offset")).distinct()
 
 
-def build_index(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """(row, doc_id, n_words, words, postings): postings [(term, pos)] of the given terms; words are kept where there are any.
+def near_need(length: Column) -> Column:
+    """The words of an item that a proximity match has at least: half, and two if it has two."""
+    return F.greatest(F.ceil(length / 2), F.least(F.lit(2), length)).cast("int")
+
+
+def near_places(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, item, offset): each item's rarest training terms.
+
+    They are so many that near_need() words always hold two of them, or one if one is needed.
+    """
+    length = F.size("words")
+    most = length - near_need(length) + F.least(F.lit(2), near_need(length))
+    terms = items.select("item", most.alias("most"), F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
+    return terms.withColumn("rank", F.row_number().over(order)).where("rank <= most and n > 0").select("term", "item", "offset")
+
+
+def build_index(documents: DataFrame, terms: DataFrame, near: DataFrame, few: bool) -> DataFrame:
+    """(row, doc_id, n_words, words, postings, near): postings [(term, pos)] of the given terms, near those of the others; words are kept where there are any.
 
     `few` tells that the terms' number is within BROADCAST_TERMS, so that they can be matched by a literal set.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    kinds = {"postings": terms, "near": near}
     if few:
-        wanted = [r["term"] for r in terms.collect()]
         placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-        found = rows.withColumn("postings", F.filter(placed, lambda p: p["term"].isin(wanted)))
+        found = rows
+        for name, some in kinds.items():
+            wanted = [r["term"] for r in some.collect()]
+            found = found.withColumn(name, F.filter(placed, lambda p: p["term"].isin(wanted)))  # noqa: B023
     else:
         rows = stored(rows, "tokens")  # so that row numbers hold in both uses
-        hits = rows.select("row", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
-        lists = hits.groupBy("row").agg(F.collect_list(F.struct("term", "pos")).alias("postings"))
-        found = rows.join(lists, "row", "left").withColumn("postings", F.coalesce("postings", F.array().cast("array<struct<term:string,pos:int>>")))
-    kept = F.when(F.size("postings") > 0, F.col("words")).alias("words")
-    return stored(found.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), kept, "postings"), "postings")
+        found = rows
+        for name, some in kinds.items():
+            hits = rows.select("row", F.posexplode("words").alias("pos", "term")).join(some, "term", "left_semi")
+            lists = hits.groupBy("row").agg(F.collect_list(F.struct("term", "pos")).alias(name))
+            found = found.join(lists, "row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<term:string,pos:int>>")))
+    kept = F.when((F.size("postings") > 0) | (F.size("near") > 0), F.col("words")).alias("words")
+    return stored(found.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), kept, "postings", "near"), "postings")
 
 
 def _runs(same: Column, need: Column) -> Column:
@@ -74,11 +100,10 @@ def _runs(same: Column, need: Column) -> Column:
 
 
 def matches(index: DataFrame, items: DataFrame, places: DataFrame, size: int, bounded: bool) -> DataFrame:
-    """(row, item, begin, aligned, windows, need): where items could stand in documents.
+    """(row, item, begin, windows, need): where windows of items occur in documents.
 
-    begin is the document position of the item's first word (it may be negative), aligned
-    the number of the item's words that stand there in order, windows the item positions of
-    windows that occur, need their length.
+    begin is the document position of the item's first word (it may be negative), windows
+    the item positions of windows that occur, need their length.
     """
     hint = F.broadcast if bounded else (lambda x: x)
     whole = places.join(items, "item").select("term", "item", "offset", F.col("words").alias("phrase"))
@@ -89,17 +114,50 @@ def matches(index: DataFrame, items: DataFrame, places: DataFrame, size: int, bo
     # an item that stands at a place is found by several postings: equal rows collapse here
     seen = spots.select("row", "item", "begin", same.alias("same"), need.alias("need"))
     aligned = F.size(F.filter("same", lambda x: x))
-    return seen.where(aligned >= F.least(F.lit(2), "need")).select("row", "item", "begin", aligned.alias("aligned"), _runs(F.col("same"), F.col("need")).alias("windows"), "need")
+    return seen.where(aligned >= F.least(F.lit(2), "need")).select("row", "item", "begin", _runs(F.col("same"), F.col("need")).alias("windows"), "need")
+
+
+def near_matches(index: DataFrame, items: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
+    """(row, item, place, aligned): where near_need() words of items stand in documents, their offset-adjusted places within SLOP of each other.
+
+    place is the first of these (it may be negative), aligned the number of different words of the item that stand there, each at a word of the document of its own.
+    """
+    hint = F.broadcast if bounded else (lambda x: x)
+    whole = items.select("item", F.col("words").alias("phrase"))
+    posts = index.where(F.size("near") > 0).select("row", F.explode("near").alias("p")).select("row", "p.term", "p.pos")
+    begins = posts.join(hint(places), "term").groupBy("row", "item").agg(F.sort_array(F.collect_list(F.col("pos") - F.col("offset"))).alias("begins"))
+    alone = items.where(near_need(F.size("words")) < 2).select("item", F.lit(True).alias("alone"))
+    begins = begins.join(hint(alone), "item", "left")
+    met = F.filter("begins", lambda b, i: F.col("alone").isNotNull() | F.coalesce(F.get("begins", i + 1) - b <= SLOP, F.lit(False)))
+    spots = begins.select("row", "item", F.explode(F.array_distinct(met)).alias("begin"))
+    spots = spots.join(index.select("row", "words"), "row").join(hint(whole), "item")
+    shifts = F.array(*(F.lit(s) for s in range(-SLOP, SLOP + 1)))
+    stand = F.flatten(
+        F.transform(
+            "phrase",
+            lambda w, j: F.transform(F.filter(shifts, lambda s: F.coalesce(F.get("words", F.col("begin") + j + s) == w, F.lit(False))), lambda s: F.struct(s.alias("s"), j.alias("j"), (F.col("begin") + j + s).alias("p"))),
+        )
+    )
+    spots = spots.select("row", "item", "begin", near_need(F.size("phrase")).alias("need"), stand.alias("stand"))
+
+    def fit(first: int) -> Column:
+        some = F.filter("stand", lambda x: (x["s"] >= first) & (x["s"] <= first + SLOP))
+        words = F.least(*(F.size(F.array_distinct(F.transform(some, lambda x: x[k]))) for k in ("j", "p")))  # noqa: B023
+        return F.struct(words.alias("aligned"), (-F.col("begin") - F.array_min(F.transform(some, lambda x: x["s"]))).alias("before"))
+
+    best = spots.select("row", "item", "need", F.greatest(*(fit(first) for first in range(-SLOP, 1))).alias("best"))
+    return best.where("best.aligned >= need").groupBy("row", "item").agg(F.max("best").alias("best")).select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items), one per row of `docs` (doc_id, text).
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items, near), one per row of `docs` (doc_id, text).
 
     A document word inside any occurrence of a window of any item (item_id, text) is hit.
     items are the ids of items with occurring windows, as sorted strings; contaminated tells
     that n_hit > 0 and 20 * n_hit >= n_words. n_near counts items of which at least half the
-    words, and two if it has two, stand aligned
-    at one place that a rare term of the item names (proximity matches). Null and empty texts have
+    words, and two if it has two, stand aligned at one place, give or take SLOP words
+    (proximity matches); near are their (item_id, place), the place being that of the item's
+    first word where most are aligned, before the document's first word if negative. Null and empty texts have
     no words; items without words or with a null item_id (taken as the id `null`) are
     treated alike; rows that repeat an item_id count as one item with several texts. Rows of
     `docs` that repeat a doc_id get their own answers. Other columns are not read.
@@ -113,17 +171,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     hint = F.broadcast if bounded else (lambda x: x)
     counts = stored(tokens.join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
     places = stored(rare_places(items, counts, size), "places")
-    index = build_index(given, places.select("term").distinct(), bounded)
-    found = matches(index, items, places, size, bounded).join(hint(items.select("item", "item_id")), "item")
-    n_item = F.size(F.col("windows"))
+    close = stored(near_places(items, counts), "close")
+    index = build_index(given, places.select("term").distinct(), close.select("term").distinct(), bounded)
+    names = items.select("item", "item_id")
+    found = matches(index, items, places, size, bounded).where(F.size("windows") > 0).join(hint(names), "item")
     hit = F.flatten(F.transform("windows", lambda s: F.sequence(F.col("begin") + s, F.col("begin") + s + F.col("need") - 1)))
-    near = F.when(2 * F.col("aligned") >= F.col("length"), F.col("item_id"))
-    found = found.join(hint(items.select("item", F.size("words").alias("length"))), "item").where((n_item > 0) | near.isNotNull())
-    spots = found.select("row", F.array_distinct(hit).alias("hit"), F.when(n_item > 0, F.col("item_id")).alias("item_id"), near.alias("near"))
-    per_row = spots.groupBy("row").agg(F.flatten(F.collect_set("hit")).alias("hit"), F.sort_array(F.collect_set("item_id")).alias("items"), F.size(F.collect_set("near")).cast("long").alias("n_near"))
-    per_row = per_row.select("row", F.size(F.array_distinct("hit")).cast("long").alias("n_hit"), "items", "n_near")
-    joined = index.select("row", "doc_id", "n_words").join(per_row, "row", "left")
+    spots = found.select("row", F.array_distinct(hit).alias("hit"), "item_id")
+    per_row = spots.groupBy("row").agg(F.flatten(F.collect_set("hit")).alias("hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    per_row = per_row.select("row", F.size(F.array_distinct("hit")).cast("long").alias("n_hit"), "items")
+    nearby = near_matches(index, items, close, bounded).join(hint(names), "item")
+    nearby = nearby.groupBy("row", "item_id").agg(F.min_by("place", F.struct(-F.col("aligned"), "place")).alias("place"))
+    nearby = nearby.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "place"))).alias("near"))
+    joined = index.select("row", "doc_id", "n_words").join(per_row, "row", "left").join(nearby, "row", "left")
     hits, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    near = F.coalesce("near", F.array().cast("array<struct<item_id:string,place:int>>"))
     return joined.select(
         "doc_id",
         "n_words",
@@ -131,6 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+        F.size(near).cast("long").alias("n_near"),
         ids.alias("items"),
+        near.alias("near"),
     )

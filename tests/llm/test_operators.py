@@ -56,6 +56,17 @@ def test_decontamination_windows(spark, docs):
     assert got[2]["n_near"] == 1
 
 
+def test_decontamination_near(spark, docs):
+    """Half the words of an item at a place, with any of its words missing, or a word put in or left out."""
+    words = [f"w{i}" for i in range(20)]
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "la la la la")], "item_id long, text string")
+    pad = ["x"] * 3
+    texts = [words[2:14], pad + words[10:], words[1::2], pad + words[:6] + ["new"] + words[6:11], words[4:9] + words[10:15], words[:9], ["la"], words[::-1], words]
+    got = by_id(contamination(docs([(i, " ".join(t)) for i, t in enumerate(texts)]), items))
+    assert [[tuple(x) for x in got[i]["near"]] for i in range(len(texts))] == [[("7", -2)], [("7", -7)], [], [("7", 3)], [("7", -5)], [], [], [], [("7", 0)]]
+    assert [got[i]["n_near"] for i in range(len(texts))] == [1, 1, 0, 1, 1, 0, 0, 0, 1]
+
+
 def test_near_duplicates_brute_force(docs):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(300)]
