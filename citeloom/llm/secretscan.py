@@ -11,11 +11,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,8 +34,12 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer is inflated up to this many bytes; a larger one counts as cut.
-MAX_INFLATED = 32 << 20
+#: Compressed layers are inflated to their end in pieces of this many bytes and scanned line by line.
+PIECE = 1 << 20
+#: A longer line of one is scanned in parts that overlap, and it counts as cut.
+LONGEST_LINE, OVERLAP = 8 << 20, 4096
+#: Compressions within each other that are followed; more count as cut.
+MOST_NESTED = 64
 
 
 class Layer(NamedTuple):
@@ -60,21 +66,68 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """(contents, cut) of gzip, zlib, bzip2 or xz data; None for anything else."""
+def _tool(data: bytes):
+    """A decompressor for data that begins like gzip, zlib, bzip2 or xz; None for anything else."""
     if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool, mistakes = zlib.decompressobj(47), zlib.error
-    elif data[:3] == b"BZh":
-        tool, mistakes = bz2.BZ2Decompressor(), (OSError, ValueError)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool, mistakes = lzma.LZMADecompressor(), lzma.LZMAError
-    else:
-        return None, False
-    try:
-        out = tool.decompress(data, MAX_INFLATED)
-    except mistakes:
-        return None, False
-    return out, not tool.eof and len(out) >= MAX_INFLATED
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _head(pieces: Iterator[bytes], data: bytes = b"") -> bytes:
+    """Data with as many further pieces as tell what it is."""
+    while len(data) < 6 and (more := next(pieces, None)) is not None:
+        data += more
+    return data
+
+
+def _members(data: bytes, pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of all members of compressed data, up to a damaged place; what follows the last comes as it is, on a line of its own."""
+    tool, given = _tool(data), False
+    while data is not None:
+        try:
+            out = tool.decompress(data, PIECE)
+        except (zlib.error, lzma.LZMAError, OSError, ValueError):
+            if not given:
+                yield from chain([data], pieces)
+            return
+        if out:
+            given = True
+            yield out
+        if tool.eof:
+            data = _head(pieces, tool.unused_data.lstrip(b"\0"))
+            tool = _tool(data)
+            if tool is None:
+                if data:
+                    yield from chain([b"\n", data], pieces)
+                return
+        elif isinstance(tool, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+            data = next(pieces, None) if tool.needs_input else b""
+        else:
+            data = tool.unconsumed_tail
+            if not data and len(out) < PIECE:
+                data = next(pieces, None)
+
+
+def inflate(data: bytes) -> Iterator[tuple[str, bool]]:
+    """(text, cut): the contents of compressed data, compressed again or not, in pieces of whole lines."""
+    pieces, head, depth = iter(()), data, 0
+    while depth < MOST_NESTED and _tool(head) is not None:
+        pieces = _members(head, pieces)
+        head, depth = _head(pieces), depth + 1
+    cut = depth == MOST_NESTED
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in chain([head], pieces):
+        held += decoder.decode(piece)
+        stop = held.rfind("\n") + 1
+        if stop:
+            yield held[:stop], cut
+            held = held[stop:]
+        elif len(held) > LONGEST_LINE:
+            yield held, True
+            held = held[-OVERLAP:]
+    yield held + decoder.decode(b"", True), cut
 
 
 def _readable(data: bytes) -> str | None:
@@ -147,7 +200,7 @@ def _unescaped(layer: Layer, kind: re.Pattern) -> Iterator[Layer]:
             yield Layer("".join(chars), starts, ends, layer.span)
 
 
-def _unwrapped(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+def _unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """Contents of base64 tokens, inflated if compressed."""
     for m in _BASE64.finditer(layer.text):
         body = m[0].rstrip("=")
@@ -157,16 +210,11 @@ def _unwrapped(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        cut = False
-        while True:  # compressed contents may be compressed again
-            inner, over = inflate(data)
-            cut |= over
-            if inner is None or inner == data:
-                break
-            data = inner
-        text = _readable(data)
-        if text is not None:
-            yield Layer(text, None, None, layer.place(*m.span())), cut
+        span = layer.place(*m.span())
+        if _tool(data) is not None:
+            yield from ((Layer(text, None, None, span), cut) for text, cut in inflate(data))
+        elif (text := _readable(data)) is not None:
+            yield Layer(text, None, None, span), False
 
 
 class Scan(NamedTuple):
@@ -184,20 +232,27 @@ def scan(text: str) -> Scan:
     """All findings of a text: base ones, and those of every layer mapped back."""
     base = base_findings(text)
     found, seen, cut, layers = set(base), set(), False, 0
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text)))]
-    while work:
-        layer = work.pop()
-        nested = [(x, False) for pattern, sign in ((_URL, "%"), (_UNICODE, "\\")) if sign in layer.text for x in _unescaped(layer, pattern)]
-        nested += _unwrapped(layer)
-        for inner, over in nested:
-            cut |= over
-            mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.span, inner.starts[0] if inner.starts else None)
-            if mark in seen:
-                continue
-            seen.add(mark)
-            layers += 1
-            found.update((kind, *inner.place(s, e)) for kind, s, e in base_findings(inner.text))
-            work.append(inner)
+
+    def nested(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+        for pattern, sign in ((_URL, "%"), (_UNICODE, "\\")):
+            if sign in layer.text:
+                yield from ((x, False) for x in _unescaped(layer, pattern))
+        yield from _unwrapped(layer)
+
+    work = [nested(Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text))))]
+    while work:  # one layer of each depth at a time
+        inner, over = next(work[-1], (None, False))
+        if inner is None:
+            work.pop()
+            continue
+        cut |= over
+        mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.span, inner.starts[0] if inner.starts else None)
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        found.update((kind, *inner.place(s, e)) for kind, s, e in base_findings(inner.text))
+        work.append(nested(inner))
     return Scan(_order(base), _order(found), layers, cut)
 
 
@@ -221,7 +276,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Counts and base_sha256 hold the base findings; spans all findings, those of decoded
     layers at the span of the document that encodes them; redacted is the text without
     them. A null text counts as empty (its redacted text is null). Repeated rows get equal
-    answers; doc_id may be null. cut tells of a compressed layer larger than MAX_INFLATED.
+    answers; doc_id may be null. cut tells of a compressed layer with a line
+    over LONGEST_LINE or over MOST_NESTED compressions.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("cut", pa.bool_()), ("redacted", pa.string())])
 

@@ -1,8 +1,11 @@
 """Each operator against brute force and over nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import base64
+import bz2
 import collections
+import gzip
 import hashlib
+import lzma
 import math
 import re
 import urllib.parse
@@ -191,6 +194,14 @@ def test_nested_secrets():
     assert not secretscan.scan(secretscan.redact(text, found.spans)).spans
 
 
+def test_secrets_in_whole_compressed_layers():
+    """Behind 33 MB of text, in a second member, and behind a character that a piece ends in."""
+    late = ("é text\n" * 4_200_000 + "password=hunter22").encode()
+    for data in (zlib.compress(late, 9), gzip.compress(b"first ") + gzip.compress(b"token=abcdefgh"), bz2.compress(b"first ") + bz2.compress(b"token=abcdefgh"), gzip.compress(bz2.compress(b"a") + bz2.compress(b"\nsecret=abcdefgh")), lzma.compress(b"secret=abcdefgh")):
+        blob = base64.b64encode(data).decode()
+        assert secretscan.scan(f"see {blob} there").spans == [("assign", 4, 4 + len(blob.rstrip("=")) + blob.count("="))]
+
+
 def test_secrets_base_is_whole(docs):
     text = "x" * 100_000 + " api_key=ABCDEF " + "f" * 24 + " AKIA" + "Z" * 16
     r = secretscan.scan_secrets(docs([(1, text)])).first()
