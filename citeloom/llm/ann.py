@@ -235,7 +235,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             cell = frame["cell"].to_numpy()
             yield frame.assign(shelf=first[cell] + np.where(parts[cell] > 1, frame["salt"].to_numpy() % parts[cell], 0)).drop(columns="salt")
 
-    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    parts_ = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(parts_, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
     asks = cut(queries.mapInPandas(visit, f"query_id long, q {kind}, reach double, shelf long"))
     blocks = asks.groupBy("shelf").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
     salt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)).alias("salt")
@@ -257,7 +258,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 out["score"].append(apart)
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()})
 
-    parts_ = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
     asks, rows = asks.repartition(parts_, "shelf", "block"), rows.repartition(parts_, "s", "b")
     found = asks.groupBy("shelf", "block").cogroup(rows.groupBy("s", "b")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
