@@ -7,6 +7,7 @@ over literal arrays, so a taxonomy of any size stays one small projection per gr
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,11 @@ def _words(keywords: list[str]) -> Column:
     return F.array(*map(F.lit, keywords))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def group_scores(text: Column, taxonomy: Taxonomy) -> Column:
     """Array of (minus score, order, group): the number of a group's different keywords in the text."""
     return F.array(
@@ -53,24 +59,30 @@ def group_scores(text: Column, taxonomy: Taxonomy) -> Column:
 
 def categories(text: Column, taxonomy: Taxonomy, most: int = 3, other: str = "Other") -> Column:
     """The best groups by score, ties in taxonomy order; `other` without a hit."""
-    best = F.slice(F.array_sort(F.filter(group_scores(text, taxonomy), lambda s: s["less"] < 0)), 1, most)
-    return F.when(F.size(best) == 0, F.array(F.lit(other))).otherwise(F.transform(best, lambda s: s["grp"]))
+
+    def names(best: Column) -> Column:
+        return F.when(F.size(best) == 0, F.array(F.lit(other))).otherwise(F.transform(best, lambda s: s["grp"]))
+
+    return bound(text, lambda x: bound(F.slice(F.array_sort(F.filter(group_scores(x, taxonomy), lambda s: s["less"] < 0)), 1, most), names))
 
 
 def groups_hit(text: Column, taxonomy: Taxonomy) -> Column:
     """All groups with a keyword in the text, in taxonomy order."""
-    return F.array_compact(F.array(*(F.when(F.exists(_words(kws), lambda k: F.contains(text, k)), F.lit(g)) for g, kws in taxonomy.groups.items())))
+    return bound(text, lambda x: F.array_compact(F.array(*(F.when(F.exists(_words(kws), lambda k: F.contains(x, k)), F.lit(g)) for g, kws in taxonomy.groups.items()))))
 
 
 def relevance(text: Column, methods: Taxonomy) -> Column:
     """Points for method groups, learning terms and domain terms, added one by one in that order, at most 1."""
-    hits = lambda terms: F.size(F.filter(_words(terms), lambda k: F.contains(text, k)))
-    points = F.concat(
-        F.array_repeat(F.lit(0.15), F.size(groups_hit(text, methods))),
-        F.array_repeat(F.lit(0.05), hits(LEARNING_TERMS)),
-        F.array_repeat(F.lit(0.1), F.when(hits(DOMAIN_TERMS) >= 2, 1).otherwise(0)),
-    )
-    return F.least(F.lit(1.0), F.aggregate(points, F.lit(0.0), lambda a, x: a + x))
+
+    def points(x: Column) -> Column:
+        hits = lambda terms: F.size(F.filter(_words(terms), lambda k: F.contains(x, k)))
+        return F.concat(
+            F.array_repeat(F.lit(0.15), F.size(groups_hit(x, methods))),
+            F.array_repeat(F.lit(0.05), hits(LEARNING_TERMS)),
+            F.array_repeat(F.lit(0.1), F.when(hits(DOMAIN_TERMS) >= 2, 1).otherwise(0)),
+        )
+
+    return F.least(F.lit(1.0), F.aggregate(bound(text, points), F.lit(0.0), lambda a, x: a + x))
 
 
 # The method groups, the tools, and the terms of the relevance score.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
-from citeloom.operators.papers import counted, ranked
+from citeloom.operators.papers import counted, members, ranked
 
 FIRST_TREND_YEAR = 2015
 
@@ -32,17 +32,17 @@ def trend_methods(papers: DataFrame, most: int = 5) -> DataFrame:
 
 
 def growth(papers: DataFrame, as_of: int) -> DataFrame:
-    """(year, total, before, percent) of the newest of the last years against the present year before it."""
+    """(year, total, before_year, before, percent) of the newest of the last years against the present year before it."""
     years = trend_years(papers).where(F.col("year") >= as_of - 3)
     order = Window.orderBy("year")
-    paired = years.withColumns({"before": F.lag("total").over(order), "last": F.lead("year").over(order)}).where("last is null")
+    paired = years.withColumns({"before": F.lag("total").over(order), "before_year": F.lag("year").over(order), "last": F.lead("year").over(order)}).where("last is null")
     gain = F.bround((F.col("total") - F.col("before")) / F.greatest("before", F.lit(1)) * 100, 0).cast("long")
-    return paired.select("year", "total", "before", F.when(F.col("total") > F.col("before"), gain).alias("percent"))
+    return paired.select("year", "total", "before_year", "before", F.when(F.col("total") > F.col("before"), gain).alias("percent"))
 
 
 def landscape(papers: DataFrame) -> DataFrame:
     """(method, category, n); a method whose papers have no category has a null category and 0."""
-    rows = papers.select(F.explode("methods").alias("method"), "categories").select("method", F.explode_outer("categories").alias("category"))
+    rows = members(papers.select("methods", "categories"), "methods", name="method").select("method", F.explode_outer("categories").alias("category"))
     counts = rows.groupBy("method", "category").agg(F.count("category").alias("n"))
     with_any = F.max("n").over(Window.partitionBy("method"))
     return counts.withColumn("any", with_any).where("category is not null or any = 0").drop("any")
@@ -57,15 +57,18 @@ def hot_topics(papers: DataFrame, as_of: int, most: int = 10, fallback: int = 50
     """The commonest (method, category) pairs of papers of the last two years; of the first papers if there are none."""
     recent = papers.where(F.col("year") >= as_of - 1)
     none = recent.limit(1).agg((F.count("*") == 0).alias("none"))
-    first = papers.orderBy("pos").limit(fallback).join(F.broadcast(none)).where("none").drop("none")  # one row
-    rows = recent.unionByName(first).select("pos", F.posexplode("methods").alias("i", "method"), "categories").select("pos", "i", "method", F.posexplode("categories").alias("j", "category"))
+    places = papers.select("pos").orderBy("pos").limit(fallback).join(F.broadcast(none)).where("none").select("pos")  # one row
+    first = papers.join(F.broadcast(places), "pos", "left_semi")  # `fallback` rows at most
+    rows = recent.unionByName(first).select("pos", "methods", "categories")
+    rows = members(members(rows, "methods", "i", "method"), "categories", "j", "category")
     counts = rows.groupBy(F.concat("method", F.lit(" for "), "category").alias("topic")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "i", "j")).alias("first"))
     return ranked(counts.withColumnRenamed("topic", "member"), most).select(F.col("member").alias("topic"), "n", "rank")
 
 
 def category_insights(papers: DataFrame, as_of: int) -> DataFrame:
     """One sentence per category: how many papers, their years, and how recent they are."""
-    rows = papers.select(F.explode(F.coalesce("categories", F.array(F.lit("Other")))).alias("category"), F.nullif("year", F.lit(0)).alias("year"))
+    rows = papers.select(F.coalesce("categories", F.array(F.lit("Other"))).alias("categories"), F.nullif("year", F.lit(0)).alias("year"))
+    rows = members(rows, "categories", name="category")
     per = rows.groupBy("category").agg(F.count("*").alias("n"), F.min("year").alias("oldest"), F.max("year").alias("newest"), F.count_if(F.col("year") >= as_of - 1).alias("recent"))
     trend = F.when(F.col("recent") > F.col("n") * 0.5, "rapidly growing").when(F.col("recent") > F.col("n") * 0.25, "actively researched").when(F.col("recent") > 0, "moderately active").otherwise("established")
     plain = F.format_string("%d papers", "n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
+from citeloom.schema import QUERY_PLACES
 
 
 def first_by_key(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -20,18 +21,26 @@ def first_by_key(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def fetch_union(batches: list[DataFrame]) -> DataFrame:
-    """The different records of query results: earlier queries first, ids normalised; pos runs anew."""
+    """The different records of query results: earlier queries first, ids normalised; pos runs anew.
+
+    A query's own places are below QUERY_PLACES.
+    """
     union = None
     for i, batch in enumerate(batches):
         part = batch.withColumn("_query", F.lit(i))
         union = part if union is None else union.unionByName(part)
     kept = first_by_key(union, t.fetch_key("id"), "_query", "pos").withColumn("id", F.col("_key"))
-    return kept.withColumn("pos", (F.col("_query").cast("long") * F.lit(1 << 40)) + F.col("pos")).drop("_query", "_key")
+    return kept.withColumn("pos", (F.col("_query").cast("long") * F.lit(QUERY_PLACES)) + F.col("pos")).drop("_query", "_key")
 
 
 def merge(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all, actually new): existing records first, then new ones with unseen keys; known records are never refreshed."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    """(all, actually new): existing records first, then new ones with unseen keys; known records are never refreshed.
+
+    New records keep their order but take places after all existing ones.
+    """
+    top = existing.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_top"))
+    after = new.join(F.broadcast(top)).withColumn("pos", F.col("pos") + F.col("_top")).drop("_top")  # one row
+    both = existing.withColumn("_new", F.lit(0)).unionByName(after.withColumn("_new", F.lit(1)))
     merged = first_by_key(both, t.merge_key("id"), "_new", "pos").drop("_key")
     return merged.drop("_new"), merged.where("_new = 1").drop("_new")
 
@@ -49,9 +58,20 @@ def annotate(papers: DataFrame) -> DataFrame:
     return papers.withColumns({"methods": tx.groups_hit(paper_text(), tx.METHODS), "tools": tx.groups_hit(paper_text(), tx.TOOLS)})
 
 
+def members(df: DataFrame, column: str, place: str = "i", name: str = "member") -> DataFrame:
+    """One row per member of an array column, which gives way to (place, name).
+
+    Rows without members go after the explosion: a plain explode lets Spark derive a filter on
+    the array, a second copy of the dear expression that makes it, which sinks below the
+    dealing of rows into a scan of few tasks.
+    """
+    kept = [c for c in df.columns if c != column]
+    return df.select(*kept, F.posexplode_outer(column).alias(place, name)).where(F.col(name).isNotNull())
+
+
 def counted(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Count the members of an array column: (keys, member, n, first), first being where it was met first."""
-    rows = df.select(*keys, "pos", F.posexplode(column).alias("i", "member"))
+    rows = members(df.select(*keys, "pos", column), column)
     return rows.groupBy(*keys, "member").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("first"))
 
 
@@ -86,7 +106,7 @@ def by_category(papers: DataFrame) -> DataFrame:
 def grouped(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
     """Papers by category, newest first: adds category, place (of the group) and rn; groups in taxonomy order, others by name."""
     none = F.array(F.lit("Other"))
-    rows = papers.withColumn("category", F.explode(F.coalesce("categories", none)))
+    rows = papers.withColumn("category", F.explode_outer(F.coalesce("categories", none))).where("category is not null")  # as in members()
     order = F.broadcast(taxonomy.order(papers.sparkSession))  # one row per group of the taxonomy
     placed = rows.join(order, "category", "left").withColumn("grp_ord", F.coalesce("grp_ord", F.lit(2**31 - 1)))
     newest = Window.partitionBy("category").orderBy(F.desc(t.text("date")), "pos")
@@ -96,11 +116,11 @@ def grouped(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
 def facets(papers: DataFrame) -> DataFrame:
     """Values to filter by: (facet, value)."""
     part = lambda name, c, rows=papers: rows.select(F.lit(name).alias("facet"), c.cast("string").alias("value")).where("value is not null").distinct()
-    return part("year", F.nullif("year", F.lit(0))).unionByName(part("source", F.col("source"))).unionByName(part("category", F.col("category"), papers.select(F.explode("categories").alias("category"))))
+    return part("year", F.nullif("year", F.lit(0))).unionByName(part("source", F.col("source"))).unionByName(part("category", F.col("category"), members(papers.select("categories"), "categories", name="category")))
 
 
 def kpis(papers: DataFrame) -> DataFrame:
-    cats = papers.select(F.explode("categories").alias("c")).agg(F.countDistinct("c").alias("categories"))
+    cats = members(papers.select("categories"), "categories").agg(F.countDistinct("member").alias("categories"))
     rest = papers.agg(F.count("*").alias("total"), F.countDistinct("source").alias("sources"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     return rest.join(F.broadcast(cats))  # one row each
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
+from citeloom.functions.taxonomy import bound
 
 PAGE = 25
 
@@ -13,14 +14,18 @@ PAGE = 25
 def _hits(text: Column, terms: list[str]) -> Column:
     if not terms:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda k: F.contains(text, k)))
+    return bound(text, lambda x: F.size(F.filter(F.array(*map(F.lit, terms)), lambda k: F.contains(x, k))))
 
 
 def search(papers: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Papers with the most query terms in title, abstract and categories; an empty query finds nothing."""
+    """Papers with the most query terms in title, abstract and categories; an empty query finds nothing.
+
+    Papers without a hit go last and are dropped after the cut: a filter before it would be
+    pushed, categorisation included, into the scan.
+    """
     cats = F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " ")
     scored = papers.withColumn("score", _hits(t.match_text("title", "abstract", cats), t.terms_of(query)))
-    return scored.where("score > 0").orderBy(F.desc("score"), "pos").limit(limit)
+    return scored.orderBy(F.desc("score"), "pos").limit(limit).where("score > 0")
 
 
 def provider_filter(rows: DataFrame, query: str) -> DataFrame:

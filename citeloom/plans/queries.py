@@ -102,8 +102,10 @@ _add("relevance_score", lambda s, d: papers(s, d).select("pos", F.round(tx.relev
 _FIRST = "SELECT pos, k AS key FROM (SELECT pos, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM papers) WHERE rn = 1 AND k <> ''"
 _KEY = "lower(trim(id))"
 _add("dedup_first_wins", lambda s, d: pp.first_by_key(papers(s, d), t.merge_key("id")).select("pos", F.col("_key").alias("key")), _FIRST.format(key=_KEY, order="pos"))
-_add("merge_all", lambda s, d: _split(s, d)[0].select("pos", t.merge_key("id").alias("key")), _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos"))
-_add("merge_new", lambda s, d: _split(s, d)[1].select("pos", t.merge_key("id").alias("key")), _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos") + " AND pos % 10 >= 6")
+_MERGED = "(" + _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos") + ")"
+_PLACE = "CASE WHEN pos % 10 < 6 THEN pos ELSE pos + 1 + (SELECT max(pos) FROM papers WHERE pos % 10 < 6) END"  # new ones after all existing ones
+_add("merge_all", lambda s, d: _split(s, d)[0].select("pos", t.merge_key("id").alias("key")), f"SELECT {_PLACE} AS pos, key FROM {_MERGED}")
+_add("merge_new", lambda s, d: _split(s, d)[1].select("pos", t.merge_key("id").alias("key")), f"SELECT {_PLACE} AS pos, key FROM {_MERGED} WHERE pos % 10 >= 6")
 
 
 def _union(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +129,7 @@ _add("tool_top20", lambda s, d: an.top_members(_ann(s, d), "tools"), "SELECT grp
 _add("dl_ratio", lambda s, d: an.learning_share(_ann(s, d)), "SELECT count(*) AS papers, count(m.pos) AS dl_papers, round_even(count(m.pos) / count(*) * 100, 1) AS dl_ratio FROM papers LEFT JOIN (SELECT DISTINCT pos FROM mx) m USING (pos)", _METHODS)
 _add("trend_by_year", lambda s, d: an.trend_years(papers(s, d)), "SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year")
 _add("trend_top5", lambda s, d: an.trend_methods(_ann(s, d)), "SELECT y.year, y.total, r.method, r.n, r.rank FROM (SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year) y LEFT JOIN (SELECT * FROM (SELECT year, method, n, row_number() OVER (PARTITION BY year ORDER BY n DESC, f) AS rank FROM (SELECT year, method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY ALL)) WHERE rank <= 5) r USING (year)", _METHODS)
-_add("yoy_growth", lambda s, d: an.growth(papers(s, d), AS_OF), f"SELECT year, total, before, CASE WHEN total > before THEN CAST(round_even((total - before) / greatest(before, 1) * 100, 0) AS BIGINT) END AS percent FROM (SELECT *, lag(total) OVER (ORDER BY year) AS before, lead(year) OVER (ORDER BY year) AS nxt FROM (SELECT year, count(*) AS total FROM papers WHERE year >= {AS_OF - 3} GROUP BY year)) WHERE nxt IS NULL")
+_add("yoy_growth", lambda s, d: an.growth(papers(s, d), AS_OF).drop("before_year"), f"SELECT year, total, before, CASE WHEN total > before THEN CAST(round_even((total - before) / greatest(before, 1) * 100, 0) AS BIGINT) END AS percent FROM (SELECT *, lag(total) OVER (ORDER BY year) AS before, lead(year) OVER (ORDER BY year) AS nxt FROM (SELECT year, count(*) AS total FROM papers WHERE year >= {AS_OF - 3} GROUP BY year)) WHERE nxt IS NULL")
 _add("landscape", lambda s, d: an.landscape(_both(s, d)), "SELECT method, category, count(*) AS n FROM methods JOIN cats USING (pos) GROUP BY ALL", _METHODS, _CATS)
 _pivot = ", ".join(f"coalesce(count(*) FILTER (WHERE category = '{g}'), 0) AS {g}" for g in FIX.groups)
 _add("landscape_matrix", lambda s, d: an.landscape_matrix(_both(s, d), list(FIX.groups)), f"SELECT method, {_pivot} FROM methods JOIN cats USING (pos) GROUP BY method", _METHODS, _CATS)
@@ -158,7 +160,7 @@ _add("kpis", lambda s, d: pp.kpis(_cat(s, d)), "SELECT count(*) AS total, count(
 _new = lambda s, d: pp.categorize(_split(s, d)[1], FIX)
 _NEWPOS = "new AS (SELECT pos FROM (" + _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos") + ") WHERE pos % 10 >= 6)"
 _add("digest_counts", lambda s, d: report.digest_counts(_new(s, d), FIX), "SELECT category, count(*) AS n FROM cats JOIN new USING (pos) GROUP BY category", _CATS, _NEWPOS)
-_add("digest_top5", lambda s, d: report.digest_top(_new(s, d)), f"SELECT pos, '  * [' || coalesce(CAST(year AS VARCHAR), 'None') || '] ' || title AS head, '    ' || {_authors_sql(1, 'Unknown', 1)} || ' | ' || journal AS tail FROM papers JOIN new USING (pos) ORDER BY date DESC, pos LIMIT 5", _NEWPOS)
+_add("digest_top5", lambda s, d: report.digest_top(_new(s, d)), f"SELECT {_PLACE} AS pos, '  * [' || coalesce(CAST(year AS VARCHAR), 'None') || '] ' || title AS head, '    ' || {_authors_sql(1, 'Unknown', 1)} || ' | ' || journal AS tail FROM papers JOIN new USING (pos) ORDER BY date DESC, papers.pos LIMIT 5", _NEWPOS)
 _add("text_entries", lambda s, d: report.entries(papers(s, d)), f"SELECT pos, pos || '. **' || title || '**' || chr(10) || '   ' || {_authors_sql(3, '', 3)} || chr(10) || '   *' || journal || '* (' || coalesce(CAST(year AS VARCHAR), 'None') || ')' || chr(10) || '   DOI: ' || doi || CASE WHEN abstract = '' THEN '' ELSE chr(10) || '   > ' || CASE WHEN length(abstract) > 200 THEN substr(abstract, 1, 197) || '...' ELSE abstract END END AS entry FROM papers")
 _add("report_rows", lambda s, d: report.category_rows(_cat(s, d), FIX).select("category", "rn", "line"), None)
 _flat = "array_to_string(authors, '; ') AS authors, journal, year, date, doi, url, source, c AS categories"

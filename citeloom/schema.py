@@ -24,6 +24,8 @@ PAPER = T.StructType(
     ]
 )
 FIELDS = PAPER.fieldNames()
+#: Places (pos) that each query's results take when several are joined.
+QUERY_PLACES = 1 << 40
 
 
 def spread(df: DataFrame) -> DataFrame:
