@@ -31,6 +31,13 @@ def trend_methods(papers: DataFrame, most: int = 5) -> DataFrame:
     return trend_years(papers).join(best.select("year", F.col("member").alias("method"), "n", "rank"), "year", "left")
 
 
+def newest_trend(papers: DataFrame, years: int = 5) -> DataFrame:
+    """The newest of the trend's years that have papers, newest first, with their best methods."""
+    rank = F.row_number().over(Window.orderBy(F.desc("year")))
+    kept = trend_years(papers).orderBy(F.desc("year")).limit(years).select("year", rank.alias("place"))
+    return trend_methods(papers).join(F.broadcast(kept), "year").orderBy("place", "rank")
+
+
 def growth(papers: DataFrame, as_of: int) -> DataFrame:
     """(year, total, before_year, before, percent) of the newest of the last years against the present year before it."""
     years = trend_years(papers).where(F.col("year") >= as_of - 3)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
@@ -22,19 +24,50 @@ def digest_top(new: DataFrame, most: int = 5) -> DataFrame:
     """The newest papers as two lines of text."""
     newest = new.orderBy(F.desc(t.text("date")), "pos").limit(most)
     head = F.format_string("  * [%s] %s", F.coalesce(F.col("year").cast("string"), F.lit("None")), "title")
-    return newest.select("pos", head.alias("head"), F.concat(F.lit("    "), t.authors_digest("authors"), F.lit(" | "), t.text("journal")).alias("tail"))
+    return newest.select("pos", t.text("date").alias("date"), head.alias("head"), F.concat(F.lit("    "), t.authors_digest("authors"), F.lit(" | "), t.text("journal")).alias("tail"))
+
+
+# The wordings of the digest and of the research summary.
+DIGEST_TITLE, DIGEST_MADE = "Literature Update", "Generated: %s"
+DIGEST_TOTAL, DIGEST_NEW, DIGEST_NONE = "Total papers in database: %s", "New papers in this update: %s", "No new papers found in this update."
+DIGEST_GROUP, DIGEST_HEADINGS = "  - %s: %s paper(s)", {2: "New Papers by Category:", 3: "Highlights (most recent new papers):"}
+SUMMARY_NONE, SUMMARY_TITLE, SUMMARY_RULE = "No papers to analyze.", "RESEARCH LANDSCAPE", "=" * 60
+SUMMARY_TOTAL, SUMMARY_LEARNING = "Total papers tracked: %s", "Deep learning-related: %s (%s%%)"
+SUMMARY_METHOD, SUMMARY_TOOL = "  %-25s %4d %s", "  %-25s %4d"
+SUMMARY_YEAR, SUMMARY_TOPIC = "  %s: %s papers | Top methods: %s", "  • %s (%s papers)"
+SUMMARY_FACTS = ("  • %s is the most widely used architecture", "  • %s is the most referenced tool/model", "  • %s%% growth from %s to %s", "  • Publication pace slowing from %s to %s")
+SUMMARY_HEADINGS = {2: "--- Most Used DL Architectures ---", 3: "--- Most Referenced Tools ---", 4: "--- Recent Trends ---", 5: "--- Hot Research Directions ---", 6: "--- Key Observations ---"}
+
+
+def _lines(part: int, rows: DataFrame, rank: Column | int, *lines: Column) -> DataFrame:
+    """(part, rank, line): the given lines of each row."""
+    told = F.posexplode(F.array(*lines)).alias("i", "line")
+    return rows.select((rank if isinstance(rank, Column) else F.lit(rank)).cast("int").alias("r"), told).select(F.lit(part).alias("part"), (100 * F.col("r") + F.col("i")).alias("rank"), "line")
+
+
+def paragraphs(lines: DataFrame, headings: dict[int, str]) -> list[str]:
+    """The parts in order under their headings; the lines are as few as the limits of their parts."""
+    told: dict[int, list[str]] = {}
+    for r in lines.where("line is not null").orderBy("part", "rank").collect():
+        told.setdefault(r["part"], []).append(r["line"])
+    return ["\n".join([headings[p], *x] if p in headings else x) for p, x in told.items()]
+
+
+def digest_lines(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """(part, rank, line) of the digest: counts, new papers by category, the newest papers."""
+    totals = everything.agg(F.count("*").alias("total")).join(F.broadcast(new.agg(F.count("*").alias("n"))))  # one row each
+    counts = _lines(1, totals, 0, F.format_string(DIGEST_TOTAL, "total"), F.format_string(DIGEST_NEW, "n"))
+    none = _lines(4, totals.where("n = 0"), 0, F.lit(DIGEST_NONE))
+    place = F.row_number().over(Window.orderBy("grp_ord", "category"))
+    groups = pp.grouped(new, taxonomy).groupBy("category", "grp_ord").agg(F.count("*").alias("n")).withColumn("place", place)
+    newest = digest_top(new).withColumn("place", F.row_number().over(Window.orderBy(F.desc("date"), "pos")))
+    top = _lines(3, newest, F.col("place"), F.col("head"), F.col("tail"))
+    return counts.unionByName(_lines(2, groups, F.col("place"), F.format_string(DIGEST_GROUP, "category", "n"))).unionByName(top).unionByName(none)
 
 
 def digest_text(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, generated: str) -> str:
-    n, total = new.count(), everything.count()
-    lines = ["Literature Update", f"Generated: {generated}", "", f"Total papers in database: {total}", f"New papers in this update: {n}", ""]
-    if not n:
-        return "\n".join([*lines, "No new papers found in this update."])
-    lines += ["New Papers by Category:", *(f"  - {r['category']}: {r['n']} paper(s)" for r in digest_counts(new, taxonomy).collect()), ""]
-    lines.append("Highlights (most recent new papers):")
-    for r in digest_top(new).collect():
-        lines += [r["head"], r["tail"]]
-    return "\n".join(lines)
+    head = "\n".join([DIGEST_TITLE, DIGEST_MADE % generated])
+    return "\n\n".join([head, *paragraphs(digest_lines(new, everything, taxonomy), DIGEST_HEADINGS)])
 
 
 def entries(papers: DataFrame) -> DataFrame:
@@ -87,34 +120,59 @@ def digest_html(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, gener
     return f"<!DOCTYPE html>\n<html><body><h1>Literature Update {escape(generated[:10])}</h1><p>Total papers tracked: {everything.count()}</p><p>New papers this update: {new.count()}</p><ul>{counts}</ul><table>{''.join(cells)}</table></body></html>"
 
 
-def summary(annotated: DataFrame, as_of: int, generated: str, title: str = "RESEARCH LANDSCAPE") -> str:
-    """The research summary: shares, best methods and tools, recent years, topics and growth."""
-    share = an.learning_share(annotated).first()
-    if not share["papers"]:
-        return "No papers to analyze."
-    methods, tools = an.top_members(annotated, "methods", 8).collect(), an.top_members(annotated, "tools", 8).collect()
-    trend = an.trend_methods(annotated).where(F.col("year") >= as_of - 3).orderBy(F.desc("year"), "rank").collect()
-    lines = ["=" * 60, title, "=" * 60, "", f"Total papers tracked: {share['papers']}", f"Deep learning-related: {share['dl_papers']} ({share['dl_ratio']}%)", ""]
-    if methods:
-        lines += ["--- Most Used DL Architectures ---", *(f"  {m['member']:25s} {m['n']:4d} {'█' * min(m['n'], 30)}" for m in methods), ""]
-    if tools:
-        lines += ["--- Most Referenced Tools ---", *(f"  {m['member']:25s} {m['n']:4d}" for m in tools), ""]
-    if trend:
-        lines.append("--- Recent Trends ---")
-        for year in dict.fromkeys(r["year"] for r in trend):
-            of = [r for r in trend if r["year"] == year]
-            lines.append(f"  {year}: {of[0]['total']} papers | Top methods: " + ", ".join(f"{r['method']}({r['n']})" for r in of if r["method"]))
-        lines.append("")
-    topics = an.hot_topics(annotated, as_of).where("rank <= 6").orderBy("rank").collect()
-    if topics:
-        lines += ["--- Hot Research Directions ---", *(f"  • {x['topic']} ({x['n']} papers)" for x in topics), ""]
-    lines.append("--- Key Observations ---")
-    if methods:
-        lines.append(f"  • {methods[0]['member']} is the most widely used architecture")
-    if tools:
-        lines.append(f"  • {tools[0]['member']} is the most referenced tool/model")
-    totals = list({r["year"]: r["total"] for r in trend}.items())[:2]
-    if len(totals) == 2 and totals[0][1] != totals[1][1]:
-        (y1, a), (y2, b) = totals
-        lines.append(f"  • {round((a - b) / max(b, 1) * 100)}% growth from {y2} to {y1}" if a > b else f"  • Publication pace slowing from {y2} to {y1}")
-    return "\n".join([*lines, "", f"Generated: {generated}"])
+def summary_lines(annotated: DataFrame, as_of: int) -> DataFrame:
+    """(part, rank, line) of the research summary: shares, best methods and tools, recent years, topics, facts."""
+    share = an.learning_share(annotated).where("papers > 0")
+    head = _lines(1, share, 0, F.format_string(SUMMARY_TOTAL, "papers"), F.format_string(SUMMARY_LEARNING, "dl_papers", F.col("dl_ratio").cast("string")))
+    methods, tools = an.top_members(annotated, "methods", 8), an.top_members(annotated, "tools", 8)
+    best = _lines(2, methods, F.col("rank"), F.format_string(SUMMARY_METHOD, "member", "n", t.bar("n", 30)))
+    named = _lines(3, tools, F.col("rank"), F.format_string(SUMMARY_TOOL, "member", "n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("method").isNotNull(), F.struct("rank", "method", "n")))), lambda x: F.format_string("%s(%s)", x["method"], x["n"]))
+    years = an.trend_methods(annotated).where(F.col("year") >= as_of - 3).groupBy("year", "total").agg(F.array_join(listed, ", ").alias("best"))
+    recent = _lines(4, years, as_of - F.col("year") + 100, F.format_string(SUMMARY_YEAR, "year", "total", "best"))
+    topics = _lines(5, an.hot_topics(annotated, as_of).where("rank <= 6"), F.col("rank"), F.format_string(SUMMARY_TOPIC, "topic", "n"))
+    change = an.growth(annotated, as_of).where("before <> total")
+    pace = F.when(F.col("percent").isNotNull(), F.format_string(SUMMARY_FACTS[2], "percent", "before_year", "year")).otherwise(F.format_string(SUMMARY_FACTS[3], "before_year", "year"))
+    facts = [_lines(6, methods.where("rank = 1"), 1, F.format_string(SUMMARY_FACTS[0], "member")), _lines(6, tools.where("rank = 1"), 2, F.format_string(SUMMARY_FACTS[1], "member")), _lines(6, change, 3, pace)]
+    return reduce(DataFrame.unionByName, [head, best, named, recent, topics, *facts])
+
+
+def summary(annotated: DataFrame, as_of: int, generated: str, title: str = SUMMARY_TITLE) -> str:
+    told = paragraphs(summary_lines(annotated, as_of), SUMMARY_HEADINGS)
+    return "\n\n".join(["\n".join([SUMMARY_RULE, title, SUMMARY_RULE]), *told, DIGEST_MADE % generated]) if told else SUMMARY_NONE
+
+
+def analyze(papers: DataFrame, as_of: int, generated: str) -> dict:
+    """All analyses of categorised papers from one annotated frame that is kept while they run.
+
+    Every value but the summary's text is a small aggregate: methods, tools, years, categories.
+    """
+    rows = pp.annotate(papers.select("pos", "title", "abstract", "year", "categories")).drop("title", "abstract").persist(StorageLevel.DISK_ONLY)
+    try:
+        share = an.learning_share(rows).first()
+        if not share["papers"]:
+            return {"research_summary": SUMMARY_NONE, "dl_method_distribution": {}}
+        trend: dict[int, dict] = {}
+        for r in an.trend_methods(rows).orderBy("year", "rank").collect():
+            methods = trend.setdefault(r["year"], {"total": r["total"], "top_methods": {}})["top_methods"]
+            if r["method"] is not None:
+                methods[r["method"]] = r["n"]
+        matrix: dict[str, dict[str, int]] = {}
+        for r in an.landscape(rows).where("category is not null").orderBy("method", F.desc("n"), "category").collect():
+            matrix.setdefault(r["method"], {})[r["category"]] = r["n"]
+        # The names of the results.
+        return {
+            "research_summary": summary(rows, as_of, generated),
+            "dl_method_distribution": {r["member"]: r["n"] for r in an.top_members(rows, "methods").orderBy("rank").collect()},
+            "tool_mentions": {r["member"]: r["n"] for r in an.top_members(rows, "tools").orderBy("rank").collect()},
+            "trend_analysis": trend,
+            "landscape_matrix": matrix,
+            "hot_topics": [{"topic": r["topic"], "count": r["n"]} for r in an.hot_topics(rows, as_of).orderBy("rank").collect()],
+            "category_insights": {r["category"]: r["insight"] for r in an.category_insights(rows, as_of).collect()},
+            "dl_paper_count": share["dl_papers"],
+            "dl_ratio": share["dl_ratio"],
+            "total_papers": share["papers"],
+            "generated_at": generated,
+        }
+    finally:
+        rows.unpersist()

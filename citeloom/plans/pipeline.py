@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions.taxonomy import FIXTURE, Taxonomy
+from citeloom.functions.taxonomy import Taxonomy
 from citeloom.operators import papers as pp
 from citeloom.operators import report
 from citeloom.operators.search import search
+from citeloom.plans import answers, mail
 from citeloom.sources import payloads, store
 
 
@@ -39,36 +42,73 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
         with open(readme, "w", encoding="utf-8") as f:
             f.write(report.readme(current, taxonomy, now[:10]))
     if notify is not None and out["new_count"]:
-        out["email_sent"] = bool(notify(out["digest"], report.digest_html(delta, current, taxonomy, now)))
+        out["email_sent"] = bool(notify(out["new_count"], out["digest"], report.digest_html(delta, current, taxonomy, now)))
     return out | {"success": True}
 
 
-def main(args: list[str] | None = None) -> None:
+def latest_delta(spark: SparkSession, path: str) -> DataFrame:
+    """The papers that the last update added; none if there was none."""
+    name = store.pointer(spark, path).name
+    at, fs = store._place(spark, f"{path}/delta/run={name}")
+    return spark.read.schema(store.PAPER).parquet(f"{path}/delta/run={name}") if name and fs.exists(at) else store.read_snapshot(spark, path).limit(0)
+
+
+def _show(papers: DataFrame) -> None:
+    """The counts as tables, years with bars."""
+    pp.total(papers).show(truncate=False)
+    pp.by_year(papers).orderBy(F.desc("year")).withColumn("bar", pp.t.bar("n", 60)).show(1000, truncate=False)
+    pp.by_source(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
+    pp.by_category(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
+
+
+def main(args: list[str] | None = None, transport=None) -> None:
     parser = argparse.ArgumentParser(prog="citeloom")
-    parser.add_argument("command", choices=["stats", "search", "export", "update-readme", "run-pipeline"])
+    parser.add_argument("command", choices=["fetch", "stats", "search", "export", "update-readme", "run-pipeline", "send-email", "analyze"])
     parser.add_argument("words", nargs="*")
     parser.add_argument("--store", required=True)
-    parser.add_argument("--taxonomy")
+    parser.add_argument("--taxonomy", help="a JSON file {category: {description, keywords}}, in order")
+    parser.add_argument("--catalogue", help="a JSON file [{source, query, path}] of recorded answers")
     parser.add_argument("--new", help="a JSON array of new papers")
     parser.add_argument("--format", default="json")
     parser.add_argument("--output", default="papers_export")
     parser.add_argument("--limit", type=int, default=20)
+    parser.add_argument("--to", nargs="*", default=[], help="recipients of the digest")
     a = parser.parse_args(args)
+    if a.taxonomy is None and a.command in ("fetch", "update-readme", "run-pipeline", "send-email"):
+        parser.error(f"{a.command} needs --taxonomy")
     spark = SparkSession.builder.getOrCreate()
-    taxonomy = Taxonomy.from_json(a.taxonomy) if a.taxonomy else FIXTURE
+    taxonomy = Taxonomy.from_json(a.taxonomy) if a.taxonomy else Taxonomy({})
+    now = datetime.now(timezone.utc)
+    box = mail.Mailbox(a.to, *(os.environ.get(x, "") for x in ("SMTP_USER", "SMTP_PASSWORD", "EMAIL_FROM")), os.environ.get("SMTP_HOST", "localhost"), int(os.environ.get("SMTP_PORT", "587")))
+    post = lambda n, plain, html: mail.send(n, plain, html, box, **({"transport": transport} if transport else {}))
+    new = store.read_json(spark, a.new) if a.new else None
+    if a.catalogue:
+        with open(a.catalogue, encoding="utf-8") as f:
+            fetched = fetch(spark, json.load(f))
+        new = fetched if new is None else new if fetched is None else pp.fetch_union([new, fetched])
+    if a.command == "fetch":
+        print(run(spark, a.store, new, taxonomy))
+        return
+    if a.command == "run-pipeline":
+        print(run(spark, a.store, new, taxonomy, a.output, post if a.to else None))
+        return
     papers = store.read_snapshot(spark, a.store)
+    if papers.isEmpty():
+        parser.exit(1, "No papers in the store.\n")
     if a.command == "stats":
-        for frame in (pp.total(papers), pp.by_year(papers).orderBy(F.desc("year")), pp.by_source(papers), pp.by_category(papers)):
-            frame.show(100, truncate=False)
+        _show(papers)
     elif a.command == "search":
         search(papers, " ".join(a.words), a.limit).select("title", pp.t.authors_search("authors").alias("authors"), "journal", "year", "categories", "url").show(a.limit, truncate=False)
     elif a.command == "export":
         store.export(papers, a.format, f"{a.output}.{a.format}")
-    elif a.command == "update-readme":
-        with open(a.output, "w", encoding="utf-8") as f:
-            f.write(report.readme(papers, taxonomy, datetime.now(timezone.utc).strftime("%Y-%m-%d")))
+    elif a.command == "analyze":
+        print(answers.as_json(report.analyze(papers, now.year, now.isoformat())))
+    elif a.command == "send-email":
+        delta, made = latest_delta(spark, a.store), now.strftime("%Y-%m-%d %H:%M UTC")
+        print("sent" if post(delta.count(), report.digest_text(delta, papers, taxonomy, made), report.digest_html(delta, papers, taxonomy, made)) else "not sent")
     else:
-        print(run(spark, a.store, store.read_json(spark, a.new) if a.new else None, taxonomy, a.output))
+        with open(a.output, "w", encoding="utf-8") as f:
+            f.write(report.readme(papers, taxonomy, now.strftime("%Y-%m-%d")))
 
 
 if __name__ == "__main__":

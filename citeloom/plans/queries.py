@@ -126,6 +126,18 @@ _add("group_ranked", lambda s, d: pp.grouped(_cat(s, d), FIX).select("category",
 _add("toc_anchor", lambda s, d: pp.by_category(pp.categorize(papers(s, d), tx.METHODS)).select("category", t.anchor("category").alias("anchor")), "SELECT category, regexp_replace(replace(replace(replace(replace(lower(category), ' ', '-'), '&', ''), '/', ''), '--', '-'), '^$', '') AS anchor FROM (SELECT DISTINCT grp AS category FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, ord) AS i FROM mx) WHERE i <= 3 UNION SELECT 'Other' WHERE (SELECT count(*) FROM papers) > (SELECT count(DISTINCT pos) FROM mx))", _METHODS)
 _add("method_top20", lambda s, d: an.top_members(_ann(s, d), "methods"), "SELECT * FROM (SELECT method AS member, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY method)) WHERE rank <= 20", _METHODS)
 _add("tool_top20", lambda s, d: an.top_members(_ann(s, d), "tools"), "SELECT grp AS member, count(*) AS n, row_number() OVER () AS rank FROM h GROUP BY grp", _hits("h", tx.TOOLS))
+_TOLD = ["akita", "orca model", "c.origami and dip-c", "hic-plus", ""]
+_TOLD_HITS = f"h AS (SELECT pos, ord, grp FROM (SELECT pos, txt || ' ' || {_TOLD}[pos % 5 + 1] AS txt FROM papers) JOIN {_values(tx.TOOLS)} ON contains(txt, kw) GROUP BY ALL)"
+
+
+def _told(s: SparkSession, d: str) -> DataFrame:
+    """Annotated papers whose titles also name tools, which the prose never does."""
+    named = F.element_at(F.array(*map(F.lit, _TOLD)), (F.col("pos") % 5 + 1).cast("int"))
+    return pp.annotate(papers(s, d).withColumn("title", F.concat("title", F.lit(" "), named)))
+
+
+_add("tools_named", lambda s, d: _told(s, d).select("pos", _join("tools").alias("tools")), "SELECT papers.pos, coalesce(g, '') AS tools FROM papers LEFT JOIN (SELECT pos, string_agg(grp, ';' ORDER BY ord) AS g FROM h GROUP BY pos) USING (pos)", _TOLD_HITS)
+_add("tool_top20_named", lambda s, d: an.top_members(_told(s, d), "tools"), "SELECT grp AS member, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT grp, count(*) AS n, min((pos, ord)) AS f FROM h GROUP BY grp)", _TOLD_HITS)
 _add("dl_ratio", lambda s, d: an.learning_share(_ann(s, d)), "SELECT count(*) AS papers, count(m.pos) AS dl_papers, round_even(count(m.pos) / count(*) * 100, 1) AS dl_ratio FROM papers LEFT JOIN (SELECT DISTINCT pos FROM mx) m USING (pos)", _METHODS)
 _add("trend_by_year", lambda s, d: an.trend_years(papers(s, d)), "SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year")
 _add("trend_top5", lambda s, d: an.trend_methods(_ann(s, d)), "SELECT y.year, y.total, r.method, r.n, r.rank FROM (SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year) y LEFT JOIN (SELECT * FROM (SELECT year, method, n, row_number() OVER (PARTITION BY year ORDER BY n DESC, f) AS rank FROM (SELECT year, method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY ALL)) WHERE rank <= 5) r USING (year)", _METHODS)
@@ -154,15 +166,30 @@ _add("provider_filter_zero_terms", lambda s, d: search.provider_filter(papers(s,
 _BROWSE = "SELECT pos, row_number() OVER (ORDER BY date DESC, pos) AS rn, 10 * least(1, greatest(0, (count(*) OVER () - 1) // 10)) AS skip FROM papers WHERE source = 'src3' AND NOT coalesce(year < 2012 OR year > 2024, false) AND pos IN (SELECT pos FROM cats WHERE category = 'fx_suffix_en')"
 _add("browse_filter_page", lambda s, d: search.page(search.browse(_cat(s, d), "src3", 2012, 2024, "fx_suffix_en"), 2, 10).select("pos"), f"SELECT pos FROM ({_BROWSE}) WHERE rn > skip AND rn <= skip + 10", _CATS)
 _add("browse_date_asc", lambda s, d: search.page(search.browse(papers(s, d), order="date_asc"), 3).select("pos"), "SELECT pos FROM papers ORDER BY date, pos LIMIT 25 OFFSET 50")
-_add("browse_title_collated", lambda s, d: search.page(search.browse(papers(s, d), order="title"), 1).select("pos", "title"), None)
+_add("browse_title_collated", lambda s, d: search.page(search.browse(papers(s, d), order="title"), 1).select("pos", "title"), "SELECT pos, title FROM papers ORDER BY title COLLATE icu_noaccent, pos LIMIT 25")
 _add("facets", lambda s, d: pp.facets(_cat(s, d)), "SELECT DISTINCT 'year' AS facet, CAST(year AS VARCHAR) AS value FROM papers WHERE year IS NOT NULL UNION ALL SELECT DISTINCT 'source', source FROM papers UNION ALL SELECT DISTINCT 'category', category FROM cats", _CATS)
 _add("kpis", lambda s, d: pp.kpis(_cat(s, d)), "SELECT count(*) AS total, count(DISTINCT source) AS sources, min(year) AS first_year, max(year) AS last_year, (SELECT count(DISTINCT category) FROM cats) AS categories FROM papers", _CATS)
 _new = lambda s, d: pp.categorize(_split(s, d)[1], FIX)
 _NEWPOS = "new AS (SELECT pos FROM (" + _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos") + ") WHERE pos % 10 >= 6)"
 _add("digest_counts", lambda s, d: report.digest_counts(_new(s, d), FIX), "SELECT category, count(*) AS n FROM cats JOIN new USING (pos) GROUP BY category", _CATS, _NEWPOS)
-_add("digest_top5", lambda s, d: report.digest_top(_new(s, d)), f"SELECT {_PLACE} AS pos, '  * [' || coalesce(CAST(year AS VARCHAR), 'None') || '] ' || title AS head, '    ' || {_authors_sql(1, 'Unknown', 1)} || ' | ' || journal AS tail FROM papers JOIN new USING (pos) ORDER BY date DESC, papers.pos LIMIT 5", _NEWPOS)
+_add("digest_top5", lambda s, d: report.digest_top(_new(s, d)).drop("date"), f"SELECT {_PLACE} AS pos, '  * [' || coalesce(CAST(year AS VARCHAR), 'None') || '] ' || title AS head, '    ' || {_authors_sql(1, 'Unknown', 1)} || ' | ' || journal AS tail FROM papers JOIN new USING (pos) ORDER BY date DESC, papers.pos LIMIT 5", _NEWPOS)
 _add("text_entries", lambda s, d: report.entries(papers(s, d)), f"SELECT pos, pos || '. **' || title || '**' || chr(10) || '   ' || {_authors_sql(3, '', 3)} || chr(10) || '   *' || journal || '* (' || coalesce(CAST(year AS VARCHAR), 'None') || ')' || chr(10) || '   DOI: ' || doi || CASE WHEN abstract = '' THEN '' ELSE chr(10) || '   > ' || CASE WHEN length(abstract) > 200 THEN substr(abstract, 1, 197) || '...' ELSE abstract END END AS entry FROM papers")
-_add("report_rows", lambda s, d: report.category_rows(_cat(s, d), FIX).select("category", "rn", "line"), None)
+_CELL = lambda c: f"replace(replace({c}, '|', '\\|'), chr(10), ' ')"
+_ORDS = "ords AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', {i}, '{FIX.descriptions.get(g, '')}')" for i, g in enumerate(FIX.groups)) + ") AS o(category, grp_ord, description))"
+_LINE = f"'| ' || rn || ' | ' || CASE WHEN length({_CELL('title')}) > 100 THEN substr({_CELL('title')}, 1, 97) || '...' ELSE {_CELL('title')} END || ' | ' || {_authors_sql(2, 'Unknown', 1)} || ' | ' || {_CELL('journal')} || ' | ' || coalesce(CAST(year AS VARCHAR), '') || ' | [Paper](' || url || ') / [DOI](https://doi.org/' || doi || ') |'"
+_add("report_rows", lambda s, d: report.category_rows(_cat(s, d), FIX), f"SELECT category, coalesce(grp_ord, 2147483647) AS grp_ord, description, rn, {_LINE} AS line FROM (SELECT papers.*, category, row_number() OVER (PARTITION BY category ORDER BY date DESC, pos) AS rn FROM cats JOIN papers USING (pos)) LEFT JOIN ords USING (category)", _CATS, _ORDS)
+_YEARS = "ty AS (SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year), tm AS (SELECT * FROM (SELECT year, method, n, row_number() OVER (PARTITION BY year ORDER BY n DESC, f) AS rank FROM (SELECT year, method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY ALL)) WHERE rank <= 5)"
+_add("trend_newest5", lambda s, d: an.newest_trend(_ann(s, d)).select("year", "total", "method", "n", "rank"), "SELECT year, total, method, n, rank FROM (SELECT * FROM ty ORDER BY year DESC LIMIT 5) LEFT JOIN tm USING (year)", _METHODS, _YEARS)
+_TOP = "(SELECT member, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT method AS member, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY method))"
+_SUMMARY = f"""SELECT 1 AS part, 0 AS rank, 'Total papers tracked: ' || (SELECT count(*) FROM papers) AS line
+UNION ALL SELECT 1, 1, 'Deep learning-related: ' || count(DISTINCT pos) || ' (' || round_even(count(DISTINCT pos) / (SELECT count(*) FROM papers) * 100, 1) || '%)' FROM methods
+UNION ALL SELECT 2, CAST(100 * rank AS INTEGER), '  ' || rpad(member, 25, ' ') || ' ' || repeat(' ', greatest(0, 4 - length(CAST(n AS VARCHAR)))) || n || ' ' || repeat('█', least(n, 30)) FROM {_TOP} WHERE rank <= 8
+UNION ALL SELECT 4, CAST(100 * ({AS_OF} - year + 100) AS INTEGER), '  ' || year || ': ' || any_value(total) || ' papers | Top methods: ' || coalesce(string_agg(method || '(' || n || ')', ', ' ORDER BY rank), '') FROM ty LEFT JOIN tm USING (year) WHERE year >= {AS_OF - 3} GROUP BY year
+UNION ALL SELECT 5, CAST(100 * rank AS INTEGER), '  • ' || topic || ' (' || n || ' papers)' FROM ({_HOT.format(f"year >= {AS_OF - 1}")}) WHERE rank <= 6
+UNION ALL SELECT 6, 100, '  • ' || member || ' is the most widely used architecture' FROM {_TOP} WHERE rank = 1
+UNION ALL SELECT 6, 300, CASE WHEN total > before THEN '  • ' || CAST(round_even((total - before) / greatest(before, 1) * 100, 0) AS BIGINT) || '% growth from ' ELSE '  • Publication pace slowing from ' END || was || ' to ' || year
+  FROM (SELECT *, lag(total) OVER (ORDER BY year) AS before, lag(year) OVER (ORDER BY year) AS was, lead(year) OVER (ORDER BY year) AS nxt FROM ty WHERE year >= {AS_OF - 3}) WHERE nxt IS NULL AND total <> before"""
+_add("summary_lines", lambda s, d: report.summary_lines(_both(s, d), AS_OF), _SUMMARY, _METHODS, _CATS, _YEARS)
 _flat = "array_to_string(authors, '; ') AS authors, journal, year, date, doi, url, source, c AS categories"
 _CSV = "FROM papers JOIN (SELECT pos, string_agg(category, '; ' ORDER BY i) AS c FROM cats GROUP BY pos) USING (pos)"
 _add("export_csv_rows", lambda s, d: store.export_rows(_cat(s, d)), f"SELECT id, title, {_flat} {_CSV}", _CATS)
@@ -179,16 +206,19 @@ _add("theta_taxonomy_join", _theta, "SELECT pos, grp, score FROM fx", _hits("fx"
 
 #: Recorded answers in miniature, one per service.
 SAMPLES = {
-    "pubmed": '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>11</PMID><Article><Journal><JournalIssue><PubDate><Year>2023</Year><Month>March</Month></PubDate></JournalIssue><Title>J One</Title></Journal><ArticleTitle>Foo <i>bar</i> baz</ArticleTitle><Abstract><AbstractText Label="BACKGROUND">a &amp; b</AbstractText><AbstractText>c</AbstractText></Abstract><AuthorList><Author><LastName>Li</LastName><ForeName>Wei</ForeName></Author><Author><ForeName>X</ForeName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/Abc</ArticleId></ArticleIdList></PubmedData></PubmedArticle><PubmedArticle><MedlineCitation><PMID>12</PMID></MedlineCitation></PubmedArticle></PubmedArticleSet>',
-    "arxiv": '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v2</id><title>A  title</title><summary>Some\n text</summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author><link href="https://dx.doi.org/10.1/x"/></entry></feed>',
+    "pubmed": '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>11</PMID><Article><Journal><JournalIssue><PubDate><Year>2023</Year><Month>March</Month></PubDate></JournalIssue><Title>J One</Title></Journal><ArticleTitle>Foo <i>bar</i> baz</ArticleTitle><Abstract><AbstractText Label="BACKGROUND">a &amp; b</AbstractText><AbstractText>c</AbstractText></Abstract><AuthorList><Author><LastName>Li</LastName><ForeName>Wei</ForeName></Author><Author><ForeName>X</ForeName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/Abc</ArticleId></ArticleIdList></PubmedData></PubmedArticle><PubmedArticle><MedlineCitation><PMID>12</PMID></MedlineCitation></PubmedArticle>'
+    "<PubmedArticle><MedlineCitation><PMID>13</PMID><Article><Journal><JournalIssue><PubDate><Year>2019</Year></PubDate></JournalIssue></Journal><ArticleTitle> Two  words </ArticleTitle><ArticleDate><Year>2020</Year><Month>7</Month><Day>9</Day></ArticleDate></Article></MedlineCitation></PubmedArticle>"
+    "<PubmedArticle><MedlineCitation><PMID>14</PMID><Article><Journal><JournalIssue><PubDate><Year>Spring</Year></PubDate></JournalIssue></Journal><ArticleTitle>Dropped</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    "<PubmedArticle><MedlineCitation><PMID>15</PMID><Article><Journal><JournalIssue><PubDate><Year>2018</Year><Month>11</Month></PubDate></JournalIssue></Journal><ArticleTitle>Plain</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>",
+    "arxiv": '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v2</id><title>A  title</title><summary>Some\n text</summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author><link href="https://dx.doi.org/10.1/x"/></entry><entry><id> https://arxiv.org/2402.7 </id><title>B</title><published>2023-12-31</published><author><name> </name></author></entry><entry><id>z</id><title>Dropped</title><published>soon</published></entry></feed>',
     "biorxiv": json.dumps({"collection": [{"title": "Genome deep", "abstract": "x", "doi": "2024.01.01.1", "date": "2024-01-05", "authors": "A, B; C, D"}, {"title": "Nothing", "abstract": "y", "doi": "10.1101/z", "date": "2024-02-01", "authors": ""}]}),
     "semantic_scholar": json.dumps({"data": [{"paperId": "p1", "title": "T1", "authors": [{"name": "A"}], "abstract": None, "year": 2021, "venue": "V", "publicationDate": None, "url": "u", "externalIds": {"PubMed": "77"}}, {"paperId": "p2", "title": ""}]}),
     "europepmc": json.dumps({"resultList": {"result": [{"id": "e1", "title": "T2", "pmid": "5", "authorList": {"author": [{"fullName": "F N"}]}, "firstPublicationDate": "2022-03-04", "pubYear": "2022", "abstractText": "abs", "journalTitle": "J"}]}}),
     "crossref": json.dumps({"message": {"items": [{"DOI": "10.2/Q", "title": ["T3"], "author": [{"given": "G", "family": "F"}], "abstract": "<jats:p>q</jats:p>", "container-title": ["C"], "published": {"date-parts": [[2022, 5]]}, "URL": "w"}]}}),
 }
 _PARSED = {
-    "pubmed": "('10.1/Abc', 'Foo bar baz', 'Li Wei', 'BACKGROUND: a & b c', 'J One', 2023, '2023-03-01', '10.1/Abc', 'https://doi.org/10.1/Abc', 'pubmed')",
-    "arxiv": "('https://dx.doi.org/10.1/x', 'A title', 'A B', 'Some text', 'arXiv (preprint)', 2024, '2024-01-02', 'https://dx.doi.org/10.1/x', 'http://arxiv.org/abs/2401.00001v2', 'arxiv')",
+    "pubmed": "('10.1/Abc', 'Foo bar baz', 'Li Wei', 'BACKGROUND: a & b c', 'J One', 2023, '2023-03-01', '10.1/Abc', 'https://doi.org/10.1/Abc', 'pubmed'), ('pmid:13', 'Two words', '', '', '', 2020, '2020-07-09', '', 'https://pubmed.ncbi.nlm.nih.gov/13/', 'pubmed'), ('pmid:15', 'Plain', '', '', '', 2018, '2018-11-01', '', 'https://pubmed.ncbi.nlm.nih.gov/15/', 'pubmed')",
+    "arxiv": "('https://dx.doi.org/10.1/x', 'A title', 'A B', 'Some text', 'arXiv (preprint)', 2024, '2024-01-02', 'https://dx.doi.org/10.1/x', 'http://arxiv.org/abs/2401.00001v2', 'arxiv'), ('arxiv:2402.7', 'B', '', '', 'arXiv (preprint)', 2023, '2023-12-31', '', 'https://arxiv.org/2402.7', 'arxiv')",
     "biorxiv": "('10.1101/2024.01.01.1', 'Genome deep', 'A, B;C, D', 'x', 'bioRxiv (preprint)', 2024, '2024-01-05', '10.1101/2024.01.01.1', 'https://doi.org/10.1101/2024.01.01.1', 'biorxiv')",
     "semantic_scholar": "('pmid:77', 'T1', 'A', '', 'V', 2021, '2021-01-01', '', 'u', 'semantic_scholar')",
     "europepmc": "('pmid:5', 'T2', 'F N', 'abs', 'J', 2022, '2022-03-04', '', 'https://europepmc.org/article/MED/5', 'europepmc')",

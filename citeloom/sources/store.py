@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,31 +38,66 @@ def write_json(papers: DataFrame, path: str) -> None:
         f.write("[]" if before == "[" else "\n]\n")
 
 
-def _pointer(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+class Pointer(NamedTuple):
+    """What CURRENT says: the snapshot, the one before it, and the stream batch that made it."""
+
+    name: str = ""
+    before: str = ""
+    batch: str = ""
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_snapshot(papers: DataFrame, path: str) -> str:
-    """Write a new snapshot, then move the pointer to it, so that readers see the old or the new one whole."""
+def pointer(spark: SparkSession, path: str) -> Pointer:
+    at, fs = _place(spark, f"{path}/CURRENT")
+    if not fs.exists(at):
+        return Pointer()
+    return Pointer(*spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0].split("\n"))
+
+
+def _point(spark: SparkSession, path: str, to: Pointer) -> None:
+    """Write the pointer beside CURRENT and rename it over that in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, fs = _place(spark, f"{path}/CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(new, False)
+    out.write(bytearray("\n".join(to).encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, _place(spark, f"{path}/CURRENT")[0], over)
+
+
+def _forget_old(spark: SparkSession, path: str, keep: int, current: Pointer) -> None:
+    at, fs = _place(spark, path)
+    found = sorted((x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(at) if x.getPath().getName().startswith("snapshot-"))
+    for _, name in found[: max(0, len(found) - keep)]:
+        if name not in (current.name, current.before):
+            fs.delete(_place(spark, f"{path}/{name}")[0], True)
+
+
+def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str | None = None, keep: int = 5) -> str:
+    """Write a new snapshot, then move the pointer to it, so that readers see the old or the new one whole.
+
+    The newest `keep` snapshots stay for readers that began before. `before` is the snapshot
+    this one was made from, the current one unless a batch is repeated.
+    """
     spark = papers.sparkSession
     name = f"snapshot-{uuid.uuid4().hex}"
     papers.select(*FIELDS).write.parquet(f"{path}/{name}")
-    at, fs = _pointer(spark, path)
-    out = fs.create(at, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    current = Pointer(name, pointer(spark, path).name if before is None else before, batch)
+    _point(spark, path, current)
+    _forget_old(spark, path, keep, current)
     return name
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The current snapshot; empty if there is none yet. A damaged one raises."""
-    at, fs = _pointer(spark, path)
-    if not fs.exists(at):
-        return spark.createDataFrame([], PAPER)
-    name = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.schema(PAPER).parquet(f"{path}/{name}")
+def read_snapshot(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The current snapshot, or a named one; empty if there is none yet. A damaged one raises."""
+    name = pointer(spark, path).name if name is None else name
+    return spark.read.schema(PAPER).parquet(f"{path}/{name}") if name else spark.createDataFrame([], PAPER)
 
 
 def export_rows(papers: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFrame:

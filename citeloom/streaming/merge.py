@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,14 +15,21 @@ from citeloom.sources import store
 
 
 def merge_stream(new: DataFrame, path: str, taxonomy: Taxonomy, checkpoint: str, delta: str | None = None) -> StreamingQuery:
-    """Run every available batch through categorisation and merge; a batch's added papers go to delta/batch=N."""
+    """Run every available batch through categorisation and merge; a batch's added papers go to delta/batch=N.
+
+    A batch that is repeated after a failure starts again from the snapshot before it, so that
+    snapshot and delta come out as they would have.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def step(batch: DataFrame, number: int) -> None:
-        existing = store.read_snapshot(batch.sparkSession, path)
-        everything, added = pp.merge(existing, pp.categorize(batch, taxonomy))
+        spark, mark = batch.sparkSession, f"{stream}-{number}"
+        now = store.pointer(spark, path)
+        base = now.before if now.batch == mark else now.name
+        everything, added = pp.merge(store.read_snapshot(spark, path, base), pp.categorize(batch, taxonomy))
         if delta:
             added.write.mode("overwrite").parquet(f"{delta}/batch={number}")
-        store.write_snapshot(everything, path)
+        store.write_snapshot(everything, path, mark, base)
 
     return new.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -11,7 +11,7 @@ from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
 from citeloom.operators import report, search
-from citeloom.plans import pipeline
+from citeloom.plans import answers, pipeline
 from citeloom.plans.queries import QUERIES, SQL
 from citeloom.schema import PAPER
 from citeloom.sources import store
@@ -116,7 +116,7 @@ def test_search_and_browse(spark):
 def test_store_pipeline_and_stream(spark, tmp_path):
     path = str(tmp_path / "store")
     new = frame(spark, paper(0, "A", "the tion", "x", 2024, "2024-01-01", ["N"]), paper(1, "B", "Gö", "", None), paper(2, "a"))
-    first = pipeline.run(spark, path, new, tx.FIXTURE, str(tmp_path / "R.md"), lambda text, html: True)
+    first = pipeline.run(spark, path, new, tx.FIXTURE, str(tmp_path / "R.md"), lambda n, text, html: n == 2 and 'the tion' in html)
     assert (first["new_count"], first["total_count"], first["email_sent"]) == (2, 2, True)
     assert "the tion" in (tmp_path / "R.md").read_text()
     again = pipeline.run(spark, path, new, tx.FIXTURE)
@@ -137,6 +137,91 @@ def test_store_pipeline_and_stream(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "delta")).collect()] == ["C"]
 
 
+def test_two_runs_keep_the_order(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pipeline.run(spark, path, frame(spark, paper(0, "A"), paper(1, "B")), tx.FIXTURE)
+    pipeline.run(spark, path, frame(spark, paper(0, "C"), paper(1, "b"), paper(2, "D")), tx.FIXTURE)
+    assert [r["id"] for r in store.read_snapshot(spark, path).orderBy("pos").collect()] == ["A", "B", "C", "D"]
+    assert sorted(r["id"] for r in pipeline.latest_delta(spark, path).collect()) == ["C", "D"]
+    for i in range(6):
+        store.write_snapshot(store.read_snapshot(spark, path), path, keep=3)
+    assert len(list((tmp_path / "store").glob("snapshot-*"))) == 3 and store.read_snapshot(spark, path).count() == 4
+
+
+def test_repeated_batch(spark, tmp_path, monkeypatch):
+    """A batch that fails after its snapshot was written gives the same snapshot and delta when repeated."""
+    path, source, delta = (str(tmp_path / x) for x in ("store", "in", "delta"))
+    store.write_snapshot(frame(spark, paper(0, "A")), path)
+    frame(spark, paper(0, "a"), paper(1, "B")).write.parquet(source)
+    whole = store.write_snapshot
+
+    def broken(*args):
+        whole(*args)
+        raise RuntimeError("lost")
+
+    def stream():
+        return merge_stream(spark.readStream.schema(PAPER).parquet(source), path, tx.FIXTURE, str(tmp_path / "cp"), delta)
+
+    monkeypatch.setattr(store, "write_snapshot", broken)
+    with pytest.raises(Exception, match="lost"):
+        stream().awaitTermination()
+    assert store.read_snapshot(spark, path).count() == 2
+    monkeypatch.setattr(store, "write_snapshot", whole)
+    stream().awaitTermination()
+    assert [r["id"] for r in store.read_snapshot(spark, path).orderBy("pos").collect()] == ["A", "B"]
+    assert [r["id"] for r in spark.read.parquet(delta).collect()] == ["B"]
+
+
+def test_analysis_and_answers(spark):
+    rows = pp.categorize(frame(spark, paper(0, title="cnn the tion", year=2024), paper(1, title="akita vae", year=2025), paper(2, title="z")), tx.FIXTURE)
+    got = report.analyze(rows, 2025, "now")
+    assert got["dl_method_distribution"] == {"CNN": 1, "Autoencoder": 1} and got["tool_mentions"] == {"Akita": 1}
+    assert got["trend_analysis"][2025] == {"total": 1, "top_methods": {"Autoencoder": 1}} and got["total_papers"] == 3
+    assert got["landscape_matrix"]["CNN"] == {"fx_articles": 1, "fx_suffix_en": 1} and got["dl_ratio"] == 66.7
+    assert "--- Recent Trends ---\n  2025: 1 papers | Top methods: Autoencoder(1)\n  2024:" in got["research_summary"]
+    assert got["research_summary"].endswith("  • Akita is the most referenced tool/model\n\nGenerated: now")
+    assert report.analyze(rows.limit(0), 2025, "now")["research_summary"] == "No papers to analyze."
+    told = answers.statistics(rows, tx.FIXTURE)
+    assert told["categories"] == ["fx_articles", "fx_suffix_en", "Other"] and told["years"] == [2025, 2024]
+    assert [p["title"] for p in json.loads(answers.found(rows, "akita"))] == ["akita vae"] and answers.found(rows, " ") == "[]"
+    assert json.loads(answers.as_json(answers.digest(rows, rows, tx.FIXTURE, "now")))["new_papers_by_category"]["Other"] == 2
+
+
+def test_mail_and_commands(spark, tmp_path, monkeypatch, capsys):
+    sent = []
+
+    class Server:
+        def __init__(self, host, port):
+            self.to = (host, port)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        starttls = login = lambda self, *_: None
+
+        def send_message(self, m):
+            sent.append(m)
+
+    tax, fresh, path = tmp_path / "t.json", tmp_path / "new.json", str(tmp_path / "store")
+    tax.write_text(json.dumps({"g": ["gö"]}))
+    fresh.write_text(json.dumps([{"id": "A", "title": "Gö", "authors": ["N"], "year": 2024, "date": "2024-01-01"}]))
+    common = ["--store", path, "--taxonomy", str(tax)]
+    pipeline.main(["fetch", *common, "--new", str(fresh)])
+    pipeline.main(["send-email", *common, "--to", "x@y.z"], Server)
+    assert not sent  # no account
+    monkeypatch.setenv("SMTP_USER", "u")
+    monkeypatch.setenv("SMTP_PASSWORD", "p")
+    pipeline.main(["send-email", *common, "--to", "x@y.z"], Server)
+    assert [p.get_content_type() for p in sent[0].iter_parts()] == ["text/plain", "text/html"] and sent[0]["To"] == "x@y.z"
+    pipeline.main(["analyze", "--store", path])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["total_papers"] == 1
+    with pytest.raises(SystemExit):
+        pipeline.main(["fetch", "--store", path])
+
+
 def test_taxonomy_file(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"g": {"description": "d", "keywords": ["ab"]}, "h": ["b"]}))
     tax = tx.Taxonomy.from_json(str(tmp_path / "t.json"))
