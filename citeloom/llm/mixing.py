@@ -2,11 +2,12 @@
 
 Each source is a queue of its documents in shuffled order, once per epoch. A document's
 virtual finish time is its queue's cumulative words divided by the queue's target, so all
-queues drain at virtual time 1, when the words served are the total budget. Documents are
-range-sorted by finish time; the one in service at the cut is truncated to the words served.
+queues drain at virtual time 1, when the words served are the total budget. All documents
+are range-sorted by finish time, and the sorted queue is cut where its running total reaches
+the budget; a document in service then is taken in part.
 
-The running sums are spread over buckets of the shuffle key, so that no task holds a whole
-source: sums per (source, bucket) give each bucket its offset, windows run inside buckets.
+Words are counted once, and all else runs on sizes alone. Running sums are spread over
+buckets of the shuffle and ranges of virtual time, so that no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.runtime import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPOCHS = 2
+#: Ranges of virtual time that entries are sorted in, up to time 1 and beyond it.
+BINS = 1 << 13
 
 
 def word_count(text: Column) -> Column:
@@ -41,42 +46,81 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float) ->
     return level.select("key", "source_size", F.coalesce(F.least("cap", F.col("fair") * F.col("weight")), "cap").alias("target"))
 
 
-def _running(entries: DataFrame, epoch: int) -> DataFrame:
-    """Add start{epoch}: words of the source's documents before this one in the epoch's shuffled order."""
-    mark = f"shuffle{epoch}"
-    dealt = entries.withColumn(mark, F.md5(F.concat(F.lit(f"{epoch}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    dealt = dealt.withColumn("bucket", F.substring(mark, 1, 3))
-    sums = dealt.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("key", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("key", "bucket").orderBy(mark, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["key", "bucket"])
-    return placed.withColumn(f"start{epoch}", F.col("offset") + F.col("within")).drop("bucket", "within", "offset", mark)
+def queue(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
+    """(row, doc_id, source, size, key, source_size, target, epoch, begin, served): every document once per epoch, begin being its source's words before it.
+
+    The order in a source is a shuffle by the epoch and doc_id, so reruns agree.
+    """
+    mark = F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    entries = sized.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(1, EPOCHS + 1))))).withColumn("mark", mark)
+    entries = entries.withColumn("bucket", F.substring("mark", 1, 3))
+    sums = entries.groupBy("key", "epoch", "bucket").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("key").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("key", "epoch", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("key", "epoch", "bucket").orderBy("mark", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = entries.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["key", "epoch", "bucket"])
+    joined = placed.join(source_targets(sized, weights, share), "key")
+    return joined.select("row", "doc_id", "source", "size", "key", "source_size", "target", "epoch", (F.col("offset") + F.col("within")).alias("begin"), F.floor("target").cast("long").alias("served"))
+
+
+def cut_at_budget(entries: DataFrame, budget: DataFrame) -> DataFrame:
+    """The entries' parts in the order of virtual finish times, with the words that the budget leaves them: adds finish, words, took.
+
+    An entry that virtual time 1 falls into is in service then, and is parted there. The
+    global order is by ranges of virtual time (BINS up to time 1, as many beyond): queues
+    drain at even rates, so ranges hold about equal words whatever the sources' sizes. Running
+    totals are those of the ranges before, plus those within the range.
+    """
+    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - F.col("begin"))).cast("long")
+    end = F.col("begin") + F.col("size")
+    finish = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(float("inf")))
+    parts = F.array(F.struct(first.alias("words"), finish(F.least(end, F.col("served"))).alias("finish")), F.struct((F.col("size") - first).alias("words"), finish(end).alias("finish")))
+    parted = entries.select("row", "key", "epoch", F.explode(parts).alias("part")).select("row", "key", "epoch", "part.*").where("words > 0")
+    range_ = F.when(F.col("finish") <= 1, F.ceil(F.col("finish") * BINS)).otherwise(BINS + F.ceil(BINS * (1 - 1 / F.col("finish")))).cast("int")
+    parted = parted.withColumn("range", range_)
+    sums = parted.groupBy("range").agg(F.sum("words").alias("total"))  # at most 2 * BINS rows
+    before = F.sum("total").over(Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
+    order = Window.partitionBy("range").orderBy("finish", "key", "epoch", "row").rowsBetween(Window.unboundedPreceding, -1)
+    queued = parted.withColumn("within", F.coalesce(F.sum("words").over(order), F.lit(0))).join(F.broadcast(offsets), "range").join(F.broadcast(budget))  # one row
+    took = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("offset") - F.col("within"))).cast("long")
+    return queued.select("row", "epoch", "finish", "words", took.alias("took"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken, finish1, finish2.
+    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken, finish1, finish2, taken1, taken2.
 
     size counts words (null text: 0). Sources in code point order, null last, get the
-    weights in turn. taken is the words served by virtual time 1 over both epochs, never
-    above 2 * size. finish1 and finish2 are the virtual finish times of the two epochs
-    (null where the target is 0). A null doc_id shuffles as an empty string; rows that
-    repeat a doc_id are separate entries; an empty table gives an empty result. The order
-    depends on doc_id and size alone, so reruns agree. Other columns are not read.
+    weights in turn. taken are the words of the document in the queue of all sources' entries,
+    range-sorted by virtual finish time and cut at the total budget (the targets' whole words);
+    taken1 and taken2 are those of the two epochs, never above size, and finish1 and finish2
+    the virtual times at which the taken words end (null where none is taken). A null doc_id
+    shuffles as an empty string; rows that repeat a doc_id are separate entries; an empty table
+    gives an empty result. The order depends on doc_id and size alone, so reruns agree. A
+    column `row` of `docs`, if there is one, is carried to the result as it is (`tag`); other
+    columns are not read.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    queued = _running(_running(sized, 1), 2)
+    tag = F.col("row") if "row" in docs.columns else F.lit(None).cast("long")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tag.alias("tag"), F.monotonically_increasing_id().alias("row"))
+    sized = stored(sized.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "sizes")
+    entries = queue(sized, weights, share)
+    budget = source_targets(sized, weights, share).agg(F.coalesce(F.sum(F.floor("target").cast("long")), F.lit(0)).alias("budget"))
+    taken = cut_at_budget(entries, budget).where("took > 0")
+    of = lambda e, c: F.when(F.col("epoch") == e, F.col(c))
+    per_row = taken.groupBy("row").agg(*(F.sum(of(e, "took")).alias(f"taken{e}") for e in (1, 2)), *(F.max(of(e, "finish")).alias(f"finish{e}") for e in (1, 2)))
     targets = source_targets(sized, weights, share)
-    joined = queued.join(targets, "key").withColumn("served", F.floor("target").cast("long"))
-    begin = {1: F.col("start1"), 2: F.col("start2") + F.col("source_size")}
-    took = {e: F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - begin[e])) for e in begin}
-    finish = {e: F.when(F.col("target") > 0, (begin[e] + F.col("size")) / F.col("target")) for e in begin}
-    return joined.select("doc_id", "source", "size", "source_size", "target", (took[1] + took[2]).cast("long").alias("taken"), finish[1].alias("finish1"), finish[2].alias("finish2"), took[1].cast("long").alias("taken1"), took[2].cast("long").alias("taken2"))
+    out = sized.join(targets, "key").join(per_row, "row", "left").na.fill(0, ["taken1", "taken2"])
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("taken1") + F.col("taken2")).alias("taken"), "finish1", "finish2", "taken1", "taken2", "tag")
 
 
 def emission(mixed: DataFrame) -> DataFrame:
-    """The mix as a training stream: (doc_id, epoch, finish, words), range-sorted by virtual finish time and cut at the budget."""
+    """The mix as a training stream: (doc_id, epoch, finish, words), in the order of virtual finish times."""
     entry = F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), F.col(f"finish{e}").alias("finish"), F.col(f"taken{e}").alias("words")) for e in (1, 2))))
     entries = mixed.select("doc_id", entry.alias("e")).select("doc_id", "e.*").where("words > 0")
     return entries.orderBy("finish", "doc_id", "epoch")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), ""), r"[\x20\x09-\x0D]+$", "")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where driver and executors are one machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: the cluster has no known shared folder")
         set_dir = tempfile.mkdtemp(prefix="citeloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(set_dir)
@@ -54,6 +59,26 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a scan of files with nothing but projections and filters on it, so that each row is one of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with a 64-bit key of each row that is the same however often and on however many machines the rows are read.
+
+    Rows of Parquet files are known by file and place (hashed: among 10^10 rows about three
+    pairs share a key); any other table is written once with numbered rows.
+    """
+    if _plain_scan(df):
+        with contextlib.suppress(AnalysisException):  # another format
+            return df.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores when the scan has fewer partitions (one row group files)."""
     n = df.sparkSession.sparkContext.defaultParallelism
