@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Documents are sets of word shingles. Equal sets collapse to one class by digest. Class
-representatives get MinHash samples; their bands name buckets, and the same samples folded
+Documents are sets of word shingles. Equal sets collapse to one class, named by a digest of
+the set, whatever the documents' ids. Classes get MinHash samples; their bands name buckets, and the same samples folded
 into a parity bitmap (odd sketch) estimate the similarity of two members of a bucket from
 the population count of their XOR. Candidates that the sketch admits are confirmed on the
 full sets, and links are closed to components.
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import textkit as tk
 from citeloom.llm.components import components, stars
-from citeloom.llm.runtime import cut, spread
+from citeloom.llm.runtime import cut, keyed, spread
 
 SAMPLES = 120
 SKETCH_BITS = 256
 MISS = 1e-5
-BLOCK, BLOCK_BYTES = 4096, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+SALTS = 64
 NEAREST = 4
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,19 +69,22 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64).reshape(n, 4)
 
 
+def digest(shingles: np.ndarray) -> int:
+    """The class of a set: 64 bits of a digest of its sorted shingle hashes."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _fingerprint(k: int, rows: int):
     bands = SAMPLES // rows
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in _SKETCH)])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("bytes", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for row, end, raw, at in tk.chunks(batch.column(1), 1 << 18):
+            for row, end, raw, at in tk.chunks(batch.column(2), 1 << 18):
                 hashes, first = tk.shingles(tk.words(raw, at), k)
                 sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(end - row)]
                 size = np.array([len(x) for x in sets], np.int64)
                 some = np.flatnonzero(size)
-                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 buckets, sketch = np.zeros((end - row, bands), np.int64), np.zeros((end - row, 4), np.int64)
                 if len(some):
                     minima = samples(np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(size[some])]))
@@ -90,7 +94,9 @@ def _fingerprint(k: int, rows: int):
                     buckets[some] = key.view(np.int64)
                     sketch[some] = odd_sketches(minima)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * bands, pa.int32()), pa.array(buckets.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(size), pa.array(np.diff(at)), pa.array(digest, pa.binary()), lists, *(pa.array(sketch[:, c]) for c in range(4))], schema=schema)
+                head = batch.slice(row, end - row)
+                node = pa.array([digest(x) if len(x) else None for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(size), pa.array(np.diff(at)), node, lists, *(pa.array(sketch[:, c]) for c in range(4))], schema=schema)
 
     return run
 
@@ -99,28 +105,24 @@ def _count_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _first_round(limit: int):
-    """Rows (bucket, node, sketch) sorted by bucket and node -> each later member with its bucket's first."""
-    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_())])
+def _led(classes: DataFrame) -> DataFrame:
+    """(bucket, a, b): each later member b of a bucket beside the bucket's least, a.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, node = (np.asarray(batch.column(c)) for c in range(2))
-            sketch = np.stack([np.asarray(batch.column(c)) for c in range(2, 6)], axis=1)
-            if last is not None:
-                bucket, node, sketch = (np.concatenate([x, y]) for x, y in zip(last, (bucket, node, sketch)))
-            opens = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-            leader = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-            rest = np.flatnonzero(~opens)
-            last = tuple(x[leader[-1] : leader[-1] + 1] for x in (bucket, node, sketch))
-            if len(rest):
-                near = _count_bits(sketch[rest], sketch[leader[rest]]) <= limit
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[rest], node[leader[rest]], node[rest], near)], schema=schema)
+    The least are aggregated before the shuffle and joined back, so that a bucket of any size
+    can be split.
+    """
+    placed = classes.select(F.explode("bands").alias("bucket"), "node")
+    least = cut(placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return placed.join(least, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b"))
 
-    return run
+
+def _admitted(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most `limit` bits."""
+    ends = pairs
+    for c in "ab":
+        ends = ends.join(nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}{x}") for x in _SKETCH)), c)
+    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _SKETCH), F.lit(0))
+    return ends.where(apart <= limit).select("a", "b")
 
 
 def nearest_across(node: np.ndarray, group: np.ndarray, sketch: np.ndarray, limit: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -191,8 +193,7 @@ def _whole_round(k: int, num: int, den: int, limit: int):
         for row, end, raw, at in tk.chunks(pa.array(pdf["text"], pa.large_string()), 1 << 18):
             hashes, first = tk.shingles(tk.words(raw, at), k)
             sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(end - row)]
-        some = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)  # a row that repeats a doc_id may be empty
-        links = forest_across(node[some], group[some], sketch[some], [sets[i] for i in some], limit, num, den) if len(some) else []
+        links = forest_across(node, group, sketch, sets, limit, num, den)
         return type(pdf)({c: np.array([x[i] for x in links], np.int64) for i, c in enumerate("ab")})
 
     return run
@@ -205,10 +206,10 @@ def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
     be left to test. Of buckets with the same members one is taken.
     """
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    known = members.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("cb", "b").alias("cb"))
+    known = cut(members.join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("cb", "b").alias("cb")))
     members_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")
     torn = known.groupBy("bucket").agg(F.count("*").alias("n"), members_of, F.max("cb").alias("most"), F.min("cb").alias("least")).where("most <> least")
-    torn = torn.groupBy("n", "mark").agg(F.min("bucket").alias("bucket"))
+    torn = cut(torn.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")))
     return known.join(torn.select("bucket", "n"), "bucket").select("bucket", "n", F.col("b").alias("node"), F.col("cb").alias("component"))
 
 
@@ -249,57 +250,64 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
-def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) confirmed on full sets; a leader's pairs are dealt over salts, its text once to each."""
-    salted = pairs.select("a", "b", (F.pmod(F.xxhash64("b"), F.lit(64))).cast("int").alias("salt"))
-    parts = salted.select(F.col("a").alias("key"), "salt", F.col("b").alias("id"))
-    parts = parts.unionByName(salted.select(F.col("a").alias("key"), "salt", F.col("a").alias("id")).distinct())
-    rows = texts.select(F.col("doc_id").alias("id"), "text").join(parts, "id")
-    rows = rows.withColumn("lead", F.when(F.col("id") == F.col("key"), 0).otherwise(1))
+    salted = pairs.select("a", "b", (F.pmod(F.xxhash64("b"), F.lit(SALTS))).cast("int").alias("salt"))
+    parts = salted.select(F.col("a").alias("key"), "salt", F.col("b").alias("node"))
+    parts = parts.unionByName(salted.select(F.col("a").alias("key"), "salt", F.col("a").alias("node")).distinct())
+    rows = texts.join(parts.join(reps, "node"), "row")
+    rows = rows.withColumn("lead", F.when(F.col("node") == F.col("key"), 0).otherwise(1))
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "lead")
-    return dealt.select("key", "id", "text").mapInArrow(_confirm(k, num, den), "a long, b long")
+    return dealt.select("key", "node", "text").mapInArrow(_confirm(k, num, den), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str | None = None) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one per row of `docs` (doc_id, text); with `key`, that column of `docs` comes first.
 
     Documents link when den * |intersection| >= num * |union| of their sets of k-word
     shingles (words are runs without ASCII white space, A-Z lower-cased; fewer than k words
-    make one shingle). Null, empty and blank texts have no shingles, link with nothing and
-    are kept. component_id is the smallest doc_id that links reach. A null doc_id takes no
-    part: its component is null and it is kept. Rows that repeat a doc_id and its text get
-    equal answers; of rows that repeat a doc_id with different texts, each belongs to its
-    own set's class. Other columns of `docs` are not read.
+    make one shingle). Null, empty and blank texts have no shingles, link with nothing, have
+    their own doc_id as component and are kept. component_id is the smallest doc_id that
+    links reach, among rows that have one; it is null, and the row kept, if no row reached
+    has one. Rows that repeat a doc_id are documents of their own: one belongs to its own
+    text's component, and several may be kept. Given a `key` (a long that differs in all
+    rows), kept tells instead one row of each component: of the smallest doc_id, nulls last,
+    then the smallest key. Other columns of `docs` are not read.
     """
     threshold = num / den
     rows, limit = band_rows(threshold), sketch_limit(threshold)
-    schema = "doc_id long, n_shingles long, size long, digest binary, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "row long, doc_id long, n_shingles long, bytes long, node long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(key).alias("row")] if key else []))
+    given = (given if key else keyed(given, "row")).select("row", "doc_id", "text")
     prints = cut(spread(given).mapInArrow(_fingerprint(k, rows), schema))
-    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SKETCH))
+    classes = prints.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SKETCH))
     classes = cut(classes)
-    nodes = classes.select("node", *_SKETCH)
-    placed = classes.select(F.explode("bands").alias("bucket"), "node", *_SKETCH)
-    sorted_ = placed.repartition("bucket").sortWithinPartitions("bucket", "node")
-    members = cut(sorted_.mapInArrow(_first_round(limit), "bucket long, a long, b long, near boolean"))
-    # a class is one set, but only its smallest doc_id's text is needed to confirm
-    texts = given.where("doc_id is not null")
-    tested = cut(members.where("near and a <> b").select("a", "b").distinct())
-    found = cut(components(_links(texts, tested, k, num, den)))
+    nodes, reps, texts = classes.select("node", *_SKETCH), classes.select("node", "row"), given.select("row", "text")
+    members = cut(_led(classes))
+    tested = cut(_admitted(members.select("a", "b").distinct(), nodes, limit))
+    found = cut(components(_links(texts, reps, tested, k, num, den)))
     near = _dealt(_torn(members, found).join(nodes, "node"), F.ceil(F.col("n") / BLOCK).cast("long"))
     pairs = near.select("bucket", "i", "j", "node", "component", *_SKETCH).groupBy("bucket", "i", "j").applyInPandas(_nearest_round(limit, NEAREST), "a long, b long, more boolean")
     pairs = cut(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
     fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
-        found = cut(components(stars(found).unionByName(_links(texts, fresh, k, num, den))))
+        found = cut(components(stars(found).unionByName(_links(texts, reps, fresh, k, num, den))))
     if not pairs.where("more").isEmpty():
-        inside = cut(_torn(members, found).join(classes.select("node", "size", *_SKETCH), "node"))
-        sizes = inside.groupBy("bucket").agg(F.sum("size").alias("bytes"))
+        inside = cut(_torn(members, found).join(classes.select("node", "row", "bytes", *_SKETCH), "node"))
+        sizes = inside.groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
-        whole = _dealt(inside.join(sizes, "bucket").join(texts.select(F.col("doc_id").alias("node"), "text"), "node"), blocks)
+        whole = _dealt(inside.drop("bytes").join(sizes, "bucket").join(texts, "row"), blocks)
         rest = whole.select("bucket", "i", "j", "node", "component", *_SKETCH, "text").groupBy("bucket", "i", "j").applyInPandas(_whole_round(k, num, den, limit), "a long, b long")
         found = cut(components(stars(found).unionByName(rest)))
-    answer = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    joined = prints.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    label = classes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    label = label.join(label.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    joined = prints.select("row", "doc_id", "n_shingles", "node").join(label, "node", "left")
+    if key is None:
+        answer = joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        return answer.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    joined = cut(joined)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    chosen = joined.where("node is not null").groupBy("component").agg(first).select(F.col("first.row").alias("row"), F.lit(True).alias("chosen"))
+    answer = joined.join(chosen, "row", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return answer.select(F.col("row").alias(key), "doc_id", "n_shingles", component.alias("component_id"), (F.col("node").isNull() | F.col("chosen").isNotNull()).alias("kept"))

@@ -1,17 +1,15 @@
 """Secret scans by a recursive decoding worklist.
 
-Each layer of text is scanned with the same patterns; then its URL escapes, Unicode escapes,
-base64 tokens and compressed contents are unwrapped to further layers, until no new layer
-appears. Every layer carries, for each of its characters, the span of the document it came
+Each layer of text is scanned with the same patterns; then its URL and Unicode escapes (nested
+ones at once), base64 tokens and compressed contents are unwrapped to further layers, until no
+new layer appears. Every layer carries, for each of its characters, the span of the document it came
 from, so that findings are reported in code points of the document.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import codecs
 import hashlib
 import lzma
 import re
@@ -30,22 +28,32 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
+_ESCAPES, _HEX_DIGITS = (("%", 2), ("\\x", 2), ("\\u", 4), ("\\U", 8)), frozenset("0123456789abcdefABCDEF")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAP = re.compile(r"[\x20\t]*\r?\n[\x20\t>]*")
+_BLOCK = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}(?:{_WRAP.pattern}[A-Za-z0-9+/_-]{{16,}})*{_WRAP.pattern}[A-Za-z0-9+/_-]+={{0,2}}")
+#: How compressed streams begin: gzip, bzip2, xz and zlib.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_MAGIC_TEXT = re.compile(_MAGIC.pattern.decode("latin-1"))
+#: What a layer of bytes must hold to be scanned: the shortest finding has as many printable characters.
+_PLAIN = re.compile(rb"[\t\x20-\x7e]{11}")
+#: Bytes that no finding and no token holds, and the end of a line that a wrapped token may go on from.
+_BREAKS, _WRAPPED = [bytes([x]) for x in b",;(){}<>&|!?*#~`"], re.compile(rb"[A-Za-z0-9+/_-]{16}[\x20\t]*\r?\n")
 #: Compressed layers are inflated to their end in pieces of this many bytes and scanned line by line.
 PIECE = 1 << 20
-#: A longer line of one is scanned in parts that overlap, and it counts as cut.
+#: Longer lines of one are parted at a byte that no finding holds; one without any is scanned in parts that overlap, and counts as cut.
 LONGEST_LINE, OVERLAP = 8 << 20, 4096
 #: Compressions within each other that are followed; more count as cut.
 MOST_NESTED = 64
+#: Bytes that tell what data is, and whether two begin alike.
+HEAD = 256
 
 
 class Layer(NamedTuple):
-    text: str
-    starts: list[int] | None  # of each character, in the document; None: one span for all
-    ends: list[int] | None
+    text: str  # of bytes, one character each, but for the document itself
+    starts: list[int] | range | None  # of each character, in the document; None: one span for all
+    ends: list[int] | range | None
     span: tuple[int, int]
 
     def place(self, start: int, end: int) -> tuple[int, int]:
@@ -77,7 +85,7 @@ def _tool(data: bytes):
 
 def _head(pieces: Iterator[bytes], data: bytes = b"") -> bytes:
     """Data with as many further pieces as tell what it is."""
-    while len(data) < 6 and (more := next(pieces, None)) is not None:
+    while len(data) < HEAD and (more := next(pieces, None)) is not None:
         data += more
     return data
 
@@ -110,32 +118,40 @@ def _members(data: bytes, pieces: Iterator[bytes]) -> Iterator[bytes]:
                 data = next(pieces, None)
 
 
+def _parted(held: bytes) -> int:
+    """Where inflated data can be parted so that no finding or token lies across; 0 if nowhere."""
+    stop = held.rfind(b"\n")
+    while stop >= 0 and _WRAPPED.search(held, max(0, stop - 20), stop + 1):  # a token may go on in the next line
+        stop = held.rfind(b"\n", 0, stop)
+    if stop < 0 and len(held) > LONGEST_LINE:
+        stop = max(held.rfind(x) for x in _BREAKS)
+    return stop + 1
+
+
 def inflate(data: bytes) -> Iterator[tuple[str, bool]]:
-    """(text, cut): the contents of compressed data, compressed again or not, in pieces of whole lines."""
+    """(text, cut): the contents of compressed data, compressed again or not, in pieces that no finding or token lies across.
+
+    Data that inflates to what it began as (a cycle, or no compressed data after all) is not followed.
+    """
     pieces, head, depth = iter(()), data, 0
     while depth < MOST_NESTED and _tool(head) is not None:
-        pieces = _members(head, pieces)
-        head, depth = _head(pieces), depth + 1
-    cut = depth == MOST_NESTED
-    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+        pieces, before, depth = _members(head, pieces), head[:HEAD], depth + 1
+        head = _head(pieces)
+        if head[:HEAD] == before:
+            depth = 0
+            break
+    cut, held = depth == MOST_NESTED, b""
     for piece in chain([head], pieces):
-        held += decoder.decode(piece)
-        stop = held.rfind("\n") + 1
-        if stop:
-            yield held[:stop], cut
+        held += piece
+        if len(held) < PIECE:
+            continue
+        if stop := _parted(held):
+            yield held[:stop].decode("latin-1"), cut
             held = held[stop:]
         elif len(held) > LONGEST_LINE:
-            yield held, True
+            yield held.decode("latin-1"), True
             held = held[-OVERLAP:]
-    yield held + decoder.decode(b"", True), cut
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    yield held.decode("latin-1"), cut
 
 
 def _line(text: str, start: int, end: int) -> tuple[int, int]:
@@ -143,85 +159,87 @@ def _line(text: str, start: int, end: int) -> tuple[int, int]:
     return text.rfind("\n", 0, start) + 1, len(text) if stop < 0 else stop
 
 
-def _pieces(kind: re.Pattern, match: re.Match) -> list[tuple[str, int, int]]:
-    """The characters an escape run stands for, each with the part of the run it came from."""
-    if kind is _URL:
-        data = bytes.fromhex(match[0].replace("%", ""))
-        out, at = [], 0
-        while at < len(data):
-            width = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            try:
-                char = data[at : at + width].decode("utf-8")
-            except UnicodeDecodeError:
-                width, char = 1, "�"
-            out.append((char, match.start() + 3 * at, match.start() + 3 * (at + width)))
-            at += width
-        return out
-    out = []
-    for m in _ESCAPE.finditer(match[0]):
-        point = int(m[1] or m[2] or m[3], 16)
-        s, e = match.start() + m.start(), match.start() + m.end()
-        if 0xDC00 <= point < 0xE000 and out and len(out[-1][0]) == 1 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
-            high = ord(out[-1][0])
-            out[-1] = (chr(0x10000 + (high - 0xD800) * 0x400 + point - 0xDC00), out[-1][1], e)
-        else:
-            out.append((chr(point) if point < 0x110000 else "�", s, e))
+def unescaped(text: str) -> list[tuple[str, int, int]]:
+    """(character, start, end): the text without URL and Unicode escapes, those that unescaping makes included.
+
+    Characters go on a stack; where the top completes an escape, its character takes the
+    escape's place and may complete another. So nested escapes of any depth take one pass.
+    Bytes stay characters of their own.
+    """
+    out: list[tuple[str, int, int]] = []
+    for i, char in enumerate(text):
+        item = (char, i, i + 1)
+        while True:
+            out.append(item)
+            if item[0] not in _HEX_DIGITS:
+                break
+            for opening, digits in _ESCAPES:
+                n = len(opening) + digits
+                if len(out) >= n and all(out[k - n][0] == opening[k] for k in range(len(opening))) and all(x[0] in _HEX_DIGITS for x in out[len(out) - digits :]):
+                    point = int("".join(x[0] for x in out[len(out) - digits :]), 16)
+                    item = (chr(point) if point < 0x110000 else "\ufffd", out[-n][1], max(x[2] for x in out[-n:]))
+                    del out[-n:]
+                    break
+            else:
+                break
     return out
 
 
-def _unescaped(layer: Layer, kind: re.Pattern) -> Iterator[Layer]:
-    """Per line with escapes, the line without them."""
-    matches = list(kind.finditer(layer.text))
-    k = 0
-    while k < len(matches):
-        begin, stop = _line(layer.text, *matches[k].span())
-        chars, starts, ends, at = [], [], [], begin
-
-        def keep(until: int) -> None:
-            for i in range(at, until):  # noqa: B023
-                s, e = layer.place(i, i + 1)
-                chars.append(layer.text[i])  # noqa: B023
-                starts.append(s)  # noqa: B023
-                ends.append(e)  # noqa: B023
-
-        while k < len(matches) and matches[k].start() < stop:
-            keep(matches[k].start())
-            for char, s, e in _pieces(kind, matches[k]):
-                s, e = layer.place(s, e)
-                chars.append(char)
-                starts.append(s)
-                ends.append(e)
-            at = matches[k].end()
-            k += 1
-        keep(stop)
-        if layer.starts is None:
-            yield Layer("".join(chars), None, None, layer.span)
-        else:
-            yield Layer("".join(chars), starts, ends, layer.span)
+def _unescaped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """Per line with escapes, the line without them; and what is compressed in its words."""
+    at = 0
+    while (found := _ESCAPED.search(layer.text, at)) is not None:
+        begin, at = _line(layer.text, *found.span())
+        chars = unescaped(layer.text[begin:at])
+        places = [layer.place(begin + s, begin + e) for _, s, e in chars]
+        line = "".join(c for c, _, _ in chars)
+        inner = Layer(line, None if layer.starts is None else [s for s, _ in places], None if layer.starts is None else [e for _, e in places], layer.span)
+        yield inner, False
+        for m in _MAGIC_TEXT.finditer(line):  # bytes of a compressed stream, up to the next white space that was not escaped
+            stop = next((k for k in range(m.start(), len(chars)) if chars[k][0] in " \t" and chars[k][2] - chars[k][1] == 1), len(chars))
+            data = line[m.start() : stop].encode("latin-1", "replace")
+            span = inner.place(m.start(), stop)
+            yield from ((Layer(text, None, None, span), cut) for text, cut in inflate(data))
+
+
+def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(body, start, end) of runs of base64 characters, and of runs wrapped over lines as one."""
+    for m in _RUN.finditer(text):
+        yield m[0], *m.span()
+    for m in _BLOCK.finditer(text):
+        runs = _WRAP.split(m[0])
+        if len(runs) > 2 or len(runs[0]) >= 16:
+            yield "".join(runs), *m.span()
 
 
 def _unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """Contents of base64 tokens, inflated if compressed."""
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        span = layer.place(*m.span())
-        if _tool(data) is not None:
-            yield from ((Layer(text, None, None, span), cut) for text, cut in inflate(data))
-        elif (text := _readable(data)) is not None:
-            yield Layer(text, None, None, span), False
+    """Contents of base64 tokens at each of the four alignments, inflated where they are compressed."""
+    for token, start, end in _tokens(layer.text):
+        body = token.rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(min(4, len(body) - 11)):
+            whole = len(body) - (len(body) - skip) % 4 if (len(body) - skip) % 4 == 1 else len(body)
+            data = base64.b64decode(body[skip:whole] + "=" * (-(whole - skip) % 4))
+            if layer.starts is None or end - start != len(token):
+                span = layer.place(start, end)  # wrapped, or of one span
+            else:
+                span = layer.place(start + skip, end)
+            at = 0
+            while (m := _MAGIC.search(data, at)) is not None:
+                inflated = False
+                for text, cut in inflate(data[m.start() :]):
+                    inflated |= text.encode("latin-1") != data[m.start() : m.start() + len(text)]
+                    yield Layer(text, None, None, span), cut
+                at = len(data) if inflated else m.start() + 1
+            plain = data.replace(b"\0", b"")  # of UTF-16 and UTF-32, too
+            if _PLAIN.search(plain):
+                yield Layer(plain.decode("latin-1"), None, None, span), False
 
 
 class Scan(NamedTuple):
     base: list[tuple[str, int, int]]
     spans: list[tuple[str, int, int]]
     layers: int
-    cut: bool
+    torn: list[tuple[int, int]]  # spans of layers that were not scanned whole
 
 
 def _order(found) -> list[tuple[str, int, int]]:
@@ -231,13 +249,10 @@ def _order(found) -> list[tuple[str, int, int]]:
 def scan(text: str) -> Scan:
     """All findings of a text: base ones, and those of every layer mapped back."""
     base = base_findings(text)
-    found, seen, cut, layers = set(base), set(), False, 0
+    found, seen, torn, layers = set(base), set(), set(), 0
 
     def nested(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-        for pattern, sign in ((_URL, "%"), (_UNICODE, "\\")):
-            if sign in layer.text:
-                yield from ((x, False) for x in _unescaped(layer, pattern))
-        yield from _unwrapped(layer)
+        return chain(_unescaped(layer), _unwrapped(layer))
 
     work = [nested(Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text))))]
     while work:  # one layer of each depth at a time
@@ -245,7 +260,8 @@ def scan(text: str) -> Scan:
         if inner is None:
             work.pop()
             continue
-        cut |= over
+        if over:
+            torn.add(inner.span)
         mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.span, inner.starts[0] if inner.starts else None)
         if mark in seen:
             continue
@@ -253,7 +269,7 @@ def scan(text: str) -> Scan:
         layers += 1
         found.update((kind, *inner.place(s, e)) for kind, s, e in base_findings(inner.text))
         work.append(nested(inner))
-    return Scan(_order(base), _order(found), layers, cut)
+    return Scan(_order(base), _order(found), layers, sorted(torn))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[REDACTED]") -> str:
@@ -270,29 +286,31 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, cut, redacted), one per row of `docs` (doc_id, text).
+def scan_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, cut, redacted, the carried columns of `docs`), one per row of `docs` (doc_id, text).
 
     Counts and base_sha256 hold the base findings; spans all findings, those of decoded
     layers at the span of the document that encodes them; redacted is the text without
     them. A null text counts as empty (its redacted text is null). Repeated rows get equal
-    answers; doc_id may be null. cut tells of a compressed layer with a line
-    over LONGEST_LINE or over MOST_NESTED compressions.
+    answers; doc_id may be null. cut tells of a compressed layer that was not scanned whole: a
+    line over LONGEST_LINE without a byte to part it at, or over MOST_NESTED compressions;
+    redacted lacks its whole token then.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("cut", pa.bool_()), ("redacted", pa.string())])
+    out = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("cut", pa.bool_()), ("redacted", pa.string())]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            schema = pa.schema([*out, *(batch.schema.field(2 + i) for i in range(len(carry)))])
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 scans = [scan(t or "") for t in texts]
                 counts = [[sum(x[0] == k for x in s.base) for s in scans] for k in KINDS]
                 digests = [hashlib.sha256(_joined(s.base).encode()).hexdigest() for s in scans]
-                clean = [redact(t, s.spans) if t and s.spans else t for t, s in zip(texts, scans)]
-                columns = [*counts, digests, [_joined(s.spans) for s in scans], [s.layers for s in scans], [s.cut for s in scans], clean]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns))], schema=schema)
+                clean = [redact(t, [*s.spans, *(("cut", *x) for x in s.torn)]) if t and (s.spans or s.torn) else t for t, s in zip(texts, scans)]
+                columns = [*counts, digests, [_joined(s.spans) for s in scans], [s.layers for s in scans], [bool(s.torn) for s in scans], clean]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns)), *part.columns[2:]], schema=schema)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, n_layers long, cut boolean, redacted string"])
-    return spread(given).mapInArrow(run, out)
+    carried = "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in carry)
+    return spread(given).mapInArrow(run, ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, n_layers long, cut boolean, redacted string"]) + carried)

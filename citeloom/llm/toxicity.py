@@ -303,8 +303,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
     return pickle.loads(made["net"]) if made else None
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one per row of `docs` (doc_id, text).
+def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted, the carried columns of `docs`), one per row of `docs` (doc_id, text).
 
     Learns from the labels of rows whose crc32(doc_id) mod 4 is not 2, on the bounded sample
     of training_rows(); scores read the whole text alone. Null, empty and blank texts, and
@@ -312,10 +312,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     their windows. A null doc_id is not held out. Repeated rows get equal scores.
     """
     net = trained(docs, labels)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+    out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("_text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            schema = pa.schema([*out, *(batch.schema.field(3 + i) for i in range(len(carry)))])
             for row, end, raw, at in tk.chunks(batch.column(2)):
                 score = np.zeros(end - row)
                 if net is not None:
@@ -323,7 +325,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     some = np.isfinite(logits)
                     score[some] = net.probability(logits[some])
                 head = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *head.columns[3:]], schema=schema)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return spread(given).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    carried = "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in carry)
+    return spread(given).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + carried)
