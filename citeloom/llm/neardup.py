@@ -32,7 +32,7 @@ from citeloom.llm.runtime import cut, keyed, spread
 SAMPLES = 120
 SKETCH_BITS = 256
 MISS = 1e-5
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 SALTS = 64
 NEAREST = 4
 _rng = np.random.default_rng(7)
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         found = cut(components(stars(found).unionByName(_links(texts, reps, fresh, k, num, den))))
     if not pairs.where("more").isEmpty():
         inside = cut(_torn(members, found).join(classes.select("node", "row", "bytes", *_SKETCH), "node"))
-        sizes = inside.groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+        sizes = cut(inside.groupBy("bucket").agg(F.sum("bytes").alias("bytes")))
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
         whole = _dealt(inside.drop("bytes").join(sizes, "bucket").join(texts, "row"), blocks)
         rest = whole.select("bucket", "i", "j", "node", "component", *_SKETCH, "text").groupBy("bucket", "i", "j").applyInPandas(_whole_round(k, num, den, limit), "a long, b long")
