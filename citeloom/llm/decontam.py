@@ -1,12 +1,12 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations alone.
 
-One pass counts how often each benchmark term occurs in the training texts. Each window of
-a benchmark item (`size` consecutive words, or the whole of a shorter item) names its rarest
-term, and each item its rarest terms, so many that any place with half of its words has two
-of them. A second pass stores the index: per document the positions of these terms, beside
-the words of the documents that have any. Postings, less the term's offset in an item, name
-the places where the item could stand. At the equal places of windows' terms the item's words
-are compared with the document's, which gives the windows that occur (phrase matches); the
+One pass counts how often each benchmark term occurs in the training texts. Windows of the
+benchmark items (`size` consecutive words, or the whole of a shorter item) with the same words
+are one gram, which names its two rarest terms; each item names its rarest terms, so many that
+any place with half of its words has two of them. A second pass stores the index: per document
+the positions of these terms, beside the words of the documents that have any. Postings, less
+the term's offset, name the places where a gram or an item could stand. The lists of a gram's
+two terms are intersected, and where they meet all its words are looked up (phrase matches); the
 lists of items' terms are intersected with a slop, and where two meet the words are compared
 with the same slop (proximity matches).
 """
@@ -24,8 +24,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Places by which words of a proximity match may be shifted against each other.
 SLOP = 2
-#: Distinct benchmark terms up to which they are broadcast; beyond, the joins shuffle.
-BROADCAST_TERMS = 200_000
+#: Words of all benchmark items up to which their terms and places are broadcast (some 10 MB); beyond, the joins shuffle.
+BROADCAST_WORDS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -33,17 +33,18 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(item, at, terms): every window of every item that has words."""
+    """(item, terms): every window of every item that has words."""
     n = F.size("words")
     starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array(F.lit(0)))
-    return items.where(n > 0).select("item", "words", F.explode(starts).alias("at")).select("item", "at", F.slice("words", F.col("at") + 1, size).alias("terms"))
+    return items.where(n > 0).select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at") + 1, size).alias("terms"))
 
 
-def rare_places(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """(term, item, offset): the places in items of each window's rarest training term; windows with a term that never occurs are out."""
-    terms = item_windows(items, size).select("item", "at", F.posexplode("terms").alias("i", "term")).join(counts, "term", "left")
-    best = terms.groupBy("item", "at").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "i")).alias("best"))
-    return best.where("best.n > 0").select(F.col("best.term").alias("term"), "item", (F.col("at") + F.col("best.i")).alias("offset")).distinct()
+def gram_places(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, length, which, term, offset): the places of the two rarest training terms of each gram, of the one of a single word; grams with a term that never occurs are out."""
+    terms = grams.select("gram", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(counts, "term")
+    order = Window.partitionBy("gram").orderBy("n", "term", "offset")
+    ranked = terms.withColumns({"which": F.row_number().over(order), "known": F.count("*").over(Window.partitionBy("gram"))})
+    return ranked.where("which <= 2 and known = length").select("gram", "length", "which", "term", "offset")
 
 
 def near_need(length: Column) -> Column:
@@ -66,7 +67,7 @@ def near_places(items: DataFrame, counts: DataFrame) -> DataFrame:
 def build_index(documents: DataFrame, terms: DataFrame, near: DataFrame, few: bool) -> DataFrame:
     """(row, doc_id, n_words, words, postings, near): postings [(term, pos)] of the given terms, near those of the others; words are kept where there are any.
 
-    `few` tells that the terms' number is within BROADCAST_TERMS, so that they can be matched by a literal set.
+    `few` tells that the terms' number is bounded by BROADCAST_WORDS, so that they can be matched by a literal set.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
     kinds = {"postings": terms, "near": near}
@@ -87,34 +88,24 @@ def build_index(documents: DataFrame, terms: DataFrame, near: DataFrame, few: bo
     return stored(found.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), kept, "postings", "near"), "postings")
 
 
-def _runs(same: Column, need: Column) -> Column:
-    """Starts of the windows of `need` places that are all true in the boolean array."""
-    length = F.aggregate(
-        same,
-        F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs")),
-        lambda acc, x: F.struct(F.when(x, acc["run"] + 1).otherwise(0).alias("run"), F.concat(acc["runs"], F.array(F.when(x, acc["run"] + 1).otherwise(0))).alias("runs")),
-        lambda acc: acc["runs"],
-    )
-    ends = F.filter(F.transform(length, lambda r, i: F.when(r >= need, i - need + 1)), lambda s: s.isNotNull())
-    return ends
-
-
-def matches(index: DataFrame, items: DataFrame, places: DataFrame, size: int, bounded: bool) -> DataFrame:
-    """(row, item, begin, windows, need): where windows of items occur in documents.
+def matches(index: DataFrame, grams: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
+    """(row, gram, begin, length): where grams occur in documents.
 
-    begin is the document position of the item's first word (it may be negative), windows
-    the item positions of windows that occur, need their length.
+    The offset-adjusted lists of a gram's two rarest terms are intersected first. What is left
+    has all its words looked up, by document and position: word by word, so that neither a
+    document nor a gram that many places have in common is ever copied to each of them.
     """
     hint = F.broadcast if bounded else (lambda x: x)
-    whole = places.join(items, "item").select("term", "item", "offset", F.col("words").alias("phrase"))
-    posts = index.where(F.size("postings") > 0).select("row", "words", F.explode("postings").alias("p")).select("row", "words", "p.term", "p.pos")
-    spots = posts.join(hint(whole), "term").select("row", "words", "item", "phrase", (F.col("pos") - F.col("offset")).alias("begin"))
-    same = F.transform("phrase", lambda w, j: F.coalesce(F.get("words", F.col("begin") + j) == w, F.lit(False)))
-    need = F.least(F.lit(size), F.size("phrase"))
-    # an item that stands at a place is found by several postings: equal rows collapse here
-    seen = spots.select("row", "item", "begin", same.alias("same"), need.alias("need"))
-    aligned = F.size(F.filter("same", lambda x: x))
-    return seen.where(aligned >= F.least(F.lit(2), "need")).select("row", "item", "begin", _runs(F.col("same"), F.col("need")).alias("windows"), "need")
+    posts = index.select("row", "n_words", F.explode("postings").alias("p")).select("row", "n_words", "p.term", "p.pos")
+    begin = F.col("pos") - F.col("offset")
+    spots = posts.join(hint(places), "term").select("row", "n_words", "gram", "length", "which", begin.alias("begin")).where("begin >= 0 and begin + length <= n_words")
+    met = spots.groupBy("row", "gram", "begin", "length").agg(F.bit_or("which").alias("lists"))
+    found = stored(met.where("lists = 3 or lists = 1 and length = 1").select("row", "gram", "begin", "length"), "candidates")
+    wanted = found.join(grams, "gram").select("row", "gram", "begin", "length", F.posexplode("terms").alias("j", "term"))
+    wanted = wanted.withColumn("pos", F.col("begin").cast("int") + F.col("j")).drop("j")
+    there = index.join(found.select("row").distinct(), "row", "left_semi").select("row", F.posexplode("words").alias("pos", "term"))
+    same = wanted.join(there, ["row", "pos", "term"]).groupBy("row", "gram", "begin", "length").count()
+    return same.where("count = length").drop("count")
 
 
 def near_matches(index: DataFrame, items: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
@@ -123,30 +114,32 @@ def near_matches(index: DataFrame, items: DataFrame, places: DataFrame, bounded:
     place is the first of these (it may be negative), aligned the number of different words of the item that stand there, each at a word of the document of its own.
     """
     hint = F.broadcast if bounded else (lambda x: x)
-    whole = items.select("item", F.col("words").alias("phrase"))
-    posts = index.where(F.size("near") > 0).select("row", F.explode("near").alias("p")).select("row", "p.term", "p.pos")
-    begins = posts.join(hint(places), "term").groupBy("row", "item").agg(F.sort_array(F.collect_list(F.col("pos") - F.col("offset"))).alias("begins"))
-    alone = items.where(near_need(F.size("words")) < 2).select("item", F.lit(True).alias("alone"))
-    begins = begins.join(hint(alone), "item", "left")
-    met = F.filter("begins", lambda b, i: F.col("alone").isNotNull() | F.coalesce(F.get("begins", i + 1) - b <= SLOP, F.lit(False)))
-    spots = begins.select("row", "item", F.explode(F.array_distinct(met)).alias("begin"))
-    spots = spots.join(index.select("row", "words"), "row").join(hint(whole), "item")
+    posts = index.select("row", F.explode("near").alias("p")).select("row", "p.term", "p.pos")
+    begins = posts.join(hint(places), "term").groupBy("row", "item", (F.col("pos") - F.col("offset")).alias("begin")).count()
+    alone = items.select("item", (near_need(F.size("words")) < 2).alias("alone"))
+    after = F.lead("begin").over(Window.partitionBy("row", "item").orderBy("begin"))
+    begins = begins.withColumn("after", after).join(hint(alone), "item")
+    spots = begins.where(F.col("alone") | (F.col("count") > 1) | (F.col("after") - F.col("begin") <= SLOP))
+    spots = spots.groupBy("row", "item").agg(F.collect_list("begin").alias("begins"))  # at most as many as both have words
+    spots = spots.join(index.select("row", "words"), "row").join(items.select("item", F.col("words").alias("phrase")), "item")
     shifts = F.array(*(F.lit(s) for s in range(-SLOP, SLOP + 1)))
-    stand = F.flatten(
-        F.transform(
-            "phrase",
-            lambda w, j: F.transform(F.filter(shifts, lambda s: F.coalesce(F.get("words", F.col("begin") + j + s) == w, F.lit(False))), lambda s: F.struct(s.alias("s"), j.alias("j"), (F.col("begin") + j + s).alias("p"))),
-        )
-    )
-    spots = spots.select("row", "item", "begin", near_need(F.size("phrase")).alias("need"), stand.alias("stand"))
 
-    def fit(first: int) -> Column:
-        some = F.filter("stand", lambda x: (x["s"] >= first) & (x["s"] <= first + SLOP))
+    def stand(begin: Column) -> Column:
+        """(s, j, p): the words j of the item that stand at p, s beside their place."""
+        word = lambda w, j: F.transform(F.filter(shifts, lambda s: F.coalesce(F.get("words", begin + j + s) == w, F.lit(False))), lambda s: F.struct(s.alias("s"), j.alias("j"), (begin + j + s).alias("p")))
+        return F.flatten(F.transform("phrase", word))
+
+    def fit(begin: Column, standing: Column, first: int) -> Column:
+        some = F.filter(standing, lambda x: (x["s"] >= first) & (x["s"] <= first + SLOP))
         words = F.least(*(F.size(F.array_distinct(F.transform(some, lambda x: x[k]))) for k in ("j", "p")))  # noqa: B023
-        return F.struct(words.alias("aligned"), (-F.col("begin") - F.array_min(F.transform(some, lambda x: x["s"]))).alias("before"))
+        return F.struct(words.alias("aligned"), (-begin - F.array_min(F.transform(some, lambda x: x["s"]))).alias("before"))
+
+    def best(begin: Column) -> Column:
+        fits = F.transform(F.array(stand(begin)), lambda x: F.greatest(*(fit(begin, x, first) for first in range(-SLOP, 1))))
+        return F.get(fits, F.lit(0))
 
-    best = spots.select("row", "item", "need", F.greatest(*(fit(first) for first in range(-SLOP, 1))).alias("best"))
-    return best.where("best.aligned >= need").groupBy("row", "item").agg(F.max("best").alias("best")).select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
+    tried = spots.select("row", "item", near_need(F.size("phrase")).alias("need"), F.array_max(F.transform("begins", best)).alias("best"))
+    return tried.where("best.aligned >= need").select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -164,26 +157,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = stored(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    bounded = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
     vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    bounded = vocabulary.count() <= BROADCAST_TERMS
+    windows = item_windows(items, size)
+    grams = stored(windows.select("terms").distinct().withColumn("gram", F.monotonically_increasing_id()), "grams")
+    owners = windows.join(grams, "terms").join(items.select("item", "item_id"), "item").select("gram", "item_id").distinct()
     given = spread(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     tokens = given.select(F.explode(words_of(F.col("text"))).alias("term"))
     hint = F.broadcast if bounded else (lambda x: x)
     counts = stored(tokens.join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    places = stored(rare_places(items, counts, size), "places")
+    places = stored(gram_places(grams, counts), "places")
     close = stored(near_places(items, counts), "close")
     index = build_index(given, places.select("term").distinct(), close.select("term").distinct(), bounded)
     names = items.select("item", "item_id")
-    found = matches(index, items, places, size, bounded).where(F.size("windows") > 0).join(hint(names), "item")
-    hit = F.flatten(F.transform("windows", lambda s: F.sequence(F.col("begin") + s, F.col("begin") + s + F.col("need") - 1)))
-    spots = found.select("row", F.array_distinct(hit).alias("hit"), "item_id")
-    per_row = spots.groupBy("row").agg(F.flatten(F.collect_set("hit")).alias("hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    per_row = per_row.select("row", F.size(F.array_distinct("hit")).cast("long").alias("n_hit"), "items")
+    found = stored(matches(index, grams, places, bounded), "matches")
+    hit = found.select("row", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1)).alias("pos")).distinct()
+    hit = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
+    ids = found.select("row", "gram").distinct().join(owners, "gram").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    per_row = hit.join(ids, "row")
     nearby = near_matches(index, items, close, bounded).join(hint(names), "item")
     nearby = nearby.groupBy("row", "item_id").agg(F.min_by("place", F.struct(-F.col("aligned"), "place")).alias("place"))
     nearby = nearby.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "place"))).alias("near"))
     joined = index.select("row", "doc_id", "n_words").join(per_row, "row", "left").join(nearby, "row", "left")
-    hits, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    hits, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     near = F.coalesce("near", F.array().cast("array<struct<item_id:string,place:int>>"))
     return joined.select(
         "doc_id",
