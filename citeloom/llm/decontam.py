@@ -1,14 +1,13 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations alone.
 
-One pass counts how often each benchmark term occurs in the training texts. Windows of the
-benchmark items (`size` consecutive words, or the whole of a shorter item) with the same words
-are one gram, which names its two rarest terms; each item names its rarest terms, so many that
-any place with half of its words has two of them. A second pass stores the index: per document
-the positions of these terms, beside the words of the documents that have any. Postings, less
-the term's offset, name the places where a gram or an item could stand. The lists of a gram's
-two terms are intersected, and where they meet all its words are looked up (phrase matches); the
-lists of items' terms are intersected with a slop, and where two meet the words are compared
-with the same slop (proximity matches).
+The index is stored as rows: document, position and term of all words that the benchmark knows.
+Windows of the benchmark items (`size` consecutive words, or the whole of a shorter item) with
+the same words are one gram, which names its two rarest terms. Their postings, less the term's
+offset, name the places where the gram could stand; the two lists are intersected, and where
+they meet all the gram's words are looked up in the index (phrase matches). Each item names its
+rarest terms, so many that any place with half of its words has two of them; their lists are
+intersected with a slop, and where two meet the words are compared with the same slop
+(proximity matches).
 """
 
 from __future__ import annotations
@@ -16,34 +15,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.runtime import spread, stored
+from citeloom.llm.runtime import keyed, spread, stored
 
-#: A word, before lower-casing; A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Places by which words of a proximity match may be shifted against each other.
 SLOP = 2
 #: Words of all benchmark items up to which their terms and places are broadcast (some 10 MB); beyond, the joins shuffle.
 BROADCAST_WORDS = 200_000
+#: Documents with candidates up to which their row numbers are broadcast (some 10 MB), so that others' words are not shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text. Splitting is some fifteen times as fast as extracting matches, and lower() as translate()."""
+    plain = F.length(text) == F.octet_length(text)
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(item, terms): every window of every item that has words."""
+    """(item, words): every window of every item that has words."""
     n = F.size("words")
     starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array(F.lit(0)))
-    return items.where(n > 0).select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at") + 1, size).alias("terms"))
+    return items.where(n > 0).select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at") + 1, size).alias("words"))
 
 
-def gram_places(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gram, length, which, term, offset): the places of the two rarest training terms of each gram, of the one of a single word; grams with a term that never occurs are out."""
-    terms = grams.select("gram", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(counts, "term")
+def gram_places(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, length, which, term, offset): of words (gram, length, offset, term) each gram's two rarest in training, or its only one; grams with a term that never occurs are out."""
     order = Window.partitionBy("gram").orderBy("n", "term", "offset")
-    ranked = terms.withColumns({"which": F.row_number().over(order), "known": F.count("*").over(Window.partitionBy("gram"))})
+    ranked = words.join(counts, "term").withColumns({"which": F.row_number().over(order), "known": F.count("*").over(Window.partitionBy("gram"))})
     return ranked.where("which <= 2 and known = length").select("gram", "length", "which", "term", "offset")
 
 
@@ -52,76 +55,51 @@ def near_need(length: Column) -> Column:
     return F.greatest(F.ceil(length / 2), F.least(F.lit(2), length)).cast("int")
 
 
-def near_places(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, item, offset): each item's rarest training terms.
+def near_places(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, length, offset, term): of words (item, length, offset, term) each item's rarest in training.
 
     They are so many that near_need() words always hold two of them, or one if one is needed.
     """
-    length = F.size("words")
-    most = length - near_need(length) + F.least(F.lit(2), near_need(length))
-    terms = items.select("item", most.alias("most"), F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+    need = near_need(F.col("length"))
     order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
-    return terms.withColumn("rank", F.row_number().over(order)).where("rank <= most and n > 0").select("term", "item", "offset")
+    ranked = words.join(counts, "term", "left").withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= F.col("length") - need + F.least(F.lit(2), need)) & (F.col("n") > 0)).select("item", "length", "offset", "term")
 
 
-def build_index(documents: DataFrame, terms: DataFrame, near: DataFrame, few: bool) -> DataFrame:
-    """(row, doc_id, n_words, words, postings, near): postings [(term, pos)] of the given terms, near those of the others; words are kept where there are any.
+def _holding(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `table` that are among `rows` (row): known by a broadcast if a count shows that they are few enough."""
+    rows = stored(rows.distinct(), "rows")
+    return table.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
 
-    `few` tells that the terms' number is bounded by BROADCAST_WORDS, so that they can be matched by a literal set.
-    """
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    kinds = {"postings": terms, "near": near}
-    if few:
-        placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-        found = rows
-        for name, some in kinds.items():
-            wanted = [r["term"] for r in some.collect()]
-            found = found.withColumn(name, F.filter(placed, lambda p: p["term"].isin(wanted)))  # noqa: B023
-    else:
-        rows = stored(rows, "tokens")  # so that row numbers hold in both uses
-        found = rows
-        for name, some in kinds.items():
-            hits = rows.select("row", F.posexplode("words").alias("pos", "term")).join(some, "term", "left_semi")
-            lists = hits.groupBy("row").agg(F.collect_list(F.struct("term", "pos")).alias(name))
-            found = found.join(lists, "row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<term:string,pos:int>>")))
-    kept = F.when((F.size("postings") > 0) | (F.size("near") > 0), F.col("words")).alias("words")
-    return stored(found.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), kept, "postings", "near"), "postings")
-
-
-def matches(index: DataFrame, grams: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
-    """(row, gram, begin, length): where grams occur in documents.
+
+def matches(postings: DataFrame, words: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
+    """(row, gram, begin, length): where grams of `words` occur in documents.
 
     The offset-adjusted lists of a gram's two rarest terms are intersected first. What is left
-    has all its words looked up, by document and position: word by word, so that neither a
+    has all its words looked up in the postings, by document, position and term: so neither a
     document nor a gram that many places have in common is ever copied to each of them.
     """
     hint = F.broadcast if bounded else (lambda x: x)
-    posts = index.select("row", "n_words", F.explode("postings").alias("p")).select("row", "n_words", "p.term", "p.pos")
-    begin = F.col("pos") - F.col("offset")
-    spots = posts.join(hint(places), "term").select("row", "n_words", "gram", "length", "which", begin.alias("begin")).where("begin >= 0 and begin + length <= n_words")
-    met = spots.groupBy("row", "gram", "begin", "length").agg(F.bit_or("which").alias("lists"))
+    spots = postings.join(hint(places), "term").select("row", "gram", "length", "which", (F.col("pos") - F.col("offset")).alias("begin"))
+    met = spots.where("begin >= 0").groupBy("row", "gram", "begin", "length").agg(F.bit_or("which").alias("lists"))
     found = stored(met.where("lists = 3 or lists = 1 and length = 1").select("row", "gram", "begin", "length"), "candidates")
-    wanted = found.join(grams, "gram").select("row", "gram", "begin", "length", F.posexplode("terms").alias("j", "term"))
-    wanted = wanted.withColumn("pos", F.col("begin").cast("int") + F.col("j")).drop("j")
-    there = index.join(found.select("row").distinct(), "row", "left_semi").select("row", F.posexplode("words").alias("pos", "term"))
+    wanted = found.drop("length").join(words, "gram").withColumn("pos", F.col("begin") + F.col("offset"))
+    there = _holding(postings, found.select("row"))
     same = wanted.join(there, ["row", "pos", "term"]).groupBy("row", "gram", "begin", "length").count()
     return same.where("count = length").drop("count")
 
 
-def near_matches(index: DataFrame, items: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
-    """(row, item, place, aligned): where near_need() words of items stand in documents, their offset-adjusted places within SLOP of each other.
+def near_matches(postings: DataFrame, given: DataFrame, items: DataFrame, places: DataFrame, bounded: bool) -> DataFrame:
+    """(row, item, place, aligned): where near_need() words of items stand in documents (row, words), their offset-adjusted places within SLOP of each other.
 
     place is the first of these (it may be negative), aligned the number of different words of the item that stand there, each at a word of the document of its own.
     """
     hint = F.broadcast if bounded else (lambda x: x)
-    posts = index.select("row", F.explode("near").alias("p")).select("row", "p.term", "p.pos")
-    begins = posts.join(hint(places), "term").groupBy("row", "item", (F.col("pos") - F.col("offset")).alias("begin")).count()
-    alone = items.select("item", (near_need(F.size("words")) < 2).alias("alone"))
+    begins = postings.join(hint(places), "term").groupBy("row", "item", "length", (F.col("pos") - F.col("offset")).alias("begin")).count()
     after = F.lead("begin").over(Window.partitionBy("row", "item").orderBy("begin"))
-    begins = begins.withColumn("after", after).join(hint(alone), "item")
-    spots = begins.where(F.col("alone") | (F.col("count") > 1) | (F.col("after") - F.col("begin") <= SLOP))
-    spots = spots.groupBy("row", "item").agg(F.collect_list("begin").alias("begins"))  # at most as many as both have words
-    spots = spots.join(index.select("row", "words"), "row").join(items.select("item", F.col("words").alias("phrase")), "item")
+    spots = begins.withColumn("after", after).where((near_need(F.col("length")) < 2) | (F.col("count") > 1) | (F.col("after") - F.col("begin") <= SLOP))
+    spots = stored(spots.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "spots")  # at most as many as both have words
+    spots = spots.join(_holding(given, spots.select("row")), "row").join(items.select("item", F.col("words").alias("phrase")), "item")
     shifts = F.array(*(F.lit(s) for s in range(-SLOP, SLOP + 1)))
 
     def stand(begin: Column) -> Column:
@@ -142,15 +120,16 @@ def near_matches(index: DataFrame, items: DataFrame, places: DataFrame, bounded:
     return tried.where("best.aligned >= need").select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items, near), one per row of `docs` (doc_id, text).
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, proximity: bool = True) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, n_near, near), one per row of `docs` (doc_id, text).
 
     A document word inside any occurrence of a window of any item (item_id, text) is hit.
     items are the ids of items with occurring windows, as sorted strings; contaminated tells
     that n_hit > 0 and 20 * n_hit >= n_words. n_near counts items of which at least half the
     words, and two if it has two, stand aligned at one place, give or take SLOP words
     (proximity matches); near are their (item_id, place), the place being that of the item's
-    first word where most are aligned, before the document's first word if negative. Null and empty texts have
+    first word where most are aligned, before the document's first word if negative; both are
+    only given if `proximity` matches are sought. Null and empty texts have
     no words; items without words or with a null item_id (taken as the id `null`) are
     treated alike; rows that repeat an item_id count as one item with several texts. Rows of
     `docs` that repeat a doc_id get their own answers. Other columns are not read.
@@ -158,37 +137,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = stored(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
     bounded = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
-    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    windows = item_windows(items, size)
-    grams = stored(windows.select("terms").distinct().withColumn("gram", F.monotonically_increasing_id()), "grams")
-    owners = windows.join(grams, "terms").join(items.select("item", "item_id"), "item").select("gram", "item_id").distinct()
-    given = spread(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    tokens = given.select(F.explode(words_of(F.col("text"))).alias("term"))
     hint = F.broadcast if bounded else (lambda x: x)
-    counts = stored(tokens.join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    places = stored(gram_places(grams, counts), "places")
-    close = stored(near_places(items, counts), "close")
-    index = build_index(given, places.select("term").distinct(), close.select("term").distinct(), bounded)
-    names = items.select("item", "item_id")
-    found = stored(matches(index, grams, places, bounded), "matches")
+    vocabulary = stored(items.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
+    windows = item_windows(items, size)
+    grams = stored(windows.select("words").distinct().withColumn("gram", F.monotonically_increasing_id()), "grams")
+    terms = lambda table, key: table.select(key, F.size("words").alias("length"), F.posexplode("words").alias("offset", "word")).join(vocabulary, "word").drop("word")
+    gram_words = stored(terms(grams, "gram"), "gram-words")
+    owners = windows.join(grams, "words").join(items.select("item", "item_id"), "item").select("gram", "item_id").distinct()
+    given = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")), "row")
+    words = spread(given).select("row", words_of(F.col("text")).alias("words"))
+    postings = words.select("row", F.posexplode("words").alias("pos", "word")).join(hint(vocabulary), "word").select("row", "pos", "term")
+    postings = stored(postings, "postings")
+    counts = stored(postings.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    places = stored(gram_places(gram_words, counts), "places")
+    found = stored(matches(postings, gram_words, places, bounded), "matches")
     hit = found.select("row", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
     ids = found.select("row", "gram").distinct().join(owners, "gram").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    per_row = hit.join(ids, "row")
-    nearby = near_matches(index, items, close, bounded).join(hint(names), "item")
-    nearby = nearby.groupBy("row", "item_id").agg(F.min_by("place", F.struct(-F.col("aligned"), "place")).alias("place"))
-    nearby = nearby.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "place"))).alias("near"))
-    joined = index.select("row", "doc_id", "n_words").join(per_row, "row", "left").join(nearby, "row", "left")
+    per_row = stored(hit.join(ids, "row"), "hits")
+    # every row again, with its number of words; a broadcast of the few that are hit, if a count shows that they are few
+    heads = spread(given).select("row", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = heads.join(F.broadcast(per_row) if per_row.count() <= BROADCAST_ROWS // 10 else per_row, "row", "left")
     hits, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    near = F.coalesce("near", F.array().cast("array<struct<item_id:string,place:int>>"))
-    return joined.select(
+    out = [
         "doc_id",
         "n_words",
         hits.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"),
-        F.size(near).cast("long").alias("n_near"),
         ids.alias("items"),
-        near.alias("near"),
-    )
+    ]
+    if not proximity:
+        return joined.select(*out)
+    close = stored(near_places(terms(items, "item"), counts), "close")
+    nearby = near_matches(postings, words, items, close, bounded).join(items.select("item", "item_id"), "item")
+    nearby = nearby.groupBy("row", "item_id").agg(F.min_by("place", F.struct(-F.col("aligned"), "place")).alias("place"))
+    nearby = nearby.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "place"))).alias("near"))
+    near = F.coalesce("near", F.array().cast("array<struct<item_id:string,place:int>>"))
+    return joined.join(nearby, "row", "left").select(*out, F.size(near).cast("long").alias("n_near"), near.alias("near"))

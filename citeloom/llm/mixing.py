@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.runtime import stored
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPOCHS = 2
 #: Ranges of virtual time that entries are sorted in, up to time 1 and beyond it.
@@ -25,7 +25,7 @@ BINS = 1 << 13
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN), "")), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
