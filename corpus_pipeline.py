@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The rows of docs that are not contaminated by the benchmark's items."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = keyed(docs.select(*COLUMNS), "row")
-    found = contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    found = contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark, proximity=False)
     gone = found.where("contaminated").select(F.col("doc_id").alias("row"))
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
