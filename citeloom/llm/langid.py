@@ -9,6 +9,7 @@ scored by two matrix products.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -20,101 +21,89 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.runtime import held_out, spread
 
-#: Bounds of the training sample: labelled rows per language, and the longest text fitted on.
-TRAIN_PER_LANG = 300
-LANDMARKS_PER_LANG = 40
+#: Bounds of the training sample: rows of each language (about), rows and landmarks of all, and the characters of a text that it is fitted on.
+TRAIN_PER_LANG, TRAIN_ROWS = 375, 20_000
+LANDMARKS_PER_LANG, LANDMARKS = 40, 2_000
 TRAIN_CHARS = 20_000
-MOST_LANGS = 200
 RIDGE = 1e-2
 SHARPNESS = 6.0
-_BITS = 6
+#: Bits of a code point, and the symbol for what is no letter: n-grams of up to three symbols have codes of their own.
+_BITS, _MARK = 21, 1
 
 
 @cache
-def _is_letter() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+def _letters() -> np.ndarray:
+    """Code point -> itself if it is a letter, else the mark."""
+    return np.array([c if chr(c).isalpha() else _MARK for c in range(0x110000)], np.int64)
 
 
 class Model(NamedTuple):
-    symbols: np.ndarray  # code point -> symbol of 6 bits: 0 no letter, 1 a rare letter
-    column: np.ndarray  # n-gram code -> column, -1 if no landmark has it
-    grams: np.ndarray  # [column, landmark], over the root of the landmark's set size
+    known: np.ndarray  # sorted n-gram codes that landmarks have
+    grams: np.ndarray  # [known, landmark], over the root of the landmark's set size
     weights: np.ndarray  # [landmark, language]
     langs: list[str]
 
 
-def letter_symbols(texts: list[str]) -> np.ndarray:
-    """Symbols 2 to 63 for the commonest letters of the texts, 1 for other letters, 0 for the rest."""
-    table = _is_letter().astype(np.uint8)
-    points = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    seen, count = np.unique(points[table[points] > 0], return_counts=True)
-    common = seen[np.lexsort((seen, -count))][: 2**_BITS - 2]
-    table[common] = np.arange(2, 2 + len(common))
-    return table
+def gram_codes(text: str) -> np.ndarray:
+    """Sorted distinct codes of the n-grams of 1 to 3 letters, runs of non-letters counting as one mark; empty without letters."""
+    s = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = np.concatenate([[_MARK], s, [_MARK]])
+    s = s[np.concatenate([[True], (s[1:] != _MARK) | (s[:-1] != _MARK)])]
+    if len(s) < 2:
+        return np.zeros(0, np.int64)
+    two = (s[:-1] << _BITS) | s[1:]
+    three = (two[:-1] << _BITS) | s[2:]
+    return np.concatenate([np.unique(s), np.unique(two), np.unique(three)])  # each range is above the one before
 
 
-def gram_codes(text: str, symbols: np.ndarray) -> np.ndarray:
-    """Distinct codes of the n-grams of 1 to 3 letters, runs of non-letters counting as one mark; empty without letters."""
-    s = symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    if not s.any():
-        return np.zeros(0, np.int32)
-    three = np.unique((s[:-2] << 2 * _BITS) | (s[1:-1] << _BITS) | s[2:]) if len(s) > 2 else np.zeros(0, np.int32)
-    two = np.unique(np.concatenate([three >> _BITS, three & (2 ** (2 * _BITS) - 1)]))
-    one = np.unique(s)
-    return np.concatenate([three, two + 2 ** (3 * _BITS), one + 2 ** (3 * _BITS) + 2 ** (2 * _BITS)])
-
-
-def _presence(codes: list[np.ndarray], column: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(codes), width), np.float32)
+def _presence(codes: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), len(known)), np.float32)
     for i, c in enumerate(codes):
-        at = column[c]
-        out[i, at[at >= 0]] = 1
+        at = np.minimum(np.searchsorted(known, c), len(known) - 1)
+        out[i, at[known[at] == c]] = 1
     return out
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Fit on labelled texts; landmarks are each language's first texts with letters."""
-    symbols = letter_symbols(texts)
-    codes = [gram_codes(t, symbols) for t in texts]
+    codes = [gram_codes(t) for t in texts]
     rows = [i for i, c in enumerate(codes) if len(c)]
     names = sorted({langs[i] for i in rows})
     if not names:
-        return Model(symbols, np.full(2 ** (3 * _BITS + 1), -1, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)), [])
+        return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), [])
+    most = min(LANDMARKS_PER_LANG, max(1, LANDMARKS // len(names)))
     taken = dict.fromkeys(names, 0)
     landmarks = []
     for i in rows:
-        if taken[langs[i]] < LANDMARKS_PER_LANG:
+        if taken[langs[i]] < most:
             taken[langs[i]] += 1
             landmarks.append(i)
     known = np.unique(np.concatenate([codes[i] for i in landmarks]))
-    column = np.full(2 ** (3 * _BITS + 1), -1, np.int32)
-    column[known] = np.arange(len(known))
-    marks = _presence([codes[i] for i in landmarks], column, len(known))
+    marks = _presence([codes[i] for i in landmarks], known)
     grams = (marks / np.sqrt(marks.sum(1, keepdims=True))).T.copy()
     size = np.array([len(codes[i]) for i in rows], np.float64)
-    k = (_presence([codes[i] for i in rows], column, len(known)) @ grams) / np.sqrt(size)[:, None]
+    k = np.concatenate([_presence([codes[i] for i in rows[at : at + 256]], known) @ grams for at in range(0, len(rows), 256)]) / np.sqrt(size)[:, None]
     values, vectors = np.linalg.eigh((marks @ grams) / np.sqrt(marks.sum(1, keepdims=True)))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     phi = k @ root
     truth = np.where(np.array([langs[i] for i in rows])[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    balance = 1 / np.array([np.sum(truth[:, names.index(langs[i])] > 0) for i in rows])
+    number = {name: (truth[:, j] > 0).sum() for j, name in enumerate(names)}
+    balance = 1 / np.array([number[langs[i]] for i in rows])
     left = (phi * balance[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]) * balance.sum() / len(rows)
-    return Model(symbols, column, grams, root @ np.linalg.solve(left, (phi * balance[:, None]).T @ truth), names)
+    return Model(known, grams, root @ np.linalg.solve(left, (phi * balance[:, None]).T @ truth), names)
 
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Predicted language and score of each text."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
     for at in range(0, len(texts), 256):
-        codes = [gram_codes(t or "", model.symbols) for t in texts[at : at + 256]]
+        codes = [gram_codes(t or "") for t in texts[at : at + 256]]
         some = [i for i, c in enumerate(codes) if len(c)]
         if not some or not model.langs:
             continue
         size = np.array([len(codes[i]) for i in some], np.float64)
-        k = (_presence([codes[i] for i in some], model.column, len(model.grams)) @ model.grams) / np.sqrt(size)[:, None]
+        k = (_presence([codes[i] for i in some], model.known) @ model.grams) / np.sqrt(size)[:, None]
         margin = SHARPNESS * (k @ model.weights)
         odds = np.exp(margin - margin.max(1, keepdims=True))
         best = odds.argmax(1)
@@ -124,30 +113,36 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     return langs, scores
 
 
-def training_rows(docs: DataFrame) -> list:
-    """A bounded sample of labelled rows: about TRAIN_PER_LANG of each language, chosen by a hash of the text."""
-    open_ = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    fitting = open_.where(F.length("text") <= TRAIN_CHARS)
-    counts = fitting.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
-        return []
-    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000))
-    chosen = F.lit(0)
-    for row in counts:
-        chosen = F.when(F.col("lang") == row["lang"], F.lit(min(1_000_000, -(-1_000_000 * TRAIN_PER_LANG * 5 // 4 // row["count"])))).otherwise(chosen)
-    return fitting.where(part < chosen).select("text", "lang", F.xxhash64("text", "doc_id").alias("h")).orderBy("h", "text", "lang").limit(2 * TRAIN_PER_LANG * len(counts)).collect()
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(text, lang, h): a bounded sample of labelled rows, about TRAIN_PER_LANG of every language, fewer if they are many, by a hash of the text.
+
+    Of a text over TRAIN_CHARS its beginning is fitted on; predictions read whole texts.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    most = max(1, min(TRAIN_PER_LANG, TRAIN_ROWS // max(1, counts.count())))
+    h = F.xxhash64("text", "doc_id")
+    chosen = labelled.join(counts, "lang").where(F.pmod(h, F.lit(1_000_000)) * F.col("n") < 1_000_000 * most)
+    return chosen.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h"))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["h"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
+    model = fit([r[1] for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one per row of `docs` (doc_id, text, lang).
 
     Learns only from rows with text and lang whose crc32(doc_id) mod 4 is not 2, on the
-    bounded sample of training_rows(); predictions read the whole text alone. Null texts and
+    bounded sample of training_rows(), in one task; predictions read the whole text alone.
+    Every lang value with a text that has letters is learnt. Null texts and
     texts without a letter are `und` with score 0, and so is everything if no row is
     labelled. A null doc_id is not held out. Repeated rows get equal answers.
     """
-    rows = training_rows(docs)
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    made = training_rows(docs).coalesce(1).mapInArrow(_train, "model binary").first()
+    model = pickle.loads(made["model"]) if made else fit([], [])
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

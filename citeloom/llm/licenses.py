@@ -79,7 +79,7 @@ def patience(left: list, right: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates as word hashes, with their vocabularies joined in one sorted table of bit sets."""
+    """Templates as word hashes, with their vocabularies joined in one sorted table."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
@@ -87,9 +87,9 @@ class Scanner:
         w = tk.words(raw, at, tk.ALNUM)
         self.words = [w.hashes[w.first[i] : w.first[i + 1]] for i in range(len(templates))]
         self.vocabulary = np.unique(w.hashes)
-        self.bits = np.zeros(len(self.vocabulary) + 1, np.uint64)
+        self.member = np.zeros((len(templates), len(self.vocabulary) + 1), bool)
         for i, hashes in enumerate(self.words):
-            self.bits[np.searchsorted(self.vocabulary, np.unique(hashes))] |= np.uint64(1 << i)
+            self.member[i, np.searchsorted(self.vocabulary, np.unique(hashes))] = True
 
     def matches(self, w: tk.Words) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, template, coverage, first word, end word); matches of a template don't overlap, the densest go first."""
@@ -97,27 +97,27 @@ class Scanner:
             return
         at = np.searchsorted(self.vocabulary, w.hashes)
         known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == w.hashes
-        bits = self.bits[np.where(known, at, len(self.vocabulary))]
+        term = np.where(known, at, len(self.vocabulary))
         document = w.documents()
-        place = np.arange(len(bits))
+        place = np.arange(len(term))
         for t, words in enumerate(self.words):
             span, need = int(np.ceil(SLACK * len(words))), int(np.ceil(COVERAGE * len(words)))
-            total = np.concatenate([[0], np.cumsum((bits >> np.uint64(t)) & np.uint64(1))]).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(self.member[t, term])]).astype(np.int64)
             inside = total[np.minimum(place + span, w.first[document + 1])] - total[place]
             candidates = np.flatnonzero(inside >= need)
             if not len(candidates):
                 continue
-            used = np.zeros(0, np.int64)
+            used = np.zeros(len(term), bool)
             for i in candidates[np.lexsort((candidates, -inside[candidates]))]:
                 d = document[i]
                 low, high = max(w.first[d], i - span // 4), min(w.first[d + 1], i + span)
-                if np.any((used >= i) & (used < high)):
+                if used[i:high].any():
                     continue
                 aligned = patience(w.hashes[low:high].tolist(), words.tolist())
                 if len(aligned) >= need:
                     begin, end = low + aligned[0][0], low + aligned[-1][0] + 1
-                    if not np.any((used >= begin) & (used < end)):
-                        used = np.concatenate([used, np.arange(begin, end)])
+                    if not used[begin:end].any():
+                        used[begin:end] = True
                         yield int(d), t, len(aligned) / len(words), begin, end
 
 
@@ -127,7 +127,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     licenses lists all matches as name:start:end in code points, by start and name, comma
     joined; license is the one of the highest coverage (ties: the longest template, then the
     earliest), null without one. Null and empty texts have none; rows that repeat a doc_id
-    get their own answers. Up to 64 templates.
+    get their own answers.
     """
     scanner = Scanner(TEMPLATES if templates is None else templates)
     schema = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("licenses", pa.string())])
@@ -137,8 +137,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             for row, end, raw, at in tk.chunks(batch.column(1)):
                 w = tk.words(raw, at, tk.ALNUM)
                 n, best, share, listed = [0] * (end - row), [None] * (end - row), [0.0] * (end - row), [[] for _ in range(end - row)]
+                chars = None
                 for d, t, coverage, first, stop in scanner.matches(w):
-                    start, close = (len(raw[at[d] : x].tobytes().decode("utf-8", "replace")) for x in (w.starts[first], w.ends[stop - 1]))
+                    if chars is None:  # code points before each byte
+                        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    start, close = (int(chars[x] - chars[at[d]]) for x in (w.starts[first], w.ends[stop - 1]))
                     listed[d].append((start, scanner.names[t], close, coverage, len(scanner.words[t])))
                 for d, found in enumerate(listed):
                     found.sort()

@@ -35,7 +35,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(_table(spark, sf_dir, "documents"))
+    found = score(_table(spark, sf_dir, "documents"))
+    return found.withColumns({"log_score": F.round("log_score", 4), "per_word": F.round("per_word", 6)})  # sums in any order agree
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,17 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, w[i + 1] AS w, CASE WHEN i > 0 THEN w[i] END AS h FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d)),
+one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+own AS (SELECT r, h, w, count(*) AS n FROM t GROUP BY ALL),
+two AS (SELECT h, w, sum(n) AS c FROM own WHERE h IS NOT NULL GROUP BY ALL),
+s AS (SELECT own.r, sum(own.n * CASE WHEN own.h IS NOT NULL AND two.c > own.n THEN ln(two.c / before.c) ELSE ln(one.c / (SELECT count(*) FROM t)) + CASE WHEN own.h IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END) AS s
+  FROM own JOIN one ON one.w = own.w LEFT JOIN two ON two.h = own.h AND two.w = own.w LEFT JOIN one AS before ON before.w = own.h GROUP BY own.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(w), 6) AS per_word FROM d LEFT JOIN s USING (r)
+"""
+
 _OP7 = r"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -126,5 +138,5 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
-#: op3, op4, op6, op8 and op9 have none: models, hashed counts, alignments and nested decoding are beyond it.
-SQL = {"op1_decontaminate": _OP1, "op2_nearest": _OP2, "op5_near_duplicates": _OP5, "op7_chat_format": _OP7, "op10_mix": _OP10}
+#: op3, op6, op8 and op9 have none: models, alignments and nested decoding are beyond it.
+SQL = {"op1_decontaminate": _OP1, "op2_nearest": _OP2, "op4_lm_score": _OP4, "op5_near_duplicates": _OP5, "op7_chat_format": _OP7, "op10_mix": _OP10}

@@ -2,7 +2,8 @@
 
 A word enters as a learnt vector (zero if unseen in training) beside the last states of a
 bidirectional recurrent layer over its characters (UTF-8 bytes). A second bidirectional
-layer runs over overlapping windows of words; attention pools its states into one logit per
+layer runs over overlapping windows of WINDOW words, one every STRIDE words, so that any passage
+of WINDOW - STRIDE + 1 words lies whole in one; attention pools its states into one logit per
 window. A document is scored by its highest window, over all windows of the whole text, and
 a logistic fit on documents turns that into a probability. All trained here in numpy.
 """
@@ -27,7 +28,7 @@ TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 2500
 TRAIN_CHARS = 8_000
 TRAIN_WORDS = 30_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, HIDDEN = 8, 8, 8, 8
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 THRESHOLD = 0.3
