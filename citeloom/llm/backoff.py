@@ -81,7 +81,7 @@ _META, _WORDS, _BIGRAMS = range(3)
 
 def _send(parts: int):
     """Documents -> packed rows: every chunk's texts as numbers of its distinct words, and its words and bigrams by partition."""
-    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts.bit_length() - 1))
+    shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
@@ -95,9 +95,9 @@ def _send(parts: int):
                 rows = [(parts + chunk % parts, chunk, _META, _pack(np.concatenate([ids, held, np.diff(w.first)])), _pack(local.astype(np.uint32)))]
                 pairs = np.unique(bigrams(w.hashes, w.first)[0], return_counts=True)
                 for kind, (keys, n) in ((_WORDS, (words, count)), (_BIGRAMS, pairs)):
-                    at = [0, *np.searchsorted(keys, edges), len(keys)]
-                    n = n.astype(np.uint32)
-                    rows += [(p, chunk, kind, _pack_sorted(keys[a:b]), _pack(n[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                    part, n = (keys >> shift).astype(np.int64), n.astype(np.uint32)
+                    at = [*np.flatnonzero(np.diff(part, prepend=-1)), len(keys)]  # of the partitions that get any
+                    rows += [(int(part[a]), chunk, kind, _pack_sorted(keys[a:b]), _pack(n[a:b])) for a, b in zip(at[:-1], at[1:])]
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64]), _SCHEMA)], schema=_SCHEMA)
 
