@@ -25,6 +25,8 @@ from citeloom.llm.runtime import held_out, spread
 TRAIN_PER_LANG, TRAIN_ROWS = 375, 20_000
 LANDMARKS_PER_LANG, LANDMARKS = 40, 2_000
 TRAIN_CHARS = 20_000
+#: Different lang values up to which their counts are broadcast (some MB).
+BROADCAST_LANGS = 100_000
 RIDGE = 1e-2
 SHARPNESS = 6.0
 #: Bits of a code point, and the symbol for what is no letter: n-grams of up to three symbols have codes of their own.
@@ -120,7 +122,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    most = max(1, min(TRAIN_PER_LANG, TRAIN_ROWS // max(1, counts.count())))
+    langs = counts.count()
+    most = max(1, min(TRAIN_PER_LANG, TRAIN_ROWS // max(1, langs)))
+    counts = F.broadcast(counts) if langs <= BROADCAST_LANGS else counts
     h = F.xxhash64("text", "doc_id")
     chosen = labelled.join(counts, "lang").where(F.pmod(h, F.lit(1_000_000)) * F.col("n") < 1_000_000 * most)
     return chosen.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h"))
@@ -141,7 +145,7 @@ def identify(docs: DataFrame) -> DataFrame:
     texts without a letter are `und` with score 0, and so is everything if no row is
     labelled. A null doc_id is not held out. Repeated rows get equal answers.
     """
-    made = training_rows(docs).coalesce(1).mapInArrow(_train, "model binary").first()
+    made = training_rows(docs).repartition(1).mapInArrow(_train, "model binary").first()
     model = pickle.loads(made["model"]) if made else fit([], [])
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
