@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from citeloom.operators import papers as pp
 from citeloom.operators import report
 from citeloom.operators.search import search
 from citeloom.plans import answers, mail
-from citeloom.sources import payloads, store
+from citeloom.sources import payloads, requests, store
+from citeloom.sources.catalogue import CATALOGUE
 
 
 def fetch(spark: SparkSession, catalogue: list[dict[str, str]]) -> DataFrame | None:
@@ -61,13 +63,14 @@ def _show(papers: DataFrame) -> None:
     pp.by_category(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
 
 
-def main(args: list[str] | None = None, transport=None) -> None:
+def main(args: list[str] | None = None, transport=None, ask=None) -> None:
     parser = argparse.ArgumentParser(prog="citeloom")
     parser.add_argument("command", choices=["fetch", "stats", "search", "export", "update-readme", "run-pipeline", "send-email", "analyze"])
     parser.add_argument("words", nargs="*")
     parser.add_argument("--store", required=True)
     parser.add_argument("--taxonomy", help="a JSON file {category: {description, keywords}}, in order")
     parser.add_argument("--catalogue", help="a JSON file [{source, query, path}] of recorded answers")
+    parser.add_argument("--answers", help="a shared folder: ask the services for the catalogue's searches (the built-in ones without --catalogue) and keep their answers there")
     parser.add_argument("--new", help="a JSON array of new papers")
     parser.add_argument("--format", default="json")
     parser.add_argument("--output", default="papers_export")
@@ -82,9 +85,11 @@ def main(args: list[str] | None = None, transport=None) -> None:
     box = mail.Mailbox(a.to, *(os.environ.get(x, "") for x in ("SMTP_USER", "SMTP_PASSWORD", "EMAIL_FROM")), os.environ.get("SMTP_HOST", "localhost"), int(os.environ.get("SMTP_PORT", "587")))
     post = lambda n, plain, html: mail.send(n, plain, html, box, **({"transport": transport} if transport else {}))
     new = store.read_json(spark, a.new) if a.new else None
-    if a.catalogue:
-        with open(a.catalogue, encoding="utf-8") as f:
-            fetched = fetch(spark, json.load(f))
+    if a.catalogue or a.answers:
+        searches = json.loads(Path(a.catalogue).read_text(encoding="utf-8")) if a.catalogue else CATALOGUE
+        if a.answers:
+            searches = requests.keep_answers(spark, searches, a.answers, now.date(), **({"ask": ask, "wait": lambda _: None} if ask else {}))
+        fetched = fetch(spark, searches)
         new = fetched if new is None else new if fetched is None else pp.fetch_union([new, fetched])
     if a.command == "fetch":
         print(run(spark, a.store, new, taxonomy))

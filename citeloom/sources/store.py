@@ -51,6 +51,14 @@ def _place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through Spark's file systems, so that a shared folder of any kind will do."""
+    at, fs = _place(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def pointer(spark: SparkSession, path: str) -> Pointer:
     at, fs = _place(spark, f"{path}/CURRENT")
     if not fs.exists(at):
@@ -61,10 +69,9 @@ def pointer(spark: SparkSession, path: str) -> Pointer:
 def _point(spark: SparkSession, path: str, to: Pointer) -> None:
     """Write the pointer beside CURRENT and rename it over that in one step."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, fs = _place(spark, f"{path}/CURRENT-{uuid.uuid4().hex}")
-    out = fs.create(new, False)
-    out.write(bytearray("\n".join(to).encode()))
-    out.close()
+    beside = f"{path}/CURRENT-{uuid.uuid4().hex}"
+    put(spark, beside, "\n".join(to).encode())
+    new, fs = _place(spark, beside)
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     over = spark.sparkContext._gateway.new_array(rename, 1)
     over[0] = rename.OVERWRITE

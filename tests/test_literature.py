@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pytest
 from compare import oracle, rows
@@ -12,9 +13,10 @@ from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
 from citeloom.operators import report, search
 from citeloom.plans import answers, pipeline
-from citeloom.plans.queries import QUERIES, SQL
+from citeloom.plans.queries import QUERIES, SAMPLES, SQL
 from citeloom.schema import PAPER
-from citeloom.sources import store
+from citeloom.sources import requests, store
+from citeloom.sources.catalogue import CATALOGUE
 from citeloom.streaming.merge import merge_stream
 
 SF = "/root/testdata/sf0.001"
@@ -222,6 +224,31 @@ def test_mail_and_commands(spark, tmp_path, monkeypatch, capsys):
         pipeline.main(["fetch", "--store", path])
 
 
+def test_asking_the_services(spark, tmp_path):
+    """The whole built-in catalogue against recorded answers."""
+    asked = []
+
+    def ask(url):
+        asked.append(url)
+        if "esearch" in url:
+            return json.dumps({"esearchresult": {"idlist": ["11", "12"] if len(asked) == 1 else []}}).encode()
+        if "crossref" in url:
+            raise OSError("no answer")
+        hosts = {"efetch": "pubmed", "biorxiv": "biorxiv", "arxiv": "arxiv", "semanticscholar": "semantic_scholar", "europepmc": "europepmc"}
+        return SAMPLES[next(v for k, v in hosts.items() if k in url)].encode()
+
+    (tmp_path / "t.json").write_text(json.dumps({"g": ["genome"]}))
+    pipeline.main(["fetch", "--store", str(tmp_path / "s"), "--taxonomy", str(tmp_path / "t.json"), "--answers", str(tmp_path / "a")], ask=ask)
+    kept = store.read_snapshot(spark, str(tmp_path / "s")).orderBy("pos").collect()
+    assert [r["source"] for r in kept] == ["pubmed", "pubmed", "pubmed", "biorxiv", "arxiv", "arxiv", "semantic_scholar", "europepmc"]
+    assert len(asked) == 67 and len(CATALOGUE) == 66
+    assert asked[1].endswith("efetch.fcgi?db=pubmed&id=11%2C12&retmode=xml")
+    day = date(2024, 2, 29)
+    assert requests.search_address("biorxiv", "x", day) == "https://api.biorxiv.org/details/biorxiv/2023-02-28/2024-02-29/0/50"
+    assert "search_query=all%3A3D%2Bgenome&" in requests.search_address("arxiv", "3D genome", day)
+    assert requests.keep_answers(spark, [{"source": "none", "query": "x"}], str(tmp_path / "b"), day, ask) == []
+
+
 def test_taxonomy_file(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"g": {"description": "d", "keywords": ["ab"]}, "h": ["b"]}))
     tax = tx.Taxonomy.from_json(str(tmp_path / "t.json"))
