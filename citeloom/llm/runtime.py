@@ -42,21 +42,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Folders of all tables that stored() has written in this process and that are still there.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back (columnar, compressed)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of tables made by stored() that no result still reads."""
-    jvm = spark.sparkContext._jvm
-    for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def tables() -> list[str]:
+    return list(_tables)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables made by stored() that no result still reads."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
 
 
 def _plain_scan(df: DataFrame) -> bool:
