@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), proximity=False)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +77,17 @@ sizes AS (SELECT DISTINCT k FROM win),
 pos AS (SELECT doc_id, w, unnest(range(len(w))) AS s FROM d),
 hits AS (SELECT pos.doc_id, pos.s, sizes.k, win.item FROM pos JOIN sizes ON pos.s + sizes.k <= len(pos.w) JOIN win ON win.k = sizes.k AND win.g = array_to_string(pos.w[pos.s + 1 : pos.s + sizes.k], ' ')),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+it AS (SELECT row_number() OVER () AS k, coalesce(item, 'null') AS item, w, greatest(ceil(len(w) / 2), least(2, len(w))) AS need FROM (SELECT DISTINCT item, w FROM b WHERE len(w) > 0)),
+m AS (SELECT x.doc_id, y.k, x.s - y.j AS d, x.s AS p, y.j FROM (SELECT doc_id, s, w[s + 1] AS v FROM pos) x JOIN (SELECT k, unnest(range(len(w))) AS j, unnest(w) AS v FROM it) y USING (v)),
+c AS (SELECT doc_id, k, d, sum(n) OVER (PARTITION BY doc_id, k ORDER BY d RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS n FROM (SELECT doc_id, k, d, count(*) AS n FROM m GROUP BY ALL)),
+spots AS (SELECT c.doc_id, k, c.d, need, item FROM c JOIN it USING (k) WHERE n >= need),
+nearby AS (SELECT DISTINCT doc_id, item FROM (SELECT spots.doc_id, spots.item FROM spots JOIN m ON m.doc_id = spots.doc_id AND m.k = spots.k AND m.d BETWEEN spots.d AND spots.d + 2
+  GROUP BY spots.doc_id, spots.k, spots.d, spots.item, need HAVING least(count(DISTINCT m.j), count(DISTINCT m.p)) >= need)),
+close AS (SELECT doc_id, count(*) AS n_near FROM nearby GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)
 """
 
 _OP4 = r"""
