@@ -98,13 +98,17 @@ def near_matches(postings: DataFrame, given: DataFrame, items: DataFrame, places
     begins = postings.join(hint(places), "term").groupBy("row", "item", "length", (F.col("pos") - F.col("offset")).alias("begin")).count()
     after = F.lead("begin").over(Window.partitionBy("row", "item").orderBy("begin"))
     spots = begins.withColumn("after", after).where((near_need(F.col("length")) < 2) | (F.col("count") > 1) | (F.col("after") - F.col("begin") <= SLOP))
-    spots = stored(spots.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "spots")  # at most as many as both have words
+    spots = stored(spots.groupBy("row", "item").agg(F.sort_array(F.collect_list("begin")).alias("begins")), "spots")  # at most as many as both have words
     spots = spots.join(_holding(given, spots.select("row")), "row").join(items.select("item", F.col("words").alias("phrase")), "item")
     shifts = F.array(*(F.lit(s) for s in range(-SLOP, SLOP + 1)))
 
-    def stand(begin: Column) -> Column:
+    def lowest(begin: Column, i: Column) -> Column:
+        """The first shift that windows at the begin before have not covered."""
+        return F.struct(begin.alias("begin"), F.greatest(F.lit(-SLOP), F.get("begins", i - 1) + 1 - begin).alias("lowest"))
+
+    def stand(begin: Column, low: Column) -> Column:
         """(s, j, p): the words j of the item that stand at p, s beside their place."""
-        word = lambda w, j: F.transform(F.filter(shifts, lambda s: F.coalesce(F.get("words", begin + j + s) == w, F.lit(False))), lambda s: F.struct(s.alias("s"), j.alias("j"), (begin + j + s).alias("p")))
+        word = lambda w, j: F.transform(F.filter(shifts, lambda s: (s >= low) & F.coalesce(F.get("words", begin + j + s) == w, F.lit(False))), lambda s: F.struct(s.alias("s"), j.alias("j"), (begin + j + s).alias("p")))
         return F.flatten(F.transform("phrase", word))
 
     def fit(begin: Column, standing: Column, first: int) -> Column:
@@ -112,11 +116,12 @@ def near_matches(postings: DataFrame, given: DataFrame, items: DataFrame, places
         words = F.least(*(F.size(F.array_distinct(F.transform(some, lambda x: x[k]))) for k in ("j", "p")))  # noqa: B023
         return F.struct(words.alias("aligned"), (-begin - F.array_min(F.transform(some, lambda x: x["s"]))).alias("before"))
 
-    def best(begin: Column) -> Column:
-        fits = F.transform(F.array(stand(begin)), lambda x: F.greatest(*(fit(begin, x, first) for first in range(-SLOP, 1))))
+    def best(at: Column) -> Column:
+        begin, low = at["begin"], at["lowest"]
+        fits = F.transform(F.array(stand(begin, low)), lambda x: F.greatest(*(F.when(low <= first, fit(begin, x, first)) for first in range(-SLOP, 1))))
         return F.get(fits, F.lit(0))
 
-    tried = spots.select("row", "item", near_need(F.size("phrase")).alias("need"), F.array_max(F.transform("begins", best)).alias("best"))
+    tried = spots.select("row", "item", near_need(F.size("phrase")).alias("need"), F.array_max(F.transform(F.transform("begins", lowest), best)).alias("best"))
     return tried.where("best.aligned >= need").select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
 
 
