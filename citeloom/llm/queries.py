@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import chatfmt
 from citeloom.llm.ann import nearest
+from citeloom.llm.audit import audit
 from citeloom.llm.backoff import score
 from citeloom.llm.decontam import contamination
+from citeloom.llm.density import extract
 from citeloom.llm.langid import identify
 from citeloom.llm.licenses import scan_licenses
 from citeloom.llm.mixing import mix
 from citeloom.llm.neardup import near_duplicates
 from citeloom.llm.secretscan import scan_secrets
 from citeloom.llm.toxicity import toxicity
+from citeloom.llm.yinyang import clusters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +70,20 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_nearest, op3_toxicity, op4_lm_score, op5_near_duplicates, op6_licenses, op7_chat_format, op8_language, op9_secrets, op10_mix)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_decontaminate, op2_nearest, op3_toxicity, op4_lm_score, op5_near_duplicates, op6_licenses, op7_chat_format, op8_language, op9_secrets, op10_mix, op11_filter_audit, op12_clusters, op13_main_text)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _OP1 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -145,5 +161,52 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, doc_id, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e FROM w),
+m AS (SELECT part, [a, b, c, d, e] AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS bad, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (SELECT p.v || q.v || r.v || s.v || t.v AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.v, q.v, r.v, s.v, t.v])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT m.*, filter_order, step, substr(filter_order, step, 1) AS letter, fails[instr('ABCDE', substr(filter_order, step, 1))] AS fail,
+  len(list_filter(range(1, step), lambda i: fails[instr('ABCDE', substr(filter_order, i, 1))])) > 0 AS gone FROM m, steps),
+g AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, sum(n) FILTER (WHERE NOT fail AND NOT gone) AS kept, sum(n) FILTER (WHERE fail AND NOT gone) AS removed, sum(n) FILTER (WHERE fail AND gone) AS redundant,
+  sum(n) FILTER (WHERE fail AND bad = 1) AS unique_fails, sum(n) FILTER (WHERE fail AND NOT gone AND good) AS good_lost, sum(n) FILTER (WHERE fail AND NOT gone AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM g
+"""
+
+_ROUND = r"""
+d{i} AS MATERIALIZED (SELECT v.r, c.c, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} AS c),
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{i} GROUP BY r),"""
+_MOVE = r"""
+s{i} AS (SELECT c, j, sum(e[j]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j),
+c{n} AS MATERIALIZED (SELECT c{i}.c, coalesce(m.e, c{i}.e) AS e FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS e FROM s{i} GROUP BY c) AS m ON m.c = c{i}.c),"""
+_OP12 = (
+    r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT 40)),"""
+    + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, n=i + 1) for i in range(5))
+    + _ROUND.format(i=5)
+    + r"""
+x AS (SELECT c, sum(d) AS s FROM a5 GROUP BY c)
+SELECT vec_id, CAST(a5.c AS INTEGER) AS cluster, d AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a5) AS BIGINT) AS inertia, sha256(array_to_string(c5.e, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN x ON x.c = a5.c JOIN c5 ON c5.c = a5.c
+"""
+)
+
+#: What the article element of the given pages holds; the operator finds it by densities.
+_OP13 = r"""
+WITH b AS (SELECT row_number() OVER () AS r, page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+l AS (SELECT r, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(parts[i], '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM b)),
+t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM l WHERE line <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM b LEFT JOIN t USING (r)
+"""
+
 #: op3, op6, op8 and op9 have none: models, alignments and nested decoding are beyond it.
-SQL = {"op1_decontaminate": _OP1, "op2_nearest": _OP2, "op4_lm_score": _OP4, "op5_near_duplicates": _OP5, "op7_chat_format": _OP7, "op10_mix": _OP10}
+SQL = {"op1_decontaminate": _OP1, "op2_nearest": _OP2, "op4_lm_score": _OP4, "op5_near_duplicates": _OP5, "op7_chat_format": _OP7, "op10_mix": _OP10, "op11_filter_audit": _OP11, "op12_clusters": _OP12, "op13_main_text": _OP13}

@@ -6,6 +6,8 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
+    if (run := _run.get()) is not None:
+        run.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +71,43 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
         _tables.remove(path)
 
 
+class Scratch:
+    """The tables that one run has stored, in order, and whether the last one outlives it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.kept = spark, [], False
+
+    def forget_before_last(self) -> None:
+        """Delete what the newest table was made from."""
+        forget(self.spark, self.paths[:-1])
+        self.paths = self.paths[-1:]
+
+    def keep_last(self) -> None:
+        self.kept = True
+
+
+_run: ContextVar[Scratch | None] = ContextVar("_run", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete the tables stored inside at the end, but for the last one if it is to be kept; those of other runs stay.
+
+    Which run stores a table is known by the caller's context, so runs in several threads
+    don't meet. A kept table belongs to the run around this one, if there is one.
+    """
+    made = Scratch(spark)
+    token = _run.set(made)
+    try:
+        yield made
+    finally:
+        _run.reset(token)
+        kept = made.paths[-1:] if made.kept else []
+        forget(spark, [p for p in made.paths if p not in kept])
+        if (around := _run.get()) is not None:
+            around.paths += kept
+
+
 def _plain_scan(df: DataFrame) -> bool:
     """Whether df is a scan of files with nothing but projections and filters on it, so that each row is one of a file."""
     plan = df._jdf.queryExecution().analyzed()
