@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
+from citeloom.operators.ordering import numbered
 from citeloom.schema import QUERY_PLACES
 
 
@@ -23,14 +24,18 @@ def first_by_key(df: DataFrame, key: Column, *order: str) -> DataFrame:
 def fetch_union(batches: list[DataFrame]) -> DataFrame:
     """The different records of query results: earlier queries first, ids normalised; pos runs anew.
 
-    A query's own places are below QUERY_PLACES.
+    A query's own places are below QUERY_PLACES, but for the last one's.
     """
     union = None
     for i, batch in enumerate(batches):
         part = batch.withColumn("_query", F.lit(i))
         union = part if union is None else union.unionByName(part)
-    kept = first_by_key(union, t.fetch_key("id"), "_query", "pos").withColumn("id", F.col("_key"))
-    return kept.withColumn("pos", (F.col("_query").cast("long") * F.lit(QUERY_PLACES)) + F.col("pos")).drop("_query", "_key")
+    return first_of_all(union.withColumn("pos", (F.col("_query").cast("long") * F.lit(QUERY_PLACES)) + F.col("pos")).drop("_query"))
+
+
+def first_of_all(found: DataFrame) -> DataFrame:
+    """The different records by normalised id, each where it stands first; records without an id go."""
+    return first_by_key(found, t.fetch_key("id")).withColumn("id", F.col("_key")).drop("_key")
 
 
 def merge(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +108,27 @@ def by_category(papers: DataFrame) -> DataFrame:
     return ranked(counted(papers, "categories")).select(F.col("member").alias("category"), "n", "rank")
 
 
-def grouped(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
-    """Papers by category, newest first: adds category, place (of the group) and rn; groups in taxonomy order, others by name."""
+def group_places(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
+    """(pos, category, date, description, grp_ord, rn): each paper's number in each of its categories, newest first.
+
+    grp_ord is the category's place in the taxonomy, those that it doesn't know coming last. A
+    category of any size is numbered by many tasks (see numbered).
+    """
     none = F.array(F.lit("Other"))
-    rows = papers.withColumn("category", F.explode_outer(F.coalesce("categories", none))).where("category is not null")  # as in members()
+    rows = papers.select("pos", t.text("date").alias("date"), F.explode_outer(F.coalesce("categories", none)).alias("category")).where("category is not null")  # as in members()
+    ranked_rows = numbered(rows, [F.desc("date"), "pos"], "rn", ["category"])
     order = F.broadcast(taxonomy.order(papers.sparkSession))  # one row per group of the taxonomy
-    placed = rows.join(order, "category", "left").withColumn("grp_ord", F.coalesce("grp_ord", F.lit(2**31 - 1)))
-    newest = Window.partitionBy("category").orderBy(F.desc(t.text("date")), "pos")
-    return placed.withColumn("rn", F.row_number().over(newest))
+    return ranked_rows.join(order, "category", "left").withColumn("grp_ord", F.coalesce("grp_ord", F.lit(2**31 - 1)))
+
+
+def grouped(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
+    """Papers by category, newest first: adds category, description, grp_ord and rn; groups in taxonomy order, others by name."""
+    return papers.join(group_places(papers, taxonomy).drop("date"), "pos")
+
+
+def compacted(papers: DataFrame) -> DataFrame:
+    """The papers in the same order with places 0, 1, 2, ..., computed once."""
+    return numbered(papers, ["pos"], "_place").withColumn("pos", F.col("_place") - 1).drop("_place")
 
 
 def facets(papers: DataFrame) -> DataFrame:

@@ -28,10 +28,18 @@ def search(papers: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "pos").limit(limit).where("score > 0")
 
 
-def provider_filter(rows: DataFrame, query: str) -> DataFrame:
-    """Rows with at least two of the query's words of three letters and more; all of them if it has fewer than two."""
-    terms = [w for w in t.terms_of(query) if len(w) > 2]
-    return rows.where(_hits(t.match_text("title", "abstract"), terms) >= min(2, len(terms)))
+def provider_filter(rows: DataFrame, query: str | Column) -> DataFrame:
+    """Rows with at least two of the query's words of three letters and more, or the one if it has one; all if it has none.
+
+    The query may be a column, so that the answers of many searches are filtered together.
+    """
+    words = F.split(F.lower(query if isinstance(query, Column) else F.lit(query)), r"\s+")
+    return rows.where(
+        bound(
+            F.struct(F.filter(words, lambda w: F.length(w) > 2).alias("terms"), t.match_text("title", "abstract").alias("text")),
+            lambda x: F.size(F.filter(x["terms"], lambda k: F.contains(x["text"], k))) >= F.least(F.lit(2), F.size(x["terms"])),
+        )
+    )
 
 
 def browse(papers: DataFrame, source: str | None = None, first: int | None = None, last: int | None = None, category: str | None = None, order: str = "date_desc") -> DataFrame:

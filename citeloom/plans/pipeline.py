@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from citeloom.operators import papers as pp
 from citeloom.operators import report
 from citeloom.operators.search import search
 from citeloom.plans import answers, mail
-from citeloom.sources import payloads, requests, store
+from citeloom.sources import payloads, searches, store
 from citeloom.sources.catalogue import CATALOGUE
 
 
@@ -24,7 +25,17 @@ def fetch(spark: SparkSession, catalogue: list[dict[str, str]]) -> DataFrame | N
     """Different papers of a catalogue of {source, query, path}; unknown sources are skipped, None if nothing is left."""
     batches = [payloads.read(spark, c["source"], c["path"], c.get("query", "")) for c in catalogue]
     batches = [b for b in batches if b is not None]
-    return pp.fetch_union(batches) if batches else None
+    return pp.compacted(pp.fetch_union(batches)) if batches else None
+
+
+def ask(spark: SparkSession, catalogue: list[dict[str, str]], folder: str, **options: object) -> tuple[DataFrame, DataFrame]:
+    """Ask the services for a catalogue's searches and keep their answers below folder: (papers, searches that failed).
+
+    Failed ones (search, source, query, error) cost no others; the papers are what the rest found.
+    """
+    made = searches.keep(searches.asked(spark, catalogue, **options), f"{folder}/{uuid.uuid4().hex}")
+    found = pp.compacted(pp.first_of_all(payloads.parsed(made.where("value is not null"))))
+    return found, made.where("error is not null").select("search", "source", "query", "error")
 
 
 def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None) -> dict:
@@ -63,7 +74,7 @@ def _show(papers: DataFrame) -> None:
     pp.by_category(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
 
 
-def main(args: list[str] | None = None, transport=None, ask=None) -> None:
+def main(args: list[str] | None = None, transport=None) -> None:
     parser = argparse.ArgumentParser(prog="citeloom")
     parser.add_argument("command", choices=["fetch", "stats", "search", "export", "update-readme", "run-pipeline", "send-email", "analyze"])
     parser.add_argument("words", nargs="*")
@@ -71,6 +82,7 @@ def main(args: list[str] | None = None, transport=None, ask=None) -> None:
     parser.add_argument("--taxonomy", help="a JSON file {category: {description, keywords}}, in order")
     parser.add_argument("--catalogue", help="a JSON file [{source, query, path}] of recorded answers")
     parser.add_argument("--answers", help="a shared folder: ask the services for the catalogue's searches (the built-in ones without --catalogue) and keep their answers there")
+    parser.add_argument("--mirror", help="an address that takes the services' place, each below its name")
     parser.add_argument("--new", help="a JSON array of new papers")
     parser.add_argument("--format", default="json")
     parser.add_argument("--output", default="papers_export")
@@ -86,11 +98,13 @@ def main(args: list[str] | None = None, transport=None, ask=None) -> None:
     post = lambda n, plain, html: mail.send(n, plain, html, box, **({"transport": transport} if transport else {}))
     new = store.read_json(spark, a.new) if a.new else None
     if a.catalogue or a.answers:
-        searches = json.loads(Path(a.catalogue).read_text(encoding="utf-8")) if a.catalogue else CATALOGUE
+        wanted = json.loads(Path(a.catalogue).read_text(encoding="utf-8")) if a.catalogue else CATALOGUE
         if a.answers:
-            searches = requests.keep_answers(spark, searches, a.answers, now.date(), **({"ask": ask, "wait": lambda _: None} if ask else {}))
-        fetched = fetch(spark, searches)
-        new = fetched if new is None else new if fetched is None else pp.fetch_union([new, fetched])
+            fetched, failed = ask(spark, wanted, a.answers, mirror=a.mirror, pause=0 if a.mirror else None)
+            failed.orderBy("search").show(100, truncate=False)
+        else:
+            fetched = fetch(spark, wanted)
+        new = fetched if new is None else new if fetched is None else pp.compacted(pp.fetch_union([new, fetched]))
     if a.command == "fetch":
         print(run(spark, a.store, new, taxonomy))
         return

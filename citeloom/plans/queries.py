@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import taxonomy as tx
@@ -122,7 +121,7 @@ _add("year_bars", lambda s, d: pp.by_year(papers(s, d)).select("year", t.bar("n"
 _add("stats_by_source", lambda s, d: pp.by_source(papers(s, d)), "SELECT source, n, row_number() OVER (ORDER BY f) AS rank FROM (SELECT source, count(*) AS n, min(pos) AS f FROM papers GROUP BY source)")
 _add("stats_by_category", lambda s, d: pp.by_category(_cat(s, d)), "SELECT category, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT category, count(*) AS n, min((pos, i)) AS f FROM cats GROUP BY category)", _CATS)
 _add("tag_cloud", lambda s, d: pp.tag_cloud(_cat(s, d)), "SELECT category, n, CAST(floor(100.0::DOUBLE * n / max(n) OVER () + 0.5) AS BIGINT) AS percent, least(greatest(10 + 2 * n, 12), 24) AS size, repeat('█', least(n, 30)) AS bar FROM (SELECT category, count(*) AS n FROM cats GROUP BY category)", _CATS)
-_add("group_ranked", lambda s, d: pp.grouped(_cat(s, d), FIX).select("category", "rn", "pos"), "SELECT category, row_number() OVER (PARTITION BY category ORDER BY date DESC, pos) AS rn, pos FROM cats JOIN papers USING (pos)", _CATS)
+_add("group_ranked", lambda s, d: pp.group_places(_cat(s, d), FIX).select("category", "rn", "pos"), "SELECT category, row_number() OVER (PARTITION BY category ORDER BY date DESC, pos) AS rn, pos FROM cats JOIN papers USING (pos)", _CATS)
 _add("toc_anchor", lambda s, d: pp.by_category(pp.categorize(papers(s, d), tx.METHODS)).select("category", t.anchor("category").alias("anchor")), "SELECT category, regexp_replace(replace(replace(replace(replace(lower(category), ' ', '-'), '&', ''), '/', ''), '--', '-'), '^$', '') AS anchor FROM (SELECT DISTINCT grp AS category FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, ord) AS i FROM mx) WHERE i <= 3 UNION SELECT 'Other' WHERE (SELECT count(*) FROM papers) > (SELECT count(DISTINCT pos) FROM mx))", _METHODS)
 _add("method_top20", lambda s, d: an.top_members(_ann(s, d), "methods"), "SELECT * FROM (SELECT method AS member, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY method)) WHERE rank <= 20", _METHODS)
 _add("tool_top20", lambda s, d: an.top_members(_ann(s, d), "tools"), "SELECT grp AS member, count(*) AS n, row_number() OVER () AS rank FROM h GROUP BY grp", _hits("h", tx.TOOLS))
@@ -204,37 +203,100 @@ def _theta(s: SparkSession, d: str) -> DataFrame:
 
 _add("theta_taxonomy_join", _theta, "SELECT pos, grp, score FROM fx", _hits("fx", FIX))
 
-#: Recorded answers in miniature, one per service.
-SAMPLES = {
-    "pubmed": '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>11</PMID><Article><Journal><JournalIssue><PubDate><Year>2023</Year><Month>March</Month></PubDate></JournalIssue><Title>J One</Title></Journal><ArticleTitle>Foo <i>bar</i> baz</ArticleTitle><Abstract><AbstractText Label="BACKGROUND">a &amp; b</AbstractText><AbstractText>c</AbstractText></Abstract><AuthorList><Author><LastName>Li</LastName><ForeName>Wei</ForeName></Author><Author><ForeName>X</ForeName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/Abc</ArticleId></ArticleIdList></PubmedData></PubmedArticle><PubmedArticle><MedlineCitation><PMID>12</PMID></MedlineCitation></PubmedArticle>'
-    "<PubmedArticle><MedlineCitation><PMID>13</PMID><Article><Journal><JournalIssue><PubDate><Year>2019</Year></PubDate></JournalIssue></Journal><ArticleTitle> Two  words </ArticleTitle><ArticleDate><Year>2020</Year><Month>7</Month><Day>9</Day></ArticleDate></Article></MedlineCitation></PubmedArticle>"
-    "<PubmedArticle><MedlineCitation><PMID>14</PMID><Article><Journal><JournalIssue><PubDate><Year>Spring</Year></PubDate></JournalIssue></Journal><ArticleTitle>Dropped</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
-    "<PubmedArticle><MedlineCitation><PMID>15</PMID><Article><Journal><JournalIssue><PubDate><Year>2018</Year><Month>11</Month></PubDate></JournalIssue></Journal><ArticleTitle>Plain</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>",
-    "arxiv": '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v2</id><title>A  title</title><summary>Some\n text</summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author><link href="https://dx.doi.org/10.1/x"/></entry><entry><id> https://arxiv.org/2402.7 </id><title>B</title><published>2023-12-31</published><author><name> </name></author></entry><entry><id>z</id><title>Dropped</title><published>soon</published></entry></feed>',
-    "biorxiv": json.dumps({"collection": [{"title": "Genome deep", "abstract": "x", "doi": "2024.01.01.1", "date": "2024-01-05", "authors": "A, B; C, D"}, {"title": "Nothing", "abstract": "y", "doi": "10.1101/z", "date": "2024-02-01", "authors": ""}]}),
-    "semantic_scholar": json.dumps({"data": [{"paperId": "p1", "title": "T1", "authors": [{"name": "A"}], "abstract": None, "year": 2021, "venue": "V", "publicationDate": None, "url": "u", "externalIds": {"PubMed": "77"}}, {"paperId": "p2", "title": ""}]}),
-    "europepmc": json.dumps({"resultList": {"result": [{"id": "e1", "title": "T2", "pmid": "5", "authorList": {"author": [{"fullName": "F N"}]}, "firstPublicationDate": "2022-03-04", "pubYear": "2022", "abstractText": "abs", "journalTitle": "J"}]}}),
-    "crossref": json.dumps({"message": {"items": [{"DOI": "10.2/Q", "title": ["T3"], "author": [{"given": "G", "family": "F"}], "abstract": "<jats:p>q</jats:p>", "container-title": ["C"], "published": {"date-parts": [[2022, 5]]}, "URL": "w"}]}}),
-}
-_PARSED = {
-    "pubmed": "('10.1/Abc', 'Foo bar baz', 'Li Wei', 'BACKGROUND: a & b c', 'J One', 2023, '2023-03-01', '10.1/Abc', 'https://doi.org/10.1/Abc', 'pubmed'), ('pmid:13', 'Two words', '', '', '', 2020, '2020-07-09', '', 'https://pubmed.ncbi.nlm.nih.gov/13/', 'pubmed'), ('pmid:15', 'Plain', '', '', '', 2018, '2018-11-01', '', 'https://pubmed.ncbi.nlm.nih.gov/15/', 'pubmed')",
-    "arxiv": "('https://dx.doi.org/10.1/x', 'A title', 'A B', 'Some text', 'arXiv (preprint)', 2024, '2024-01-02', 'https://dx.doi.org/10.1/x', 'http://arxiv.org/abs/2401.00001v2', 'arxiv'), ('arxiv:2402.7', 'B', '', '', 'arXiv (preprint)', 2023, '2023-12-31', '', 'https://arxiv.org/2402.7', 'arxiv')",
-    "biorxiv": "('10.1101/2024.01.01.1', 'Genome deep', 'A, B;C, D', 'x', 'bioRxiv (preprint)', 2024, '2024-01-05', '10.1101/2024.01.01.1', 'https://doi.org/10.1101/2024.01.01.1', 'biorxiv')",
-    "semantic_scholar": "('pmid:77', 'T1', 'A', '', 'V', 2021, '2021-01-01', '', 'u', 'semantic_scholar')",
-    "europepmc": "('pmid:5', 'T2', 'F N', 'abs', 'J', 2022, '2022-03-04', '', 'https://europepmc.org/article/MED/5', 'europepmc')",
-    "crossref": "('10.2/Q', 'T3', 'F G', 'q', 'C', 2022, '2022-05-01', '10.2/Q', 'https://doi.org/10.2/Q', 'crossref')",
-}
-_FIELDS = ["id", "title", "authors", "abstract", "journal", "year", "date", "doi", "url", "source"]
+_NOW = "2025-06-15 12:00:00"
+_QUERY = "ing the ti 3d"  # bioRxiv's records must hold two of its words of three letters and more
+_FIELDS = ["pos", "id", "title", "authors", "abstract", "journal", "year", "date", "doi", "url", "source"]
+
+
+def _element(name: str, *inside: Column | str, attributes: str = "") -> Column:
+    return F.concat(F.lit(f"<{name}{attributes}>"), *(F.lit(x) if isinstance(x, str) else x for x in inside), F.lit(f"</{name}>"))
+
+
+def _escaped(c: str) -> Column:
+    return t.html_escaped(F.col(c))
+
+
+def _each_author(inside: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform("authors", inside), "")
+
+
+def _authors_of(*names: str) -> Column:
+    """The authors as JSON objects that hold each name as given, the last token of it doubled where two names are asked for."""
+    return F.transform("authors", lambda a: F.struct(*(a.alias(n) for n in names)))
+
+
+def _xml_record(source: str) -> Column:
+    """A paper as an XML record of a service; every third has another form of date, and every second no DOI."""
+    day = lambda at, n: F.substring("date", at, n)
+    some = lambda column, other="": F.when(F.col("date") != "", column).otherwise(other)
+    if source == "arxiv":
+        link = F.when(F.col("pos") % 2 == 0, F.concat(F.lit('<link href="https://doi.org/'), "doi", F.lit('"/>'))).otherwise("")
+        names = _each_author(lambda a: F.concat(F.lit("<author><name>"), t.html_escaped(a), F.lit("</name></author>")))
+        return _element("entry", _element("id", "http://arxiv.org/abs/", F.col("pos").cast("string"), "v1"), _element("title", _escaped("title")), _element("summary", _escaped("abstract")), _element("published", some(F.concat("date", F.lit("T00:00:00Z")))), names, link)
+    form = F.col("pos") % 3
+    months = F.array(*(F.lit(m.capitalize() + "x") for m in payloads.MONTHS))
+    month = F.element_at(months, F.greatest(F.lit(1), F.coalesce(day(6, 2).try_cast("int"), F.lit(1))))
+    online = F.when(form == 0, some(_element("ArticleDate", _element("Year", day(1, 4)), _element("Month", day(6, 2)), _element("Day", day(9, 2))))).otherwise("")
+    printed = _element("Journal", _element("JournalIssue", _element("PubDate", F.when(form == 1, some(F.concat(_element("Year", day(1, 4)), _element("Month", month)))).otherwise(""))), _element("Title", F.col("journal")))
+    names = _element("AuthorList", _each_author(lambda a: F.concat(F.lit("<Author><LastName>"), t.html_escaped(a), F.lit("</LastName><ForeName>F</ForeName></Author>"))))
+    text = _element("Abstract", _element("AbstractText", _escaped("title"), attributes=' Label="BACKGROUND"'), _element("AbstractText", "<b>", _escaped("abstract"), "</b>"))
+    article = _element("Article", printed, _element("ArticleTitle", "<i>", _escaped("title"), "</i>"), text, names, online)
+    ids = F.when(F.col("pos") % 2 == 0, _element("ArticleIdList", _element("ArticleId", F.col("doi"), attributes=' IdType="doi"'))).otherwise("")
+    return _element("PubmedArticle", _element("MedlineCitation", _element("PMID", F.col("pos").cast("string")), article), _element("PubmedData", ids))
+
+
+def _json_record(source: str) -> Column:
+    """A paper as a JSON object of a service, null where a paper has no value."""
+    doi, date = F.when(F.col("pos") % 2 == 0, F.col("doi")), F.nullif("date", F.lit(""))
+    if source == "biorxiv":
+        bare = F.when(F.col("pos") % 2 == 0, F.col("doi")).otherwise(F.substring("doi", 9, 99))
+        return F.struct("title", "abstract", bare.alias("doi"), "date", F.array_join("authors", "; ").alias("authors"))
+    if source == "semantic_scholar":
+        ids = F.struct(doi.alias("DOI"), F.when(F.col("pos") % 3 == 0, F.col("pos").cast("string")).alias("PubMed"), F.when(F.col("pos") % 5 == 0, F.lit("5")).alias("ArXiv"))
+        return F.struct(F.col("pos").cast("string").alias("paperId"), "title", _authors_of("name").alias("authors"), "abstract", "year", F.col("journal").alias("venue"), date.alias("publicationDate"), "url", ids.alias("externalIds"))
+    if source == "europepmc":
+        return F.struct(F.col("pos").cast("string").alias("id"), "title", doi.alias("doi"), F.when(F.col("pos") % 3 == 0, F.col("pos").cast("string")).alias("pmid"), F.struct(_authors_of("fullName").alias("author")).alias("authorList"), date.alias("firstPublicationDate"), F.col("year").cast("string").alias("pubYear"), F.col("abstract").alias("abstractText"), F.col("journal").alias("journalTitle"))
+    parts = F.when(date.isNotNull(), F.array(F.array(F.col("year"), F.substring("date", 6, 2).try_cast("int"))))
+    return F.struct(doi.alias("DOI"), F.array("title").alias("title"), _authors_of("given", "family").alias("author"), F.concat(F.lit("<jats:p>"), "abstract", F.lit("</jats:p>")).alias("abstract"), F.array("journal").alias("container-title"), F.struct(parts.alias("date-parts")).alias("published"), F.col("url").alias("URL"))
+
+
+def service_answers(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """What a service would answer for each paper of the documents: (place, query, value), a record in each."""
+    rows = papers(spark, sf)
+    if source in payloads.RECORD_TAGS:
+        value = _element("answer", _xml_record(source))
+    else:
+        lists = {"biorxiv": "collection", "semantic_scholar": "data", "europepmc": "resultList.result", "crossref": "message.items"}[source].split(".")
+        nested = F.array(_json_record(source))
+        for name in reversed(lists):
+            nested = F.struct(nested.alias(name))
+        value = F.to_json(nested, {"ignoreNullFields": "false"})
+    return rows.select(F.col("pos").alias("place"), F.lit(_QUERY).alias("query"), value.alias("value"))
 
 
 def _parse(source: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        answers = spark.createDataFrame([(SAMPLES[source],)], "value string")
-        return payloads.PARSERS[source](answers, "genome deep learning").withColumn("authors", _join("authors")).select(*_FIELDS)
+        found = payloads.PARSERS[source](service_answers(spark, sf, source), F.lit(_NOW).cast("timestamp"))
+        return found.withColumn("authors", _join("authors")).select(*_FIELDS)
 
     return run
 
 
-for _source, _row in _PARSED.items():
-    QUERIES[f"parse_{_source}"] = _parse(_source)
-    SQL[f"parse_{_source}"] = f"SELECT * FROM (VALUES {_row}) AS v({', '.join(_FIELDS)})"
+_clean = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_HALF = "CASE WHEN pos % 2 = 0 THEN doi ELSE '' END"
+_FOUND = "'https://doi.org/' || doi"
+_ONE = "array_to_string(authors, ';')"
+_DATED = "CASE WHEN date = '' THEN coalesce(year, 2025) || '-01-01' ELSE date END"
+_PARSED = {
+    "pubmed": f"""SELECT pos, CASE WHEN pos % 2 = 0 THEN doi ELSE 'pmid:' || pos END AS id, {_clean('title')} AS title, array_to_string(list_transform(authors, lambda a: a || ' F'), ';') AS authors,
+  {_clean("'BACKGROUND: ' || trim(title) || ' ' || abstract")} AS abstract, journal, CASE WHEN date = '' OR pos % 3 = 2 THEN 2025 ELSE year END AS year,
+  CASE WHEN date = '' OR pos % 3 = 2 THEN '2025-06-15' WHEN pos % 3 = 0 THEN date ELSE substr(date, 1, 8) || '01' END AS date, {_HALF} AS doi, CASE WHEN pos % 2 = 0 THEN {_FOUND} ELSE 'https://pubmed.ncbi.nlm.nih.gov/' || pos || '/' END AS url, 'pubmed' AS source
+  FROM papers WHERE {_clean('title')} <> ''""",
+    "arxiv": f"SELECT pos, CASE WHEN pos % 2 = 0 THEN doi ELSE 'arxiv:' || pos || 'v1' END AS id, {_clean('title')} AS title, {_ONE} AS authors, {_clean('abstract')} AS abstract, 'arXiv (preprint)' AS journal, coalesce(year, 2025) AS year, date, {_HALF} AS doi, 'http://arxiv.org/abs/' || pos || 'v1' AS url, 'arxiv' AS source FROM papers",
+    "biorxiv": f"SELECT pos, doi AS id, {_clean('title')} AS title, {_ONE} AS authors, {_clean('abstract')} AS abstract, 'bioRxiv (preprint)' AS journal, coalesce(year, 2025) AS year, date, doi, {_FOUND} AS url, 'biorxiv' AS source FROM papers WHERE contains(txt, 'ing') AND contains(txt, 'the')",
+    "semantic_scholar": f"SELECT pos, CASE WHEN pos % 2 = 0 THEN doi WHEN pos % 3 = 0 THEN 'pmid:' || pos WHEN pos % 5 = 0 THEN 'arxiv:5' ELSE 's2:' || pos END AS id, {_clean('title')} AS title, {_ONE} AS authors, {_clean('abstract')} AS abstract, journal, coalesce(year, 2025) AS year, {_DATED} AS date, {_HALF} AS doi, CASE WHEN pos % 2 = 0 THEN {_FOUND} ELSE url END AS url, 'semantic_scholar' AS source FROM papers WHERE title <> ''",
+    "europepmc": f"SELECT pos, CASE WHEN pos % 2 = 0 THEN doi WHEN pos % 3 = 0 THEN 'pmid:' || pos ELSE 'epmc:' || pos END AS id, {_clean('title')} AS title, {_ONE} AS authors, {_clean('abstract')} AS abstract, journal, coalesce(year, 2025) AS year, {_DATED} AS date, {_HALF} AS doi, CASE WHEN pos % 2 = 0 THEN {_FOUND} ELSE 'https://europepmc.org/article/MED/' || CASE WHEN pos % 3 = 0 THEN CAST(pos AS VARCHAR) ELSE '' END END AS url, 'europepmc' AS source FROM papers WHERE title <> ''",
+    "crossref": f"SELECT pos, {_HALF} AS id, {_clean('title')} AS title, array_to_string(list_transform(authors, lambda a: a || ' ' || a), ';') AS authors, {_clean('abstract')} AS abstract, journal, coalesce(year, 2025) AS year, CASE WHEN date = '' THEN '2025-01-01' ELSE substr(date, 1, 8) || '01' END AS date, {_HALF} AS doi, CASE WHEN pos % 2 = 0 THEN {_FOUND} ELSE url END AS url, 'crossref' AS source FROM papers WHERE title <> ''",
+}
+for _source, _sql in _PARSED.items():
+    _add(f"parse_{_source}", _parse(_source), _sql)

@@ -24,8 +24,8 @@ PAPER = T.StructType(
     ]
 )
 FIELDS = PAPER.fieldNames()
-#: Places (pos) that each query's results take when several are joined.
-QUERY_PLACES = 1 << 40
+#: Places (pos) that each query's results take when several are joined: bytes of a dump may be counted, so 256 TB of it.
+QUERY_PLACES = 1 << 48
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,24 +1,14 @@
-"""Answers of the six services, asked for and kept as files for the parsers.
-
-Requests are few and must be slow (services limit their rate), so the driver makes them one by
-one; what is large, the parsing, reads the kept answers with Spark.
-"""
+"""The requests of the six services; `searches` has executors make them."""
 
 from __future__ import annotations
 
 import json
-import logging
 import time
 from collections.abc import Callable
 from datetime import date
 from urllib.parse import quote_plus, urlencode
 from urllib.request import Request, urlopen
 
-from pyspark.sql import SparkSession
-
-from citeloom.sources.store import put
-
-log = logging.getLogger(__name__)
 LIMIT = 50
 # Addresses, parameters and pauses (seconds) of the services; {query}, {limit}, {start} and {end} are filled in.
 PUBMED_SEARCH = ("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", {"db": "pubmed", "term": "{query}", "retmax": "{limit}", "sort": "date", "retmode": "json"})
@@ -41,10 +31,18 @@ def address(service: tuple[str, dict[str, str]], **filled: str) -> str:
     return base.format(**filled) + (f"?{asked}" if asked else "")
 
 
-def search_address(source: str, query: str, today: date, limit: int = LIMIT) -> str:
-    """The request of a search; bioRxiv's is for the year up to today, to be filtered afterwards."""
-    start = today.replace(year=today.year - 1, day=min(today.day, 28) if today.month == 2 else today.day)
-    return address(SERVICES[source], query=query, quoted=quote_plus(query), limit=str(min(limit, MOST.get(source, limit))), start=start.isoformat(), end=today.isoformat())
+def year_before(day: date) -> date:
+    return day.replace(year=day.year - 1, day=min(day.day, 28) if day.month == 2 else day.day)
+
+
+def mirrored(url: str, source: str, mirror: str | None) -> str:
+    """A service's address, or the same request to a mirror."""
+    return f"{mirror.rstrip('/')}/{source}/{url.split('/', 3)[3]}" if mirror else url
+
+
+def search_address(source: str, query: str, start: date, end: date, limit: int = LIMIT) -> str:
+    """The request of a search; bioRxiv's is for all papers between the dates, to be filtered afterwards."""
+    return address(SERVICES[source], query=query, quoted=quote_plus(query), limit=str(min(limit, MOST.get(source, limit))), start=start.isoformat(), end=end.isoformat())
 
 
 def get(url: str) -> bytes:
@@ -52,36 +50,13 @@ def get(url: str) -> bytes:
         return answer.read()
 
 
-def answer(source: str, query: str, today: date, ask: Callable[[str], bytes] = get, wait: Callable[[float], None] = time.sleep) -> bytes | None:
+def answer(source: str, query: str, start: date, end: date, limit: int = LIMIT, ask: Callable[[str], bytes] = get, mirror: str | None = None, pause: float = PUBMED_PAUSE) -> bytes | None:
     """What a service answers a search; None if it finds nothing. PubMed's takes two requests."""
-    found = ask(search_address(source, query, today))
+    found = ask(mirrored(search_address(source, query, start, end, limit), source, mirror))
     if source != "pubmed":
         return found
     ids = json.loads(found).get("esearchresult", {}).get("idlist", [])
     if not ids:
         return None
-    wait(PUBMED_PAUSE)
-    return ask(address(PUBMED_RECORDS, ids=",".join(ids)))
-
-
-def keep_answers(spark: SparkSession, catalogue: list[dict[str, str]], folder: str, today: date, ask: Callable[[str], bytes] = get, wait: Callable[[float], None] = time.sleep) -> list[dict[str, str]]:
-    """Ask for every search of a catalogue and keep the answers in a shared folder; the catalogue with their paths.
-
-    Unknown services and searches that fail or find nothing are left out; failures are logged.
-    """
-    kept = []
-    for i, search in enumerate(catalogue):
-        if search["source"] not in SERVICES:
-            log.warning("unknown source: %s", search["source"])
-            continue
-        try:
-            found = answer(search["source"], search["query"], today, ask, wait)
-        except (OSError, ValueError):
-            log.exception("%s failed: %s", search["source"], search["query"])
-            found = None
-        if found is not None:
-            path = f"{folder}/{i:04d}-{search['source']}"
-            put(spark, path, found)
-            kept.append({**search, "path": path})
-        wait(PAUSE)
-    return kept
+    time.sleep(min(pause, PUBMED_PAUSE))
+    return ask(mirrored(address(PUBMED_RECORDS, ids=",".join(ids)), source, mirror))
