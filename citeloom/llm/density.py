@@ -260,6 +260,13 @@ def _measure(page: Page) -> int:
     return body
 
 
+def _children(nodes: list[Node], up: int) -> Iterator[int]:
+    i = up + 1
+    while i <= nodes[up].last:
+        yield i
+        i = nodes[i].last + 1
+
+
 def _chosen(page: Page) -> list[tuple[int, int]]:
     """Ranges of nodes that hold the content, in page order."""
     nodes = page.nodes
@@ -283,15 +290,15 @@ def _chosen(page: Page) -> list[tuple[int, int]]:
     if nodes[root].article or nodes[root].main:  # the page says where its articles begin and end
         return [(r, nodes[r].last) for r in outer if r == root or nodes[r].density >= threshold]
     ranges = [(best, nodes[best].last)]
+    if best in (body, 0):  # nothing encloses the content: what is mostly links is no part of it
+        ranges = [(best, best), *((i, nodes[i].last) for i in _children(nodes, best) if 2 * nodes[i].link_chars <= nodes[i].chars)]
     for child, up in zip(path, path[1:]):
-        i = up + 1
-        while i <= nodes[up].last:
+        for i in _children(nodes, up):
             node = nodes[i]
             if i != child and not node.dropped and node.chars:
                 prose = node.tag in PROSE and 2 * node.link_chars <= node.chars
                 if node.density >= threshold or node.tag in HEADINGS or (prose and child == best):
                     ranges.append((i, node.last))
-            i = node.last + 1
         if nodes[up].direct and _composite(nodes[up].direct, 0, 1, 0, 0.0) >= threshold:
             ranges.append((up, up))
     return sorted(ranges)

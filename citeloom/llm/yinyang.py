@@ -234,8 +234,9 @@ def clusters(embeddings: DataFrame, k: int = 40, rounds: int = 5, components: in
                 made.forget_before_last()
         assigned = stored(_pass(table, centres, True, True), "assigned")
         made.keep_last()
-    sums = {r["cluster"]: int(r["s"]) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect() if r["s"] is not None}
-    fits = lambda v: v if v is not None and v < _LONG else None
-    per = [(i, fits(sums.get(i)), fits(sum(sums.values())), hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for i, row in enumerate(centres.rows)]
+    added = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"), F.count_if(F.col("distance").isNull()).alias("beyond"))
+    sums = {r["cluster"]: _LONG if r["beyond"] else int(r["s"]) for r in added.collect()}
+    fits = lambda v: v if v < _LONG else None
+    per = [(i, fits(sums.get(i, 0)), fits(sum(sums.values())), hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for i, row in enumerate(centres.rows)]
     told = spark.createDataFrame(per, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return assigned.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # k rows
