@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.decontam import contamination
 from citeloom.llm.mixing import first_words, mix
 from citeloom.llm.neardup import near_duplicates
-from citeloom.llm.runtime import forget, keyed, stored, tables
+from citeloom.llm.runtime import keyed, scratch, stored
 from citeloom.llm.secretscan import scan_secrets
 from citeloom.llm.toxicity import toxicity
 
@@ -80,8 +80,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    others = tables()
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
-        forget(spark, [t for t in tables()[:-1] if t not in others])  # what the stage has read and made on its way
+    with scratch(spark) as made:  # of this run alone: what a stage has read and made on its way goes
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), "stage")
+            made.forget_before_last()
+        made.keep_last()
     return STAGES[-1][1](spark, docs, sf_dir)
