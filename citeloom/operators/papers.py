@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
+from citeloom.operators import keywords
 from citeloom.operators.ordering import numbered
 from citeloom.schema import QUERY_PLACES
 
@@ -54,8 +55,17 @@ def paper_text() -> Column:
     return t.match_text("title", "abstract")
 
 
+#: Keywords from which papers are joined with them; below, one expression seeks each in turn, without a shuffle.
+MANY_KEYWORDS = 2_000
+
+
 def categorize(papers: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
-    return papers.withColumn("categories", tx.categories(paper_text(), taxonomy))
+    """Papers with the (up to three) groups whose keywords they hold most of, else Other."""
+    if sum(map(len, taxonomy.groups.values())) < MANY_KEYWORDS:
+        return papers.withColumn("categories", tx.categories(paper_text(), taxonomy))
+    best = keywords.best_groups(papers.select("pos", paper_text().alias("text")), taxonomy)
+    found = papers.drop("categories").join(best, "pos", "left").withColumn("categories", F.coalesce("categories", F.array(F.lit("Other"))))
+    return found.select(*dict.fromkeys([*papers.columns, "categories"]))
 
 
 def annotate(papers: DataFrame) -> DataFrame:

@@ -17,14 +17,18 @@ def _hits(text: Column, terms: list[str]) -> Column:
     return bound(text, lambda x: F.size(F.filter(F.array(*map(F.lit, terms)), lambda k: F.contains(x, k))))
 
 
+def searched_text() -> Column:
+    """The lower-cased text of a paper that a search's terms are sought in."""
+    return t.match_text("title", "abstract", F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " "))
+
+
 def search(papers: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Papers with the most query terms in title, abstract and categories; an empty query finds nothing.
 
     Papers without a hit go last and are dropped after the cut: a filter before it would be
     pushed, categorisation included, into the scan.
     """
-    cats = F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " ")
-    scored = papers.withColumn("score", _hits(t.match_text("title", "abstract", cats), t.terms_of(query)))
+    scored = papers.withColumn("score", _hits(searched_text(), t.terms_of(query)))
     return scored.orderBy(F.desc("score"), "pos").limit(limit).where("score > 0")
 
 

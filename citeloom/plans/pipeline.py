@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import os
 import uuid
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.taxonomy import Taxonomy
 from citeloom.operators import papers as pp
-from citeloom.operators import report
+from citeloom.operators import report, substrings
 from citeloom.operators.search import search
+from citeloom.operators.substrings import Index, build
 from citeloom.plans import answers, mail
 from citeloom.sources import payloads, searches, store
 from citeloom.sources.catalogue import CATALOGUE
@@ -38,18 +40,44 @@ def ask(spark: SparkSession, catalogue: list[dict[str, str]], folder: str, **opt
     return found, made.where("error is not null").select("search", "source", "query", "error")
 
 
-def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None) -> dict:
-    """Merge new papers, recategorise all, write the snapshot and the run's delta, then render."""
+def index_of(spark: SparkSession, path: str, name: str | None = None) -> Index | None:
+    """The substring index of the current snapshot, or a named one; None if it was written without."""
+    told = store.get(spark, f"{path}/index/{name or store.pointer(spark, path).name}.json")
+    return None if told is None else Index(spark, json.loads(told)["folders"])
+
+
+def _index(spark: SparkSession, path: str, name: str, fresh: DataFrame, delta: DataFrame, taxonomy: Taxonomy) -> None:
+    """Index what a snapshot adds to the one before; all of it if that has no index, or one of other categories."""
+    mark = hashlib.sha256(json.dumps(list(taxonomy.groups.items())).encode()).hexdigest()
+    told = store.get(spark, f"{path}/index/{store.pointer(spark, path).name}.json")
+    before = json.loads(told) if told else {}
+    kept = before["folders"] if before.get("taxonomy") == mark else []
+    added = delta if kept else fresh
+    if not added.isEmpty():
+        kept = [*kept, build(added, f"{path}/index/{name}")]
+    store.put(spark, f"{path}/index/{name}.json", json.dumps({"taxonomy": mark, "folders": kept}).encode())
+
+
+def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None, index: bool = False) -> dict:
+    """Merge new papers, recategorise all, write the run's delta and index with the snapshot, then render.
+
+    Delta and index stand before the pointer moves to the snapshot: after a crash either all of
+    the run is there, or the next run finds the same papers new.
+    """
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M UTC")
     existing = store.read_snapshot(spark, path)
     out: dict = {"existing_count": existing.count(), "fetched_count": 0 if new is None else new.count()}
     everything, added = pp.merge(existing, existing.limit(0) if new is None else new)
-    run_id = F.lit(store.write_snapshot(pp.categorize(everything, taxonomy), path))
-    current = store.read_snapshot(spark, path)
     keys = added.select(pp.t.merge_key("id").alias("k"))
-    delta = current.join(keys, pp.t.merge_key(current["id"]) == keys["k"], "left_semi").withColumn("run", run_id)
-    delta.write.partitionBy("run").mode("append").parquet(f"{path}/delta")
-    delta = delta.drop("run")
+
+    def finish(name: str) -> None:
+        fresh = store.read_snapshot(spark, path, name)
+        fresh.join(keys, pp.t.merge_key(fresh["id"]) == keys["k"], "left_semi").write.parquet(f"{path}/delta/run={name}")
+        if index:
+            _index(spark, path, name, fresh, _delta(spark, path, name), taxonomy)
+
+    name = store.write_snapshot(pp.categorize(everything, taxonomy), path, finish=finish)
+    current, delta = store.read_snapshot(spark, path, name), _delta(spark, path, name)
     out |= {"new_count": delta.count(), "total_count": current.count(), "digest": report.digest_text(delta, current, taxonomy, now), "email_sent": False}
     if readme:
         with open(readme, "w", encoding="utf-8") as f:
@@ -59,11 +87,15 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
     return out | {"success": True}
 
 
+def _delta(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(store.PAPER).parquet(f"{path}/delta/run={name}")
+
+
 def latest_delta(spark: SparkSession, path: str) -> DataFrame:
     """The papers that the last update added; none if there was none."""
     name = store.pointer(spark, path).name
     at, fs = store._place(spark, f"{path}/delta/run={name}")
-    return spark.read.schema(store.PAPER).parquet(f"{path}/delta/run={name}") if name and fs.exists(at) else store.read_snapshot(spark, path).limit(0)
+    return _delta(spark, path, name) if name and fs.exists(at) else store.read_snapshot(spark, path).limit(0)
 
 
 def _show(papers: DataFrame) -> None:
@@ -84,11 +116,12 @@ def main(args: list[str] | None = None, transport=None) -> None:
     parser.add_argument("--answers", help="a shared folder: ask the services for the catalogue's searches (the built-in ones without --catalogue) and keep their answers there")
     parser.add_argument("--mirror", help="an address that takes the services' place, each below its name")
     parser.add_argument("--new", help="a JSON array of new papers")
+    parser.add_argument("--index", action="store_true", help="keep a substring index of the store, which searches then use")
     parser.add_argument("--format", default="json")
     parser.add_argument("--output", default="papers_export")
     parser.add_argument("--limit", type=int, default=20)
     parser.add_argument("--to", nargs="*", default=[], help="recipients of the digest")
-    a = parser.parse_args(args)
+    a = parser.parse_intermixed_args(args)
     if a.taxonomy is None and a.command in ("fetch", "update-readme", "run-pipeline", "send-email"):
         parser.error(f"{a.command} needs --taxonomy")
     spark = SparkSession.builder.getOrCreate()
@@ -106,10 +139,10 @@ def main(args: list[str] | None = None, transport=None) -> None:
             fetched = fetch(spark, wanted)
         new = fetched if new is None else new if fetched is None else pp.compacted(pp.fetch_union([new, fetched]))
     if a.command == "fetch":
-        print(run(spark, a.store, new, taxonomy))
+        print(run(spark, a.store, new, taxonomy, index=a.index))
         return
     if a.command == "run-pipeline":
-        print(run(spark, a.store, new, taxonomy, a.output, post if a.to else None))
+        print(run(spark, a.store, new, taxonomy, a.output, post if a.to else None, a.index))
         return
     papers = store.read_snapshot(spark, a.store)
     if papers.isEmpty():
@@ -117,7 +150,9 @@ def main(args: list[str] | None = None, transport=None) -> None:
     if a.command == "stats":
         _show(papers)
     elif a.command == "search":
-        search(papers, " ".join(a.words), a.limit).select("title", pp.t.authors_search("authors").alias("authors"), "journal", "year", "categories", "url").show(a.limit, truncate=False)
+        index = index_of(spark, a.store)
+        found = search(papers, " ".join(a.words), a.limit) if index is None else substrings.search(papers, index, " ".join(a.words), a.limit)
+        found.select("title", pp.t.authors_search("authors").alias("authors"), "journal", "year", "categories", "url").show(a.limit, truncate=False)
     elif a.command == "export":
         store.export(papers, a.format, f"{a.output}.{a.format}")
     elif a.command == "analyze":

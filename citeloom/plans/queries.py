@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
-from citeloom.operators import report, search
+from citeloom.operators import keywords, report, search, substrings
+from citeloom.shared import shared_dir
 from citeloom.sources import payloads, store
 from citeloom.sources.documents import papers
 
@@ -160,6 +162,17 @@ def _search_sql(query: str, limit: int) -> str:
 
 for _name, _query, _limit in (("search_cli20", "gan gat der", 20), ("search_web50", "llm bert vit fx_de", 50), ("search_dup_terms", "gan gan lad", 20)):
     _add(_name, lambda s, d, q=_query, n=_limit: search.search(_cat(s, d), q, n).select("pos", F.col("score").cast("long").alias("score")), _search_sql(_query, _limit), _CATS)
+
+
+def _indexed(spark: SparkSession, sf: str, query: str, limit: int) -> DataFrame:
+    """A search by an index of all papers, made for it in the shared folder."""
+    rows = _cat(spark, sf)
+    index = substrings.Index(spark, [substrings.build(rows, f"{shared_dir(spark).rstrip('/')}/substrings-{uuid.uuid4().hex}")])
+    return substrings.search(rows, index, query, limit).select("pos", F.col("score").cast("long").alias("score"))
+
+
+for _name, _query, _limit in (("search_indexed_cli20", "gan gat der", 20), ("search_indexed_rare", "llm bert zq", 50)):
+    _add(_name, lambda s, d, q=_query, n=_limit: _indexed(s, d, q, n), _search_sql(_query, _limit), _CATS)
 _add("provider_filter", lambda s, d: search.provider_filter(papers(s, d), "gan tion ment ia").select("pos"), "SELECT pos FROM papers WHERE CAST(contains(txt, 'gan') AS INT) + CAST(contains(txt, 'tion') AS INT) + CAST(contains(txt, 'ment') AS INT) >= 2")
 _add("provider_filter_zero_terms", lambda s, d: search.provider_filter(papers(s, d), "3D").select("pos"), "SELECT pos FROM papers")
 _BROWSE = "SELECT pos, row_number() OVER (ORDER BY date DESC, pos) AS rn, 10 * least(1, greatest(0, (count(*) OVER () - 1) // 10)) AS skip FROM papers WHERE source = 'src3' AND NOT coalesce(year < 2012 OR year > 2024, false) AND pos IN (SELECT pos FROM cats WHERE category = 'fx_suffix_en')"
@@ -202,6 +215,19 @@ def _theta(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("theta_taxonomy_join", _theta, "SELECT pos, grp, score FROM fx", _hits("fx", FIX))
+_texts = lambda s, d: papers(s, d).select("pos", pp.paper_text().alias("text"))
+_add("keyword_join", lambda s, d: keywords.group_hits(_texts(s, d), FIX).drop("grp_ord"), "SELECT pos, grp, score FROM fx", _hits("fx", FIX))
+_add("keyword_join_methods", lambda s, d: keywords.all_groups(_texts(s, d), tx.METHODS).select("pos", _join("groups").alias("groups")), "SELECT pos, string_agg(grp, ';' ORDER BY ord) AS groups FROM mx GROUP BY pos", _METHODS)
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    """How many different author names of the collection stand in each paper's text: a taxonomy that grows with the papers."""
+    rows = papers(s, d)
+    names = pp.members(rows.select("pos", "authors"), "authors").select(F.lower("member").alias("kw")).where("length(kw) > 3").distinct()
+    return keywords.holding(_texts(s, d), names).groupBy("pos").agg(F.count("*").alias("names"))
+
+
+_add("author_mentions", _mentions, "SELECT pos, count(*) AS names FROM papers JOIN (SELECT DISTINCT lower(a) AS kw FROM (SELECT unnest(authors) AS a FROM papers) WHERE length(a) > 3) ON contains(txt, kw) GROUP BY pos")
 
 _NOW = "2025-06-15 12:00:00"
 _QUERY = "ing the ti 3d"  # bioRxiv's records must hold two of its words of three letters and more

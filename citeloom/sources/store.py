@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +60,15 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def get(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is none."""
+    at, fs = _place(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(at) else None
+
+
 def pointer(spark: SparkSession, path: str) -> Pointer:
-    at, fs = _place(spark, f"{path}/CURRENT")
-    if not fs.exists(at):
-        return Pointer()
-    return Pointer(*spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0].split("\n"))
+    told = get(spark, f"{path}/CURRENT")
+    return Pointer() if told is None else Pointer(*told.split("\n"))
 
 
 def _point(spark: SparkSession, path: str, to: Pointer) -> None:
@@ -86,15 +91,19 @@ def _forget_old(spark: SparkSession, path: str, keep: int, current: Pointer) ->
             fs.delete(_place(spark, f"{path}/{name}")[0], True)
 
 
-def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str | None = None, keep: int = 5) -> str:
+def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str | None = None, keep: int = 5, finish: Callable[[str], None] | None = None) -> str:
     """Write a new snapshot, then move the pointer to it, so that readers see the old or the new one whole.
 
+    `finish` gets the snapshot's name before the pointer moves and writes what belongs to it: if
+    that or the move fails, readers go on with the old snapshot, and the next run does all again.
     The newest `keep` snapshots stay for readers that began before. `before` is the snapshot
     this one was made from, the current one unless a batch is repeated.
     """
     spark = papers.sparkSession
     name = f"snapshot-{uuid.uuid4().hex}"
     papers.select(*FIELDS).write.parquet(f"{path}/{name}")
+    if finish is not None:
+        finish(name)
     current = Pointer(name, pointer(spark, path).name if before is None else before, batch)
     _point(spark, path, current)
     _forget_old(spark, path, keep, current)
