@@ -46,39 +46,40 @@ def index_of(spark: SparkSession, path: str, name: str | None = None) -> Index |
     return None if told is None else Index(spark, json.loads(told)["folders"])
 
 
-def _index(spark: SparkSession, path: str, name: str, fresh: DataFrame, delta: DataFrame, taxonomy: Taxonomy) -> None:
-    """Index what a snapshot adds to the one before; all of it if that has no index, or one of other categories."""
-    mark = hashlib.sha256(json.dumps(list(taxonomy.groups.items())).encode()).hexdigest()
-    told = store.get(spark, f"{path}/index/{store.pointer(spark, path).name}.json")
-    before = json.loads(told) if told else {}
-    kept = before["folders"] if before.get("taxonomy") == mark else []
-    added = delta if kept else fresh
-    if not added.isEmpty():
-        kept = [*kept, build(added, f"{path}/index/{name}")]
-    store.put(spark, f"{path}/index/{name}.json", json.dumps({"taxonomy": mark, "folders": kept}).encode())
+def _index(spark: SparkSession, path: str, name: str) -> None:
+    """Index what a snapshot adds to the one before; all of it if that has no index, or was classified by another taxonomy."""
+    made, old = store.manifest(spark, path, name), store.manifest(spark, path)
+    before = index_of(spark, path)
+    kept = before.folders if before is not None and old.mark == made.mark else []
+    fresh = store.read_added(spark, path, name) if kept else store.read_snapshot(spark, path, name)
+    if not fresh.isEmpty():
+        kept = [*kept, build(fresh, f"{path}/index/{name}")]
+    store.put(spark, f"{path}/index/{name}.json", json.dumps({"folders": kept}).encode())
 
 
 def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None, index: bool = False) -> dict:
-    """Merge new papers, recategorise all, write the run's delta and index with the snapshot, then render.
+    """Merge new papers, write them with their categories as a part of the store, then render.
 
-    Delta and index stand before the pointer moves to the snapshot: after a crash either all of
-    the run is there, or the next run finds the same papers new.
+    Papers that stand keep their categories while the taxonomy is the same; with another one
+    all are classified again and written whole. What the run adds, and its index, stand before
+    the pointer moves to the snapshot: after a crash either all of the run is there, or the next
+    run finds the same papers new.
     """
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M UTC")
-    existing = store.read_snapshot(spark, path)
-    out: dict = {"existing_count": existing.count(), "fetched_count": 0 if new is None else new.count()}
-    everything, added = pp.merge(existing, existing.limit(0) if new is None else new)
-    keys = added.select(pp.t.merge_key("id").alias("k"))
-
-    def finish(name: str) -> None:
-        fresh = store.read_snapshot(spark, path, name)
-        fresh.join(keys, pp.t.merge_key(fresh["id"]) == keys["k"], "left_semi").write.parquet(f"{path}/delta/run={name}")
-        if index:
-            _index(spark, path, name, fresh, _delta(spark, path, name), taxonomy)
-
-    name = store.write_snapshot(pp.categorize(everything, taxonomy), path, finish=finish)
-    current, delta = store.read_snapshot(spark, path, name), _delta(spark, path, name)
-    out |= {"new_count": delta.count(), "total_count": current.count(), "digest": report.digest_text(delta, current, taxonomy, now), "email_sent": False}
+    mark = hashlib.sha256(json.dumps(list(taxonomy.groups.items())).encode()).hexdigest()
+    before = store.manifest(spark, path)
+    out: dict = {"existing_count": before.rows, "fetched_count": 0 if new is None else new.count()}
+    new = store.read_snapshot(spark, path).limit(0) if new is None else new
+    finish = (lambda name: _index(spark, path, name)) if index else None
+    if before.parts and before.mark == mark:
+        name = store.add_papers(spark, path, new, lambda rows: pp.categorize(rows, taxonomy), finish=finish)
+    else:
+        added = pp.categorize(store.unseen(spark, path, new, before), taxonomy)
+        part = store.write_part(added, path)
+        everything = pp.categorize(store.read_snapshot(spark, path), taxonomy).unionByName(store.read_part(spark, path, part))
+        name = store.write_snapshot(everything, path, finish=finish, mark=mark, added=part)
+    current, delta = store.read_snapshot(spark, path, name), store.read_added(spark, path, name)
+    out |= {"new_count": delta.count(), "total_count": store.manifest(spark, path, name).rows, "digest": report.digest_text(delta, current, taxonomy, now), "email_sent": False}
     if readme:
         with open(readme, "w", encoding="utf-8") as f:
             f.write(report.readme(current, taxonomy, now[:10]))
@@ -87,15 +88,9 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
     return out | {"success": True}
 
 
-def _delta(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(store.PAPER).parquet(f"{path}/delta/run={name}")
-
-
 def latest_delta(spark: SparkSession, path: str) -> DataFrame:
     """The papers that the last update added; none if there was none."""
-    name = store.pointer(spark, path).name
-    at, fs = store._place(spark, f"{path}/delta/run={name}")
-    return _delta(spark, path, name) if name and fs.exists(at) else store.read_snapshot(spark, path).limit(0)
+    return store.read_added(spark, path)
 
 
 def _show(papers: DataFrame) -> None:

@@ -109,6 +109,20 @@ _add("merge_all", lambda s, d: _split(s, d)[0].select("pos", t.merge_key("id").a
 _add("merge_new", lambda s, d: _split(s, d)[1].select("pos", t.merge_key("id").alias("key")), f"SELECT {_PLACE} AS pos, key FROM {_MERGED} WHERE pos % 10 >= 6")
 
 
+def _stored(s: SparkSession, d: str) -> str:
+    """A store in the shared folder: first three fifths of the papers, then the rest as an update."""
+    rows, path = papers(s, d), f"{shared_dir(s).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store.add_papers(s, path, rows.where("pos % 10 < 6"))
+    store.add_papers(s, path, rows.where("pos % 10 >= 6"))
+    return path
+
+
+_OLD = "(SELECT max(pos) FROM (SELECT pos, key FROM (" + _FIRST.format(key=_KEY, order="pos % 10 >= 6, pos") + ") WHERE pos % 10 < 6))"
+_STORED = f"SELECT CASE WHEN pos % 10 < 6 THEN pos ELSE pos + 1 + {_OLD} END AS pos, key FROM {_MERGED}"
+_add("store_all", lambda s, d: store.read_snapshot(s, _stored(s, d)).select("pos", t.merge_key("id").alias("key")), _STORED)
+_add("store_added", lambda s, d: store.read_added(s, _stored(s, d)).select("pos", t.merge_key("id").alias("key")), _STORED + " WHERE pos % 10 >= 6")
+
+
 def _union(s: SparkSession, d: str) -> DataFrame:
     rows = papers(s, d)
     return pp.fetch_union([rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0")]).select("id", "title")

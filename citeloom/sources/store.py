@@ -1,4 +1,10 @@
-"""The paper collection on disk: Parquet snapshots, JSON arrays, CSV exports."""
+"""The paper collection on disk: snapshots of Parquet parts, JSON arrays, CSV exports.
+
+A snapshot is a manifest, a small file that names its parts; CURRENT points to one. A part is a
+folder of papers in hash buckets of their merge key. As records that are known are never
+refreshed, an update writes a part of the papers it adds and a manifest of one part more: no
+file is written again, and only keys of the buckets that new papers fall into are read.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,12 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as t
 from citeloom.schema import FIELDS, PAPER
+from citeloom.shared import cut
 
 # The columns of the two CSV forms.
 EXPORT_COLUMNS = ["id", "title", "authors", "journal", "year", "date", "doi", "url", "source", "categories"]
@@ -83,25 +91,69 @@ def _point(spark: SparkSession, path: str, to: Pointer) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, _place(spark, f"{path}/CURRENT")[0], over)
 
 
+class Manifest(NamedTuple):
+    """A snapshot: its parts' folders, their number of buckets, the first free place, how many papers there are, what they were classified by, and the folder of those it added."""
+
+    parts: tuple[str, ...] = ()
+    buckets: int = 1
+    top: int = 0
+    rows: int = 0
+    mark: str = ""
+    added: str = ""
+
+
+#: Papers to a bucket when a snapshot is written whole, parts that an update may leave, and new keys up to which they are broadcast (some 100 MB).
+BUCKET_ROWS, MOST_PARTS, BROADCAST_KEYS = 1 << 18, 64, 1_000_000
+_PART = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAPER.fields) + ", key string, part string, bucket int"
+
+
+def manifest(spark: SparkSession, path: str, name: str | None = None) -> Manifest:
+    """What the current snapshot, or a named one, consists of; an empty one if there is none yet."""
+    name = pointer(spark, path).name if name is None else name
+    if not name:
+        return Manifest()
+    told = json.loads(get(spark, f"{path}/{name}.json") or "")
+    return Manifest(**told | {"parts": tuple(told["parts"])})
+
+
 def _forget_old(spark: SparkSession, path: str, keep: int, current: Pointer) -> None:
+    """Delete the oldest snapshots, and the parts that only they name."""
     at, fs = _place(spark, path)
     found = sorted((x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(at) if x.getPath().getName().startswith("snapshot-"))
-    for _, name in found[: max(0, len(found) - keep)]:
-        if name not in (current.name, current.before):
+    names = [name.removesuffix(".json") for _, name in found]
+    old = [n for n in names[: max(0, len(names) - keep)] if n not in (current.name, current.before)]
+    if old:
+        told = {n: manifest(spark, path, n) for n in names}
+        held = lambda some: {p for n in some for p in (*told[n].parts, told[n].added) if p}
+        gone = held(old) - held(set(names) - set(old))
+        for name in [*gone, *(f"{n}.json" for n in old)]:
             fs.delete(_place(spark, f"{path}/{name}")[0], True)
 
 
-def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str | None = None, keep: int = 5, finish: Callable[[str], None] | None = None) -> str:
-    """Write a new snapshot, then move the pointer to it, so that readers see the old or the new one whole.
+def _keyed(papers: DataFrame, buckets: int) -> DataFrame:
+    keyed = papers.select(*FIELDS).withColumn("key", t.merge_key("id"))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
-    `finish` gets the snapshot's name before the pointer moves and writes what belongs to it: if
-    that or the move fails, readers go on with the old snapshot, and the next run does all again.
-    The newest `keep` snapshots stay for readers that began before. `before` is the snapshot
-    this one was made from, the current one unless a batch is repeated.
-    """
-    spark = papers.sparkSession
+
+def write_part(keyed: DataFrame, path: str) -> str:
+    """Write papers with key and bucket as a part that no snapshot names yet; its folder."""
+    name = f"rows/part=p{uuid.uuid4().hex}"
+    keyed.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    return name
+
+
+def _read_parts(spark: SparkSession, path: str, parts: tuple[str, ...]) -> DataFrame:
+    return spark.read.schema(_PART).option("basePath", f"{path}/rows").parquet(*(f"{path}/{p}" for p in parts)) if parts else spark.createDataFrame([], _PART)
+
+
+def read_part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    return _read_parts(spark, path, (part,)).select(*FIELDS)
+
+
+def _commit(spark: SparkSession, path: str, made: Manifest, batch: str, before: str | None, keep: int, finish: Callable[[str], None] | None) -> str:
+    """Write a manifest, have what belongs to it written, move the pointer, and forget old snapshots."""
     name = f"snapshot-{uuid.uuid4().hex}"
-    papers.select(*FIELDS).write.parquet(f"{path}/{name}")
+    put(spark, f"{path}/{name}.json", json.dumps(made._asdict()).encode())
     if finish is not None:
         finish(name)
     current = Pointer(name, pointer(spark, path).name if before is None else before, batch)
@@ -110,10 +162,66 @@ def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str |
     return name
 
 
+def write_snapshot(papers: DataFrame, path: str, batch: str = "", before: str | None = None, keep: int = 5, finish: Callable[[str], None] | None = None, mark: str = "", buckets: int | None = None, added: str = "") -> str:
+    """Write papers whole as a new snapshot, then move the pointer to it, so that readers see the old or the new one whole.
+
+    `finish` gets the snapshot's name before the pointer moves and writes what belongs to it: if
+    that or the move fails, readers go on with the old snapshot, and the next run does all again.
+    The newest `keep` snapshots stay for readers that began before. `before` is the snapshot
+    this one was made from, the current one unless a batch is repeated. `mark` says what the
+    papers were classified by.
+    """
+    spark = papers.sparkSession
+    buckets = buckets or 1 << max(0, (papers.count() - 1) // BUCKET_ROWS).bit_length()
+    part = write_part(_keyed(papers, buckets), path)
+    size = _read_parts(spark, path, (part,)).agg(F.count("*").alias("n"), F.max("pos").alias("top")).first()
+    made = Manifest((part,), buckets, 0 if size["top"] is None else size["top"] + 1, size["n"], mark, added)
+    return _commit(spark, path, made, batch, before, keep, finish)
+
+
+def unseen(spark: SparkSession, path: str, new: DataFrame, base: Manifest) -> DataFrame:
+    """(the papers' fields, key, bucket) of new papers: the first of each key that a snapshot doesn't hold, placed after its papers.
+
+    Of the snapshot only keys are read, and those of the buckets that the new papers fall into.
+    Few new keys are broadcast to them; many are joined with them by key.
+    """
+    first = _keyed(new, base.buckets).where("key <> ''").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("pos"))).where("_rank = 1").drop("_rank")
+    first = cut(first.withColumn("pos", F.col("pos") + F.lit(base.top)))
+    touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]
+    known = _read_parts(spark, path, base.parts).where(F.col("bucket").isin(touched)).select("key")
+    if first.count() <= BROADCAST_KEYS:
+        known = known.join(F.broadcast(first.select("key")), "key", "left_semi")
+    return first.join(known, "key", "left_anti").select(*FIELDS, "key", "bucket")
+
+
+def add_papers(spark: SparkSession, path: str, new: DataFrame, classify: Callable[[DataFrame], DataFrame] = lambda p: p, batch: str = "", before: str | None = None, keep: int = 5, finish: Callable[[str], None] | None = None) -> str:
+    """A new snapshot with the unseen ones of new papers, classified; nothing that stands is written again.
+
+    The rest is as in write_snapshot. After MOST_PARTS updates the parts are written as one.
+    """
+    base = manifest(spark, path, before)
+    if not base.parts:
+        buckets = 1 << max(0, (new.count() - 1) // BUCKET_ROWS).bit_length()
+        base = base._replace(buckets=buckets)
+    part = write_part(classify(unseen(spark, path, new, base)), path)
+    size = _read_parts(spark, path, (part,)).agg(F.count("*").alias("n"), F.max("pos").alias("top")).first()
+    made = base._replace(added=part)
+    if size["n"]:
+        made = made._replace(parts=(*base.parts, part), top=size["top"] + 1, rows=base.rows + size["n"])
+    if len(made.parts) > MOST_PARTS:
+        return write_snapshot(_read_parts(spark, path, made.parts), path, batch, before, keep, finish, made.mark, added=part)
+    return _commit(spark, path, made, batch, before, keep, finish)
+
+
 def read_snapshot(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """The current snapshot, or a named one; empty if there is none yet. A damaged one raises."""
-    name = pointer(spark, path).name if name is None else name
-    return spark.read.schema(PAPER).parquet(f"{path}/{name}") if name else spark.createDataFrame([], PAPER)
+    return _read_parts(spark, path, manifest(spark, path, name).parts).select(*FIELDS)
+
+
+def read_added(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The papers that a snapshot added to the one before."""
+    folder = manifest(spark, path, name).added
+    return read_part(spark, path, folder) if folder else spark.createDataFrame([], PAPER)
 
 
 def export_rows(papers: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A stream of new papers merged into the snapshot, batch by batch."""
+"""A stream of new papers added to the store, batch by batch."""
 
 from __future__ import annotations
 
@@ -26,10 +26,12 @@ def merge_stream(new: DataFrame, path: str, taxonomy: Taxonomy, checkpoint: str,
         spark, mark = batch.sparkSession, f"{stream}-{number}"
         now = store.pointer(spark, path)
         base = now.before if now.batch == mark else now.name
-        everything, added = pp.merge(store.read_snapshot(spark, path, base), pp.categorize(batch, taxonomy))
-        if delta:
-            added.write.mode("overwrite").parquet(f"{delta}/batch={number}")
-        store.write_snapshot(everything, path, mark, base)
+
+        def keep(name: str) -> None:
+            if delta:
+                store.read_added(spark, path, name).write.mode("overwrite").parquet(f"{delta}/batch={number}")
+
+        store.add_papers(spark, path, batch, lambda rows: pp.categorize(rows, taxonomy), mark, base, finish=keep)
 
     return new.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

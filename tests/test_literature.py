@@ -153,20 +153,20 @@ def test_repeated_batch(spark, tmp_path, monkeypatch):
     path, source, delta = (str(tmp_path / x) for x in ("store", "in", "delta"))
     store.write_snapshot(frame(spark, paper(0, "A")), path)
     frame(spark, paper(0, "a"), paper(1, "B")).write.parquet(source)
-    whole = store.write_snapshot
+    whole = store.add_papers
 
-    def broken(*args):
-        whole(*args)
+    def broken(*args, **more):
+        whole(*args, **more)
         raise RuntimeError("lost")
 
     def stream():
         return merge_stream(spark.readStream.schema(PAPER).parquet(source), path, tx.FIXTURE, str(tmp_path / "cp"), delta)
 
-    monkeypatch.setattr(store, "write_snapshot", broken)
+    monkeypatch.setattr(store, "add_papers", broken)
     with pytest.raises(Exception, match="lost"):
         stream().awaitTermination()
     assert store.read_snapshot(spark, path).count() == 2
-    monkeypatch.setattr(store, "write_snapshot", whole)
+    monkeypatch.setattr(store, "add_papers", whole)
     stream().awaitTermination()
     assert [r["id"] for r in store.read_snapshot(spark, path).orderBy("pos").collect()] == ["A", "B"]
     assert [r["id"] for r in spark.read.parquet(delta).collect()] == ["B"]
