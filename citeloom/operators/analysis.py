@@ -40,7 +40,12 @@ def newest_trend(papers: DataFrame, years: int = 5) -> DataFrame:
 
 def growth(papers: DataFrame, as_of: int) -> DataFrame:
     """(year, total, before_year, before, percent) of the newest of the last years against the present year before it."""
-    years = trend_years(papers).where(F.col("year") >= as_of - 3)
+    return pace(trend_years(papers), as_of)
+
+
+def pace(totals: DataFrame, as_of: int) -> DataFrame:
+    """growth() of the totals of years (year, total)."""
+    years = totals.where(F.col("year") >= as_of - 3)
     order = Window.orderBy("year")
     paired = years.withColumns({"before": F.lag("total").over(order), "before_year": F.lag("year").over(order), "last": F.lead("year").over(order)}).where("last is null")
     gain = F.bround((F.col("total") - F.col("before")) / F.greatest("before", F.lit(1)) * 100, 0).cast("long")
@@ -77,6 +82,11 @@ def category_insights(papers: DataFrame, as_of: int) -> DataFrame:
     rows = papers.select(F.coalesce("categories", F.array(F.lit("Other"))).alias("categories"), F.nullif("year", F.lit(0)).alias("year"))
     rows = members(rows, "categories", name="category")
     per = rows.groupBy("category").agg(F.count("*").alias("n"), F.min("year").alias("oldest"), F.max("year").alias("newest"), F.count_if(F.col("year") >= as_of - 1).alias("recent"))
+    return told(per)
+
+
+def told(per: DataFrame) -> DataFrame:
+    """The sentences of categories (category, n, oldest, newest, recent)."""
     trend = F.when(F.col("recent") > F.col("n") * 0.5, "rapidly growing").when(F.col("recent") > F.col("n") * 0.25, "actively researched").when(F.col("recent") > 0, "moderately active").otherwise("established")
     plain = F.format_string("%d papers", "n")
     full = F.concat(plain, F.format_string(" (%d-%d), ", "oldest", "newest"), trend, F.format_string(", %d recent", "recent"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from html import escape
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
 from citeloom.functions.taxonomy import Taxonomy
-from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
+from citeloom.operators import totals as tt
+from citeloom.shared import cut
 
 
 def digest_counts(new: DataFrame, taxonomy: Taxonomy) -> DataFrame:
@@ -120,59 +120,57 @@ def digest_html(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, gener
     return f"<!DOCTYPE html>\n<html><body><h1>Literature Update {escape(generated[:10])}</h1><p>Total papers tracked: {everything.count()}</p><p>New papers this update: {new.count()}</p><ul>{counts}</ul><table>{''.join(cells)}</table></body></html>"
 
 
-def summary_lines(annotated: DataFrame, as_of: int) -> DataFrame:
-    """(part, rank, line) of the research summary: shares, best methods and tools, recent years, topics, facts."""
-    share = an.learning_share(annotated).where("papers > 0")
+def summary_lines(totals: DataFrame, as_of: int) -> DataFrame:
+    """(part, rank, line) of the research summary, read off the collection's totals: shares, best methods and tools, recent years, topics, facts."""
+    share = tt.learning_share(totals).where("papers > 0")
     head = _lines(1, share, 0, F.format_string(SUMMARY_TOTAL, "papers"), F.format_string(SUMMARY_LEARNING, "dl_papers", F.col("dl_ratio").cast("string")))
-    methods, tools = an.top_members(annotated, "methods", 8), an.top_members(annotated, "tools", 8)
+    methods, tools = tt.top_members(totals, "method", 8), tt.top_members(totals, "tool", 8)
     best = _lines(2, methods, F.col("rank"), F.format_string(SUMMARY_METHOD, "member", "n", t.bar("n", 30)))
     named = _lines(3, tools, F.col("rank"), F.format_string(SUMMARY_TOOL, "member", "n"))
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("method").isNotNull(), F.struct("rank", "method", "n")))), lambda x: F.format_string("%s(%s)", x["method"], x["n"]))
-    years = an.trend_methods(annotated).where(F.col("year") >= as_of - 3).groupBy("year", "total").agg(F.array_join(listed, ", ").alias("best"))
+    years = tt.trend_methods(totals).where(F.col("year") >= as_of - 3).groupBy("year", "total").agg(F.array_join(listed, ", ").alias("best"))
     recent = _lines(4, years, as_of - F.col("year") + 100, F.format_string(SUMMARY_YEAR, "year", "total", "best"))
-    topics = _lines(5, an.hot_topics(annotated, as_of).where("rank <= 6"), F.col("rank"), F.format_string(SUMMARY_TOPIC, "topic", "n"))
-    change = an.growth(annotated, as_of).where("before <> total")
+    topics = _lines(5, tt.hot_topics(totals, as_of).where("rank <= 6"), F.col("rank"), F.format_string(SUMMARY_TOPIC, "topic", "n"))
+    change = tt.growth(totals, as_of).where("before <> total")
     pace = F.when(F.col("percent").isNotNull(), F.format_string(SUMMARY_FACTS[2], "percent", "before_year", "year")).otherwise(F.format_string(SUMMARY_FACTS[3], "before_year", "year"))
     facts = [_lines(6, methods.where("rank = 1"), 1, F.format_string(SUMMARY_FACTS[0], "member")), _lines(6, tools.where("rank = 1"), 2, F.format_string(SUMMARY_FACTS[1], "member")), _lines(6, change, 3, pace)]
     return reduce(DataFrame.unionByName, [head, best, named, recent, topics, *facts])
 
 
-def summary(annotated: DataFrame, as_of: int, generated: str, title: str = SUMMARY_TITLE) -> str:
-    told = paragraphs(summary_lines(annotated, as_of), SUMMARY_HEADINGS)
+def summary(totals: DataFrame, as_of: int, generated: str, title: str = SUMMARY_TITLE) -> str:
+    told = paragraphs(summary_lines(totals, as_of), SUMMARY_HEADINGS)
     return "\n\n".join(["\n".join([SUMMARY_RULE, title, SUMMARY_RULE]), *told, DIGEST_MADE % generated]) if told else SUMMARY_NONE
 
 
 def analyze(papers: DataFrame, as_of: int, generated: str) -> dict:
-    """All analyses of categorised papers from one annotated frame that is kept while they run.
-
-    Every value but the summary's text is a small aggregate: methods, tools, years, categories.
-    """
-    rows = pp.annotate(papers.select("pos", "title", "abstract", "year", "categories")).drop("title", "abstract").persist(StorageLevel.DISK_ONLY)
-    try:
-        share = an.learning_share(rows).first()
-        if not share["papers"]:
-            return {"research_summary": SUMMARY_NONE, "dl_method_distribution": {}}
-        trend: dict[int, dict] = {}
-        for r in an.trend_methods(rows).orderBy("year", "rank").collect():
-            methods = trend.setdefault(r["year"], {"total": r["total"], "top_methods": {}})["top_methods"]
-            if r["method"] is not None:
-                methods[r["method"]] = r["n"]
-        matrix: dict[str, dict[str, int]] = {}
-        for r in an.landscape(rows).where("category is not null").orderBy("method", F.desc("n"), "category").collect():
-            matrix.setdefault(r["method"], {})[r["category"]] = r["n"]
-        # The names of the results.
-        return {
-            "research_summary": summary(rows, as_of, generated),
-            "dl_method_distribution": {r["member"]: r["n"] for r in an.top_members(rows, "methods").orderBy("rank").collect()},
-            "tool_mentions": {r["member"]: r["n"] for r in an.top_members(rows, "tools").orderBy("rank").collect()},
-            "trend_analysis": trend,
-            "landscape_matrix": matrix,
-            "hot_topics": [{"topic": r["topic"], "count": r["n"]} for r in an.hot_topics(rows, as_of).orderBy("rank").collect()],
-            "category_insights": {r["category"]: r["insight"] for r in an.category_insights(rows, as_of).collect()},
-            "dl_paper_count": share["dl_papers"],
-            "dl_ratio": share["dl_ratio"],
-            "total_papers": share["papers"],
-            "generated_at": generated,
-        }
-    finally:
-        rows.unpersist()
+    """All analyses of categorised papers."""
+    return analysis(cut(tt.state(pp.annotate(papers))), as_of, generated)
+
+
+def analysis(totals: DataFrame, as_of: int, generated: str) -> dict:
+    """All analyses of a collection's totals; every value is a small aggregate of methods, tools, years and categories."""
+    share = tt.learning_share(totals).first()
+    if not share["papers"]:
+        return {"research_summary": SUMMARY_NONE, "dl_method_distribution": {}}
+    trend: dict[int, dict] = {}
+    for r in tt.trend_methods(totals).orderBy("year", "rank").collect():
+        methods = trend.setdefault(r["year"], {"total": r["total"], "top_methods": {}})["top_methods"]
+        if r["method"] is not None:
+            methods[r["method"]] = r["n"]
+    matrix: dict[str, dict[str, int]] = {}
+    for r in tt.landscape(totals).where("category is not null").orderBy("method", F.desc("n"), "category").collect():
+        matrix.setdefault(r["method"], {})[r["category"]] = r["n"]
+    # The names of the results.
+    return {
+        "research_summary": summary(totals, as_of, generated),
+        "dl_method_distribution": {r["member"]: r["n"] for r in tt.top_members(totals, "method").orderBy("rank").collect()},
+        "tool_mentions": {r["member"]: r["n"] for r in tt.top_members(totals, "tool").orderBy("rank").collect()},
+        "trend_analysis": trend,
+        "landscape_matrix": matrix,
+        "hot_topics": [{"topic": r["topic"], "count": r["n"]} for r in tt.hot_topics(totals, as_of).orderBy("rank").collect()],
+        "category_insights": {r["category"]: r["insight"] for r in tt.category_insights(totals, as_of).collect()},
+        "dl_paper_count": share["dl_papers"],
+        "dl_ratio": share["dl_ratio"],
+        "total_papers": share["papers"],
+        "generated_at": generated,
+    }

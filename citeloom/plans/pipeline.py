@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.taxonomy import Taxonomy
 from citeloom.operators import papers as pp
-from citeloom.operators import report, substrings
+from citeloom.operators import report, substrings, totals
 from citeloom.operators.search import search
 from citeloom.operators.substrings import Index, build
 from citeloom.plans import answers, mail
@@ -57,11 +57,30 @@ def _index(spark: SparkSession, path: str, name: str) -> None:
     store.put(spark, f"{path}/index/{name}.json", json.dumps({"folders": kept}).encode())
 
 
-def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None, index: bool = False) -> dict:
+def totals_of(spark: SparkSession, path: str, name: str | None = None) -> DataFrame | None:
+    """The totals of the current snapshot, or a named one; None if it was written without."""
+    at = f"{path}/totals/{name or store.pointer(spark, path).name}"
+    return spark.read.schema(totals.SCHEMA).parquet(at) if store.exists(spark, at) else None
+
+
+def _count(spark: SparkSession, path: str, name: str) -> None:
+    """Add what a snapshot adds to the totals of the one before; count all where that has none, or another taxonomy's."""
+    made, old = store.manifest(spark, path, name), store.manifest(spark, path)
+    before = totals_of(spark, path) if old.mark == made.mark else None
+    if before is None:
+        now = totals.state(pp.annotate(store.read_snapshot(spark, path, name)))
+    else:
+        now = totals.combined(before, totals.state(pp.annotate(store.read_added(spark, path, name))))
+    now.write.parquet(f"{path}/totals/{name}")
+
+
+def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None, index: bool = False, count: bool = False) -> dict:
     """Merge new papers, write them with their categories as a part of the store, then render.
 
+    With `index` and `count` the store's substring index and totals are kept up.
+
     Papers that stand keep their categories while the taxonomy is the same; with another one
-    all are classified again and written whole. What the run adds, and its index, stand before
+    all are classified again and written whole. What the run adds, its index and totals, stand before
     the pointer moves to the snapshot: after a crash either all of the run is there, or the next
     run finds the same papers new.
     """
@@ -70,7 +89,13 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
     before = store.manifest(spark, path)
     out: dict = {"existing_count": before.rows, "fetched_count": 0 if new is None else new.count()}
     new = store.read_snapshot(spark, path).limit(0) if new is None else new
-    finish = (lambda name: _index(spark, path, name)) if index else None
+
+    def finish(name: str) -> None:
+        if index:
+            _index(spark, path, name)
+        if count:
+            _count(spark, path, name)
+
     if before.parts and before.mark == mark:
         name = store.add_papers(spark, path, new, lambda rows: pp.categorize(rows, taxonomy), finish=finish)
     else:
@@ -93,12 +118,12 @@ def latest_delta(spark: SparkSession, path: str) -> DataFrame:
     return store.read_added(spark, path)
 
 
-def _show(papers: DataFrame) -> None:
-    """The counts as tables, years with bars."""
-    pp.total(papers).show(truncate=False)
-    pp.by_year(papers).orderBy(F.desc("year")).withColumn("bar", pp.t.bar("n", 60)).show(1000, truncate=False)
-    pp.by_source(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
-    pp.by_category(papers).orderBy("rank").drop("rank").show(1000, truncate=False)
+def _show(rows: DataFrame, counts=pp) -> None:
+    """The counts of papers, or with `totals` those read off totals, as tables, years with bars."""
+    counts.total(rows).show(truncate=False)
+    counts.by_year(rows).orderBy(F.desc("year")).withColumn("bar", pp.t.bar("n", 60)).show(1000, truncate=False)
+    counts.by_source(rows).orderBy("rank").drop("rank").show(1000, truncate=False)
+    counts.by_category(rows).orderBy("rank").drop("rank").show(1000, truncate=False)
 
 
 def main(args: list[str] | None = None, transport=None) -> None:
@@ -112,6 +137,7 @@ def main(args: list[str] | None = None, transport=None) -> None:
     parser.add_argument("--mirror", help="an address that takes the services' place, each below its name")
     parser.add_argument("--new", help="a JSON array of new papers")
     parser.add_argument("--index", action="store_true", help="keep a substring index of the store, which searches then use")
+    parser.add_argument("--totals", action="store_true", help="keep the totals of the store, which stats and analyze then read")
     parser.add_argument("--format", default="json")
     parser.add_argument("--output", default="papers_export")
     parser.add_argument("--limit", type=int, default=20)
@@ -134,16 +160,17 @@ def main(args: list[str] | None = None, transport=None) -> None:
             fetched = fetch(spark, wanted)
         new = fetched if new is None else new if fetched is None else pp.compacted(pp.fetch_union([new, fetched]))
     if a.command == "fetch":
-        print(run(spark, a.store, new, taxonomy, index=a.index))
+        print(run(spark, a.store, new, taxonomy, index=a.index, count=a.totals))
         return
     if a.command == "run-pipeline":
-        print(run(spark, a.store, new, taxonomy, a.output, post if a.to else None, a.index))
+        print(run(spark, a.store, new, taxonomy, a.output, post if a.to else None, a.index, a.totals))
         return
     papers = store.read_snapshot(spark, a.store)
     if papers.isEmpty():
         parser.exit(1, "No papers in the store.\n")
+    known = totals_of(spark, a.store)
     if a.command == "stats":
-        _show(papers)
+        _show(papers) if known is None else _show(known, totals)
     elif a.command == "search":
         index = index_of(spark, a.store)
         found = search(papers, " ".join(a.words), a.limit) if index is None else substrings.search(papers, index, " ".join(a.words), a.limit)
@@ -151,7 +178,8 @@ def main(args: list[str] | None = None, transport=None) -> None:
     elif a.command == "export":
         store.export(papers, a.format, f"{a.output}.{a.format}")
     elif a.command == "analyze":
-        print(answers.as_json(report.analyze(papers, now.year, now.isoformat())))
+        told = (report.analyze, papers) if known is None else (report.analysis, known)
+        print(answers.as_json(told[0](told[1], now.year, now.isoformat())))
     elif a.command == "send-email":
         delta, made = latest_delta(spark, a.store), now.strftime("%Y-%m-%d %H:%M UTC")
         print("sent" if post(delta.count(), report.digest_text(delta, papers, taxonomy, made), report.digest_html(delta, papers, taxonomy, made)) else "not sent")

@@ -12,8 +12,8 @@ from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
-from citeloom.operators import keywords, report, search, substrings
-from citeloom.shared import shared_dir
+from citeloom.operators import keywords, report, search, substrings, totals
+from citeloom.shared import cut, shared_dir
 from citeloom.sources import payloads, store
 from citeloom.sources.documents import papers
 
@@ -64,6 +64,20 @@ def _both(spark: SparkSession, sf: str) -> DataFrame:
     return pp.annotate(_cat(spark, sf))
 
 
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of all papers, counted once."""
+    return cut(totals.state(_both(spark, sf)))
+
+
+def _advanced(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of the papers as three updates in turn leave them."""
+    rows = _both(spark, sf)
+    out = totals.empty(spark)
+    for low, high in ((0, 2), (2, 7), (7, 10)):
+        out = cut(totals.combined(out, totals.state(rows.where(f"pos % 10 >= {low} and pos % 10 < {high}"))))
+    return out
+
+
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = papers(spark, sf)
     return pp.merge(rows.where("pos % 10 < 6"), rows.where("pos % 10 >= 6"))
@@ -215,7 +229,22 @@ UNION ALL SELECT 5, CAST(100 * rank AS INTEGER), '  • ' || topic || ' (' || n
 UNION ALL SELECT 6, 100, '  • ' || member || ' is the most widely used architecture' FROM {_TOP} WHERE rank = 1
 UNION ALL SELECT 6, 300, CASE WHEN total > before THEN '  • ' || CAST(round_even((total - before) / greatest(before, 1) * 100, 0) AS BIGINT) || '% growth from ' ELSE '  • Publication pace slowing from ' END || was || ' to ' || year
   FROM (SELECT *, lag(total) OVER (ORDER BY year) AS before, lag(year) OVER (ORDER BY year) AS was, lead(year) OVER (ORDER BY year) AS nxt FROM ty WHERE year >= {AS_OF - 3}) WHERE nxt IS NULL AND total <> before"""
-_add("summary_lines", lambda s, d: report.summary_lines(_both(s, d), AS_OF), _SUMMARY, _METHODS, _CATS, _YEARS)
+_add("summary_lines", lambda s, d: report.summary_lines(_state(s, d), AS_OF), _SUMMARY, _METHODS, _CATS, _YEARS)
+for _name, _query in (
+    ("stats_by_source", totals.by_source),
+    ("stats_by_category", totals.by_category),
+    ("stats_by_year", totals.by_year),
+    ("dl_ratio", totals.learning_share),
+    ("method_top20", lambda x: totals.top_members(x, "method")),
+    ("trend_top5", totals.trend_methods),
+    ("landscape", totals.landscape),
+    ("hot_topics_recent", lambda x: totals.hot_topics(x, AS_OF)),
+    ("hot_topics_fallback", lambda x: totals.hot_topics(x, 2100)),
+    ("yoy_growth", lambda x: totals.growth(x, AS_OF).drop("before_year")),
+    ("category_insights", lambda x: totals.category_insights(x, AS_OF)),
+):
+    QUERIES[f"totals_{_name}"] = lambda s, d, q=_query: q(_advanced(s, d))
+    SQL[f"totals_{_name}"] = SQL[_name]
 _flat = "array_to_string(authors, '; ') AS authors, journal, year, date, doi, url, source, c AS categories"
 _CSV = "FROM papers JOIN (SELECT pos, string_agg(category, '; ' ORDER BY i) AS c FROM cats GROUP BY pos) USING (pos)"
 _add("export_csv_rows", lambda s, d: store.export_rows(_cat(s, d)), f"SELECT id, title, {_flat} {_CSV}", _CATS)

@@ -68,10 +68,14 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _place(spark, path)
+    return fs.exists(at)
+
+
 def get(spark: SparkSession, path: str) -> str | None:
     """A small file's text, None if there is none."""
-    at, fs = _place(spark, path)
-    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(at) else None
+    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None
 
 
 def pointer(spark: SparkSession, path: str) -> Pointer:
@@ -117,7 +121,7 @@ def manifest(spark: SparkSession, path: str, name: str | None = None) -> Manifes
 
 
 def _forget_old(spark: SparkSession, path: str, keep: int, current: Pointer) -> None:
-    """Delete the oldest snapshots, and the parts that only they name."""
+    """Delete the oldest snapshots with what was kept for each, and the parts that only they name."""
     at, fs = _place(spark, path)
     found = sorted((x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(at) if x.getPath().getName().startswith("snapshot-"))
     names = [name.removesuffix(".json") for _, name in found]
@@ -126,7 +130,7 @@ def _forget_old(spark: SparkSession, path: str, keep: int, current: Pointer) ->
         told = {n: manifest(spark, path, n) for n in names}
         held = lambda some: {p for n in some for p in (*told[n].parts, told[n].added) if p}
         gone = held(old) - held(set(names) - set(old))
-        for name in [*gone, *(f"{n}.json" for n in old)]:
+        for name in [*gone, *(x for n in old for x in (f"{n}.json", f"totals/{n}", f"index/{n}.json"))]:
             fs.delete(_place(spark, f"{path}/{name}")[0], True)
 
 

@@ -10,7 +10,7 @@ from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
-from citeloom.operators import report, search
+from citeloom.operators import report, search, totals
 from citeloom.plans import answers, pipeline
 from citeloom.plans.queries import QUERIES, SQL
 from citeloom.schema import PAPER
@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def paper(pos, id="", title="", abstract="", year=None, date="", authors=(), categories=(), source="s", **rest):
-    row = dict(pos=pos, id=id, title=title, authors=list(authors), abstract=abstract, journal="J", year=year, date=date, doi="", url="", source=source, categories=list(categories), fetched_at=None) | rest
+    row = dict(pos=pos, id=id, title=title, authors=list(authors), abstract=abstract, journal="J", year=year, date=date, doi="", url="", source=source, categories=None if categories is None else list(categories), fetched_at=None) | rest
     return tuple(row[f] for f in PAPER.fieldNames())
 
 
@@ -101,7 +101,7 @@ def test_trends_and_growth(spark):
     assert [(r["year"], r["method"], r["n"]) for r in an.trend_methods(df).orderBy("year", "rank").collect()] == [(2023, None, None), (2024, "Autoencoder", 2), (2024, "CNN", 1)]
     assert an.growth(df, 2025).first()["percent"] == 100
     assert an.landscape(df).count() == 2
-    assert "50% growth" not in report.summary(df, 2025, "now")
+    assert "50% growth" not in report.summary(totals.state(df), 2025, "now")
 
 
 def test_search_and_browse(spark):
