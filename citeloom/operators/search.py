@@ -46,13 +46,18 @@ def provider_filter(rows: DataFrame, query: str | Column) -> DataFrame:
     )
 
 
+def allowed_years(first: int | None, last: int | None) -> Column:
+    """Whether a year lies in a range; a missing one does."""
+    outside = (F.col("year") < (first or 0)) | (F.col("year") > (last or 9999))
+    return ~F.coalesce(outside, F.lit(False))
+
+
 def browse(papers: DataFrame, source: str | None = None, first: int | None = None, last: int | None = None, category: str | None = None, order: str = "date_desc") -> DataFrame:
     """Papers by facets. A missing year passes the year range. Orders: date_desc, date_asc, title."""
     kept = papers
     if source:
         kept = kept.where(F.col("source") == source)
-    outside = (F.col("year") < (first or 0)) | (F.col("year") > (last or 9999))
-    kept = kept.where(~F.coalesce(outside, F.lit(False)))
+    kept = kept.where(allowed_years(first, last))
     if category:
         kept = kept.where(F.array_contains("categories", category))
     date = t.text("date")

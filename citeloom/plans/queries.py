@@ -12,7 +12,8 @@ from citeloom.functions import taxonomy as tx
 from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
-from citeloom.operators import keywords, report, search, substrings, totals
+from citeloom.operators import keywords, listing, report, search, substrings, totals
+from citeloom.plans import tables
 from citeloom.shared import cut, shared_dir
 from citeloom.sources import payloads, store
 from citeloom.sources.documents import papers
@@ -207,6 +208,21 @@ _BROWSE = "SELECT pos, row_number() OVER (ORDER BY date DESC, pos) AS rn, 10 * l
 _add("browse_filter_page", lambda s, d: search.page(search.browse(_cat(s, d), "src3", 2012, 2024, "fx_suffix_en"), 2, 10).select("pos"), f"SELECT pos FROM ({_BROWSE}) WHERE rn > skip AND rn <= skip + 10", _CATS)
 _add("browse_date_asc", lambda s, d: search.page(search.browse(papers(s, d), order="date_asc"), 3).select("pos"), "SELECT pos FROM papers ORDER BY date, pos LIMIT 25 OFFSET 50")
 _add("browse_title_collated", lambda s, d: search.page(search.browse(papers(s, d), order="title"), 1).select("pos", "title"), "SELECT pos, title FROM papers ORDER BY title COLLATE icu_noaccent, pos LIMIT 25")
+
+
+def _listed(s: SparkSession, d: str, order: str, number: int, size: int = search.PAGE, **kept: object) -> DataFrame:
+    """A page by a listing of all papers, made for it in the shared folder."""
+    rows = _cat(s, d)
+    return listing.page(rows, listing.build(rows, f"{shared_dir(s).rstrip('/')}/listing-{uuid.uuid4().hex}", order), number, size, **kept)
+
+
+for _name, _order, _number, _size, _kept in (
+    ("browse_filter_page", "date_desc", 2, 10, {"source": "src3", "first": 2012, "last": 2024, "category": "fx_suffix_en"}),
+    ("browse_date_asc", "date_asc", 3, 25, {}),
+    ("browse_title_collated", "title", 1, 25, {}),
+):
+    QUERIES[f"listed_{_name}"] = lambda s, d, o=_order, n=_number, z=_size, k=_kept, c=("pos", "title") if _order == "title" else ("pos",): _listed(s, d, o, n, z, **k).select(*c)
+    SQL[f"listed_{_name}"] = SQL[_name]
 _add("facets", lambda s, d: pp.facets(_cat(s, d)), "SELECT DISTINCT 'year' AS facet, CAST(year AS VARCHAR) AS value FROM papers WHERE year IS NOT NULL UNION ALL SELECT DISTINCT 'source', source FROM papers UNION ALL SELECT DISTINCT 'category', category FROM cats", _CATS)
 _add("kpis", lambda s, d: pp.kpis(_cat(s, d)), "SELECT count(*) AS total, count(DISTINCT source) AS sources, min(year) AS first_year, max(year) AS last_year, (SELECT count(DISTINCT category) FROM cats) AS categories FROM papers", _CATS)
 _new = lambda s, d: pp.categorize(_split(s, d)[1], FIX)
@@ -245,6 +261,19 @@ for _name, _query in (
 ):
     QUERIES[f"totals_{_name}"] = lambda s, d, q=_query: q(_advanced(s, d))
     SQL[f"totals_{_name}"] = SQL[_name]
+
+
+def _table_function(text: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        tables.register(s, _cat(s, d))
+        return s.sql(text)
+
+    return run
+
+
+for _name, _text in (("search_cli20", "SELECT pos, score FROM search_papers('gan gat der', 20)"), ("trend_top5", "SELECT * FROM paper_trends(5)"), ("stats_by_category", "SELECT name AS category, n, place AS rank FROM paper_counts() WHERE kind = 'category'")):
+    QUERIES[f"sql_{_name}"] = _table_function(_text)
+    SQL[f"sql_{_name}"] = SQL[_name]
 _flat = "array_to_string(authors, '; ') AS authors, journal, year, date, doi, url, source, c AS categories"
 _CSV = "FROM papers JOIN (SELECT pos, string_agg(category, '; ' ORDER BY i) AS c FROM cats GROUP BY pos) USING (pos)"
 _add("export_csv_rows", lambda s, d: store.export_rows(_cat(s, d)), f"SELECT id, title, {_flat} {_CSV}", _CATS)
