@@ -1,9 +1,10 @@
 """License scans by patience alignment.
 
-Where a text holds most of a template's words within a little more than the template's
-length, the two are aligned: words unique to both sides are anchors, the longest increasing
-subsequence of them is kept, and the gaps between anchors are aligned in the same way. The
-share of the template's words that are aligned is its coverage.
+Words that stand once in a template lead to its copies in a text: they are chained, ascending in
+both, and a chain that holds enough of them is a copy, its neighbours' words left to them. Text
+and template are then aligned there: words unique to both sides are anchors, the longest
+increasing subsequence of them is kept, and the gaps between anchors are aligned in the same
+way. The share of the template's words that are aligned is its coverage.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from citeloom.llm import textkit as tk
 from citeloom.llm.runtime import spread
 
 COVERAGE = 0.8
-#: A match stands within this many times the template's words.
-SLACK = 1.25
+#: Words put into a copy at one place, in template lengths, up to which it stays one copy.
+INSERTED = 1
 
 # The wordings of the licenses.
 TEMPLATES = {
@@ -78,47 +79,108 @@ def patience(left: list, right: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Template:
+    """A template's words, and the rarest of them (those that stand once, if there are such) with their places."""
+
+    def __init__(self, words: list[int]) -> None:
+        self.words, self.need = words, int(np.ceil(COVERAGE * len(words)))
+        places: dict[int, list[int]] = {}
+        for j, w in enumerate(words):
+            places.setdefault(w, []).append(j)
+        least = min(map(len, places.values()), default=0)
+        self.anchors = {w: found for w, found in places.items() if len(found) == least}
+        every = sorted(j for found in self.anchors.values() for j in found)
+        self.rank = {j: i for i, j in enumerate(every)}
+        self.places = np.array(every, np.int64)
+        self.fewest = max(1, len(every) - (len(words) - self.need))  # of anchors: each one missing is a word missing
+
+    def chains(self, at: list[int], words: list[int]) -> list[tuple[int, int, int, int]]:
+        """(first place, its word of the template, last place, its word) of likely copies, in order and apart, from the anchors' places in a text.
+
+        A chain gains one for each anchor and loses, for each word more than the template has
+        between two of them, what a word missing may cost a copy. So a copy with a part put in
+        stays whole, while linking two copies costs more than any copy may lack.
+        """
+        n = len(self.places)
+        last = np.full(n, -(1 << 40), np.int64)  # where each anchor was met last, the score of its chain, its first hit, and how many
+        score, begun, number = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        found: dict[int, tuple[float, int, int, int, int]] = {}  # by first hit: the best end
+        price, reach = 1 - COVERAGE, len(self.words) * (1 + INSERTED)
+        for k, (p, w) in enumerate(zip(at, words)):
+            made = []
+            for j in self.anchors[w]:
+                r = self.rank[j]
+                gain, start, count = 1.0, k, 1
+                if r:
+                    gap = p - last[:r]
+                    linked = np.where(gap <= reach, score[:r] - price * np.maximum(0, gap - (j - self.places[:r])), -1.0)
+                    best = int(linked.argmax())
+                    if linked[best] > 0:
+                        gain, start, count = 1.0 + linked[best], int(begun[best]), int(number[best]) + 1
+                made.append((r, gain, start, count, j))
+            for r, gain, start, count, j in made:  # one place is one word of a chain
+                last[r], score[r], begun[r], number[r] = p, gain, start, count
+                if count >= self.fewest and gain > found.get(start, (0.0,))[0]:
+                    found[start] = (gain, p, j, start, count)
+        out: list[tuple[int, int, int, int]] = []
+        first = lambda start: min(self.anchors[words[start]])
+        taken: list[tuple[int, int]] = []
+        for _, p, j, start, _ in sorted(found.values(), key=lambda x: (-x[0], x[3])):
+            low = at[start]
+            i = bisect_left(taken, (low, -1))
+            if (i == 0 or taken[i - 1][1] < low) and (i == len(taken) or p < taken[i][0]):
+                taken.insert(i, (low, p))
+                out.append((low, first(start), p, j))
+        return sorted(out)
+
+
 class Scanner:
-    """Templates as word hashes, with their vocabularies joined in one sorted table."""
+    """Templates as word hashes, and which words lead to which of them."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
         raw, at = tk.utf8(pa.array(list(templates.values()), pa.string()))
         w = tk.words(raw, at, tk.ALNUM)
-        self.words = [w.hashes[w.first[i] : w.first[i + 1]] for i in range(len(templates))]
-        self.vocabulary = np.unique(w.hashes)
-        self.member = np.zeros((len(templates), len(self.vocabulary) + 1), bool)
-        for i, hashes in enumerate(self.words):
-            self.member[i, np.searchsorted(self.vocabulary, np.unique(hashes))] = True
+        self.templates = [Template(w.hashes[w.first[i] : w.first[i + 1]].tolist()) for i in range(len(templates))]
+        self.words = [x.words for x in self.templates]
 
     def matches(self, w: tk.Words) -> Iterator[tuple[int, int, float, int, int]]:
-        """(document, template, coverage, first word, end word); matches of a template don't overlap, the densest go first."""
+        """(document, template, coverage, first word, end word); matches of a template don't overlap, those of most coverage go first."""
         if not len(w.hashes):
             return
-        at = np.searchsorted(self.vocabulary, w.hashes)
-        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == w.hashes
-        term = np.where(known, at, len(self.vocabulary))
         document = w.documents()
-        place = np.arange(len(term))
-        for t, words in enumerate(self.words):
-            span, need = int(np.ceil(SLACK * len(words))), int(np.ceil(COVERAGE * len(words)))
-            total = np.concatenate([[0], np.cumsum(self.member[t, term])]).astype(np.int64)
-            inside = total[np.minimum(place + span, w.first[document + 1])] - total[place]
-            candidates = np.flatnonzero(inside >= need)
-            if not len(candidates):
+        for t, template in enumerate(self.templates):
+            if not template.words:
                 continue
-            used = np.zeros(len(term), bool)
-            for i in candidates[np.lexsort((candidates, -inside[candidates]))]:
-                d = document[i]
-                low, high = max(w.first[d], i - span // 4), min(w.first[d + 1], i + span)
-                if used[i:high].any():
-                    continue
-                aligned = patience(w.hashes[low:high].tolist(), words.tolist())
-                if len(aligned) >= need:
-                    begin, end = low + aligned[0][0], low + aligned[-1][0] + 1
-                    if not used[begin:end].any():
-                        used[begin:end] = True
-                        yield int(d), t, len(aligned) / len(words), begin, end
+            hits = np.flatnonzero(np.isin(w.hashes, np.array(list(template.anchors), w.hashes.dtype)))
+            reach = (2 + INSERTED) * len(template.words)
+            near = np.searchsorted(hits, hits + reach) - np.arange(len(hits))  # in reach from each on
+            worth = np.zeros(len(hits) + 1, np.int64)
+            begin = np.flatnonzero(near >= template.fewest)
+            np.add.at(worth, begin, 1)
+            np.add.at(worth, begin + near[begin], -1)
+            hits = hits[np.cumsum(worth[:-1]) > 0]
+            for some in np.split(hits, np.flatnonzero((np.diff(hits) > reach) | (np.diff(document[hits]) > 0)) + 1) if len(hits) else []:
+                yield from self._copies(w, t, template, some.tolist(), int(document[some[0]]))
+
+    def _copies(self, w: tk.Words, t: int, template: Template, at: list[int], d: int) -> Iterator[tuple[int, int, float, int, int]]:
+        chains = template.chains(at, w.hashes[at].tolist())
+        aligned = []
+        for i, (low, j, high, k) in enumerate(chains):
+            before = chains[i - 1][2] + 1 if i else int(w.first[d])
+            after = chains[i + 1][0] if i + 1 < len(chains) else int(w.first[d + 1])
+            begin, end = max(before, low - 2 * j - 4), min(after, high + 2 * (len(template.words) - k) + 4)
+            pairs = patience(w.hashes[begin:end].tolist(), template.words)
+            if len(pairs) < template.need:  # without the words around, what they repeat may be unique
+                begin, pairs = low, patience(w.hashes[low : high + 1].tolist(), template.words)
+            if len(pairs) >= template.need:
+                aligned.append((-len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
+        used: list[tuple[int, int]] = []
+        for less, begin, end in sorted(aligned):
+            i = bisect_left(used, (begin, -1))
+            if (i == 0 or used[i - 1][1] <= begin) and (i == len(used) or end <= used[i][0]):
+                used.insert(i, (begin, end))
+                yield d, t, -less / len(template.words), begin, end
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
