@@ -16,12 +16,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.runtime import held_out, spread
 
-#: Bounds of the training sample: rows of each language (about), rows and landmarks of all, and the characters of a text that it is fitted on.
+#: Bounds of the training sample: rows of each language, rows and landmarks of all, and the characters of a text that it is fitted on.
 TRAIN_PER_LANG, TRAIN_ROWS = 375, 20_000
 LANDMARKS_PER_LANG, LANDMARKS = 40, 2_000
 TRAIN_CHARS = 20_000
@@ -116,18 +116,23 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(text, lang, h): a bounded sample of labelled rows, about TRAIN_PER_LANG of every language, fewer if they are many, by a hash of the text.
+    """(text, lang, h): of every language the TRAIN_PER_LANG labelled rows with the smallest hash of text and id, fewer if languages are many.
 
-    Of a text over TRAIN_CHARS its beginning is fitted on; predictions read whole texts.
+    Rows far above a language's share of hashes go before any text is sorted; the rest are
+    ranked, so that copies of one text, which share a hash, stay within the bound. Of a text
+    over TRAIN_CHARS its beginning is fitted on; predictions read whole texts.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    h = F.xxhash64("text", "doc_id")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"))  # copies of a row count once
     langs = counts.count()
     most = max(1, min(TRAIN_PER_LANG, TRAIN_ROWS // max(1, langs)))
     counts = F.broadcast(counts) if langs <= BROADCAST_LANGS else counts
-    h = F.xxhash64("text", "doc_id")
-    chosen = labelled.join(counts, "lang").where(F.pmod(h, F.lit(1_000_000)) * F.col("n") < 1_000_000 * most)
-    return chosen.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h"))
+    share = (h.cast("double") / 2.0**64 + 0.5) * F.col("n")  # of n different hashes about as many are smaller
+    likely = labelled.join(counts, "lang").where(share < most + 8 * most**0.5 + 8)
+    cut = likely.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return cut.withColumn("rank", rank).where(F.col("rank") <= most).select("text", "lang", "h")
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

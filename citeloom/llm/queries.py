@@ -63,7 +63,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "cut")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,8 @@ _BREAKS, _WRAPPED = [bytes([x]) for x in b",;(){}<>&|!?*#~`"], re.compile(rb"[A-
 PIECE = 1 << 20
 #: Longer lines of one are parted at a byte that no finding holds; one without any is scanned in parts that overlap, and counts as cut.
 LONGEST_LINE, OVERLAP = 8 << 20, 4096
-#: Compressions within each other that are followed; more count as cut.
-MOST_NESTED = 64
+#: Compressions within each other that are inflated as one stream; what they hold is then read whole, and followed further.
+STREAMED = 64
 #: Bytes that tell what data is, and whether two begin alike.
 HEAD = 256
 
@@ -129,29 +129,30 @@ def _parted(held: bytes) -> int:
 
 
 def inflate(data: bytes) -> Iterator[tuple[str, bool]]:
-    """(text, cut): the contents of compressed data, compressed again or not, in pieces that no finding or token lies across.
+    """(text, cut): the contents of compressed data, compressed again or not, however often, in pieces that no finding or token lies across.
 
-    Data that inflates to what it began as (a cycle, or no compressed data after all) is not followed.
+    Contents that begin as any layer before (a cycle, or no compressed data after all) are not
+    followed. cut tells that a line was parted where no byte allowed it.
     """
-    pieces, head, depth = iter(()), data, 0
-    while depth < MOST_NESTED and _tool(head) is not None:
-        pieces, before, depth = _members(head, pieces), head[:HEAD], depth + 1
+    pieces, head, seen, depth = iter(()), data, set(), 0
+    while _tool(head) is not None and head[:HEAD] not in seen:
+        seen.add(head[:HEAD])
+        pieces, depth = _members(head, pieces), depth + 1
         head = _head(pieces)
-        if head[:HEAD] == before:
-            depth = 0
-            break
-    cut, held = depth == MOST_NESTED, b""
+        if depth % STREAMED == 0:
+            head, pieces = b"".join(chain([head], pieces)), iter(())
+    held = b""
     for piece in chain([head], pieces):
         held += piece
         if len(held) < PIECE:
             continue
         if stop := _parted(held):
-            yield held[:stop].decode("latin-1"), cut
+            yield held[:stop].decode("latin-1"), False
             held = held[stop:]
         elif len(held) > LONGEST_LINE:
             yield held.decode("latin-1"), True
             held = held[-OVERLAP:]
-    yield held.decode("latin-1"), cut
+    yield held.decode("latin-1"), False
 
 
 def _line(text: str, start: int, end: int) -> tuple[int, int]:
@@ -292,8 +293,8 @@ def scan_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Counts and base_sha256 hold the base findings; spans all findings, those of decoded
     layers at the span of the document that encodes them; redacted is the text without
     them. A null text counts as empty (its redacted text is null). Repeated rows get equal
-    answers; doc_id may be null. cut tells of a compressed layer that was not scanned whole: a
-    line over LONGEST_LINE without a byte to part it at, or over MOST_NESTED compressions;
+    answers; doc_id may be null. cut tells of a compressed layer with a line over LONGEST_LINE that
+    has no byte to part it at, and was scanned in parts that overlap;
     redacted lacks its whole token then.
     """
     out = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("cut", pa.bool_()), ("redacted", pa.string())]

@@ -61,3 +61,15 @@ def test_toxicity_on_labels(spark):
     got = toxicity.toxicity(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), labels)
     counts = {(r["toxic"], r["predicted"]): r["count"] for r in got.join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()}
     assert counts[1, 1] >= 0.8 * (counts[1, 1] + counts[1, 0]) and counts[0, 1] <= 0.03 * (counts[0, 0] + counts[0, 1])
+
+
+def test_the_sample_of_languages_is_bounded(spark, monkeypatch):
+    """Copies of one text under one id share a hash; no language has more rows than its bound, and none less than it can."""
+    monkeypatch.setattr(langid, "TRAIN_PER_LANG", 50)
+    copies = spark.range(4000).selectExpr("1L AS doc_id", "'same text' AS text", "'en' AS lang")
+    others = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'de' WHEN id % 200 = 1 THEN 'fr' ELSE 'en' END AS lang")
+    rows = langid.training_rows(copies.unionByName(others)).groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in rows}
+    assert got["en"] == got["de"] == 50 and 0 < got["fr"] <= 15
+    first = [r["h"] for r in langid.training_rows(others).where("lang = 'de'").collect()]
+    assert max(first) <= sorted(r["h"] for r in others.where("lang = 'de' and crc32(cast(doc_id as string)) % 4 <> 2").selectExpr("xxhash64(text, doc_id) AS h").collect())[49]

@@ -57,6 +57,30 @@ def test_deep_nesting_takes_one_pass():
         assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("layers", [63, 64, 65, 200, 400])
+def test_compressed_any_number_of_times(layers):
+    data = SECRET
+    for i in range(layers):
+        data = (gzip.compress, zlib.compress)[i % 3 == 2](data)
+    found = secretscan.scan(f"a {coded(data)} b")
+    assert [k for k, _, _ in found.spans] == ["assign"] and not found.torn
+
+
+def test_cycles_end():
+    """Data whose contents begin as a layer before them, one or two compressions away."""
+    seen = []
+
+    def members(head, pieces):
+        seen.append(head)
+        yield {b"\x1f\x8b\x08one": b"BZh9two", b"BZh9two": b"\x1f\x8b\x08one"}[head]
+
+    whole, secretscan._members = secretscan._members, members
+    try:
+        assert [x for x, _ in secretscan.inflate(b"\x1f\x8b\x08one")] == ["\x1f\x8b\x08one"] and len(seen) == 2
+    finally:
+        secretscan._members = whole
+
+
 def test_long_lines_of_compressed_layers():
     parted, whole = (coded(zlib.compress(x * 6_000_000 + SECRET, 9)) for x in (b"x, ", b"x "))
     found = secretscan.scan(parted)
