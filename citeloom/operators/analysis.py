@@ -26,9 +26,17 @@ def trend_years(papers: DataFrame) -> DataFrame:
 
 
 def trend_methods(papers: DataFrame, most: int = 5) -> DataFrame:
-    """Per year its total and best methods; a year without methods has one row of nulls."""
-    best = ranked(counted(papers.where(F.col("year") >= FIRST_TREND_YEAR), "methods", "year"), most, "year")
-    return trend_years(papers).join(best.select("year", F.col("member").alias("method"), "n", "rank"), "year", "left")
+    """Per year its total and best methods; a year without methods has one row of nulls.
+
+    A null beside a paper's methods stands for the paper itself, so one pass counts both.
+    """
+    every = F.concat(F.array(F.lit(None).cast("string")), "methods")
+    rows = papers.where(F.col("year") >= FIRST_TREND_YEAR).select("year", "pos", F.posexplode_outer(every).alias("i", "method"))  # outer as in members()
+    counts = rows.groupBy("year", "method").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("first"))
+    of_year, own = Window.partitionBy("year"), F.col("method").isNull()
+    ranked = counts.withColumns({"total": F.max(F.when(own, F.col("n"))).over(of_year), "named": F.count("method").over(of_year), "rank": F.row_number().over(of_year.orderBy(own, F.desc("n"), "first"))})
+    kept = ranked.where((~own & (F.col("rank") <= most)) | (own & (F.col("named") == 0)))
+    return kept.select("year", "total", "method", F.when(~own, F.col("n")).alias("n"), F.when(~own, F.col("rank")).alias("rank"))
 
 
 def newest_trend(papers: DataFrame, years: int = 5) -> DataFrame:
@@ -68,10 +76,8 @@ def landscape_matrix(papers: DataFrame, categories: list[str]) -> DataFrame:
 def hot_topics(papers: DataFrame, as_of: int, most: int = 10, fallback: int = 50) -> DataFrame:
     """The commonest (method, category) pairs of papers of the last two years; of the first papers if there are none."""
     recent = papers.where(F.col("year") >= as_of - 1)
-    none = recent.limit(1).agg((F.count("*") == 0).alias("none"))
-    places = papers.select("pos").orderBy("pos").limit(fallback).join(F.broadcast(none)).where("none").select("pos")  # one row
-    first = papers.join(F.broadcast(places), "pos", "left_semi")  # `fallback` rows at most
-    rows = recent.unionByName(first).select("pos", "methods", "categories")
+    chosen = papers.orderBy("pos").limit(fallback) if recent.isEmpty() else recent  # reads years up to the first recent one
+    rows = chosen.select("pos", "methods", "categories")
     rows = members(members(rows, "methods", "i", "method"), "categories", "j", "category")
     counts = rows.groupBy(F.concat("method", F.lit(" for "), "category").alias("topic")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "i", "j")).alias("first"))
     return ranked(counts.withColumnRenamed("topic", "member"), most).select(F.col("member").alias("topic"), "n", "rank")

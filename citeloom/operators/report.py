@@ -86,30 +86,33 @@ def category_rows(papers: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return rows.select("category", "grp_ord", "description", "rn", line.alias("line"))
 
 
-def readme(papers: DataFrame, taxonomy: Taxonomy, date: str, title: str = "Literature") -> str:
-    """The Markdown report; its rows reach the driver in order, one by one."""
-    groups = pp.grouped(papers, taxonomy).groupBy("category", "grp_ord", "description").agg(F.count("*").alias("n"))
-    groups = groups.orderBy("grp_ord", "category").select("category", "description", "n", t.anchor("category").alias("anchor")).collect()
-    out = [f"# {title}", f"Last updated {date}. {papers.count()} papers in {len(groups)} categories."]
-    out.append("\n".join(["## Table of Contents", "", *(f"- [{g['category']}](#{g['anchor']}) ({g['n']} papers)" for g in groups)]))
-    years = pp.by_year(papers).orderBy(F.desc("year")).select("year", "n", t.bar("n", 50).alias("bar")).collect()
-    sources = pp.by_source(papers).orderBy("rank").collect()
-    tables = ["## Statistics", "", "### Papers by Year", "| Year | Count |", "|------|-------|", *(f"| {y['year']} | {y['n']} {y['bar']} |" for y in years), ""]
-    tables += ["### Papers by Source", "| Source | Count |", "|--------|-------|", *(f"| {s['source']} | {s['n']} |" for s in sources)]
-    out.append("\n".join(tables))
-    told = {g["category"]: g for g in groups}
-    lines: list[str] = []
-    now = None
-    for r in category_rows(papers, taxonomy).orderBy("grp_ord", "category", "rn").toLocalIterator():
-        if r["category"] != now:
-            if now is not None:
-                out.append("\n".join([*lines, "", "</details>"]))
-            now, g = r["category"], told[r["category"]]
-            lines = [f"## {now}", "", *([f"> {g['description']}", ""] if g["description"] else []), f"<details><summary>Show {g['n']} papers</summary>", "", "| # | Title | Authors | Journal | Year | Links |", "|---|-------|---------|---------|------|-------|"]
-        lines.append(r["line"])
-    if now is not None:
-        out.append("\n".join([*lines, "", "</details>"]))
-    return "\n\n".join(out)
+def readme_lines(papers: DataFrame, taxonomy: Taxonomy, date: str, title: str = "Literature") -> DataFrame:
+    """(part, grp_ord, category, rn, line): the Markdown report, in that order: contents, statistics, and a table per category."""
+    rows = category_rows(papers, taxonomy)
+    groups = rows.groupBy("category", "grp_ord", "description").agg(F.count("*").alias("n"))
+
+    def lines(part: int, df: DataFrame, rn: Column | int, *texts: Column | str) -> DataFrame:
+        """Texts of each row one after the other, from rn on; of the whole report where df has no category."""
+        of = {"category": "string", "grp_ord": "int"}
+        known = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in of.items()]
+        every = F.array(*(x if isinstance(x, Column) else F.lit(x) for x in texts))
+        told = df.select(*known, (rn if isinstance(rn, Column) else F.lit(rn)).cast("long").alias("_rn"), F.posexplode(every).alias("_i", "line"))
+        return told.select(F.lit(part).alias("part"), "grp_ord", "category", (F.col("_rn") + F.col("_i")).alias("rn"), "line")
+
+    one = papers.sparkSession.range(1)
+    counts = papers.agg(F.count("*").alias("papers")).join(groups.agg(F.count("*").alias("groups")))  # one row each
+    head = lines(0, counts, 0, f"# {title}", "", F.format_string(f"Last updated {date}. %d papers in %d categories.", "papers", "groups"), "", "## Table of Contents", "")
+    contents = lines(1, groups, 0, F.format_string("- [%s](#%s) (%d papers)", "category", t.anchor("category"), "n"))
+    years = lines(3, pp.by_year(papers), -F.col("year"), F.format_string("| %d | %d %s |", "year", "n", t.bar("n", 50)))
+    sources = lines(5, pp.by_source(papers), F.col("rank"), F.format_string("| %s | %d |", "source", "n"))
+    tables = [lines(2, one, 0, "", "## Statistics", "", "### Papers by Year", "| Year | Count |", "|------|-------|"), years, lines(4, one, 0, "", "### Papers by Source", "| Source | Count |", "|--------|-------|"), sources]
+    told = F.when(F.col("description") != "", F.concat(F.lit("> "), "description", F.lit("\n\n"))).otherwise("")  # with the blank line after it
+    opened = lines(6, groups, -6, "", F.concat(F.lit("## "), "category"), "", F.concat(told, F.format_string("<details><summary>Show %d papers</summary>", "n")), "", "| # | Title | Authors | Journal | Year | Links |", "|---|-------|---------|---------|------|-------|")
+    body = rows.select(F.lit(6).alias("part"), "grp_ord", "category", "rn", "line")
+    return reduce(DataFrame.unionByName, [head, contents, *tables, opened, body, lines(6, groups, 1 << 62, "", "</details>")])
+
+
+README_ORDER = ("part", "grp_ord", "category", "rn")
 
 
 def digest_html(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, generated: str) -> str:
@@ -174,3 +177,21 @@ def analysis(totals: DataFrame, as_of: int, generated: str) -> dict:
         "total_papers": share["papers"],
         "generated_at": generated,
     }
+
+
+def analysis_rows(totals: DataFrame, as_of: int) -> DataFrame:
+    """(section, name, part, n): the counts of analysis() as rows, for results of any number of names."""
+    row = lambda section, name, part, n: (F.lit(section).alias("section"), name.cast("string").alias("name"), part.cast("string").alias("part"), n.cast("long").alias("n"))
+    none, c = F.lit(None), F.col
+    parts = [
+        tt.top_members(totals, "method").select(*row("dl_method_distribution", c("member"), none, c("n"))),
+        tt.top_members(totals, "tool").select(*row("tool_mentions", c("member"), none, c("n"))),
+        tt.trend_methods(totals).select(*row("trend_analysis", c("year"), c("method"), F.coalesce(c("n"), F.lit(0)))),
+        tt.trend_years(totals).select(*row("trend_totals", c("year"), none, c("total"))),
+        tt.landscape(totals).select(*row("landscape_matrix", c("method"), c("category"), c("n"))),
+        tt.hot_topics(totals, as_of).select(*row("hot_topics", c("topic"), none, c("n"))),
+        tt.category_insights(totals, as_of).select(*row("category_insights", c("category"), c("insight"), none)),
+        tt.learning_share(totals).select(*row("total_papers", F.lit(""), c("dl_ratio"), c("papers"))),
+        tt.learning_share(totals).select(*row("dl_paper_count", F.lit(""), none, c("dl_papers"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -106,8 +106,7 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
     current, delta = store.read_snapshot(spark, path, name), store.read_added(spark, path, name)
     out |= {"new_count": delta.count(), "total_count": store.manifest(spark, path, name).rows, "digest": report.digest_text(delta, current, taxonomy, now), "email_sent": False}
     if readme:
-        with open(readme, "w", encoding="utf-8") as f:
-            f.write(report.readme(current, taxonomy, now[:10]))
+        store.write_lines(report.readme_lines(current, taxonomy, now[:10]), readme, *report.README_ORDER)
     if notify is not None and out["new_count"]:
         out["email_sent"] = bool(notify(out["new_count"], out["digest"], report.digest_html(delta, current, taxonomy, now)))
     return out | {"success": True}
@@ -184,8 +183,7 @@ def main(args: list[str] | None = None, transport=None) -> None:
         delta, made = latest_delta(spark, a.store), now.strftime("%Y-%m-%d %H:%M UTC")
         print("sent" if post(delta.count(), report.digest_text(delta, papers, taxonomy, made), report.digest_html(delta, papers, taxonomy, made)) else "not sent")
     else:
-        with open(a.output, "w", encoding="utf-8") as f:
-            f.write(report.readme(papers, taxonomy, now.strftime("%Y-%m-%d")))
+        store.write_lines(report.readme_lines(papers, taxonomy, now.strftime("%Y-%m-%d")), a.output, *report.README_ORDER)
 
 
 if __name__ == "__main__":

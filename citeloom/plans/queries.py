@@ -13,7 +13,7 @@ from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
 from citeloom.operators import keywords, listing, report, search, substrings, totals
-from citeloom.plans import tables
+from citeloom.plans import pipeline, tables
 from citeloom.shared import cut, shared_dir
 from citeloom.sources import payloads, store
 from citeloom.sources.documents import papers
@@ -234,6 +234,31 @@ _CELL = lambda c: f"replace(replace({c}, '|', '\\|'), chr(10), ' ')"  # noqa: E7
 _ORDS = "ords AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', {i}, '{FIX.descriptions.get(g, '')}')" for i, g in enumerate(FIX.groups)) + ") AS o(category, grp_ord, description))"
 _LINE = f"'| ' || rn || ' | ' || CASE WHEN length({_CELL('title')}) > 100 THEN substr({_CELL('title')}, 1, 97) || '...' ELSE {_CELL('title')} END || ' | ' || {_authors_sql(2, 'Unknown', 1)} || ' | ' || {_CELL('journal')} || ' | ' || coalesce(CAST(year AS VARCHAR), '') || ' | [Paper](' || url || ') / [DOI](https://doi.org/' || doi || ') |'"
 _add("report_rows", lambda s, d: report.category_rows(_cat(s, d), FIX), f"SELECT category, coalesce(grp_ord, 2147483647) AS grp_ord, description, rn, {_LINE} AS line FROM (SELECT papers.*, category, row_number() OVER (PARTITION BY category ORDER BY date DESC, pos) AS rn FROM cats JOIN papers USING (pos)) LEFT JOIN ords USING (category)", _CATS, _ORDS)
+_ANCHOR = "regexp_replace(replace(replace(replace(replace(lower(category), ' ', '-'), '&', ''), '/', ''), '--', '-'), '^$', '')"
+_SEVERAL = "SELECT {part} AS part, {ord} AS grp_ord, {cat} AS category, CAST({rn} + i - 1 AS BIGINT) AS rn, lines[i] AS line FROM (SELECT *, [{lines}] AS lines, unnest(range(1, {n} + 1)) AS i FROM {rows})"
+
+
+def _said(part: int, rows: str, rn: str, *lines: str) -> str:
+    whole = "grp_ord" not in rows
+    return _SEVERAL.format(part=part, ord="CAST(NULL AS INTEGER)" if whole else "grp_ord", cat="CAST(NULL AS VARCHAR)" if whole else "category", rn=rn, lines=", ".join(lines), n=len(lines), rows=rows)
+
+
+_quoted = lambda *texts: [f"'{x}'" for x in texts]
+_REPORT = " UNION ALL ".join(
+    [
+        _said(0, "(SELECT (SELECT count(*) FROM papers) AS p, count(*) AS g FROM gg)", "0", "'# Literature'", "''", "'Last updated 2025-06-15. ' || p || ' papers in ' || g || ' categories.'", "''", "'## Table of Contents'", "''"),
+        _said(1, "(SELECT category, grp_ord, n FROM gg)", "0", f"'- [' || category || '](#' || {_ANCHOR} || ') (' || n || ' papers)'"),
+        _said(2, "(SELECT 1)", "0", *_quoted("", "## Statistics", "", "### Papers by Year", "| Year | Count |", "|------|-------|")),
+        _said(3, "(SELECT year, count(*) AS n FROM papers WHERE year IS NOT NULL GROUP BY year)", "-year", "'| ' || year || ' | ' || n || ' ' || repeat('█', least(n, 50)) || ' |'"),
+        _said(4, "(SELECT 1)", "0", *_quoted("", "### Papers by Source", "| Source | Count |", "|--------|-------|")),
+        _said(5, "(SELECT source, n, row_number() OVER (ORDER BY f) AS k FROM (SELECT source, count(*) AS n, min(pos) AS f FROM papers GROUP BY source))", "k", "'| ' || source || ' | ' || n || ' |'"),
+        _said(6, "(SELECT category, grp_ord, description, n FROM gg)", "-6", "''", "'## ' || category", "''", "CASE WHEN description <> '' THEN '> ' || description || chr(10) || chr(10) ELSE '' END || '<details><summary>Show ' || n || ' papers</summary>'", *_quoted("", "| # | Title | Authors | Journal | Year | Links |", "|---|-------|---------|---------|------|-------|")),
+        "SELECT 6, grp_ord, category, rn, line FROM body",
+        _said(6, "(SELECT category, grp_ord, n FROM gg)", str(1 << 62), "''", "'</details>'"),
+    ]
+)
+_BODY = f"body AS (SELECT category, coalesce(grp_ord, 2147483647) AS grp_ord, description, rn, {_LINE} AS line FROM (SELECT papers.*, category, row_number() OVER (PARTITION BY category ORDER BY date DESC, pos) AS rn FROM cats JOIN papers USING (pos)) LEFT JOIN ords USING (category)), gg AS (SELECT category, grp_ord, description, count(*) AS n FROM body GROUP BY ALL)"
+_add("report_lines", lambda s, d: report.readme_lines(_cat(s, d), FIX, "2025-06-15"), _REPORT, _CATS, _ORDS, _BODY)
 _YEARS = "ty AS (SELECT year, count(*) AS total FROM papers WHERE year >= 2015 GROUP BY year), tm AS (SELECT * FROM (SELECT year, method, n, row_number() OVER (PARTITION BY year ORDER BY n DESC, f) AS rank FROM (SELECT year, method, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY ALL)) WHERE rank <= 5)"
 _add("trend_newest5", lambda s, d: an.newest_trend(_ann(s, d)).select("year", "total", "method", "n", "rank"), "SELECT year, total, method, n, rank FROM (SELECT * FROM ty ORDER BY year DESC LIMIT 5) LEFT JOIN tm USING (year)", _METHODS, _YEARS)
 _TOP = "(SELECT member, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT method AS member, count(*) AS n, min((pos, i)) AS f FROM methods GROUP BY method))"
@@ -246,6 +271,34 @@ UNION ALL SELECT 6, 100, '  • ' || member || ' is the most widely used archite
 UNION ALL SELECT 6, 300, CASE WHEN total > before THEN '  • ' || CAST(round_even((total - before) / greatest(before, 1) * 100, 0) AS BIGINT) || '% growth from ' ELSE '  • Publication pace slowing from ' END || was || ' to ' || year
   FROM (SELECT *, lag(total) OVER (ORDER BY year) AS before, lag(year) OVER (ORDER BY year) AS was, lead(year) OVER (ORDER BY year) AS nxt FROM ty WHERE year >= {AS_OF - 3}) WHERE nxt IS NULL AND total <> before"""
 _add("summary_lines", lambda s, d: report.summary_lines(_state(s, d), AS_OF), _SUMMARY, _METHODS, _CATS, _YEARS)
+_ROWS = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, CAST({name} AS VARCHAR) AS name, CAST({part} AS VARCHAR) AS part, CAST({n} AS BIGINT) AS n FROM ({sql})"
+    for section, name, part, n, sql in (
+        ("dl_method_distribution", "member", "NULL", "n", f"SELECT * FROM {_TOP} WHERE rank <= 20"),
+        ("trend_analysis", "year", "method", "coalesce(n, 0)", "SELECT * FROM ty LEFT JOIN tm USING (year)"),
+        ("trend_totals", "year", "NULL", "total", "SELECT * FROM ty"),
+        ("landscape_matrix", "method", "category", "n", "SELECT method, category, count(*) AS n FROM methods JOIN cats USING (pos) GROUP BY ALL"),
+        ("hot_topics", "topic", "NULL", "n", _HOT.format(f"year >= {AS_OF - 1}")),
+        ("category_insights", "category", "insight", "NULL", _INSIGHT),
+        ("total_papers", "''", "dl_ratio", "papers", "SELECT count(*) AS papers, round_even(count(m.pos) / count(*) * 100, 1) AS dl_ratio FROM papers LEFT JOIN (SELECT DISTINCT pos FROM mx) m USING (pos)"),
+        ("dl_paper_count", "''", "NULL", "n", "SELECT count(DISTINCT pos) AS n FROM mx"),
+    )
+)
+_add("analysis_rows", lambda s, d: report.analysis_rows(_state(s, d), AS_OF), _ROWS, _METHODS, _CATS, _YEARS)
+
+
+def _job(s: SparkSession, d: str) -> DataFrame:
+    """What two updates of a new store say: the first three fifths of the papers, then all of them."""
+    rows, path = papers(s, d), f"{shared_dir(s).rstrip('/')}/job-{uuid.uuid4().hex}"
+    sent: list[int] = []
+    told = [pipeline.run(s, path, new, FIX, notify=lambda n, text, html: not sent.append(n)) for new in (rows.where("pos % 10 < 6"), rows)]
+    kinds = "run int, existing_count long, fetched_count long, new_count long, total_count long, email_sent boolean, success boolean"
+    return s.createDataFrame([(i, *(x[k] for k in ("existing_count", "fetched_count", "new_count", "total_count", "email_sent", "success"))) for i, x in enumerate(told)], kinds)
+
+
+_SOME = "(SELECT count(DISTINCT lower(trim(id))) FROM papers WHERE pos % 10 < 6)"
+_EVERY = "(SELECT count(DISTINCT lower(trim(id))) FROM papers)"
+_add("update_job", _job, f"SELECT 0 AS run, 0 AS existing_count, (SELECT count(*) FROM papers WHERE pos % 10 < 6) AS fetched_count, {_SOME} AS new_count, {_SOME} AS total_count, true AS email_sent, true AS success UNION ALL SELECT 1, {_SOME}, (SELECT count(*) FROM papers), {_EVERY} - {_SOME}, {_EVERY}, true, true")
 for _name, _query in (
     ("stats_by_source", totals.by_source),
     ("stats_by_category", totals.by_category),

@@ -37,14 +37,33 @@ def _without_pos() -> str:
     return f"struct<{fields}>"
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """One text file of the lines in order: sorted and written by all tasks, their files then copied behind each other, a buffer at a time."""
+    spark, parts = lines.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select("line").write.text(parts)
+    jvm = spark.sparkContext._jvm
+    to, fs = _place(spark, path)
+    folder, held = _place(spark, parts)
+    out = fs.create(to, True)
+    for at in sorted((x.getPath() for x in held.listStatus(folder)), key=lambda p: p.getName()):
+        if at.getName().startswith("part-"):
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(held.open(at), out, 1 << 16, False)
+    out.close()
+    held.delete(folder, True)
+
+
+def json_lines(papers: DataFrame) -> DataFrame:
+    """(part, pos, line): a JSON array of papers in pos order."""
+    last = F.broadcast(papers.agg(F.max("pos").alias("_last")))  # one row
+    value = F.to_json(F.struct(*(c for c in FIELDS if c != "pos")), {"ignoreNullFields": "false"})
+    rows = papers.join(last).select(F.lit(1).alias("part"), "pos", F.concat(F.lit("  "), value, F.when(F.col("pos") == F.col("_last"), "").otherwise(",")).alias("line"))
+    ends = papers.sparkSession.createDataFrame([(0, None, "["), (2, None, "]")], "part int, pos long, line string")
+    return rows.unionByName(ends)
+
+
 def write_json(papers: DataFrame, path: str) -> None:
-    """One JSON array file in pos order, for small collections: rows stream through the driver one by one."""
-    with open(path, "w", encoding="utf-8") as f:
-        before = "["
-        for row in papers.select(*FIELDS).orderBy("pos").drop("pos").toLocalIterator():
-            f.write(before + "\n  " + json.dumps(row.asDict(), ensure_ascii=False))
-            before = ","
-        f.write("[]" if before == "[" else "\n]\n")
+    """One JSON array file in pos order (places differ)."""
+    write_lines(json_lines(papers), path, "part", "pos")
 
 
 class Pointer(NamedTuple):
