@@ -44,17 +44,19 @@ DROPPED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion "
     "alert banner consent cookie cookies gdpr modal notice notices notification notifications overlay popup privacy toast "
     "breadcrumb breadcrumbs menu menus nav navbar navigation pager pagination topbar "
-    "aside related recommended recommendations sidebar sidebars trending widget widgets "
+    "aside rail related recommended recommendations sidebar sidebars trending widget widgets "
     "comment comments commentlist discussion disqus replies reply respond "
     "copyright colophon footer header masthead "
     "follow login newsletter search share sharing signup social subscribe subscription".split()
 )
+#: Of these, the ones of a page's top, where its title may stand.
+TOP_WORDS = frozenset("banner header masthead topbar".split())
 #: Words that say of a header that it is the article's own.
 OWN_HEADER = frozenset("article content entry headline main post story title".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD, _HUMP = re.compile(r"[A-Za-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -62,11 +64,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its place in page order is its index, and `last` the index of the last one inside it."""
 
-    __slots__ = ("tag", "parent", "last", "hinted", "article", "main", "dropped", "chars", "link_chars", "tags", "link_tags", "direct", "density", "total")
+    __slots__ = ("tag", "parent", "last", "hinted", "top", "article", "main", "dropped", "chars", "link_chars", "tags", "link_tags", "direct", "density", "total")
 
     def __init__(self, tag: str, parent: int) -> None:
         self.tag, self.parent, self.last = tag, parent, 0
-        self.hinted = self.article = self.main = self.dropped = False
+        self.hinted = self.top = self.article = self.main = self.dropped = False
         self.chars = self.link_chars = self.tags = self.link_tags = self.direct = 0
         self.density = self.total = 0.0
 
@@ -77,10 +79,12 @@ def _describe(node: Node, given: str) -> None:
     for name, value in _ATTRIBUTE.findall(given):
         found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
     role = found.get("role", "").lower().strip()
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) & (DROPPED_WORDS | OWN_HEADER)
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    words = {x.lower() for x in _WORD.findall(f"{names} {_HUMP.sub(' ', names)}")}  # sideBar1 is sidebar, adBox an ad
     bad = words & DROPPED_WORDS
-    if bad == {"header"} and words & OWN_HEADER:
+    if bad == {"header"} and words & OWN_HEADER or bad <= TOP_WORDS and node.tag in HEADINGS:
         bad = set()
+    node.top = bool(bad) and bad <= TOP_WORDS
     node.article = node.tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody"
     node.main = node.tag == "main" or role == "main"
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
@@ -214,18 +218,22 @@ def _composite(chars: int, link_chars: int, tags: int, link_tags: int, links: fl
 
 
 def _drop(nodes: list[Node]) -> None:
-    """Decide what is left out: by element, by role, and by the words of class and id unless an article stands inside."""
-    holds = [False] * len(nodes)
+    """Decide what is left out: by element, by role, and by the words of class and id.
+
+    These don't count where an article stands inside, nor a first heading, but for the words of a
+    page's top; and those not inside an article, whose top is its own.
+    """
+    holds, titled = [False] * len(nodes), [False] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        if holds[i] or nodes[i].article or nodes[i].main:
-            holds[nodes[i].parent] = True
-    within = [False] * len(nodes)  # inside an article or main element
+        holds[nodes[i].parent] |= holds[i] or nodes[i].article or nodes[i].main
+        titled[nodes[i].parent] |= titled[i] or nodes[i].tag == "h1"
+    within = [False] * len(nodes)  # an article or main element
     for i in range(1, len(nodes)):
         node, parent = nodes[i], nodes[nodes[i].parent]
         within[i] = within[node.parent] or node.article or node.main
-        by_hint = node.hinted and not holds[i] and node.tag not in ("html", "body", "main")
+        kept = holds[i] or (within[node.parent] if node.top else titled[i]) or node.tag in ("html", "body", "main")
         page_header = node.tag == "header" and not within[i]
-        node.dropped = parent.dropped or node.dropped or node.tag in DROPPED or page_header or by_hint
+        node.dropped = parent.dropped or node.dropped or node.tag in DROPPED or page_header or (node.hinted and not kept)
 
 
 def _measure(page: Page) -> int:

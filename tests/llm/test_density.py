@@ -28,6 +28,8 @@ NOTICE = "We use cookies to make this site better for you and for our partners a
         f"<div class='has-sidebar'><article><h1>A title</h1>{PROSE}<div class='ad'>{NOTICE}</div></article></div>",
         f"<main><article><h1>A title</h1>{PROSE}<form><label>{NOTICE}</label><input></form><script>if (a < b) '</p>'</script></article><div role=complementary>{NOTICE}</div></main>",
         f"<body><div role='alert'>{NOTICE}</div><div hidden>{NOTICE}</div><div style='display: none'>{NOTICE}</div><article><h1>A title</h1><!-- <p>{NOTICE}</p> -->{PROSE}<noscript>{NOTICE}</noscript></article>",
+        f"<div id=wrap class='no-sidebar'><h1>A title</h1>{PROSE}</div><div class='sideBar1'>{NOTICE}</div><div id='siteHeader'><h1>Site</h1></div><div class=adBox>{NOTICE}</div>",
+        f"<article><div class='header'><h1 class='header'>A title</h1></div><div class=body>{PROSE}</div><div class='post-footer'>Tags</div><ul class='share-buttons'><li>Mail</ul></article>",
         f"<article><h1>A title</h1><p><b>{BODY[0]}<br><p>{BODY[1]}</p><p>{BODY[2]}",
         f"<ARTICLE><H1>A&nbsp;title</H1>\r\n<P>{BODY[0].replace(' ', '  ')}</P><P>{BODY[1]}</P></B></P></DIV><P>{BODY[2]}</P></ARTICLE><div class=comments><article class=comment><p>{NOTICE}</p></article></div>",
     ],

@@ -97,3 +97,35 @@ def test_whole(spark, tables):
     left = told(cp.run(spark, path))
     assert {i for i, _ in left} <= {1, None} and not any("hunter22" in t for _, t in left)
     assert sum(left.values()) == 3
+
+
+def test_runs_in_threads_leave_each_other_s_tables(spark, tables):
+    """A mix that stands while a pipeline runs beside it can still be read, and so can the pipeline's own."""
+    import threading
+
+    from citeloom.llm.mixing import mix
+    from citeloom.llm.runtime import scratch, stored
+
+    docs, path = tables([(i, f"text {i} " + " ".join(WORDS[i : i + 40])) for i in range(40)])
+    mixed, told = mix(docs), {}
+    going, done = threading.Event(), threading.Event()
+
+    def run():
+        with scratch(spark) as made:
+            step = stored(docs, "a")
+            going.set()
+            done.wait(60)
+            step = stored(step, "b")
+            made.forget_before_last()
+            made.keep_last()
+        told["rows"] = step.count()
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    going.wait(60)
+    other = mix(docs)
+    done.set()
+    thread.join()
+    assert told["rows"] == mixed.count() == other.count() == 40
+    out = cp.run(spark, path)
+    assert mixed.count() == other.count() == 40 and out.count() > 0
