@@ -327,6 +327,16 @@ def _table_function(text: str) -> Query:
 for _name, _text in (("search_cli20", "SELECT pos, score FROM search_papers('gan gat der', 20)"), ("trend_top5", "SELECT * FROM paper_trends(5)"), ("stats_by_category", "SELECT name AS category, n, place AS rank FROM paper_counts() WHERE kind = 'category'")):
     QUERIES[f"sql_{_name}"] = _table_function(_text)
     SQL[f"sql_{_name}"] = SQL[_name]
+
+
+def _json_kept(s: SparkSession, d: str) -> DataFrame:
+    """The papers written as a JSON array and read back: places run anew."""
+    path = f"{shared_dir(s).rstrip('/')}/papers-{uuid.uuid4().hex}.json"
+    store.write_json(papers(s, d), path)
+    return store.read_json(s, path).select("pos", "id", "title", "abstract", "year", "date", _join("authors").alias("authors"), "fetched_at")
+
+
+_add("json_kept", _json_kept, "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, title, abstract, year, date, array_to_string(authors, ';') AS authors, CAST(NULL AS VARCHAR) AS fetched_at FROM papers")
 _flat = "array_to_string(authors, '; ') AS authors, journal, year, date, doi, url, source, c AS categories"
 _CSV = "FROM papers JOIN (SELECT pos, string_agg(category, '; ' ORDER BY i) AS c FROM cats GROUP BY pos) USING (pos)"
 _add("export_csv_rows", lambda s, d: store.export_rows(_cat(s, d)), f"SELECT id, title, {_flat} {_CSV}", _CATS)

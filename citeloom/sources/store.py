@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeloom.functions import text as t
 from citeloom.schema import FIELDS, PAPER
@@ -26,15 +27,10 @@ WEB_COLUMNS = ["title", "authors", "journal", "year", "date", "doi", "url", "sou
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of papers; pos is the place in the array. A malformed file raises."""
-    body = spark.read.text(path, wholetext=True)
-    items = body.select(F.posexplode(F.from_json("value", F.lit(f"array<{_without_pos()}>"), {"mode": "FAILFAST"})).alias("pos", "p"))
-    return items.select(F.col("pos").cast("long").alias("pos"), "p.*")
-
-
-def _without_pos() -> str:
-    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in PAPER.fields if f.name != "pos")
-    return f"struct<{fields}>"
+    """A JSON array of papers in a file, read paper by paper; pos is the place in the array. A malformed file raises."""
+    schema = StructType([f for f in PAPER.fields if f.name != "pos"])
+    rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    return rows.select(F.monotonically_increasing_id().alias("pos"), *schema.fieldNames())  # one file is one partition
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:
