@@ -40,6 +40,19 @@ def test_recall_with_most_rows_unvisited(spark, monkeypatch, kind):
     assert recall >= 0.9 and visited[0] < {"isotropic": 0.5, "clustered": 0.1}[kind] * n
 
 
+def test_recall_at_shipped_settings(spark, monkeypatch):
+    """More rows than are ever visited whole, queries at every 50th."""
+    rng = np.random.default_rng(8)
+    n, dim = 25_000, 32
+    v = (0.4 * rng.normal(size=(n, dim)) + rng.normal(size=(200, dim))[rng.integers(200, size=n)]).astype("float32").astype(float)
+    visited = []
+    measured = ann.budget
+    monkeypatch.setattr(ann, "budget", lambda *a: visited.append(measured(*a)) or visited[0])
+    got, want = found(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], SCHEMA), 50), truth(v, 50)
+    assert np.mean([len(want[q] & got[q]) / 10 for q in want]) >= 0.9
+    assert max(ann.LEAST_VISITED, visited[0]) < 0.5 * n
+
+
 def test_one_vector_on_many_shelves(spark, monkeypatch):
     """A third of the rows are one vector: their cell is parted, and ties go to the smaller ids."""
     monkeypatch.setattr(ann, "LEAST_VISITED", 50)
