@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.runtime import scratch, spread, stored
 
-#: Components up to which 64 squared differences add up exactly in doubles, and the largest that takes part.
-EXACT, LARGEST = 1 << 22, 2.0**120
+#: Components up to which 64 squared differences add up exactly in doubles, and the bound of those that take part: that of floats times 256.
+EXACT, LARGEST = 1 << 22, 2.0**136
 EPS = 1e-12
 #: Centroids a group, rounds of grouping them, and rows that bounds are kept for at once.
 GROUP, GROUP_ROUNDS, ROWS = 10, 5, 4096
 _LIMB = 60
 _LONG = 1 << 63
-_VECTOR = "vec_id long, vector array<double>, cluster int, upper double, lower array<double>, moved struct<counts: array<long>, high: array<long>, low: array<long>>"
+_VECTOR = "vec_id long, vector array<double>, cluster int, upper double, lower array<double>, moved struct<counts: array<long>, top: array<long>, high: array<long>, low: array<long>>"
 
 
 class Centres(NamedTuple):
@@ -125,7 +125,7 @@ def reassign(x: np.ndarray, c: np.ndarray, centres: Centres, cluster: np.ndarray
 
 
 def _moved(x: np.ndarray, was: np.ndarray | None, cluster: np.ndarray, k: int) -> dict[str, list[int]]:
-    """What the rows that changed add to each centroid's count and sums, these in limbs of 60 bits."""
+    """What the rows that changed add to each centroid's count and sums, these in three limbs of 60 bits."""
     rows = np.arange(len(x)) if was is None else np.flatnonzero(was != cluster)
     sign = np.zeros((k, len(rows)), x.dtype)
     each = np.arange(len(rows))
@@ -133,7 +133,8 @@ def _moved(x: np.ndarray, was: np.ndarray | None, cluster: np.ndarray, k: int) -
     if was is not None:
         sign[was[rows], each] -= 1
     sums = [int(v) for v in (sign @ x[rows]).ravel()] if len(rows) else [0] * (k * x.shape[1])
-    return {"counts": [int(v) for v in sign.sum(1)] if len(rows) else [0] * k, "high": [v >> _LIMB for v in sums], "low": [v & ((1 << _LIMB) - 1) for v in sums]}
+    limb = (1 << _LIMB) - 1
+    return {"counts": [int(v) for v in sign.sum(1)] if len(rows) else [0] * k, "top": [v >> 2 * _LIMB for v in sums], "high": [v >> _LIMB & limb for v in sums], "low": [v & limb for v in sums]}
 
 
 def _integers(column: pa.Array, c: Centres) -> tuple[np.ndarray, bool]:
@@ -168,7 +169,7 @@ def _pass(given: DataFrame, centres: Centres, begun: bool, last: bool) -> DataFr
                     continue
                 longs = pa.list_(pa.int64())
                 moved = [_moved(x, was, cluster, len(c.tolist())), *[None] * (len(x) - 1)]
-                arrays = [ids, part.column(1), clusters, pa.array(upper), pa.array(lower.tolist(), pa.list_(pa.float64())), pa.array(moved, pa.struct([("counts", longs), ("high", longs), ("low", longs)]))]
+                arrays = [ids, part.column(1), clusters, pa.array(upper), pa.array(lower.tolist(), pa.list_(pa.float64())), pa.array(moved, pa.struct([(x, longs) for x in ("counts", "top", "high", "low")]))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "vector", "cluster", "upper", "lower", "moved"])
 
     return given.mapInArrow(run, wanted)
@@ -182,8 +183,8 @@ def _sums(table: DataFrame, size: int) -> list[int]:
         rows = blocks.select(F.posexplode(name)).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("total"))
         return {r["pos"]: int(r["total"]) for r in rows.collect()}
 
-    counts, high, low = added("counts"), added("high"), added("low")
-    return [counts[i] for i in range(size)] + [(high[i] << _LIMB) + low[i] for i in range(len(low))]
+    counts, top, high, low = (added(x) for x in ("counts", "top", "high", "low"))
+    return [counts[i] for i in range(size)] + [(top[i] << 2 * _LIMB) + (high[i] << _LIMB) + low[i] for i in range(len(low))]
 
 
 def kept_vectors(embeddings: DataFrame, components: int, scale: int) -> DataFrame:
@@ -204,7 +205,7 @@ def clusters(embeddings: DataFrame, k: int = 40, rounds: int = 5, components: in
     """Rows (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), one per vector kept.
 
     Vectors that are null, of another length, or hold a null or non-finite component take no
-    part (nor do components beyond 2^120, where sums would lose digits). With fewer vectors
+    part (nor do components beyond those of single precision, where sums would lose digits). With fewer vectors
     than k there are as many centroids; without any the result is empty. Repeated rows are
     vectors of their own; rows without a vec_id are assigned but never first centroids. A
     squared distance or sum that a long can't hold is null.

@@ -35,7 +35,7 @@ def result(frame):
     return sorted((str(r["vec_id"]), *list(r)[1:]) for r in frame.collect())
 
 
-@pytest.mark.parametrize(("k", "spread", "scale"), [(40, 1.0, 256), (25, 0.02, 256), (3, 1.0, 1), (30, 3e5, 256), (12, 1e9, 256)])
+@pytest.mark.parametrize(("k", "spread", "scale"), [(40, 1.0, 256), (25, 0.02, 256), (3, 1.0, 1), (30, 3e5, 256), (12, 1e9, 256), (9, 1e37, 256)])
 def test_equals_plain_clusters(spark, k, spread, scale):
     """Clusters of any tightness, components beyond exact doubles included; small whole numbers give many ties."""
     rng = np.random.default_rng(k)
