@@ -1,10 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a queue of its documents in shuffled order, once per epoch. A document's
-virtual finish time is its queue's cumulative words divided by the queue's target, so all
-queues drain at virtual time 1, when the words served are the total budget. All documents
-are range-sorted by finish time, and the sorted queue is cut where its running total reaches
-the budget; a document in service then is taken in part.
+Each source is a queue of its documents in shuffled order, once per epoch. Documents are
+served in packets of up to PACKET words. A packet's virtual finish time is its queue's
+cumulative words divided by the queue's target. The packets of all queues are range-sorted
+by finish time, and the sorted queue is cut where its running total reaches the budget: no
+source is cut on its own, so each comes within a packet or so of its target.
 
 Words are counted once, and all else runs on sizes alone. Running sums are spread over
 buckets of the shuffle and ranges of virtual time, so that no task holds a whole source.
@@ -12,6 +12,8 @@ buckets of the shuffle and ranges of virtual time, so that no task holds a whole
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,13 @@ from citeloom.llm.runtime import stored
 BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPOCHS = 2
-#: Ranges of virtual time that entries are sorted in, up to time 1 and beyond it.
+#: Words of a document that are served at once.
+PACKET = 64
+#: Ranges of virtual time that packets are sorted in, up to time 1 and beyond it.
 BINS = 1 << 13
+#: Sources whose targets are broadcast; those of more are joined with each source's rows dealt over SALTS parts.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -46,44 +53,55 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float) ->
     return level.select("key", "source_size", F.coalesce(F.least("cap", F.col("fair") * F.col("weight")), "cap").alias("target"))
 
 
-def queue(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
-    """(row, doc_id, source, size, key, source_size, target, epoch, begin, served): every document once per epoch, begin being its source's words before it.
+def with_targets(rows: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """rows (row, key) with the target of their source; a source of any share of the rows is no single task's."""
+    if few:
+        return rows.join(F.broadcast(targets), "key")
+    dealt = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(dealt, ["key", "salt"]).drop("salt")
+
+
+def queue(sized: DataFrame) -> DataFrame:
+    """(row, key, size, epoch, begin): every document once per epoch, begin being its source's words before it.
 
-    The order in a source is a shuffle by the epoch and doc_id, so reruns agree.
+    The order in a source is a shuffle by the epoch and the document's name, so reruns agree.
     """
-    mark = F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    mark = F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col("name")).cast("binary"))
     entries = sized.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(1, EPOCHS + 1))))).withColumn("mark", mark)
-    entries = entries.withColumn("bucket", F.substring("mark", 1, 3))
+    entries = entries.select("row", "key", "size", "epoch", "mark", F.substring("mark", 1, 3).alias("bucket"))
     sums = entries.groupBy("key", "epoch", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("key").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("key", "epoch", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     inside = Window.partitionBy("key", "epoch", "bucket").orderBy("mark", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = entries.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["key", "epoch", "bucket"])
-    joined = placed.join(source_targets(sized, weights, share), "key")
-    return joined.select("row", "doc_id", "source", "size", "key", "source_size", "target", "epoch", (F.col("offset") + F.col("within")).alias("begin"), F.floor("target").cast("long").alias("served"))
+    return placed.select("row", "key", "size", "epoch", (F.col("offset") + F.col("within")).alias("begin"))
+
+
+def packets(entries: DataFrame) -> DataFrame:
+    """(row, key, epoch, words, end, finish): the entries' packets, end being their source's words up to theirs."""
+    packet = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PACKET)))
+    parted = entries.where("size > 0").withColumn("packet", packet)
+    parted = parted.withColumn("words", F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("packet") * PACKET))
+    parted = parted.withColumn("end", F.col("begin") + F.col("packet") * PACKET + F.col("words"))
+    return parted.select("row", "key", "epoch", "words", "end", (F.col("end") / F.col("target")).alias("finish"))
 
 
-def cut_at_budget(entries: DataFrame, budget: DataFrame) -> DataFrame:
-    """The entries' parts in the order of virtual finish times, with the words that the budget leaves them: adds finish, words, took.
+def cut_at_budget(parted: DataFrame, budget: int) -> DataFrame:
+    """The packets in the order of virtual finish times, with the words that the budget leaves them: adds took.
 
-    An entry that virtual time 1 falls into is in service then, and is parted there. The
-    global order is by ranges of virtual time (BINS up to time 1, as many beyond): queues
-    drain at even rates, so ranges hold about equal words whatever the sources' sizes. Running
-    totals are those of the ranges before, plus those within the range.
+    Only the packet that the budget ends in is taken in part. The global order is by ranges of
+    virtual time (BINS up to time 1, as many beyond): queues drain at even rates, so ranges
+    hold about equal words whatever the sources' sizes. Running totals are those of the ranges
+    before, plus those within the range.
     """
-    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - F.col("begin"))).cast("long")
-    end = F.col("begin") + F.col("size")
-    finish = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(float("inf")))
-    parts = F.array(F.struct(first.alias("words"), finish(F.least(end, F.col("served"))).alias("finish")), F.struct((F.col("size") - first).alias("words"), finish(end).alias("finish")))
-    parted = entries.select("row", "key", "epoch", F.explode(parts).alias("part")).select("row", "key", "epoch", "part.*").where("words > 0")
     range_ = F.when(F.col("finish") <= 1, F.ceil(F.col("finish") * BINS)).otherwise(BINS + F.ceil(BINS * (1 - 1 / F.col("finish")))).cast("int")
     parted = parted.withColumn("range", range_)
     sums = parted.groupBy("range").agg(F.sum("words").alias("total"))  # at most 2 * BINS rows
     before = F.sum("total").over(Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
-    order = Window.partitionBy("range").orderBy("finish", "key", "epoch", "row").rowsBetween(Window.unboundedPreceding, -1)
-    queued = parted.withColumn("within", F.coalesce(F.sum("words").over(order), F.lit(0))).join(F.broadcast(offsets), "range").join(F.broadcast(budget))  # one row
-    took = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("offset") - F.col("within"))).cast("long")
+    order = Window.partitionBy("range").orderBy("finish", "key", "end").rowsBetween(Window.unboundedPreceding, -1)
+    queued = parted.withColumn("within", F.coalesce(F.sum("words").over(order), F.lit(0))).join(F.broadcast(offsets), "range")
+    took = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - F.col("offset") - F.col("within"))).cast("long")
     return queued.select("row", "epoch", "finish", "words", took.alias("took"))
 
 
@@ -91,25 +109,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken, finish1, finish2, taken1, taken2.
 
     size counts words (null text: 0). Sources in code point order, null last, get the
-    weights in turn. taken are the words of the document in the queue of all sources' entries,
-    range-sorted by virtual finish time and cut at the total budget (the targets' whole words);
+    weights in turn. taken are the words of the document in the queue of all sources' packets,
+    range-sorted by virtual finish time and cut at the budget (share times all words, whole);
     taken1 and taken2 are those of the two epochs, never above size, and finish1 and finish2
-    the virtual times at which the taken words end (null where none is taken). A null doc_id
-    shuffles as an empty string; rows that repeat a doc_id are separate entries; an empty table
-    gives an empty result. The order depends on doc_id and size alone, so reruns agree. A
-    column `row` of `docs`, if there is one, is carried to the result as it is (`tag`); other
-    columns are not read.
+    the finish times of the last packets taken (null where none is). A source's words are its
+    target's give or take a packet, and what other sources' last packets leave over. A row
+    with a null doc_id shuffles by its text; rows that repeat a doc_id are separate entries; an
+    empty table gives an empty result. The order depends on doc_id, size and, without a doc_id,
+    text alone, so reruns agree. A column `row` of `docs`, if there is one, is carried to the
+    result as it is (`tag`); other columns are not read.
     """
     tag = F.col("row") if "row" in docs.columns else F.lit(None).cast("long")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tag.alias("tag"), F.monotonically_increasing_id().alias("row"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), name.alias("name"), tag.alias("tag"), F.monotonically_increasing_id().alias("row"))
     sized = stored(sized.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "sizes")
-    entries = queue(sized, weights, share)
-    budget = source_targets(sized, weights, share).agg(F.coalesce(F.sum(F.floor("target").cast("long")), F.lit(0)).alias("budget"))
-    taken = cut_at_budget(entries, budget).where("took > 0")
+    targets = stored(source_targets(sized, weights, share), "targets")
+    sources, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    few = sources <= BROADCAST_SOURCES
+    entries = with_targets(queue(sized), targets.select("key", "target"), few)
+    taken = cut_at_budget(packets(entries), math.floor(words * share)).where("took > 0")
     of = lambda e, c: F.when(F.col("epoch") == e, F.col(c))
     per_row = taken.groupBy("row").agg(*(F.sum(of(e, "took")).alias(f"taken{e}") for e in (1, 2)), *(F.max(of(e, "finish")).alias(f"finish{e}") for e in (1, 2)))
-    targets = source_targets(sized, weights, share)
-    out = sized.join(targets, "key").join(per_row, "row", "left").na.fill(0, ["taken1", "taken2"])
+    out = with_targets(sized, targets, few).join(per_row, "row", "left").na.fill(0, ["taken1", "taken2"])
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("taken1") + F.col("taken2")).alias("taken"), "finish1", "finish2", "taken1", "taken2", "tag")
 
 

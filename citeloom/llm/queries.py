@@ -130,18 +130,21 @@ FROM f GROUP BY conv_id
 """
 
 _OP10 = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce('=' || source, '') AS key, coalesce(CAST(doc_id AS VARCHAR), md5(text), '') AS name,
+  CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
 c AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget FROM s),
 l AS (SELECT *, cap / weight AS ratio, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 fair AS (SELECT arg_min(level, (ratio, n)) AS fair FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, coalesce(least(cap, fair * weight), cap) AS target FROM l LEFT JOIN fair ON true),
-q AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS served,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start1,
-  t.source_size + coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('2:' || coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start2
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, served - start1)) + greatest(0, least(size, served - start2)) AS BIGINT) AS taken FROM q
+q AS (SELECT d.*, t.target, (epoch - 1) * t.source_size
+  + coalesce(sum(size) OVER (PARTITION BY key, epoch ORDER BY md5(epoch || ':' || name), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (1), (2)) AS e(epoch)),
+p AS (SELECT r, key, target, start + least(size, 64 * (k + 1)) AS stop, least(size, 64 * (k + 1)) - 64 * k AS words FROM (SELECT *, unnest(range((size + 63) // 64)) AS k FROM q)),
+w AS (SELECT r, words, sum(words) OVER (ORDER BY stop / target, key, stop ROWS UNBOUNDED PRECEDING) - words AS before FROM p),
+m AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(sum(size) * 1.5::DOUBLE) FROM d) - before))) AS taken FROM w GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (r)
 """
 
 _OP5 = r"""
