@@ -23,6 +23,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Places by which words of a proximity match may be shifted against each other.
 SLOP = 2
+#: Begins of an item in a document from which on its words in the document are counted, to stop once all are aligned.
+MANY_BEGINS = 64
 #: Words of all benchmark items up to which their terms and places are broadcast (some 10 MB); beyond, the joins shuffle.
 BROADCAST_WORDS = 200_000
 #: Documents with candidates up to which their row numbers are broadcast (some 10 MB), so that others' words are not shuffled.
@@ -121,7 +123,16 @@ def near_matches(postings: DataFrame, given: DataFrame, items: DataFrame, places
         fits = F.transform(F.array(stand(begin, low)), lambda x: F.greatest(*(F.when(low <= first, fit(begin, x, first)) for first in range(-SLOP, 1))))
         return F.get(fits, F.lit(0))
 
-    tried = spots.select("row", "item", near_need(F.size("phrase")).alias("need"), F.array_max(F.transform(F.transform("begins", lowest), best)).alias("best"))
+    def better(so_far: Column, at: Column) -> Column:
+        """Begins rise, and so do their places: once as many words are aligned as can be, no later begin is tried."""
+        tried = F.struct(F.greatest(so_far["best"], best(at)).alias("best"), so_far["most"].alias("most"))
+        return F.when(so_far["best"]["aligned"] >= so_far["most"], so_far).otherwise(tried)
+
+    held = F.transform(F.array(F.array_intersect("phrase", "words")), lambda both: F.size(F.filter("phrase", lambda w: F.array_contains(both, w))))
+    most = F.when(F.size("begins") > MANY_BEGINS, F.least(F.get(held, F.lit(0)), F.size("words"))).otherwise(F.size("phrase"))
+    none = F.struct(F.struct(F.lit(0).alias("aligned"), F.lit(None).cast("int").alias("before")).alias("best"), most.alias("most"))
+    tops = F.aggregate(F.transform("begins", lowest), none, better, lambda x: x["best"])
+    tried = spots.select("row", "item", near_need(F.size("phrase")).alias("need"), tops.alias("best"))
     return tried.where("best.aligned >= need").select("row", "item", (-F.col("best.before")).alias("place"), "best.aligned")
 
 

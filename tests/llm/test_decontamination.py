@@ -59,9 +59,31 @@ def test_a_hot_word(spark, docs, joined):
     began = time.time()
     got = by_id(decontam.contamination(docs([(1, text), (2, "no such word"), (3, "The end " * 2000)]), frame))
     assert [(got[i]["n_hit"], got[i]["items"]) for i in (1, 2, 3)] == [(20_000, ["1", "2"]), (0, []), (4000, ["1", "3"])]
+    assert [[tuple(x) for x in got[i]["near"]] for i in (1, 2, 3)] == [[("1", 0), ("2", -decontam.SLOP)], [], [("1", 0), ("2", -1), ("3", 0)]]
     assert time.time() - began < 120
 
 
+@pytest.mark.parametrize("many", [0, 1 << 30])
+def test_near_places_of_hot_words(spark, docs, monkeypatch, many):
+    """Texts of three words against items of these and of words that no text has: the places of windows tried one by one, all of them."""
+    monkeypatch.setattr(decontam, "MANY_BEGINS", many)
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(rng.choice(["a", "b", "c"], n))) for i, n in enumerate([3, 20, 60, 90])]
+    items = [(i, " ".join(rng.choice(["a", "b", "c", "x"], n, p=p))) for i, (n, p) in enumerate([(2, [0.5, 0.5, 0, 0]), (7, [0.4, 0.2, 0.2, 0.2]), (9, [0.1, 0.1, 0.1, 0.7]), (12, [0.3, 0.3, 0.3, 0.1])])]
+    got = by_id(decontam.contamination(docs(texts), spark.createDataFrame(items, "item_id long, text string")))
+    for doc, text in texts:
+        want, words = [], text.split()
+        for item, phrase in ((i, t.split()) for i, t in items):
+            best = (0, 0)
+            for start in range(-len(phrase) - decontam.SLOP, len(words) + 1):
+                stand = [(s, j) for j, w in enumerate(phrase) for s in range(start, start + decontam.SLOP + 1) if 0 <= s + j < len(words) and words[s + j] == w]
+                aligned = min(len({j for _, j in stand}), len({s + j for s, j in stand}))
+                best = max(best, (aligned, -min((s for s, _ in stand), default=0)))
+            need = max(min(2, len(phrase)), -(-len(phrase) // 2))
+            want += [(str(item), -best[1])] if best[0] >= need else []
+        assert [tuple(x) for x in got[doc]["near"]] == want
+
+
 def test_near_matches_either_way(spark, docs, joined):
     words = [f"w{i}" for i in range(20)]
     frame = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
