@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from citeloom.functions import text as t
 from citeloom.schema import FIELDS, PAPER
 from citeloom.shared import cut
+from citeloom.sources import arrays
 
 # The columns of the two CSV forms.
 EXPORT_COLUMNS = ["id", "title", "authors", "journal", "year", "date", "doi", "url", "source", "categories"]
@@ -27,10 +28,9 @@ WEB_COLUMNS = ["title", "authors", "journal", "year", "date", "doi", "url", "sou
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of papers in a file, read paper by paper; pos is the place in the array. A malformed file raises."""
+    """A JSON array of papers in a file, which any number of tasks read; pos is the place in the array. A malformed file raises."""
     schema = StructType([f for f in PAPER.fields if f.name != "pos"])
-    rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-    return rows.select(F.monotonically_increasing_id().alias("pos"), *schema.fieldNames())  # one file is one partition
+    return arrays.elements(spark, path).select("pos", F.from_json("element", schema, {"mode": "FAILFAST"}).alias("p")).select("pos", "p.*")
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:
