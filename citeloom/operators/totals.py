@@ -46,29 +46,32 @@ def state(annotated: DataFrame) -> DataFrame:
         F.transform("tools", lambda m, i: _entry("tool", m, i=i)).cast(_ENTRY),
         _pairs().cast(_ENTRY),
     )
-    rows = annotated.select("pos", F.explode_outer(entries).alias("e")).select("e.kind", "e.a", "e.b", "e.year", "e.n", F.struct("pos", "e.i", "e.j").alias("first"))
-    return rows.unionByName(_early(annotated)).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    rows = annotated.join(_early_bound(annotated)).select("pos", F.explode_outer(F.concat(entries, _early())).alias("e"))
+    return rows.select("e.kind", "e.a", "e.b", "e.year", "e.n", F.struct("pos", "e.i", "e.j").alias("first")).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 #: Papers whose topics stand in for those of recent years where there are none.
 EARLY = 50
 
 
-def _early(annotated: DataFrame) -> DataFrame:
-    """The places of the first papers, and each of their pairs."""
-    first = annotated.select("pos", "methods", "categories").orderBy("pos").limit(EARLY).withColumn("year", F.lit(0))
+def _early_bound(annotated: DataFrame) -> DataFrame:
+    """The place of the last of the first papers; found from places alone, so that no text is classified for it."""
+    return F.broadcast(annotated.select("pos").orderBy("pos").limit(EARLY).agg(F.max("pos").alias("_bound")))  # one row
+
+
+def _early() -> Column:
+    """The entries of one of the first papers: its place, and each of its pairs; no two of these are added up."""
+    own = lambda e: F.concat_ws(":", F.col("pos").cast("string"), e["kind"], e["i"].cast("string"), e["j"].cast("string"))
     entries = F.concat(F.array(_entry("place")).cast(_ENTRY), F.filter(_pairs(), lambda e: e["n"] > 0).cast(_ENTRY))
-    rows = first.select("pos", F.explode(entries).alias("e"))
-    own = F.concat_ws(":", F.col("pos").cast("string"), "e.kind", F.col("e.i").cast("string"), F.col("e.j").cast("string"))  # no two of these are added up
-    return rows.select(F.lit("early").alias("kind"), own.alias("a"), F.concat("e.a", F.lit(" for "), "e.b").alias("b"), F.lit(None).cast("int").alias("year"), F.lit(1).cast("long").alias("n"), F.struct("pos", "e.i", "e.j").alias("first"))
+    rows = F.transform(entries, lambda e: _entry("early", own(e), F.concat(e["a"], F.lit(" for "), e["b"]), None, 1, e["i"], e["j"]))
+    return F.when(F.col("pos") <= F.col("_bound"), rows.cast(_ENTRY)).otherwise(F.array().cast(_ENTRY))
 
 
 def combined(*states: DataFrame) -> DataFrame:
     """The state of all papers together, whose places (pos) say which came first."""
-    rows = reduce(DataFrame.unionByName, states)
-    added = rows.where("kind <> 'early'").groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    place = F.dense_rank().over(Window.orderBy("first.pos"))  # of EARLY papers in each state
-    return added.unionByName(rows.where("kind = 'early'").withColumn("_place", place).where(F.col("_place") <= EARLY).drop("_place"))
+    added = reduce(DataFrame.unionByName, states).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    place = F.dense_rank().over(Window.partitionBy(F.col("kind") == "early").orderBy("first.pos"))  # of EARLY papers in each state
+    return added.withColumn("_place", place).where((F.col("kind") != "early") | (F.col("_place") <= EARLY)).drop("_place")
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_literature import frame, paper
 
 from citeloom.functions import taxonomy as tx
@@ -57,6 +58,19 @@ def test_three_updates_equal_the_whole(spark, recent):
     assert rows(out) == rows(totals.combined(totals.state(whole)))
 
 
+def test_each_paper_is_classified_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def methods(title):
+        seen.add(1)
+        return ["CNN"]
+
+    papers = collection(spark, 200).withColumns({"methods": methods("title"), "tools": F.array().cast("array<string>")})
+    counted = cut(totals.combined(totals.empty(spark), totals.state(papers)))
+    assert seen.value == 200 and totals.total(counted).first()["total"] == 200
+
+
 def test_nothing(spark):
     for none in (totals.empty(spark), totals.state(pp.annotate(frame(spark)))):
         assert totals.total(none).first()["total"] == 0 and totals.learning_share(none).first()["dl_ratio"] == 0
