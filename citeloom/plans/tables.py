@@ -25,13 +25,15 @@ SHARES = 1024
 
 _FUNCTIONS = (
     # Papers with the most of a query's words, best first; each share keeps as many as are wanted, so no task ranks all hits.
+    # A text is bound and scored once: an alias in a lambda is computed for each word, and one that a filter reads for that again.
     f"""search_papers(query STRING COMMENT 'words', most INT COMMENT 'papers at most')
     RETURNS TABLE(pos BIGINT, score BIGINT, title STRING, year INT, url STRING)
     RETURN SELECT pos, score, title, year, url FROM (
       SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS place FROM (
         SELECT *, row_number() OVER (PARTITION BY pmod(xxhash64(pos), {SHARES}) ORDER BY score DESC, pos) AS own FROM (
-          SELECT pos, title, year, url, CAST(size(filter(split(lower(search_papers.query), r'\\s+'), w -> w <> '' AND contains(_searched, w))) AS BIGINT) AS score FROM citeloom_papers)
-        WHERE score > 0)
+          SELECT pos, title, year, url, score FROM (
+            SELECT pos, title, year, url, filter(transform(array(_searched), s -> CAST(size(filter(split(lower(search_papers.query), r'\\s+'), w -> w <> '' AND contains(s, w))) AS BIGINT)), n -> n > 0) AS hits FROM citeloom_papers)
+          LATERAL VIEW OUTER explode(hits) AS score WHERE score IS NOT NULL))
       WHERE own <= search_papers.most)
     WHERE place <= search_papers.most""",
     # Counts of papers: by year, source, category, method and tool, the commonest first (years: the newest).
