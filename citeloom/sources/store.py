@@ -123,6 +123,8 @@ class Manifest(NamedTuple):
 
 #: Papers to a bucket when a snapshot is written whole, parts that an update may leave, and new keys up to which they are broadcast (some 100 MB).
 BUCKET_ROWS, MOST_PARTS, BROADCAST_KEYS = 1 << 18, 64, 1_000_000
+#: Papers to a slice of a bucket, which one task writes to one file.
+SLICE_ROWS = 1 << 14
 _PART = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAPER.fields) + ", key string, part string, bucket int"
 
 
@@ -155,9 +157,17 @@ def _keyed(papers: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_part(keyed: DataFrame, path: str) -> str:
-    """Write papers with key and bucket as a part that no snapshot names yet; its folder."""
+    """Write papers with key and bucket as a part that no snapshot names yet; its folder.
+
+    Buckets are written in slices by key, so that a task's share doesn't grow with the papers, whatever the number of buckets.
+    """
     name = f"rows/part=p{uuid.uuid4().hex}"
-    keyed.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    held = keyed.groupBy("bucket").count().agg(F.count("*").alias("buckets"), F.max("count").alias("most")).first()
+    slices = max(1, -(-(held["most"] or 0) // SLICE_ROWS))
+    by = ["bucket", F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices))]  # apart from the bucket's own hash
+    many = held["buckets"] * slices > int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(held["buckets"] * slices, *by) if many else keyed.repartition(*by)
+    dealt.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/{name}")
     return name
 
 

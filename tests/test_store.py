@@ -49,6 +49,18 @@ def test_a_small_update_writes_little(spark, tmp_path):
     assert store.manifest(spark, path).rows == 2005 == store.read_snapshot(spark, path).count()
 
 
+def test_a_large_update_of_a_small_store_is_many_tasks(spark, tmp_path, monkeypatch):
+    """The one bucket of a store that began small is written by tasks of a slice or a few each."""
+    monkeypatch.setattr(store, "SLICE_ROWS", 100)
+    path = str(tmp_path)
+    store.add_papers(spark, path, frame(spark, paper(0, "K0")))
+    store.add_papers(spark, path, frame(spark, *(paper(i, f"K{i}") for i in range(2000))))
+    made = store.manifest(spark, path)
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / made.added).rglob("*.parquet")]
+    assert made.buckets == 1 and sum(sizes) == 1999 and max(sizes) < 700
+    assert sorted(r["id"] for r in store.read_snapshot(spark, path).collect()) == sorted(f"K{i}" for i in range(2000))
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_only_touched_buckets_are_read(spark, tmp_path, monkeypatch, most):
     """Files of other buckets may be gone without an update noticing."""
