@@ -13,7 +13,10 @@ and counts (gram, n).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
@@ -28,9 +31,17 @@ RAREST = 2
 _GRAM = 3
 
 
-def grams(text: Column | str) -> Column:
+def grams(text: str) -> list[str]:
     """The different trigrams of a text, and its last two characters and last one, which shorter terms are sought by."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{_GRAM}}}))"), F.lit(1)))
+    return list({text[i : i + _GRAM] for i in range(len(text))})
+
+
+def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, pos, grams) of texts (chunk, pos, text), a few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(map(grams, some.column(2).to_pylist()), pa.list_(pa.string()))], ["chunk", "pos", "grams"])
 
 
 def build(papers: DataFrame, folder: str, chunk: int = CHUNK) -> str:
@@ -39,7 +50,7 @@ def build(papers: DataFrame, folder: str, chunk: int = CHUNK) -> str:
     rows = spread(papers).select(F.expr(f"pos div {chunk}").alias("chunk"), "pos", searched_text().alias("text"))
     rows.repartition("chunk").sortWithinPartitions("chunk", "pos").write.partitionBy("chunk").parquet(f"{folder}/texts")
     texts = spark.read.schema("pos long, text string, chunk long").parquet(f"{folder}/texts")
-    each = texts.select("chunk", "pos", F.explode(grams("text")).alias("gram"))
+    each = texts.select("chunk", "pos", "text").mapInArrow(_with_grams, "chunk long, pos long, grams array<string>").select("chunk", "pos", F.explode_outer("grams").alias("gram")).where("gram is not null")
     lists = each.groupBy("gram", "chunk").agg(F.sort_array(F.collect_list("pos")).alias("places"))
     lists.select("gram", "chunk", F.size("places").alias("n"), "places").repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk").write.parquet(f"{folder}/postings")
     counts = spark.read.parquet(f"{folder}/postings").groupBy("gram").agg(F.sum("n").alias("n"))

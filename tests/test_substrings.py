@@ -106,3 +106,8 @@ def test_a_crash_before_the_pointer_moves(spark, tmp_path, monkeypatch, capsys):
     assert (out["new_count"], out["total_count"]) == (1, 2) and [r["id"] for r in pipeline.latest_delta(spark, path).collect()] == ["B"]
     pipeline.main(["search", "--store", path, "bert"])
     assert "bert" in capsys.readouterr().out
+
+
+def test_grams_part_no_character():
+    """Those of characters beyond 16 bits are whole, and each stands once."""
+    assert sorted(substrings.grams("a𝔸ba𝔸b")) == sorted(["a𝔸b", "𝔸ba", "ba𝔸", "𝔸b", "b"]) and substrings.grams("") == []
