@@ -115,12 +115,18 @@ def readme_lines(papers: DataFrame, taxonomy: Taxonomy, date: str, title: str =
 README_ORDER = ("part", "grp_ord", "category", "rn")
 
 
-def digest_html(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, generated: str) -> str:
-    """The digest as an HTML page: counts by category, then papers, newest first."""
+def digest_page(new: DataFrame, everything: DataFrame, taxonomy: Taxonomy, generated: str) -> DataFrame:
+    """(part, date, pos, line) of the digest as an HTML page: counts by category, then papers; in order by part, falling date and pos."""
     counts = "".join(f"<li><strong>{escape(r['category'])}</strong>: {r['n']} paper(s)</li>" for r in digest_counts(new, taxonomy).collect())
-    rows = new.orderBy(F.desc(t.text("date")), "pos").select("title", "url", t.authors_email("authors").alias("authors"), "journal", "year", F.array_join("categories", ", ").alias("cats"), t.truncated("abstract", 200, 200).alias("abstract"))
-    cells = [f'<tr><td><a href="{escape(r["url"] or "#")}">{escape(r["title"] or "")}</a><br>{escape(r["authors"])} | {escape(r["journal"] or "")} ({r["year"] or ""})<br>{escape(r["cats"] or "")}<br>{escape(r["abstract"] or "")}</td></tr>' for r in rows.toLocalIterator()]
-    return f"<!DOCTYPE html>\n<html><body><h1>Literature Update {escape(generated[:10])}</h1><p>Total papers tracked: {everything.count()}</p><p>New papers this update: {new.count()}</p><ul>{counts}</ul><table>{''.join(cells)}</table></body></html>"
+    head = f"<!DOCTYPE html>\n<html><body><h1>Literature Update {escape(generated[:10])}</h1><p>Total papers tracked: {everything.count()}</p><p>New papers this update: {new.count()}</p><ul>{counts}</ul><table>"
+    safe = lambda c: F.replace(t.html_escaped(c), F.lit("'"), F.lit("&#x27;"))
+    year = F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit(""))
+    link = F.concat(F.lit('<tr><td><a href="'), F.when(t.text("url") == "", "#").otherwise(safe("url")), F.lit('">'), safe("title"), F.lit("</a><br>"))
+    told = F.concat(safe(t.authors_email("authors")), F.lit(" | "), safe("journal"), F.lit(" ("), year, F.lit(")<br>"))
+    rest = F.concat(safe(F.array_join("categories", ", ")), F.lit("<br>"), safe(t.truncated("abstract", 200, 200)), F.lit("</td></tr>"))
+    rows = new.select(F.lit(1).alias("part"), t.text("date").alias("date"), "pos", F.concat(link, told, rest).alias("line"))
+    ends = [(0, "", None, head), (2, "", None, "</table></body></html>")]
+    return rows.unionByName(new.sparkSession.createDataFrame(ends, "part int, date string, pos long, line string"))
 
 
 def summary_lines(totals: DataFrame, as_of: int) -> DataFrame:

@@ -77,7 +77,8 @@ def _count(spark: SparkSession, path: str, name: str) -> None:
 def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonomy, readme: str | None = None, notify=None, index: bool = False, count: bool = False) -> dict:
     """Merge new papers, write them with their categories as a part of the store, then render.
 
-    With `index` and `count` the store's substring index and totals are kept up.
+    With `index` and `count` the store's substring index and totals are kept up. `notify` gets the number of
+    new papers, the digest's text, and its HTML page as pieces of bytes.
 
     Papers that stand keep their categories while the taxonomy is the same; with another one
     all are classified again and written whole. What the run adds, its index and totals, stand before
@@ -108,10 +109,20 @@ def run(spark: SparkSession, path: str, new: DataFrame | None, taxonomy: Taxonom
     if readme:
         store.write_lines(report.readme_lines(current, taxonomy, now[:10]), readme, *report.README_ORDER)
     if notify is not None and out["new_count"]:
-        out["email_sent"] = bool(notify(out["new_count"], out["digest"], report.digest_html(delta, current, taxonomy, now)))
+        out["email_sent"] = posted(notify, out["new_count"], out["digest"], report.digest_page(delta, current, taxonomy, now), path)
     return out | {"success": True}
 
 
+def posted(notify, new: int, digest: str, page: DataFrame, path: str) -> bool:
+    """Give the digest out, its page in pieces of bytes: a paper is a row of it, so all tasks write it below the store, where it stays until it's sent."""
+    spark, at = page.sparkSession, f"{path}/digest/{uuid.uuid4().hex}"
+    try:
+        store.write_folder(page, at, "part", F.desc("date"), "pos")
+        return bool(notify(new, digest, store.pieces(spark, at)))
+    finally:
+        store.remove(spark, at)
+
+
 def latest_delta(spark: SparkSession, path: str) -> DataFrame:
     """The papers that the last update added; none if there was none."""
     return store.read_added(spark, path)
@@ -181,7 +192,7 @@ def main(args: list[str] | None = None, transport=None) -> None:
         print(answers.as_json(told[0](told[1], now.year, now.isoformat())))
     elif a.command == "send-email":
         delta, made = latest_delta(spark, a.store), now.strftime("%Y-%m-%d %H:%M UTC")
-        print("sent" if post(delta.count(), report.digest_text(delta, papers, taxonomy, made), report.digest_html(delta, papers, taxonomy, made)) else "not sent")
+        print("sent" if posted(post, delta.count(), report.digest_text(delta, papers, taxonomy, made), report.digest_page(delta, papers, taxonomy, made), a.store) else "not sent")
     else:
         store.write_lines(report.readme_lines(papers, taxonomy, now.strftime("%Y-%m-%d")), a.output, *report.README_ORDER)
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,16 +36,43 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:
     """One text file of the lines in order: sorted and written by all tasks, their files then copied behind each other, a buffer at a time."""
     spark, parts = lines.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
-    lines.orderBy(*order).select("line").write.text(parts)
+    write_folder(lines, parts, *order)
     jvm = spark.sparkContext._jvm
     to, fs = _place(spark, path)
-    folder, held = _place(spark, parts)
     out = fs.create(to, True)
-    for at in sorted((x.getPath() for x in held.listStatus(folder)), key=lambda p: p.getName()):
-        if at.getName().startswith("part-"):
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(held.open(at), out, 1 << 16, False)
+    for opened in _opened(spark, parts):
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(opened, out, 1 << 16, False)
     out.close()
-    held.delete(folder, True)
+    remove(spark, parts)
+
+
+def write_folder(lines: DataFrame, path: str, *order: str | Column) -> None:
+    """The lines in order as the files of a folder, sorted and written by all tasks."""
+    lines.orderBy(*order).select("line").write.text(path)
+
+
+def _opened(spark: SparkSession, path: str) -> Iterator:
+    """The files of a folder in order, each opened until the next is asked for."""
+    folder, fs = _place(spark, path)
+    for at in sorted((x.getPath() for x in fs.listStatus(folder)), key=lambda p: p.getName()):
+        if at.getName().startswith("part-"):
+            opened = fs.open(at)
+            try:
+                yield opened
+            finally:
+                opened.close()
+
+
+def pieces(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """What write_folder wrote, a buffer at a time."""
+    for opened in _opened(spark, path):
+        while data := bytes(opened.readNBytes(size)):
+            yield data
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
 
 
 def json_lines(papers: DataFrame) -> DataFrame:

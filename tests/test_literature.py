@@ -1,4 +1,7 @@
+import email
+import email.policy
 import json
+import re
 
 import pytest
 from compare import oracle, rows
@@ -11,7 +14,7 @@ from citeloom.functions import text as t
 from citeloom.operators import analysis as an
 from citeloom.operators import papers as pp
 from citeloom.operators import report, search, totals
-from citeloom.plans import answers, pipeline
+from citeloom.plans import answers, mail, pipeline
 from citeloom.plans.queries import QUERIES, SQL
 from citeloom.schema import PAPER
 from citeloom.sources import store
@@ -233,3 +236,35 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_digest_page_is_never_whole_on_the_driver(spark, tmp_path, monkeypatch):
+    """A page comes in pieces, newest papers first, escaped; a large one goes to the server piece by piece and arrives whole."""
+    rows = [paper(i, f"A{i}", title=f"<t{i}> & 'q' ü\n.", date=f"2024-01-{1 + i % 9:02}", authors=["N & M"], url="" if i % 2 else 'u"', abstract="x" * 250) for i in range(40)]
+    got: list = []
+    told = pipeline.run(spark, str(tmp_path / "s"), frame(spark, *rows), tx.FIXTURE, notify=lambda n, text, html: got.append((n, list(html))) or True)
+    n, pieces = got[0]
+    assert told["email_sent"] and n == 40 and all(isinstance(p, bytes) for p in pieces) and not list((tmp_path / "s" / "digest").iterdir())
+    page = b"".join(pieces).decode()
+    order = sorted(range(40), key=lambda i: (-(i % 9), i))
+    assert [int(x) for x in re.findall(r"&lt;t(\d+)&gt; &amp; &#x27;q&#x27; ü\n\.</a>", page)] == order
+    assert page.startswith("<!DOCTYPE html>\n<html><body><h1>Literature Update ") and page.rstrip().endswith("</td></tr>\n</table></body></html>")
+    assert page.count('href="#"') == page.count('href="u&quot;"') == 20 and page.count(">" + "x" * 200 + "...</td>") == 40 and page.count("N &amp; M | ") == 40
+    sent: list = []
+
+    class Server:
+        starttls = login = ehlo_or_helo_if_needed = lambda self, *_: None
+        mail = rcpt = lambda self, *_: (250, b"")
+        docmd = lambda self, *_: (354, b"")
+        getreply = lambda self: (250, b"")
+        send = lambda self, data: sent.append(data)
+        __init__ = __exit__ = lambda self, *_: None
+        __enter__ = lambda self: self
+
+    box = mail.Mailbox(["x@y.z"], "u", "p")
+    monkeypatch.setattr(mail, "WHOLE", 1_000)
+    assert mail.send(40, ".plain ü", iter([page.encode()[i : i + 1_000] for i in range(0, len(page.encode()), 1_000)]), box, Server)
+    assert max(map(len, sent)) < 2_000 and sent[-1] == b"\r\n.\r\n"
+    whole = email.message_from_bytes(re.sub(rb"(?m)^\.\.", b".", b"".join(sent[:-1])), policy=email.policy.SMTP)
+    plain, html = whole.iter_parts()
+    assert plain.get_content().strip() == ".plain ü" and html.get_payload(decode=True).decode() == page and html.get_content_type() == "text/html"
